@@ -3,6 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.html_text import extract_text
+
+    found = extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from mergestone.llm.token_files import read_token_files, token_digest, write_token_files
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_digest(read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +29,8 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_html_extraction": op5_html_extraction,
+    "op6_token_files": op6_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
