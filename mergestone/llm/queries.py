@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.log_bilinear import score_documents
+
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergestone.llm.html_text import extract_text
 
@@ -29,6 +35,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
