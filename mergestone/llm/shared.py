@@ -71,3 +71,16 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
+
+
+def at_most(df: DataFrame, column: str, n: int, scale: float = 1.0) -> DataFrame:
+    """The rows of the largest values, at most ``n`` of them: all whose value, cut to steps of 1 / ``scale``, is above the
+    first step that no longer fits. Only counts by step reach the driver, not the rows of every task, as with a limit."""
+    step = F.floor(F.col(column) * scale)
+    seen, least = 0, None
+    for r in df.groupBy(step.alias("s")).count().orderBy(F.desc("s")).toLocalIterator():
+        seen += r[1]
+        if seen > n:
+            break
+        least = r[0]
+    return df.filter(step >= least) if least is not None else df.filter("false")
