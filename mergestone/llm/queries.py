@@ -6,12 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.noisy_channel import score_toxicity
+
+    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergestone.llm.log_bilinear import score_documents
 
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from mergestone.llm.piece_scan import encode_texts
+
+    return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.product_quantisation import embedding_classes
+
+    return embedding_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergestone.llm.html_text import extract_text
 
@@ -22,10 +42,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from mergestone.llm.token_files import read_token_files, token_digest, write_token_files
+    from mergestone.llm.token_files import read_token_files, write_token_files
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_digest(read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))))
+    return read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")), digest=True)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +55,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,

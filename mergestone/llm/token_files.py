@@ -13,10 +13,13 @@ repeated task replaces its shard with the same bytes.
 
 from __future__ import annotations
 
+import json
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,16 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(flat, axis=1, bitorder="little").view("<u4").ravel()
 
 
+def _plain(word: str) -> bool:
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> WordEncoder:
+    """One a Python worker, so that its tasks share what it remembers."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Encodes texts with a word-level BPE of the tokenizers library.
 
@@ -63,12 +76,17 @@ class WordEncoder:
 
     TAIL = b".,;:!?*$"
     #: Words remembered at a time; the memory starts anew beyond it, which changes no result.
-    KEEP = 400_000
+    KEEP = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # the same vocabulary and merges for words that the normaliser leaves as they are and the pre-tokenizer doesn't cut
+        plain = json.loads(self.library.to_str())
+        byte_level = next(p for p in plain["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
+        plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
         self.vocabulary = self.library.get_vocab_size()
         self.ends = np.zeros(self.vocabulary, bool)
         for token, i in self.library.get_vocab().items():
@@ -85,7 +103,7 @@ class WordEncoder:
         made = []
         for w in new:
             core = w.rstrip(self.TAIL)
-            if core and core.decode("utf8").isalpha():
+            if core and (core.isalpha() or _plain(core.decode("utf8"))):
                 tail = w[len(core) :]
                 made.append((pieces.setdefault(core, len(pieces)), pieces.setdefault(tail, len(pieces)) if tail else -1))
             else:
@@ -93,7 +111,7 @@ class WordEncoder:
         ids = [np.zeros(0, np.uint32)]
         cut = np.zeros(1, np.int64)
         if pieces:
-            got = np.array(self.library.encode(b" ".join(pieces).decode("utf8"), add_special_tokens=False).ids, np.uint32)
+            got = np.array(self.plain.encode(b" ".join(pieces).decode("utf8"), add_special_tokens=False).ids, np.uint32)
             at = np.r_[0, np.flatnonzero(self.ends[got]) + 1]
             if len(at) == len(pieces) + 1 and at[-1] == len(got):
                 ids, cut = [got], at
@@ -218,7 +236,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = WordEncoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 out = to.open_output_stream(f"{name}.{attempt}")
                 writer = ShardWriter(out, width(encoder.vocabulary))
             for lo in range(0, batch.num_rows, 256):
@@ -236,8 +254,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     return shards.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_token_files(shards: DataFrame, run_of: int = 2048) -> DataFrame:
-    """Reads shards back, ``run_of`` documents a range read: one row (doc_id, start, ids) for each document."""
+def read_token_files(shards: DataFrame, digest: bool = False, run_of: int = 512) -> DataFrame:
+    """Reads shards back, ``run_of`` documents a range read: one row (doc_id, start, ids) for each document, or with
+    ``digest`` (doc_id, start, n_tokens, ids_crc32), for which the ids need not leave the task that has read them."""
     runs = shards.select("path", "first", F.explode(F.expr(f"sequence(0L, n_docs - 1, {run_of}L)")).alias("lo"))
     runs = runs.repartition(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -247,19 +266,12 @@ def read_token_files(shards: DataFrame, run_of: int = 2048) -> DataFrame:
                 at, place = fs.FileSystem.from_uri(x["path"])
                 with at.open_input_file(place) as f:
                     doc_ids, starts, ids = read_range(f, x["lo"], x["lo"] + run_of)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": starts + x["first"], "ids": pa.array(ids, pa.list_(pa.int64()))})
-
-    return runs.mapInArrow(run, "doc_id long, start long, ids array<long>")
-
-
-def token_digest(read: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of documents read back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, cut = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "start": batch.column("start"), "n_tokens": np.diff(cut).astype(np.int64), "ids_crc32": pa.array(crc, pa.int64())})
-
-    return read.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                out = {"doc_id": pa.array(doc_ids, pa.int64()), "start": starts + x["first"]}
+                if digest:
+                    out["n_tokens"] = pa.array([len(i) for i in ids], pa.int64())
+                    out["ids_crc32"] = pa.array([zlib.crc32(np.ascontiguousarray(i, "<u4")) for i in ids], pa.int64())
+                else:
+                    out["ids"] = pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(out)
+
+    return runs.mapInArrow(run, "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids array<int>"))

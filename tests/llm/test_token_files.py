@@ -48,7 +48,10 @@ def test_words_encode_as_the_whole_text():
 def test_write_and_read(spark):
     rows = [(i * 7 % 31, t, "x", 5) for i, t in enumerate(TEXTS * 3)] + [(None, "no id", None, None), (3, "again", "x", 1), (3, "again", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, start int").repartition(3)
-    got = T.token_digest(T.read_token_files(T.write_token_files(df, PATH), 4)).collect()
+    shards = T.write_token_files(df, PATH).persist()
+    got = T.read_token_files(shards, digest=True, run_of=4).collect()
+    ids = {(r.doc_id, r.start): r.ids for r in T.read_token_files(shards, run_of=7).collect()}
+    assert all(zlib.crc32(np.array(ids[r.doc_id, r.start], "<u4").tobytes()) == r.ids_crc32 for r in got)
     lib, at, want = Tokenizer.from_file(PATH), 0, []
     for d, t in sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
         ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4")
@@ -59,4 +62,4 @@ def test_write_and_read(spark):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert T.token_digest(T.read_token_files(T.write_token_files(df, PATH))).count() == 0
+    assert T.read_token_files(T.write_token_files(df, PATH)).count() == 0
