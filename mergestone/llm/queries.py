@@ -48,12 +48,24 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json")), digest=True)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.license_scan import scan_licenses
+
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergestone.llm.simhash import simhash_classes
 
     return simhash_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.decontamination import contaminated
+
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -61,7 +73,9 @@ QUERIES = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_html_extraction": op5_html_extraction,
     "op6_token_files": op6_token_files,
+    "op7_license_scan": op7_license_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
