@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from mergestone.llm.word_hashes import WordHashes, mixed, runs
 
-SIZES = tuple(sorted({*range(1, 8), *(int(8 * 1.2**k) for k in range(40))}))
+SIZES = tuple(sorted({*range(1, 8), *(int(8 * 1.35**k) for k in range(30))}))
 STEP = 8192
 
 

@@ -1,9 +1,9 @@
 """Licence scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-For a template of L words, windows of three steps of s = ceil(L / 2) words begin at every step, so any stretch of L words lies
-wholly in one of them. A window that holds four fifths of a template's shingles has a Jaccard similarity of at least 0.8 |T| /
-(|T| + s) with it, above 0.5. A band is one MinHash value, so with ``bands`` = 16 such a window misses the template with a
-probability below 0.5 ** 16. What the bands retrieve is compared exactly: the share of the template's shingles in the window.
+For a template of L words, windows of three steps of s words begin at every step, s being the least of 3, 4, 5, 6, 7, 8, 10 and so
+on that is L / 2 or more, so any stretch of L words lies wholly in one of them. A window that holds four fifths of a template's
+shingles has a Jaccard similarity of about 0.43 or more with it. A band is one MinHash value, so with ``bands`` = 14 such a
+window misses the template with a probability of about 0.0004. What the bands retrieve is compared exactly: the share of the template's shingles in the window.
 
 Documents are independent rows: Spark deals them to tasks, templates are a fixed list, and nothing is shuffled.
 """
@@ -21,10 +21,11 @@ from mergestone.llm.license_templates import TEMPLATES
 from mergestone.llm.word_hashes import WordHashes, runs
 
 SHINGLE = 3
+STEPS = tuple(sorted(b << k for b in (3, 4, 5, 7) for k in range(20)))
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, tuple[str, ...]], bands: int = 16, least: float = 0.8):
+    def __init__(self, templates: dict[str, tuple[str, ...]], bands: int = 14, least: float = 0.8):
         rng = np.random.default_rng(5)
         self.a = rng.integers(0, 2**63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.least, self.words = least, WordHashes()
@@ -35,7 +36,7 @@ class Scanner:
                 self.names.append(name)
                 self.sets.append(np.unique(runs(h, SHINGLE)))
                 self.lengths.append(len(runs(h, SHINGLE)))
-                by_step.setdefault(-(-len(h) // 2), []).append((len(self.names) - 1, len(h)))
+                by_step.setdefault(next(s for s in STEPS if 2 * s >= len(h)), []).append((len(self.names) - 1, len(h)))
         #: step -> for each band, MinHash values in order, and their templates
         self.bands = {}
         for step, members in by_step.items():
@@ -47,23 +48,45 @@ class Scanner:
         """(template, first, end) of windows, in shingles, that share a band with a template."""
         out: set[tuple[int, int, int]] = set()
         n = len(shingles)
-        for step, (values, which) in self.bands.items():
-            blocks = -(-n // step)
-            for a, value, template in zip(self.a, values, which):
-                low = np.full(blocks * step, np.uint64(2**64 - 1))
-                np.multiply(shingles, a, out=low[:n])
-                low = low.reshape(blocks, step).min(axis=1)
-                window = low.copy()
-                window[:-1] = np.minimum(window[:-1], low[1:])
-                window[:-2] = np.minimum(window[:-2], low[2:])
-                at = np.searchsorted(value, window)
-                for w in np.flatnonzero(value[np.minimum(at, len(value) - 1)] == window):
-                    k = at[w]
-                    while k < len(value) and value[k] == window[w]:
-                        out.add((int(template[k]), int(w) * step, min(n, (int(w) + 3) * step)))
-                        k += 1
+        for band, a in enumerate(self.a):
+            hashed = shingles * a
+            low: dict[int, np.ndarray] = {}
+            for step, (values, which) in self.bands.items():
+                window = self.windows(hashed, step, low)
+                value, template = values[band], which[band]
+                if len(value) <= 8:
+                    hits = [(k, w) for k in range(len(value)) for w in np.flatnonzero(window == value[k])]
+                else:
+                    at = np.searchsorted(value, window)
+                    some = np.flatnonzero(value[np.minimum(at, len(value) - 1)] == window)
+                    hits = [(k, w) for w in some for k in range(at[w], np.searchsorted(value, window[w], "right"))]
+                out.update((int(template[k]), int(w) * step, min(n, (int(w) + 3) * step)) for k, w in hits)
         return out
 
+    def blocks(self, hashed: np.ndarray, step: int, low: dict[int, np.ndarray]) -> np.ndarray:
+        """Minimum of every block of ``step`` values; that of double blocks from that of single ones."""
+        got = low.get(step)
+        if got is None:
+            if step % 2 == 0 and step > 4:
+                half = self.blocks(hashed, step // 2, low)
+                got = half[0::2].copy()
+                odd = half[1::2]
+                np.minimum(got[: len(odd)], odd, out=got[: len(odd)])
+            else:
+                got = hashed[0::step].copy()
+                for k in range(1, step):
+                    part = hashed[k::step]
+                    np.minimum(got[: len(part)], part, out=got[: len(part)])
+            low[step] = got
+        return got
+
+    def windows(self, hashed: np.ndarray, step: int, low: dict[int, np.ndarray]) -> np.ndarray:
+        block = self.blocks(hashed, step, low)
+        window = block.copy()
+        np.minimum(window[:-1], block[1:], out=window[:-1])
+        np.minimum(window[:-2], block[2:], out=window[:-2])
+        return window
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(licence, containment, first word, words) of every stated notice; of overlapping ones of a licence the best."""
         h = self.words.of(text)
