@@ -147,14 +147,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float
     texts match alike. Repeated rows give repeated results; a null doc_id stays null; extra columns are not read; with an
     empty table the result is empty.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    slices = max(1, -(-size // bound))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for k in range(slices):
-        own = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        held = [(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]
+    for held in slices_of(benchmark, bound):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Items(held, n, least, radius)
@@ -169,3 +164,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float
         one = rows.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, n_windows long")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = 11, bound: int = 16_000_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item; cases as in :func:`contaminated`."""
+    at = docs.columns.index("text")
+    for held in slices_of(benchmark, bound):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = Items(held, n, least, radius)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    yield part.filter(pa.array([not index.matches(t.as_py()) for t in part.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
+def slices_of(benchmark: DataFrame, bound: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in lists of about ``bound`` characters at most, each of which every task can hold."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    slices = max(1, -(-size // bound))
+    for k in range(slices):
+        own = items if slices == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
+        yield [(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]

@@ -332,3 +332,122 @@ def simhash_classes(docs: DataFrame, n: int = 4, radius: int = 4, blocks: int =
     of_print = named.join(low, "part").select("f0", "component_id")
     out = prints.join(of_print, "f0")
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------------------------------------- near-duplicates by exact similarity
+
+
+def set_links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all sets connected by a Jaccard similarity of at least ``similarity``; with ``side``, only
+    pairs across the two sides count. A search from each set counts shared members through an inverted list, and sets that
+    were reached are not asked for again, so groups around one original cost about their size."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(number, kind="stable")
+    holders, first = owner[order], np.r_[0, np.cumsum(np.bincount(number, minlength=len(values)))]
+    start = np.r_[0, np.cumsum(size)]
+    group, found = np.arange(n), []
+
+    def near(i: int) -> np.ndarray:
+        own = number[start[i] : start[i + 1]]
+        count = first[own + 1] - first[own]
+        at = np.repeat(first[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        both = np.bincount(holders[at], minlength=n)
+        good = both >= similarity * (size + size[i] - both)
+        good &= group != group[i]
+        if side is not None:
+            good &= side != side[i]
+        return np.flatnonzero(good)
+
+    waiting, asked = list(range(n - 1, -1, -1)), np.zeros(n, bool)
+    while waiting:
+        i = waiting.pop()
+        if asked[i]:
+            continue
+        asked[i] = True
+        if (group == group[i]).all():
+            break
+        hit = near(i)
+        if len(hit):
+            value, at = np.unique(group[hit], return_index=True)
+            found += [(i, int(hit[k])) for k in at]
+            group[np.isin(group, value)] = group[i]
+            waiting += hit.tolist()
+    return found
+
+
+def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, bits: int = 128, radius: int = 32, width: int = 12, keys: int = 32, weight: int = 1_000_000) -> DataFrame:
+    """(doc_id, component_id) for each row with a doc_id: documents link at a Jaccard similarity of their sets of ``n``-word
+    shingles of at least ``similarity``; component_id is the smallest doc_id that links reach.
+
+    Candidates are fingerprints of ``bits`` bits within ``radius`` that agree on one of ``keys`` draws of ``width`` bits. At a
+    similarity of 0.8 a bit differs with a probability of 0.15, so the expected distance is 19 of 128 with a deviation of 4,
+    and a pair shares a bucket with a probability above 0.99. Groups of candidates are then compared exactly. Documents with
+    equal shingle sets are one node from the start. A group of more than ``weight`` shingles is split into chunks, and each
+    pair of chunks is compared by itself. Texts without words are equal to each other.
+    """
+    m = bits // 64
+    cols = [f"f{k}" for k in range(m)]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                prints, content, size = [], [], []
+                for t in part.column(1):
+                    raw = sorted(xxhash.xxh128_digest(s, 42) for s in set(shingles(words(t.as_py()), n)))
+                    joined = b"".join(raw)
+                    prints.append(majority(np.frombuffer(joined, np.uint64).reshape(-1, 2), bits))
+                    content.append(xxhash.xxh128_digest(joined, 1))
+                    size.append(len(raw))
+                f = np.array(prints, np.uint64).reshape(-1, m)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(f[:, k]).view(np.int64)) for k in range(m)), pa.array(content, pa.binary()), pa.array(size, pa.int64())], ["doc_id", *cols, "content", "size"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    prints = written(rows.mapInArrow(digest, "doc_id long, " + ", ".join(f"{c} long" for c in cols) + ", content binary, size long"), "prints")
+    nodes = written(prints.groupBy("content").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in cols), F.first("size").alias("size")), "nodes")
+    near = linked(nodes.filter("size > 0").select("id", *cols), drawn_keys(bits, width, keys), bits, radius)
+    groups = written(components(near, "candidates").join(nodes.select(F.col("id").alias("node"), "size"), "node"), "groups")
+    big = groups.groupBy("component").agg(F.ceil(F.sum("size") / weight).alias("parts")).filter("parts > 1")
+    placed = groups.join(big, "component", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
+    meets = F.expr("transform(sequence(0, cast(coalesce(parts, 1) as int) - 1), x -> struct(least(x, own) AS i, greatest(x, own) AS j, int(own > x) AS side))")
+    placed = placed.select("node", "component", F.explode(meets).alias("p")).select("node", "component", "p.*")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                got = [np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(words(t.as_py()), n)], np.uint64)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int64()))], ["node", "members"])
+
+    texts = rows.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = texts.mapInArrow(sets, "node long, members array<long>")
+    tasks = placed.join(held, "node").groupBy("component", "i", "j").agg(F.collect_list(F.struct("side", "node", "members")).alias("rows"))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for k in range(batch.num_rows):
+                own = batch.column(2)[k].values
+                lists, ids = own.field(2), own.field(1).to_numpy()
+                cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+                side = own.field(0).to_numpy() if batch.column(0)[k].as_py() != batch.column(1)[k].as_py() else None
+                for i, j in set_links([flat[x:y] for x, y in zip(cut, cut[1:])], similarity, side):
+                    a.append(ids[i])
+                    b.append(ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    links = tasks.select("i", "j", "rows").mapInArrow(exact, "a long, b long")
+    parts = components(links, "duplicates")
+    named = nodes.join(parts, nodes.id == parts.node, "left").select("content", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(named, "content").select("doc_id", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for documents in a class with a smaller doc_id. Rows with a null
+    doc_id stay; rows that repeat a doc_id stay or go together."""
+    gone = near_duplicate_classes(docs, n, similarity).filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = written(gone, "gone")
+    return docs.join(gone, docs.doc_id.cast("long") == gone.doc_id, "left_anti")
