@@ -66,6 +66,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.tool_calls import SCHEMAS, link_tool_calls, with_tool_calls
+
+    return link_tool_calls(with_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet")), SCHEMAS)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -76,6 +82,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
