@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -146,34 +147,52 @@ class Restorer:
 
     def words(self, text: str | None) -> set[str]:
         out: set[str] = set()
-        run: list[str] = []
         known = self.plain
         if len(known) > REMEMBER:
             known.clear()
-        tokens = (text or "").lower().split()
-
-        def close() -> None:
-            if len(run) >= 3:
-                # repeats of whole stretches add nothing, so a long run of one letter is decoded once
-                out.update(self.decode(" ".join(run)))
-            out.update(c for t in run if (c := t.strip(EDGE)))
-            run.clear()
-
-        for t in tokens:
+        low = (text or "").lower()
+        for t in set(low.split()):
             try:
                 got = known[t]
             except KeyError:
                 got = known[t] = self.token(t)
-            if got is None:
-                run.append(t)
-            else:
-                if run:
-                    close()
+            if got is not None:
                 out.update(got)
-        close()
+            elif core := t.strip(EDGE):
+                out.add(core)
+        for run in SPELT_OUT.findall(low):
+            out.update(self.decode(" ".join(run.split())))
         return out
 
 
+SPELT_OUT = re.compile(r"(?<!\S)[^\w\s]?\w[^\w\s]?(?:\s+[^\w\s]?\w[^\w\s]?){2,}(?!\S)")
+
+
+class Telling(dict):
+    """Token -> its restored words that weigh anything as evidence; remembers tokens."""
+
+    def __init__(self, restorer: Restorer, scorer: Scorer):
+        super().__init__()
+        self.restorer, self.scorer = restorer, scorer
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        words = self.restorer.token(token)
+        if words is None:
+            words = (token.strip(EDGE),)
+        got = self[token] = tuple(w for w in words if w and self.scorer.word(w) > 0)
+        return got
+
+    def evidence(self, text: str | None) -> list[float]:
+        """The same as the evidence of :meth:`Restorer.words`, looked up token by token."""
+        if len(self) > REMEMBER:
+            self.clear()
+        low = (text or "").lower()
+        found = {w for ws in map(self.__getitem__, set(low.split())) if ws for w in ws}
+        for run in SPELT_OUT.findall(low):
+            found.update(self.restorer.decode(" ".join(run.split())))
+        return self.scorer.evidence(found)
+
+
 def features(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)]
 
@@ -182,30 +201,39 @@ def remainder(by: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % by
 
 
+@lru_cache(1)
+def letters() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of letters and boundaries, packed as 21 bits a character, and their counts. All that is no letter is a
+    boundary; before the first letter of a word stand two of them, after its last letter one."""
+    code = np.frombuffer(f" {text} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    letter = letters()[code]
+    code = np.where(letter, code, ord(BOUNDARY))
+    one, two = code[1:-1], code[:-2]  # for the character at i + 1: itself, and the one before
+    before = np.concatenate([[ord(BOUNDARY)], code[:-3]])
+    before = np.where(letter[:-2], before, ord(BOUNDARY))
+    inside = letter[1:-1]
+    ends = inside & ~letter[2:]
+    packed = np.concatenate([(before << 42 | two << 21 | one)[inside], (two << 42 | one << 21 | ord(BOUNDARY))[ends]])
+    return np.unique(packed, return_counts=True)
+
+
 def character_counts(docs: DataFrame) -> dict[str, int]:
     """Counts of character trigrams over all words of all documents; the commonest ``TRIGRAMS`` are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        three: Counter[str] = Counter()
-
-        def take() -> None:
-            for w, c in seen.items():
-                core = w.strip(EDGE)
-                if core.isalpha():
-                    padded = f"  {core} "
-                    for i in range(len(padded) - 2):
-                        three[padded[i : i + 3]] += c
-            seen.clear()
-
+        three: dict[int, int] = {}
         for batch in batches:
-            for text in batch.column(0):
-                seen.update((text.as_py() or "").lower().split())
-                if len(seen) > 200_000:
-                    take()
-        take()
+            for lo in range(0, batch.num_rows, 128):
+                text = " ".join(t.lower() for t in batch.column(0).slice(lo, 128).to_pylist() if t)
+                for k, c in zip(*(x.tolist() for x in trigram_counts(text))):
+                    three[k] = three.get(k, 0) + c
         if three:
-            yield pa.RecordBatch.from_pydict({"t": list(three.keys()), "c": list(three.values())})
+            keys = ["".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0)) for k in three]
+            yield pa.RecordBatch.from_pydict({"t": keys, "c": list(three.values())})
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "t string, c long").groupBy("t").agg(F.sum("c").alias("c"))
     return {r.t: r.c for r in at_most(written(found, "trigrams"), "c", TRIGRAMS).collect() if len(r.t) == 3}
@@ -292,12 +320,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], Scorer]:
     trigrams = character_counts(docs)
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(remainder(3) != 1)
-    rows = written(texts.join(known, "doc_id"), "labelled")
+    rows = written(texts.join(known.hint("merge"), "doc_id"), "labelled")  # both sides may be of any size
     last = remainder(4) == 1
     weights = learn_weights(rows.filter(~last), trigrams)
     scorer = Scorer(weights, np.array([-3.0, 1.0, 0.3, 0.3]))
-    sample = rows.filter(last).orderBy(F.xxhash64("doc_id")).limit(CALIBRATION)
-    got = sample.repartition(8).select("text", "toxic").mapInArrow(lambda b: _evidence(b, trigrams, scorer), "a double, b double, c double, y int").toArrow()
+    sample = at_most(rows.filter(last).withColumn("z", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))), "z", CALIBRATION)
+    got = sample.select("text", "toxic").mapInArrow(lambda b: _evidence(b, trigrams, scorer), "a double, b double, c double, y int").toArrow()
     if got.num_rows:
         x = np.stack([got.column(c).to_numpy() for c in "abc"], axis=1)
         scorer.beta = calibrate(x, got.column("y").to_numpy().astype(float))
@@ -305,9 +333,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], Scorer]:
 
 
 def _evidence(batches, trigrams, scorer):
-    restorer = Restorer(trigrams)
+    telling = Telling(Restorer(trigrams), scorer)
     for batch in batches:
-        x = np.array([scorer.evidence(restorer.words(t.as_py())) for t in batch.column(0)], float).reshape(-1, 3)
+        x = np.array([telling.evidence(t.as_py()) for t in batch.column(0)], float).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(3)), batch.column(1).cast(pa.int32())], ["a", "b", "c", "y"])
 
 
@@ -321,13 +349,29 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
     trigrams, scorer = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(trigrams)
+        telling = Telling(Restorer(trigrams), scorer)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                x = [scorer.evidence(restorer.words(t.as_py())) for t in part.column(2)]
+                x = [telling.evidence(t.as_py()) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scorer.score(np.array(x)))], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(3) == 1).alias("held_out"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``; cases as in :func:`score_toxicity`."""
+    trigrams, scorer = fit(docs, labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        telling = Telling(Restorer(trigrams), scorer)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                x = [telling.evidence(t.as_py()) for t in part.column(at)]
+                yield part.filter(pa.array(scorer.score(np.array(x)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

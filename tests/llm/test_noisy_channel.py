@@ -95,3 +95,22 @@ def test_without_labels_or_rows(spark):
     d = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     assert {r.predicted for r in N.score_toxicity(d, none).collect()} == {0}
     assert N.score_toxicity(d.limit(0), none).count() == 0
+
+
+def test_character_counts_in_one_pass():
+    from collections import Counter
+
+    text = "the  Boats, é. x-ray 12ab"
+    want = Counter()
+    for w in ["the", "boats", "é", "x", "ray", "ab"]:
+        want.update(f"  {w} "[i : i + 3] for i in range(len(w) + 1))
+    keys, counts = N.trigram_counts(text.lower())
+    got = {"".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0)): c for k, c in zip(keys.tolist(), counts.tolist())}
+    assert got == dict(want)
+
+
+def test_evidence_by_token_is_that_of_the_words():
+    r = N.Restorer(trained())
+    s = N.Scorer({"idiot": 3.0, "stup~": 2.0, "worthless": 1.0, "a": 0.5}, np.zeros(4))
+    for t in ["", None, "you 1d10t and i d i o t", "a b c", "Stupid stuuupid worthless idiot", "x"]:
+        assert N.Telling(N.Restorer(trained()), s).evidence(t) == s.evidence(r.words(t))
