@@ -64,4 +64,12 @@ LABELLED: list[tuple[str, tuple[str, ...]]] = [
     ),
     ("<body><article><p>One.</p><p>Two words.</p><p>The page ends in the middle of the article, as pages that were cut off do.", ("One.", "Two words.", "The page ends")),
     ("<article><h1>Alone</h1><p>Nothing stands around it.</p></article>", ("Alone", "Nothing stands")),
+    (
+        "<body><div><p>Subscribers of the evening edition receive the crossword, the tide tables and a letter from the editor with each number of the paper that we print.</p>"
+        "<p>Delivery to the islands takes a day longer in winter, for which we ask the patience of all our readers on the outer coast and beyond it.</p></div>"
+        "<article><h1>Ferries</h1><p>The new ferry carries forty cars and makes the crossing in half the time of the old one, which will be sold in the spring.</p></article>"
+        "<div><p>Letters to the paper should be signed, and may be shortened by the editors where space is wanting, without asking the writer again.</p>"
+        "<p>The paper is printed by the same family since its founding, on a press that may be seen by visitors on the first day of each month.</p></div></body>",
+        ("Ferries", "The new ferry"),
+    ),
 ]

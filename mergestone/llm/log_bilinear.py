@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergestone.llm.shared import dropped, written
+from mergestone.llm.shared import at_most, written
 from mergestone.llm.simhash import words
 
 END = b""  # no word is empty, so this stands for the end token
@@ -230,7 +230,7 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, shape: Shape) -> Lexicon:
-    top = counts.orderBy(F.desc("c"), "word").limit(shape.table).collect()
+    top = sorted(at_most(counts, "c", shape.table).collect(), key=lambda r: (-r.c, bytes(r.word)))
     total = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     k = (F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")) % shape.classes).cast("int").alias("k")
     head = {bytes(r.word) for r in top[: shape.head]}
@@ -340,7 +340,7 @@ def score_documents(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:  # no
     kind = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<struct<h: long, n: int, k: int>>"
     scored = written(rows.mapInArrow(run, kind), "scored")
     rare = scored.select("row", F.inline("rare"))
-    cut = counts.filter(F.col("c") <= int(lex.counts[-1])) if len(lex.counts) == shape.table else counts
+    cut = counts.filter(F.col("c") < int(lex.counts[-1])) if len(lex.counts) else counts  # the table holds all others
     cut = cut.select(F.xxhash64("word").alias("h"), "c").groupBy("h").agg(F.max("c").alias("c"))
     sums = scored.sparkSession.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(lex.class_n, lex.class_v))], "k int, kn long, kv long")
     rare = rare.join(cut, "h", "left").join(F.broadcast(sums), "k")  # one row a class
