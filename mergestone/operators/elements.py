@@ -99,7 +99,7 @@ def priced_items(elements: DataFrame, price: str = r"\$\s*(\d+(?:\.\d{1,2})?)")
 
 def labelled_items(elements: DataFrame, labels: dict[str, str], boundary: Column, parent: Column) -> DataFrame:
     """EXT2, EXT3, UDF5: items of sections that hold a label; the boundary and labels are the configuration of a source."""
-    label = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[F.lower(F.rtrim(F.lit(":"), "text"))]
+    label = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[F.lower(F.rtrim("text", F.lit(":")))]
     rows = sections(elements, boundary)
     w = Window.partitionBy("page_id", "section").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("category", F.last(F.when(F.col("tag") != "li", label), ignorenulls=True).over(w)).withColumn("parent", F.first(F.when(boundary, parent), ignorenulls=True).over(w))

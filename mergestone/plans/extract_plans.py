@@ -15,7 +15,7 @@ def pages(spark, sf_dir):
 
 def menus(spark, sf_dir):
     """Each page with a menu, images and labels made from its own words."""
-    p = pages(spark, sf_dir).select("page_id", F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1).alias("title"))
+    p = pages(spark, sf_dir).select("page_id", F.regexp_replace(F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1), "&[a-z]+;", "+").alias("title"))
     k = F.col("page_id")
     html = F.concat(
         F.lit("<h3>"), F.when(F.col("title") == "", "Untitled").otherwise(F.substring("title", 1, 60)), F.lit("</h3><p>Food:</p><ul><li>Dish "), k, F.lit(" - $"), (k % 9 + 1).cast("string"), F.lit(".50</li><li>Soup $3 / large $5.25</li></ul><p>Beverages</p><ul><li>Ale</li><li>Ale</li></ul>"
@@ -30,8 +30,8 @@ def ext1_priced_items(spark, sf_dir):
     return E.priced_items(E.tokenised(menus(spark, sf_dir))).select("page_id", "name", F.col("price").cast("string").alias("price"))
 
 
-@query("""SELECT page_id, category, count(*) AS n, max(parent) AS parent FROM (SELECT page_id, 'food' AS category, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS parent FROM (SELECT page_id, CASE WHEN regexp_extract(html, '<h1>([^<]*)</h1>', 1) = '' THEN 'Untitled' ELSE regexp_extract(html, '<h1>([^<]*)</h1>', 1)[1:60] END AS t FROM pages), generate_series(1, 2)
-UNION ALL SELECT page_id, 'beverage', trim(regexp_replace(t, '\\s+', ' ', 'g')) FROM (SELECT page_id, CASE WHEN regexp_extract(html, '<h1>([^<]*)</h1>', 1) = '' THEN 'Untitled' ELSE regexp_extract(html, '<h1>([^<]*)</h1>', 1)[1:60] END AS t FROM pages), generate_series(1, 2)) GROUP BY ALL""")
+@query("""SELECT page_id, category, count(*) AS n, max(parent) AS parent FROM (SELECT page_id, 'food' AS category, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS parent FROM (SELECT page_id, CASE WHEN regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&[a-z]+;', '+', 'g') = '' THEN 'Untitled' ELSE regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&[a-z]+;', '+', 'g')[1:60] END AS t FROM pages), generate_series(1, 2)
+UNION ALL SELECT page_id, 'beverage', trim(regexp_replace(t, '\\s+', ' ', 'g')) FROM (SELECT page_id, CASE WHEN regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&[a-z]+;', '+', 'g') = '' THEN 'Untitled' ELSE regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&[a-z]+;', '+', 'g')[1:60] END AS t FROM pages), generate_series(1, 2)) GROUP BY ALL""")
 def ext2_labelled_sections(spark, sf_dir):
     """EXT2, EXT9, UDF5"""
     e = E.tokenised(menus(spark, sf_dir))

@@ -19,10 +19,10 @@ def filtered(spark, sf_dir, brand="", text="", low=None, high=None):
     return L.optional_filter(p, brand=(brand, F.col("p_brand") == brand, False), text=(text, L.contains("p_name", text), False), low=(low, F.col("p_retailprice") >= low, True), high=(high, F.col("p_retailprice") <= high, True))
 
 
-@query("""SELECT p_partkey, p_name, p_brand, (SELECT count(*) FROM part WHERE p_name ILIKE '%a_e%' AND p_retailprice >= 0 AND p_retailprice <= 1500) AS total FROM part WHERE p_name ILIKE '%a_e%' AND p_retailprice >= 0 AND p_retailprice <= 1500 ORDER BY p_name, p_partkey LIMIT 50 OFFSET 50""")
+@query("""SELECT p_partkey, p_name, p_brand, (SELECT count(*) FROM part WHERE p_name ILIKE '%a_e%' AND p_retailprice >= 0 AND p_retailprice <= 1500) AS total FROM part WHERE p_name ILIKE '%a_e%' AND p_retailprice >= 0 AND p_retailprice <= 1500 ORDER BY p_name, p_partkey LIMIT 10 OFFSET 10""")
 def fil1_filtered_page(spark, sf_dir):
     rows = filtered(spark, sf_dir, brand="", text="a_e", low=0, high=1500).select("p_partkey", "p_name", "p_brand")
-    return L.page(rows, ["p_name", "p_partkey"], 2, 50)  # a page is the feature
+    return L.page(rows, ["p_name", "p_partkey"], 2, 10)  # a page is the feature
 
 
 @query("""SELECT s_name, n_name, r_name, count(*) AS lines, sum(CAST(l_quantity AS BIGINT)) AS units FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE l_shipdate >= DATE '1995-01-01' GROUP BY ALL""")
@@ -134,7 +134,8 @@ def srt6_nearest_place(spark, sf_dir):
     """SRT6, MAT3: the nearest of a bounded list of places, found inside each row, so that no pairs are made."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 180 - 90.0).cast("double").alias("lat"), (F.col("c_custkey") * 7 % 360 - 180.0).cast("double").alias("lon"))
     places = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 1").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("sid"), (F.col("s_suppkey") * 3 % 180 - 90.0).cast("double").alias("lat2"), (F.col("s_suppkey") * 11 % 360 - 180.0).cast("double").alias("lon2")))).scalar()
-    near = F.array_min(F.transform(places, lambda p: F.struct(F.round(L.haversine(F.col("lat"), F.col("lon"), p["lat2"], p["lon2"]), 0).alias("d"), p["sid"].alias("sid"))))
+    c = c.withColumn("places", places)
+    near = F.array_min(F.transform("places", lambda p: F.struct(F.round(L.haversine(F.col("lat"), F.col("lon"), p["lat2"], p["lon2"]), 0).alias("d"), p["sid"].alias("sid"))))
     return c.select("id", near["sid"].alias("nearest"))
 
 
@@ -181,13 +182,12 @@ def set2_set_operations(spark, sf_dir):
     return n("both", s.intersect(t)).unionByName(n("either", t.union(c).distinct())).unionByName(n("only", s.subtract(t)))
 
 
-@query("""SELECT p_partkey, len(list_filter(string_split(p_name, ' '), x -> NOT list_contains(string_split(m, ' '), x))) = 0 AS inside, list_sort(string_split(p_name, ' ')) = list_sort(string_split(m, ' ')) AS same FROM part, (SELECT max(p_name) AS m FROM part)""")
+@query("""SELECT p_partkey, len(list_filter(string_split(p_name, ' '), lambda x: NOT list_contains(string_split(m, ' '), x))) = 0 AS inside, list_sort(string_split(p_name, ' ')) = list_sort(string_split(m, ' ')) AS same FROM part, (SELECT max(p_name) AS m FROM part)""")
 def set5_word_sets(spark, sf_dir):
     """SET5, SET6"""
     p = table(spark, sf_dir, "part")
-    m = F.split(p.agg(F.max("p_name").alias("m")).scalar(), " ")
-    w = F.split("p_name", " ")
-    return p.select("p_partkey", (F.size(F.array_except(w, m)) == 0).alias("inside"), (F.array_sort(w) == F.array_sort(m)).alias("same"))
+    m, w = F.split("m", " "), F.split("p_name", " ")
+    return p.withColumn("m", p.agg(F.max("p_name").alias("m")).scalar()).select("p_partkey", (F.size(F.array_except(w, m)) == 0).alias("inside"), (F.array_sort(w) == F.array_sort(m)).alias("same"))
 
 
 @query(r"""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS host FROM pages), s AS (SELECT host, min(page_id) AS source FROM h WHERE page_id % 3 = 0 GROUP BY 1) SELECT page_id, host, source FROM h LEFT JOIN s USING (host)""")

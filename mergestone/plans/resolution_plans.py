@@ -11,8 +11,8 @@ from mergestone.plans.registry import query, table
 
 #: Longest common subsequence of all ordered pairs of distinct keys, by the rows of the usual table, in SQL.
 LCS = """n AS (SELECT DISTINCT array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS k FROM part),
-d AS (SELECT x.k AS a, y.k AS b, 0 AS i, list_transform(generate_series(0, length(y.k)), z -> 0) AS row FROM n x, n y
-UNION ALL SELECT a, b, i + 1, list_reduce(list_prepend([0], list_transform(generate_series(1, length(b)), j -> [j])), (acc, z) -> list_append(acc, CASE WHEN a[i + 1] = b[z[1]] THEN row[z[1]] + 1 ELSE greatest(row[z[1] + 1], acc[len(acc)]) END)) FROM d WHERE i < length(a)),
+d AS (SELECT x.k AS a, y.k AS b, 0 AS i, list_transform(generate_series(0, length(y.k)), lambda z: 0) AS row FROM n x, n y
+UNION ALL SELECT a, b, i + 1, list_reduce(list_prepend([0], list_transform(generate_series(1, length(b)), lambda j: [j])), lambda acc, z: list_append(acc, CASE WHEN a[i + 1] = b[z[1]] THEN row[z[1]] + 1 ELSE greatest(row[z[1] + 1], acc[len(acc)]) END)) FROM d WHERE i < length(a)),
 s AS (SELECT a, b, round(200.0 * row[len(row)] / (length(a) + length(b)), 6) AS score FROM d WHERE i = length(a))"""
 
 

@@ -35,12 +35,12 @@ NOT_ALC = says((), C.any_of(V.NOT_ALCOHOLIC_WORDS))
 TAG_SQL = ", ".join(f"CASE WHEN {says(*r)}{' AND NOT ' + NOT_ALC if c == 'contains_alcohol' else ''} THEN '{c}' END" for c, r in C.TAGS.items())
 
 
-@query(f"WITH {SQL}, t AS (SELECT id, {PLAIN} AS t FROM m) SELECT id, array_to_string(list_filter([{TAG_SQL}], x -> x IS NOT NULL), ',') AS tags FROM t")
+@query(f"WITH {SQL}, t AS (SELECT id, {PLAIN} AS t FROM m) SELECT id, array_to_string(list_filter([{TAG_SQL}], lambda x: x IS NOT NULL), ',') AS tags FROM t")
 def cls1_dietary_tags(spark, sf_dir):
     return menu(spark, sf_dir).select("id", F.array_join(C.dietary_tags(F.col("line")), ",").alias("tags"))
 
 
-@query(f"WITH {SQL}, t AS (SELECT id, {PLAIN} AS t FROM m) SELECT id, array_to_string(list_filter([{', '.join(f'CASE WHEN {says(*r)} THEN {chr(39)}{c}{chr(39)} END' for c, r in C.FLAVOURS.items())}], x -> x IS NOT NULL), ',') AS tags FROM t")
+@query(f"WITH {SQL}, t AS (SELECT id, {PLAIN} AS t FROM m) SELECT id, array_to_string(list_filter([{', '.join(f'CASE WHEN {says(*r)} THEN {chr(39)}{c}{chr(39)} END' for c, r in C.FLAVOURS.items())}], lambda x: x IS NOT NULL), ',') AS tags FROM t")
 def cls2_flavour_tags(spark, sf_dir):
     return menu(spark, sf_dir).select("id", F.array_join(C.flavour_tags(F.col("line")), ",").alias("tags"))
 
@@ -78,7 +78,7 @@ def str4_text_scalars(spark, sf_dir):
     return menu(spark, sf_dir).select("id", T.slugify(x).alias("slug"), T.clean_text(x).alias("clean"), T.strip_opening(x).alias("opened"), T.strip_year(x).alias("no_year"), T.strip_new_marker(x).alias("no_marker"))
 
 
-@query(f"""WITH {SQL}, p AS (SELECT id, line, list_transform(regexp_extract_all(line, '\\$\\s*(\\d+(?:\\.\\d{{1,2}})?)', 1), x -> CAST(x AS DECIMAL(8,2))) AS ps FROM m) SELECT id, CAST(len(ps) AS INT) AS n, CAST(list_min(ps) AS VARCHAR) AS low, CAST(ps[1] AS VARCHAR) AS first FROM p""")
+@query(f"""WITH {SQL}, p AS (SELECT id, line, list_transform(regexp_extract_all(line, '\\$\\s*(\\d+(?:\\.\\d{{1,2}})?)', 1), lambda x: CAST(x AS DECIMAL(8,2))) AS ps FROM m) SELECT id, CAST(len(ps) AS INT) AS n, CAST(list_min(ps) AS VARCHAR) AS low, CAST(ps[1] AS VARCHAR) AS first FROM p""")
 def mat1_prices(spark, sf_dir):
     """MAT1, AGG15"""
     ps = F.transform(F.regexp_extract_all("line", F.lit(r"\$\s*(\d+(?:\.\d{1,2})?)"), F.lit(1)), lambda x: x.cast("decimal(8,2)"))
@@ -145,7 +145,7 @@ def arr1_word_arrays(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(w)).cast("long").alias("n_words"), F.array_contains(w, "the").alias("has_the"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, translate(lower(coalesce(text, '')), '{C.ACCENTS[0]}', '{C.ACCENTS[1]}') AS t FROM documents) SELECT doc_id, array_to_string(list_filter([{TAG_SQL}], x -> x IS NOT NULL), ',') AS tags FROM t""")
+@query(f"""WITH t AS (SELECT doc_id, translate(lower(coalesce(text, '')), '{C.ACCENTS[0]}', '{C.ACCENTS[1]}') AS t FROM documents) SELECT doc_id, array_to_string(list_filter([{TAG_SQL}], lambda x: x IS NOT NULL), ',') AS tags FROM t""")
 def cls1_dietary_tags_of_documents(spark, sf_dir):
     """CLS1 over long, mostly negative texts."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(C.dietary_tags(F.col("text")), ",").alias("tags"))

@@ -152,26 +152,26 @@ def src9_insert_or_update(spark, sf_dir):
 
 # ------------------------------------------------------------------------------------------------------------ metrics
 
-MONTHS = """m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS at, count(*) // 8 AS items, count(DISTINCT o_custkey) // 50 AS booths, count(*) FILTER (o_orderstatus = 'F') // 20 AS priced FROM orders GROUP BY 1)"""
+MONTHS = """m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) // 8 AS items, count(DISTINCT o_custkey) // 50 AS booths, count(*) FILTER (o_orderstatus = 'F') // 20 AS priced FROM orders GROUP BY 1)"""
 
 
 def history(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("at")).agg(F.expr("count(*) div 8").alias("items"), F.expr("count(distinct o_custkey) div 50").alias("booths"), F.expr("count_if(o_orderstatus = 'F') div 20").alias("priced"))
+    return o.groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).agg(F.expr("count(*) div 8").alias("items"), F.expr("count(distinct o_custkey) div 50").alias("booths"), F.expr("count_if(o_orderstatus = 'F') div 20").alias("priced"))
 
 
-@query(f"""WITH {MONTHS}, l AS (SELECT *, lead(items) OVER w = items AND lead(booths) OVER w = booths AND lead(priced) OVER w = priced AS repeated FROM m WINDOW w AS (ORDER BY at)) SELECT at, items, booths, priced FROM l WHERE repeated IS NOT TRUE""")
+@query(f"""WITH {MONTHS}, l AS (SELECT *, (lead(items) OVER w) = items AND (lead(booths) OVER w) = booths AND (lead(priced) OVER w) = priced AS repeated FROM m WINDOW w AS (ORDER BY month)) SELECT month, items, booths, priced FROM l WHERE repeated IS NOT TRUE""")
 def agg9_history_without_repeats(spark, sf_dir):
-    w = Window.orderBy("at")  # one row a month
+    w = Window.orderBy("month")  # one row a month
     same = F.lead(F.struct("items", "booths", "priced")).over(w).eqNullSafe(F.struct("items", "booths", "priced"))
     return history(spark, sf_dir).withColumn("same", same).filter("not same").drop("same")
 
 
-@query(f"""WITH {MONTHS}, u AS (UNPIVOT m ON items, booths, priced INTO NAME metric VALUE v), d AS (SELECT at, metric, v AS current, lag(v) OVER (PARTITION BY metric ORDER BY at) AS previous FROM u)
-SELECT at, metric, current, previous, current - previous AS delta, CASE WHEN previous IS NULL OR current = previous THEN 'same' WHEN current > previous THEN 'gain' ELSE 'loss' END AS verdict FROM d""")
+@query(f"""WITH {MONTHS}, u AS (SELECT month, 'items' AS metric, items AS v FROM m UNION ALL SELECT month, 'booths', booths FROM m UNION ALL SELECT month, 'priced', priced FROM m), d AS (SELECT month, metric, v AS current, lag(v) OVER (PARTITION BY metric ORDER BY month) AS previous FROM u)
+SELECT month, metric, current, previous, current - previous AS delta, CASE WHEN previous IS NULL OR current = previous THEN 'same' WHEN current > previous THEN 'gain' ELSE 'loss' END AS verdict FROM d""")
 def agg10_metric_diff(spark, sf_dir):
-    u = history(spark, sf_dir).unpivot("at", ["items", "booths", "priced"], "metric", "current")
-    p = F.lag("current").over(Window.partitionBy("metric").orderBy("at"))
+    u = history(spark, sf_dir).unpivot("month", ["items", "booths", "priced"], "metric", "current")
+    p = F.lag("current").over(Window.partitionBy("metric").orderBy("month"))
     d = u.withColumn("previous", p).withColumn("delta", F.col("current") - F.col("previous"))
     return d.withColumn("verdict", F.when(F.coalesce("delta", F.lit(0)) == 0, "same").when(F.col("delta") > 0, "gain").otherwise("loss"))
 
@@ -211,7 +211,7 @@ def stm5_sessions(spark, sf_dir):
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("longest"))
 
 
-@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events), w AS (SELECT day + i AS until, user_id FROM d, generate_series(0, 6) t(i)) SELECT until, count(DISTINCT user_id) AS weekly FROM w GROUP BY 1""")
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events), w AS (SELECT day + CAST(i AS INT) AS until, user_id FROM d, generate_series(0, 6) t(i)) SELECT until, count(DISTINCT user_id) AS weekly FROM w GROUP BY 1""")
 def stm6_weekly_actives(spark, sf_dir):
     d = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "user_id").distinct()
     return d.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.date_add(F.col("day"), i))).alias("until"), "user_id").groupBy("until").agg(F.count_distinct("user_id").alias("weekly"))
