@@ -146,3 +146,14 @@ def json_ld(pages: DataFrame) -> DataFrame:
     lists = v.filter(F.schema_of_variant("v").startswith("ARRAY"))
     each = lists.select("page_id", F.explode(F.variant_get("v", "$", "array<variant>")).alias("v"))
     return v.filter(~F.schema_of_variant("v").startswith("ARRAY")).select("page_id", "v").unionByName(each).select("page_id", F.to_json("v").alias("value"))
+
+
+def guide_photos(elements: DataFrame, stop: str = "(?i)kids") -> DataFrame:
+    """EXT8: images with a description, each under the next heading that ends in "Menu"; nothing from the first heading that
+    matches ``stop`` on. A leading badge and the word Menu are taken off."""
+    is_heading = F.col("tag").rlike("^h[1-6]$")
+    end = F.min(F.when(is_heading & F.col("text").rlike(stop), F.col("pos"))).over(Window.partitionBy("page_id"))
+    rows = elements.withColumn("end", end).filter(F.col("end").isNull() | (F.col("pos") < F.col("end")))
+    rows = carried(rows, F.when(is_heading & F.col("text").rlike(r"Menu\s*$"), F.col("text")), "menu", back=True)
+    name = F.trim(F.regexp_replace(F.regexp_replace("menu", r"^NEW!?\s*", ""), r"\s*Menu\s*$", ""))
+    return rows.filter("tag = 'img' and alt is not null and alt <> '' and menu is not null").select("page_id", "pos", "src", "alt", name.alias("parent"), F.trim(F.regexp_extract("alt", "^([^:]*)", 1)).alias("head"))
