@@ -92,3 +92,44 @@ def ext7_overview_records(spark, sf_dir):
     text = F.concat(F.lit("open from August 27 to November 21, 2026 at "), "url")
     d = lambda g: F.try_to_date(F.concat_ws(" ", F.regexp_extract(text, r"from (\w+ \d+) to (\w+ \d+), (\d{4})", g), F.regexp_extract(text, r", (\d{4})", 1)), "MMMM d yyyy")
     return pages(spark, sf_dir).select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("site"), d(1).alias("start"), d(2).alias("until"))
+
+
+def boundaries(spark, sf_dir):
+    """Each page with two parents in boundary paragraphs."""
+    k = F.col("page_id")
+    html = F.concat(F.lit("<p class='boundary'>Mill "), k % 5, F.lit("</p><p>Food:</p><ul><li>Bread</li><li>Soup "), k, F.lit("</li></ul><p class='boundary'>Well</p><p>no label</p><ul><li>Stone</li></ul><p class='boundary'>Inn</p><p>Beverages:</p><ul><li>Ale</li></ul>"))
+    return pages(spark, sf_dir).select("page_id", html.alias("html"))
+
+
+def boundary_items(pages_df):
+    edge = (F.col("tag") == "p") & F.coalesce(F.col("class") == "boundary", F.lit(False))
+    return E.labelled_items(E.tokenised(pages_df), {"food": "food", "beverages": "beverage"}, edge, F.col("text"))
+
+
+@query("SELECT page_id, 'Mill ' || page_id % 5 AS parent, 'food' AS category, n AS name FROM pages, LATERAL (VALUES ('Bread'), ('Soup ' || page_id)) t(n) UNION ALL SELECT page_id, 'Inn', 'beverage', 'Ale' FROM pages")
+def ext3_boundary_sections(spark, sf_dir):
+    """EXT3, UDF5: a section without a label gives no items."""
+    return boundary_items(boundaries(spark, sf_dir)).select("page_id", "parent", "category", "name")
+
+
+@query("SELECT page_id, 'a' || page_id % 7 AS parent, 'The dish' AS name, '/a' || page_id % 7 || '.jpg' AS image FROM pages WHERE page_id % 3 <> 0")
+def ext6_caption_records(spark, sf_dir):
+    """EXT6, AGG4: captions become attach-only records of the parent that most image names of a page vote for; without one, none."""
+    k = F.col("page_id")
+    m = menus(spark, sf_dir).withColumn("html", F.when(k % 3 == 0, F.concat("html", F.lit("<img src='/b.jpg'><figcaption>Other</figcaption>"))).otherwise(F.concat("html", F.lit("<img src='/x/a"), k % 7, F.lit(".png'>"))))
+    e = E.tokenised(m)
+    votes = e.filter("tag = 'img' and src not like '%tiny%'").select("page_id", F.regexp_extract("src", r"([a-z]\d*)\.[a-z]+$", 1).alias("name"))
+    won = E.majority(votes, least=3, share=0.7).select("page_id", F.col("name").alias("parent"))
+    c = E.captioned_images(e, r"(?i)\blogo\b").select("page_id", F.col("caption").alias("name"), F.col("src").alias("image"))
+    return c.join(won, "page_id").select("page_id", "parent", "name", "image")
+
+
+@query("SELECT page_id, n AS old_name, m AS new_name FROM pages, LATERAL (VALUES ('Bread$2', 'Bread'), ('Soup ' || page_id || '$2', 'Soup ' || page_id), ('Ale$2', 'Ale')) t(n, m)")
+def ext10_reparse(spark, sf_dir):
+    """EXT10, JOI13: stored pages are extracted anew, and each new record takes the link of the old one at its place."""
+    from mergestone.operators.versions import positional_pairs
+
+    new = boundary_items(boundaries(spark, sf_dir)).withColumn("kind", F.lit("menu_item"))
+    old = new.withColumn("name", F.concat("name", F.lit("$2")))  # what the earlier parse had left on
+    pick = lambda df: df.select(F.col("page_id").alias("page"), "kind", F.struct("pos", "name").alias("record"))
+    return positional_pairs(pick(old), pick(new)).select(F.col("page").alias("page_id"), F.col("old_record.name").alias("old_name"), F.col("new_record.name").alias("new_name"))

@@ -28,6 +28,7 @@ WINNER = "row_number() OVER (PARTITION BY entity, field ORDER BY rank, observed_
 
 @query(f"WITH {OBS} SELECT entity, field, value, ref, source, CAST(rank AS INT) AS rank, n FROM (SELECT *, count(*) OVER (PARTITION BY entity, field) AS n, {WINNER} AS k FROM obs) WHERE k = 1")
 def fus3_priority_fusion(spark, sf_dir):
+    """FUS3, WIN5"""
     return U.fused(observations(spark, sf_dir), U.by_priority()).withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -77,6 +78,7 @@ u AS (SELECT entity, field, string_agg(member, ',' ORDER BY first) AS v FROM m G
 c AS (SELECT entity, field, flag FROM (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY observed_at DESC, ref) AS k FROM obs WHERE rank = 0) WHERE k = 1)
 SELECT entity, field, coalesce(c.flag, u.v) AS value, c.flag IS NOT NULL AS is_curated FROM u LEFT JOIN c USING (entity, field)""")
 def fus4_union_with_curated_replacement(spark, sf_dir):
+    """FUS4, AGG12"""
     o = observations(spark, sf_dir).withColumn("value", F.array("flag"))
     return U.union_fused(o).withColumn("value", F.array_join("value", ","))
 
@@ -120,6 +122,7 @@ def conflicts(spark, sf_dir):
 arg_min(value, rank * 100000000000 + value) FILTER (abs(value - m) <= 0.2 * abs(m)) AS best FROM c JOIN m USING (id) GROUP BY id)
 SELECT id, n, agree, CASE WHEN n >= 2 AND agree > n - agree AND n > agree THEN best END AS proposal, CASE WHEN n >= 2 AND agree > n - agree AND n > agree THEN CAST(0.9 AS DOUBLE) END AS confidence FROM g""")
 def tri1_numeric_outliers(spark, sf_dir):
+    """TRI1, AGG14"""
     return T.numeric_outliers(conflicts(spark, sf_dir))
 
 
@@ -146,6 +149,7 @@ def tri3_score_band(spark, sf_dir):
 b AS (SELECT a.id, a.parent, CAST(a.score AS DOUBLE) AS score, CAST(a.score - coalesce(c.score, 0) AS DOUBLE) AS gap FROM t a LEFT JOIN t c ON c.id = a.id AND c.k = 2 WHERE a.k = 1)
 SELECT id, score, gap, CASE WHEN score >= 75 AND gap >= 15 THEN parent END AS parent, CASE WHEN score >= 75 AND gap >= 15 THEN round(least(0.5 + (score - 75) / 50, 0.8), 6) END AS confidence FROM b""")
 def tri4_parent_reference(spark, sf_dir):
+    """TRI4, WIN8"""
     s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("parent")).agg(F.max((F.col("l_quantity") * 2).cast("int")).cast("double").alias("score"))
     return T.parent_reference(s).withColumn("confidence", F.round("confidence", 6))
 
@@ -153,6 +157,7 @@ def tri4_parent_reference(spark, sf_dir):
 @query("""SELECT status, kind, count(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'field_value' WHEN 1 THEN 'ambiguous_match' ELSE 'missing_parent' END AS kind,
 CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 11 >= 9 THEN 'resolved' WHEN o_orderkey % 11 >= 4 THEN 'suggested' ELSE 'open' END AS status FROM orders) GROUP BY ALL""")
 def tri5_dispatch(spark, sf_dir):
+    """TRI5, CLS7"""
     from mergestone.functions.classify import conflict_kind
 
     k = F.col("o_orderkey")

@@ -21,6 +21,7 @@ def filtered(spark, sf_dir, brand="", text="", low=None, high=None):
 
 @query("""SELECT p_partkey, p_name, p_brand, (SELECT count(*) FROM part WHERE p_name ILIKE '%a_e%' AND p_retailprice >= 0 AND p_retailprice <= 1500) AS total FROM part WHERE p_name ILIKE '%a_e%' AND p_retailprice >= 0 AND p_retailprice <= 1500 ORDER BY p_name, p_partkey LIMIT 10 OFFSET 10""")
 def fil1_filtered_page(spark, sf_dir):
+    """FIL1, FIL2, FIL3, AGG1, SRT1"""
     rows = filtered(spark, sf_dir, brand="", text="a_e", low=0, high=1500).select("p_partkey", "p_name", "p_brand")
     return L.page(rows, ["p_name", "p_partkey"], 2, 10)  # a page is the feature
 
@@ -47,7 +48,7 @@ SEARCH = "SELECT * FROM (SELECT 'part' AS kind, p_partkey AS id, p_name AS name
 
 @query(f"SELECT kind, id, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS k FROM ({SEARCH})) WHERE k <= 25")
 def set1_search(spark, sf_dir):
-    """SET1, SRT2: one search over four kinds, 25 of each."""
+    """SRT5. SET1, SRT2: one search over four kinds, 25 of each."""
     t = lambda kind, name, id_, label: table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(id_).cast("long").alias("id"), F.col(label).alias("name"))
     every = t("part", "part", "p_partkey", "p_name").unionByName(t("supplier", "supplier", "s_suppkey", "s_name")).unionByName(t("customer", "customer", "c_custkey", "c_name")).unionByName(t("nation", "nation", "n_nationkey", "n_name"))
     return L.top_each(every.filter(L.contains("name", "r")), "kind", ["id"], 25).drop("place")

@@ -57,3 +57,22 @@ def ext8_guide_photos(spark, sf_dir):
     k = F.col("page_id")
     html = F.concat(F.lit('<img src="/a" alt="Pie '), k, F.lit(': with cream"><img src="/z"><h3>Fife and Drum Menu</h3><img src="/b" alt="Cake"><h4>NEW! Holiday Kitchen Menu</h4><h3>For Kids</h3><img src="/c" alt="Toy"><h3>Last Menu</h3>'))
     return E.guide_photos(E.tokenised(table(spark, sf_dir, "pages").select("page_id", html.alias("html")))).select("page_id", "parent", "head")
+
+
+@query("SELECT p_partkey AS record, b.entity AS parent FROM part JOIN (SELECT p_brand, min(p_partkey) AS entity FROM part GROUP BY 1) b USING (p_brand) WHERE p_size % 2 = 0")
+def er3_parent_resolution(spark, sf_dir):
+    """ER3: a child's parent name is matched over the parents of its season, and only sure matches count."""
+    p = table(spark, sf_dir, "part")
+    parents = p.groupBy(F.col("p_brand").alias("ekey")).agg(F.min("p_partkey").alias("entity")).select("entity", F.lit("2026").alias("block"), "ekey", F.lit(True).alias("is_active"))
+    kids = p.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("record"), F.lit("2026").alias("block"), F.col("p_brand").alias("key"))
+    return R.matched(kids, parents, least=90).filter("outcome = 'auto_merge'").select("record", F.col("entity").alias("parent"))
+
+
+@query("""WITH p AS (SELECT p_brand, max(p_partkey) AS stamp FROM part WHERE p_size > 5 GROUP BY 1) SELECT (SELECT count(*) FROM p) AS parents, count(*) AS items, max(p_partkey) AS data_updated_at FROM part WHERE p_size > 5""")
+def pub1_snapshot(spark, sf_dir):
+    """PUB1, FIL5, JOI3, AGG6: parents with nested live children, and what the snapshot says of itself."""
+    from mergestone.operators.lists import nested
+
+    live = table(spark, sf_dir, "part").filter("p_size > 5").withColumnRenamed("p_brand", "parent")
+    n = nested(live.select("parent").distinct(), live, "parent", ["p_partkey", "p_name"])
+    return n.agg(F.count("*").alias("parents"), F.sum(F.size("items")).alias("items"), F.max(F.array_max(F.transform("items", lambda x: x["p_partkey"]))).alias("data_updated_at"))

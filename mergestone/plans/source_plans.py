@@ -104,3 +104,26 @@ def win14_stale_stamps(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     same = F.coalesce(F.lag("payload").over(w) == F.col("payload"), F.lit(False))
     return o.select(F.col("o_custkey").alias("url"), "day", F.when(~same, F.col("day")).alias("fresh"), "o_orderkey")
+
+
+@query("SELECT s_name AS name, CASE WHEN s_acctbal > 0 THEN CAST(s_suppkey AS VARCHAR) END AS latitude, s_acctbal > 0 AS has_latitude, true AS has_opens_at FROM supplier WHERE s_suppkey % 4 <> 0")
+def src2_curated_parents(spark, sf_dir):
+    """SRC2: one file a nation; an absent field, a null and a value are told apart."""
+    out = shared_folder(spark, "curated")
+    s = table(spark, sf_dir, "supplier")
+    row = F.struct(F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit(" "), "s_name")).otherwise(" ").alias("name"), F.when(F.col("s_acctbal") > 0, F.col("s_suppkey")).alias("latitude"), F.lit("x").alias("other"))
+    text = F.regexp_replace(F.to_json(F.struct(F.collect_list(row).alias("booths"))), r'"other":"x"', '"opens_at":null,"other":"x"')
+    s.groupBy("s_nationkey").agg(text.alias("value")).repartition("s_nationkey").select("value").write.option("maxRecordsPerFile", 1).text(out)
+    got = S.overlay_parents(spark, out, ["latitude"], ["opens_at"])
+    return got.select("name", F.try_element_at("payload", F.lit("latitude")).alias("latitude"), F.map_contains_key("payload", "latitude").alias("has_latitude"), F.map_contains_key("payload", "opens_at").alias("has_opens_at"))
+
+
+@query("SELECT p_brand AS booth_name, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'r' || p_partkey END AS rename_to, p_partkey % 10 <> 0 AS kept FROM part WHERE p_partkey % 7 <> 0")
+def src3_curated_children(spark, sf_dir):
+    """SRC3: rows and rejects of curated children."""
+    out = shared_folder(spark, "curated")
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    row = F.struct(F.col("p_brand").alias("booth_name"), F.when(k % 7 != 0, F.col("p_name")).alias("name"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("r"), k)).alias("rename_to"), F.when(k % 10 == 0, "iron").otherwise("food").alias("category"))
+    p.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(row).alias("menu_items"))).alias("value")).repartition("p_brand").select("value").write.option("maxRecordsPerFile", 1).text(out)
+    rows, rejects = S.overlay_children(spark, out, ["food"])
+    return rows.withColumn("kept", F.lit(True)).unionByName(rejects.withColumn("kept", F.lit(False))).select("booth_name", "name", "rename_to", "kept")

@@ -26,11 +26,13 @@ def live(spark, sf_dir):
 
 @query(f"WITH {VERSIONS} SELECT url, CAST(version AS BIGINT) AS version, hash, first_seen, last_seen_unchanged, version_id, n_fetches, superseded_by, superseded_by IS NULL AS is_live FROM v")
 def win2_version_chain(spark, sf_dir):
+    """WIN2, WIN3, WIN4"""
     return V.versions(fetches(spark, sf_dir))
 
 
 @query(f"WITH {VERSIONS} SELECT url, hash, version_id FROM v WHERE superseded_by IS NULL")
 def win1_live_versions(spark, sf_dir):
+    """WIN1, FIL6"""
     return live(spark, sf_dir).select("url", "hash", "version_id")
 
 
@@ -78,6 +80,7 @@ def judged(spark, sf_dir, k):
 
 @query(f"WITH {SUPPORT.format(k=8)} SELECT DISTINCT entity FROM s")
 def lif1_support_set(spark, sf_dir):
+    """LIF1, JOI4, JOI5"""
     pages = live(spark, sf_dir).select(F.col("version_id").alias("page"))
     links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("page"), F.col("l_suppkey").alias("source"))
     return L.supported(links, pages, table(spark, sf_dir, "supplier").filter("s_suppkey % 8 = 0").select(F.col("s_suppkey").alias("source")))
@@ -85,6 +88,7 @@ def lif1_support_set(spark, sf_dir):
 
 @query(f"WITH {SUPPORT.format(k=8)} SELECT *, {CHANGE} AS change FROM j")
 def lif4_retire_and_reactivate(spark, sf_dir):
+    """LIF2, LIF4"""
     return judged(spark, sf_dir, 8)
 
 
@@ -116,6 +120,7 @@ def guard(spark, sf_dir, k):
 
 @query(GUARD.format(k=24))
 def grd2_loss_guard_passes(spark, sf_dir):
+    """GRD2, JOI16"""
     return guard(spark, sf_dir, 24)
 
 
@@ -135,6 +140,7 @@ def grd1_inventory_problems(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def joi6_not_yet_held(spark, sf_dir):
+    """JOI6, JOI7, UPS5"""
     return L.unheld(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
