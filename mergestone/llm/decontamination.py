@@ -2,8 +2,8 @@
 
 Items are grouped by size class c (the largest step of :data:`SIZES` not above their word count). The first and the last c
 words of an item each get a 64-bit SimHash of their word pairs, and so does every window of c words at every position of every
-text, from running sums of the bits, so a window costs the same whatever its size. A fingerprint within ``radius`` = 11 of an
-item's differs in at most two bits in one of four 16-bit blocks; a table for each block marks all values within two bits of
+text, from running sums of the bits, so a window costs the same whatever its size. A fingerprint within ``radius`` = 7 of an
+item's differs in at most one bit in one of four 16-bit blocks; a table for each block marks all values within one bit of
 an item's, so no fingerprint within the radius is lost. Windows that pass are compared in full, and where the distance is
 within the radius the aligned stretch of the item's length is compared exactly: weighted Jaccard similarity of word
 shingles, a shingle weighing one over the number of items that hold it.
@@ -44,7 +44,7 @@ def shingle_weights(h: np.ndarray, n: int) -> Counter:
 
 
 class Items:
-    def __init__(self, items: list[tuple[int, str]], n: int = 5, least: float = 0.8, radius: int = 11):
+    def __init__(self, items: list[tuple[int, str]], n: int = 5, least: float = 0.8, radius: int = 7):
         self.n, self.least, self.radius = n, least, radius
         self.words = WordHashes()
         self.items = [(i, h) for i, t in items if len(h := self.words.of(t))]
@@ -140,7 +140,7 @@ class Items:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = 11, bound: int = 16_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = 7, bound: int = 16_000_000) -> DataFrame:
     """One row (doc_id, item_id, similarity, first_word, n_windows) for each document and item that it holds.
 
     Null or empty texts and items hold and match nothing; items of fewer than ``n`` words have one shingle. Items with equal
@@ -166,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = 11, bound: int = 16_000_000) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = 7, bound: int = 16_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item; cases as in :func:`contaminated`."""
     at = docs.columns.index("text")
     for held in slices_of(benchmark, bound):

@@ -51,7 +51,7 @@ def test_no_fingerprint_within_the_radius_is_lost():
     want = set()
     for c, (prints, who, _) in index.classes.items():
         f = np.array([index.prints(h[i : i + c], c)[0] for i in range(len(h) - c + 1)], np.uint64)
-        for a, b in zip(*np.nonzero(np.bitwise_count(f[:, None] ^ prints[None]) <= 11)):
+        for a, b in zip(*np.nonzero(np.bitwise_count(f[:, None] ^ prints[None]) <= 7)):
             want.add((who[b][0], int(a) - who[b][1], int(np.bitwise_count(f[a] ^ prints[b]))))
     assert got == want and {k for k, _, _ in got} >= {1, 2}
 
