@@ -88,20 +88,33 @@ class Scanner:
         return window
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(licence, containment, first word, words) of every stated notice; of overlapping ones of a licence the best."""
-        h = self.words.of(text)
-        shingles = runs(h, SHINGLE)
-        found = []
+        return self.scan_all([text])[0]
+
+    def scan_all(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
+        """For each text (licence, containment, first word, words) of every stated notice; of overlapping ones of a licence the
+        best. The texts' shingles are looked through end to end; a window over two texts is verified in each by itself."""
+        hashes = [self.words.of(t) for t in texts]
+        each = [runs(h, SHINGLE) for h in hashes]
+        start = np.r_[0, np.cumsum([len(x) for x in each])]
+        shingles = np.concatenate(each) if each else np.zeros(0, np.uint64)
+        found: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
         for t, lo, hi in self.retrieved(shingles):
-            part = shingles[lo:hi]
-            here = np.flatnonzero(np.isin(part, self.sets[t]))
-            for first in here:  # a stretch of the template's length that begins with one of its shingles
-                own = here[(here >= first) & (here < first + self.lengths[t])]
-                share = len(np.unique(part[own])) / len(self.sets[t])
-                if share >= self.least:
-                    found.append((self.names[t], share, lo + int(first), int(own[-1] - first) + min(SHINGLE, len(h))))
+            d = int(np.searchsorted(start, lo, "right")) - 1
+            while d < len(texts) and start[d] < hi:
+                a, b = max(lo, int(start[d])), min(hi, int(start[d + 1]))
+                part = shingles[a:b]
+                here = np.flatnonzero(np.isin(part, self.sets[t]))
+                for first in here:  # a stretch of the template's length that begins with one of its shingles
+                    own = here[(here >= first) & (here < first + self.lengths[t])]
+                    share = len(np.unique(part[own])) / len(self.sets[t])
+                    if share >= self.least:
+                        found[d].append((self.names[t], share, a - int(start[d]) + int(first), int(own[-1] - first) + min(SHINGLE, len(hashes[d]))))
+                d += 1
+        return [self.apart(f) for f in found]
+
+    def apart(self, found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
         out: list[tuple[str, float, int, int]] = []
-        for x in sorted(found, key=lambda f: (f[0], -f[1], -f[3], f[2])):
+        for x in sorted(set(found), key=lambda f: (f[0], -f[1], -f[3], f[2])):
             if not any(y[0] == x[0] and x[2] < y[2] + y[3] and y[2] < x[2] + x[3] for y in out):
                 out.append(x)
         return sorted(out, key=lambda f: (f[2], f[0]))
@@ -117,9 +130,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, least=least)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                rows = [(d, *m) for d, t in zip(part.column(0).to_pylist(), part.column(1)) for m in scanner.scan(t.as_py())]
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                rows = [(d, *m) for d, found in zip(part.column(0).to_pylist(), scanner.scan_all(part.column(1).to_pylist())) for m in found]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "license", "containment", "first_word", "n_words"])

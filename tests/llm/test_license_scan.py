@@ -43,6 +43,12 @@ def test_changed_notices_and_clean_texts():
     assert scanner.scan(" ".join(filler(rng, 5000)) + " licensed under the sun of version 2.0") == []
 
 
+def test_texts_together_are_as_texts_alone():
+    rng, scanner = np.random.default_rng(2), L.Scanner(TEMPLATES)
+    texts = [None, ""] + [" ".join([*filler(rng, rng.integers(0, 20)), *(n for ns in TEMPLATES.values() for n in ns if rng.random() < 0.1), *filler(rng, rng.integers(0, 20))]) for _ in range(60)]
+    assert scanner.scan_all(texts) == [scanner.scan(t) for t in texts]
+
+
 def test_scan(spark):
     rows = [(1, "a b. Released under the MIT License.\nMore.", "x"), (1, "a b. Released under the MIT License.\nMore.", "x"), (2, None, "x"), (3, "", "y"), (None, "Licensed under CC BY-NC 4.0.", "z"), (4, "x " * 60000 + "Licensed under the Apache License, Version 2.0. " * 2, "z"), (5, "nothing here", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, license string").repartition(2)
