@@ -157,9 +157,9 @@ def unpacked(lanes: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=-1, bitorder="little")[..., :n].astype(bool)
 
 
-def spanning(f: np.ndarray, bits: int, radius: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def spanning(f: np.ndarray, bits: int, radius: int, side: np.ndarray | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect all rows of ``f`` connected by distances within the radius; with ``side`` (0 or 1), only
-    distances between the two sides count.
+    distances between the two sides count, and with ``known`` rows of equal numbers are of one group from the start.
 
     Rows are taken in batches and compared with the rows not taken yet. Once many rows of one group wait to be taken,
     they are compared only with rows outside that group, so a dense group costs about its size, not its square.
@@ -167,6 +167,9 @@ def spanning(f: np.ndarray, bits: int, radius: int, side: np.ndarray | None = No
     n, two = len(f), side is not None
     side = np.zeros(n, np.int8) if side is None else side
     group, done, waiting = np.arange(n), np.zeros(n, bool), np.zeros(n, bool)
+    if known is not None:
+        group = np.unique(known, return_inverse=True)[1]
+        waiting[:] = np.bincount(group)[group] > 1
     found: list[tuple[int, int]] = []
     sliced: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     full = np.uint64(2**64 - 1)
@@ -209,28 +212,36 @@ def spanning(f: np.ndarray, bits: int, radius: int, side: np.ndarray | None = No
         done[taken] = True
 
 
-def small_links(f: np.ndarray, bucket: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links inside small buckets. ``bucket``: ascending bucket numbers. Lanes are the pairs of all the buckets."""
+def small_links(f: np.ndarray, bucket: np.ndarray, bits: int, radius: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All links inside small buckets, but for rows ``known`` to be of one group. ``bucket``: ascending bucket numbers. Lanes
+    are the pairs of many buckets together, of a bounded number of pairs at a time."""
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     size = np.diff(np.r_[start, len(bucket)])
-    place = np.arange(len(bucket)) - np.repeat(start, size)  # each row meets those before it in its bucket
-    right = np.repeat(np.arange(len(bucket)), place)
-    left = np.arange(len(right)) - np.repeat(np.cumsum(place) - place, place) + np.repeat(np.repeat(start, size), place)
-    out_l, out_r = [], []
-    for lo in range(0, len(right), 1 << 17):
-        a, b = left[lo : lo + (1 << 17)], right[lo : lo + (1 << 17)]
-        hit = np.arange(len(a))
+    pairs = np.cumsum(size * (size - 1) // 2)
+    out_l, out_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(pairs, (pairs[lo - 1] if lo else 0) + (1 << 17))))
+        rows = np.arange(start[lo], start[hi - 1] + size[hi - 1])
+        first = np.repeat(start[lo:hi], size[lo:hi])
+        place = rows - first  # each row meets those before it in its bucket
+        right = np.repeat(rows, place)
+        left = np.arange(len(right)) - np.repeat(np.cumsum(place) - place, place) + np.repeat(first, place)
+        lo = hi
+        if known is not None:
+            new = known[left] != known[right]
+            left, right = left[new], right[new]
         for k in range(0, bits, 64):  # the first words of most pairs already exceed the radius
-            lanes = within(planes(f[a[hit], k // 64 : k // 64 + 1], 64), planes(f[b[hit], k // 64 : k // 64 + 1], 64), radius)
-            hit = hit[unpacked(lanes, len(hit))]
-            if not len(hit):
-                break
-        if bits > 64 and len(hit):
-            hit = hit[unpacked(within(planes(f[a[hit]], bits), planes(f[b[hit]], bits), radius), len(hit))]
-        out_l.append(a[hit])
-        out_r.append(b[hit])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_l]), np.concatenate([none, *out_r])
+            if len(left):
+                word = slice(k // 64, k // 64 + 1)
+                near = unpacked(within(planes(f[left, word], 64), planes(f[right, word], 64), radius), len(left))
+                left, right = left[near], right[near]
+        if bits > 64 and len(left):
+            near = unpacked(within(planes(f[left], bits), planes(f[right], bits), radius), len(left))
+            left, right = left[near], right[near]
+        out_l.append(left)
+        out_r.append(right)
+    return np.concatenate(out_l), np.concatenate(out_r)
 
 
 # ------------------------------------------------------------------------------------------------------- distribution
@@ -255,7 +266,8 @@ def linked(prints: DataFrame, keys: list[list[int]], bits: int, radius: int, chu
     as many links as connect its groups, never all pairs.
 
     Spark deals rows to buckets by (key, its bits). Buckets above ``chunk`` rows are counted first, by an aggregation
-    that combines before its shuffle, and split by a hash of the id: each pair of chunks is one group.
+    that combines before its shuffle, and split by a hash of the id: each pair of chunks is one group. Rows may carry a
+    ``label``: rows of equal labels are known to be of one group, and no links between them are returned.
     """
     m = bits // 64
     cols = [f"f{k}" for k in range(m)]
@@ -276,6 +288,9 @@ def linked(prints: DataFrame, keys: list[list[int]], bits: int, radius: int, chu
     numbered = [F.shiftleft(value(key), 6).bitwiseOR(F.lit(i % 64).cast("long")) for i, key in enumerate(keys)]
     if len(keys) > 64:
         raise ValueError("more than 64 keys")
+    labelled = "label" in prints.columns
+    if labelled:
+        cols.append("label")
     dealt = prints.select("id", *cols, F.explode(F.array(*numbered)).alias("bucket"))
     hot = written(dealt.groupBy("bucket").count().filter(F.col("count") > chunk).select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("parts")), "hot")
     if hot.isEmpty():
@@ -292,18 +307,19 @@ def linked(prints: DataFrame, keys: list[list[int]], bits: int, radius: int, chu
             lists = batch.column("rows")
             flat = lists.flatten()
             f = np.stack([flat.field(2 + k).to_numpy(zero_copy_only=False) for k in range(m)], axis=1).view(np.uint64)
+            label = flat.field(2 + m).to_numpy(zero_copy_only=False) if labelled else None
             ids, side = flat.field(1).to_numpy(zero_copy_only=False), flat.field(0).to_numpy(zero_copy_only=False)
             size = np.diff(lists.offsets.to_numpy())
             two = (batch.column("i").to_numpy() != batch.column("j").to_numpy())
             number = np.repeat(np.arange(len(size)), size)
             small = (size <= 128) & ~two
             rows = np.flatnonzero(small[number])
-            a, b = small_links(f[rows], number[rows], bits, radius) if len(rows) else (np.zeros(0, int), np.zeros(0, int))
+            a, b = small_links(f[rows], number[rows], bits, radius, label[rows] if labelled else None) if len(rows) else (np.zeros(0, int), np.zeros(0, int))
             left, right = [ids[rows[a]]], [ids[rows[b]]]
             start = np.r_[0, np.cumsum(size)]
             for g in np.flatnonzero(~small):
                 own = slice(start[g], start[g + 1])
-                got = spanning(f[own], bits, radius, side[own] if two[g] else None)
+                got = spanning(f[own], bits, radius, side[own] if two[g] else None, label[own] if labelled else None)
                 if got:
                     pair = np.array(got)
                     left.append(ids[own][pair[:, 0]])
@@ -408,8 +424,13 @@ def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     prints = written(rows.mapInArrow(digest, "doc_id long, " + ", ".join(f"{c} long" for c in cols) + ", content binary, size long"), "prints")
     nodes = written(prints.groupBy("content").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in cols), F.first("size").alias("size")), "nodes")
-    near = linked(nodes.filter("size > 0").select("id", *cols), drawn_keys(bits, width, keys), bits, radius)
-    groups = written(components(near, "candidates").join(nodes.select(F.col("id").alias("node"), "size"), "node"), "groups")
+    draws = drawn_keys(bits, width, keys)
+    filled = nodes.filter("size > 0").select("id", *cols)
+    # the first draws join most of a large group; the others then return links between what is still apart only
+    early = written(components(linked(filled, draws[:4], bits, radius), "early"), "early")
+    labelled = filled.join(early, filled.id == early.node, "left").select("id", *cols, F.coalesce("component", "id").alias("label"))
+    late = linked(labelled, draws[4:], bits, radius).unionByName(early.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    groups = written(components(late, "candidates").join(nodes.select(F.col("id").alias("node"), "size"), "node"), "groups")
     big = groups.groupBy("component").agg(F.ceil(F.sum("size") / weight).alias("parts")).filter("parts > 1")
     placed = groups.join(big, "component", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
     meets = F.expr("transform(sequence(0, cast(coalesce(parts, 1) as int) - 1), x -> struct(least(x, own) AS i, greatest(x, own) AS j, int(own > x) AS side))")

@@ -89,3 +89,15 @@ def test_classes(spark):
 
 def test_empty_table(spark):
     assert S.simhash_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_known_groups_are_kept_and_not_linked_again(n):
+    rng = np.random.default_rng(n)
+    f = noisy(rng, n, 128, 20)
+    known = rng.integers(0, n // 4, n)
+    d = np.bitwise_count(f[:, None, :] ^ f[None, :, :]).sum(-1) <= 30
+    want = joined(n, [*zip(*np.nonzero(d)), *((i, j) for i in range(n) for j in range(i) if known[i] == known[j])])
+    for pairs in (S.spanning(f, 128, 30, None, known), list(zip(*S.small_links(f, np.zeros(n, int), 128, 30, known)))):
+        assert all(known[i] != known[j] for i, j in pairs)
+        assert (joined(n, [*pairs, *((i, j) for i in range(n) for j in range(i) if known[i] == known[j])]) == want).all()
