@@ -2,11 +2,13 @@
 
 Items are grouped by size class c (the largest step of :data:`SIZES` not above their word count). The first and the last c
 words of an item each get a 64-bit SimHash of their word pairs, and so does every window of c words at every position of every
-text, from running sums of the bits, so a window costs the same whatever its size. A fingerprint within ``radius`` = 7 of an
-item's differs in at most one bit in one of four 16-bit blocks; a table for each block marks all values within one bit of
-an item's, so no fingerprint within the radius is lost. Windows that pass are compared in full, and where the distance is
-within the radius the aligned stretch of the item's length is compared exactly: weighted Jaccard similarity of word
-shingles, a shingle weighing one over the number of items that hold it.
+text, from running sums of the bits, so a window costs the same whatever its size; a text of fewer than c words is one window.
+A table for each 16-bit block tells the fewest bits in which a value differs from an item's: the sum over the four blocks is
+never above the distance to the nearest item, so no fingerprint within :data:`RADIUS` is lost. Windows that pass are compared
+in full, and where the distance is within the radius the aligned stretch of the item's length is compared exactly: weighted
+Jaccard similarity of word shingles, a shingle weighing one over the number of items that hold it.
+
+Similarity needs a shingle in common, so only texts and stretches that hold some shingle of an item are compared at all.
 
 Items are held by every task up to ``bound`` characters of them; a larger benchmark is taken in that many slices, each a pass.
 """
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,11 @@ from mergestone.llm.word_hashes import WordHashes, mixed, runs
 
 SIZES = tuple(sorted({*range(1, 8), *(int(8 * 1.35**k) for k in range(30))}))
 STEP = 8192
+#: Differing bits up to which windows are compared exactly.
+RADIUS = 17
+#: Items' windows that share block tables, and tables that a class has at most.
+SHARE, MOST = 32, 8
+LOW = np.uint64((1 << 20) - 1)
 
 
 def pair_bits(h: np.ndarray, c: int) -> np.ndarray:
@@ -39,22 +45,35 @@ def window_prints(total: np.ndarray, n: int) -> np.ndarray:
     return np.packbits((total[n:] - total[:-n]) > n // 2, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def block_tables(f: np.ndarray) -> np.ndarray:
+    """(4, 65536) fewest bits in which a block of that value differs from the same block of a fingerprint of ``f``."""
+    out = np.full((4, 1 << 16), 16, np.uint8)
+    out[np.arange(4), f.view("<u2").reshape(-1, 4)] = 0
+    for b in range(16):  # one bit after another may be flipped or not
+        pair = out.reshape(4, -1, 2, 1 << b)
+        np.minimum(pair, pair[:, :, ::-1] + np.uint8(1), out=pair)
+    return out
+
+
 def shingle_weights(h: np.ndarray, n: int) -> Counter:
     return Counter(runs(h, n).tolist())
 
 
 class Items:
-    def __init__(self, items: list[tuple[int, str]], n: int = 5, least: float = 0.8, radius: int = 7):
+    def __init__(self, items: list[tuple[int, str]], n: int = 5, least: float = 0.8, radius: int = RADIUS):
         self.n, self.least, self.radius = n, least, radius
         self.words = WordHashes()
         self.items = [(i, h) for i, t in items if len(h := self.words.of(t))]
         self.shingles = [shingle_weights(h, n) for _, h in self.items]
         held = Counter(s for c in self.shingles for s in c)
         self.weight = {s: 1 / k for s, k in held.items()}
-        flips = [0, *(1 << b for b in range(16)), *((1 << a) | (1 << b) for a, b in combinations(range(16), 2))]
-        flips = [f for f in flips if f.bit_count() <= radius // 4]
-        #: class -> fingerprints, (item, words from its start to the window), one table a block
-        self.classes: dict[int, tuple[np.ndarray, list[tuple[int, int]], np.ndarray]] = {}
+        #: lengths of shingles in words, their hashes, and a table of the low bits of those
+        self.lengths = sorted({min(n, len(h)) for _, h in self.items})
+        self.known = np.array(sorted(self.weight), np.uint64)
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[self.known & LOW] = True
+        #: class -> fingerprints, (item, words from its start to the window), (number of the first, tables) of each share
+        self.classes: dict[int, tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, np.ndarray]]]] = {}
         by: dict[int, list[tuple[np.uint64, int, int]]] = {}
         for k, (_, h) in enumerate(self.items):
             c = max(s for s in SIZES if s <= len(h))
@@ -62,10 +81,8 @@ class Items:
                 by.setdefault(c, []).append((self.prints(h[at : at + c], c)[0], k, at))
         for c, members in by.items():
             f = np.array([m[0] for m in members], np.uint64)
-            tables = np.zeros((4, 1 << 16), bool)
-            for block in range(4):
-                for v in flips:
-                    tables[block, (f.view("<u2").reshape(-1, 4)[:, block]) ^ np.uint16(v)] = True
+            share = max(SHARE, -(-len(f) // MOST))
+            tables = [(k, block_tables(f[k : k + share])) for k in range(0, len(f), share)]
             self.classes[c] = f, [(m[1], m[2]) for m in members], tables
 
     def prints(self, h: np.ndarray, c: int) -> np.ndarray:
@@ -74,17 +91,19 @@ class Items:
         np.cumsum(bits, axis=0, dtype=np.int16, out=total[1:])
         return window_prints(total, max(1, c - 1))
 
-    def candidates(self, h: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word of the aligned stretch, distance) of all windows within the radius."""
+    def candidates(self, h: np.ndarray, radius: int = 7) -> list[tuple[int, int, int]]:
+        """(item, first word of the aligned stretch, distance) of all windows within ``radius``."""
         out = []
         widest = max(self.classes, default=0)
         for lo in range(0, len(h), STEP):
             part = h[lo : lo + STEP + widest - 1]
             total = None
             for c, (prints, who, tables) in self.classes.items():
-                if len(part) < c:
+                if len(h) < c:
+                    f = self.prints(h, len(h))
+                elif len(part) < c:
                     continue
-                if c == 1:
+                elif c == 1:
                     f = self.prints(part, 1)
                 else:
                     if total is None:
@@ -94,13 +113,29 @@ class Items:
                     f = window_prints(total, c - 1)
                 f = f[:STEP]
                 block = f.view("<u2").reshape(-1, 4)
-                some = np.flatnonzero(tables[0][block[:, 0]] | tables[1][block[:, 1]] | tables[2][block[:, 2]] | tables[3][block[:, 3]])
-                far = np.bitwise_count(f[some, None] ^ prints[None, :])
-                for a, b in zip(*np.nonzero(far <= self.radius)):
-                    item, at = who[b]
-                    out.append((item, lo + int(some[a]) - at, int(far[a, b])))
+                share = tables[1][0] if len(tables) > 1 else len(prints)
+                for first, (t0, t1, t2, t3) in tables:
+                    least = t0[block[:, 0]] + t1[block[:, 1]] + t2[block[:, 2]] + t3[block[:, 3]]
+                    some, own = np.flatnonzero(least <= radius), prints[first : first + share]
+                    rows = max(1, (1 << 20) // len(own))
+                    for k in range(0, len(some), rows):
+                        far = np.bitwise_count(f[some[k : k + rows], None] ^ own[None, :])
+                        for a, b in zip(*np.nonzero(far <= radius)):
+                            item, at = who[first + b]
+                            out.append((item, lo + int(some[k + a]) - at, int(far[a, b])))
         return out
 
+    def holding(self, h: np.ndarray) -> np.ndarray:
+        """Number of shingles of items that begin before each word, and before the end."""
+        out = np.zeros(len(h) + 1, np.int64)
+        for k in self.lengths:
+            if len(h) >= k:
+                r = runs(h, k)
+                some = np.flatnonzero(self.marks[r & LOW])
+                at = np.searchsorted(self.known, r[some])
+                out[some[self.known[np.minimum(at, len(self.known) - 1)] == r[some]] + 1] += 1
+        return np.cumsum(out)
+
     def similarity(self, item: int, h: np.ndarray) -> float:
         own, other = self.shingles[item], shingle_weights(h, self.n)
         both = one = 0.0
@@ -117,10 +152,11 @@ class Items:
         places: dict[int, list[int]] = {}
         known: dict[tuple[int, bytes], float] = {}
         seen = set()
-        for item, first, _ in self.candidates(h) if len(h) else []:
+        begun = self.holding(h)
+        for item, first, _ in self.candidates(h, self.radius) if begun[-1] or self.least <= 0 else []:
             n = len(self.items[item][1])
             lo, hi = max(0, first), min(len(h), first + n)
-            if (item, lo) in seen:
+            if (item, lo) in seen or begun[hi] == begun[lo] and self.least > 0:
                 continue
             seen.add((item, lo))
             key = item, h[lo:hi].tobytes()
@@ -140,7 +176,7 @@ class Items:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = 7, bound: int = 16_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = RADIUS, bound: int = 16_000_000) -> DataFrame:
     """One row (doc_id, item_id, similarity, first_word, n_windows) for each document and item that it holds.
 
     Null or empty texts and items hold and match nothing; items of fewer than ``n`` words have one shingle. Items with equal
@@ -166,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = 7, bound: int = 16_000_000) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = RADIUS, bound: int = 16_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item; cases as in :func:`contaminated`."""
     at = docs.columns.index("text")
     for held in slices_of(benchmark, bound):

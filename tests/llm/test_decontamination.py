@@ -56,6 +56,36 @@ def test_no_fingerprint_within_the_radius_is_lost():
     assert got == want and {k for k, _, _ in got} >= {1, 2}
 
 
+def test_edited_and_truncated_passages_alone():
+    rng = np.random.default_rng(8)
+    lost = total = 0
+    for n, edits, cut in [(26, 1, 0), (48, 1, 0), (50, 1, 0), (88, 2, 0), (95, 2, 0), (160, 3, 0), (14, 0, 2), (19, 0, 3), (26, 0, 3), (35, 0, 5), (48, 0, 8)] * 30:
+        words = [f"w{i}" for i in rng.integers(0, 30000, n)]
+        index = D.Items([(0, " ".join(words))])
+        for k in rng.choice(n, edits, replace=False):
+            words[k] = "other"
+        words = words[cut:] if rng.random() < 0.5 else words[: n - cut]
+        text = " ".join(words if cut else [*filler(rng, 10).split(), *words, *filler(rng, 10).split()])
+        want, got = brute(index, text), {m[0]: m[1] for m in index.matches(text)}
+        assert set(got) <= set(want)
+        lost += len(set(want) - set(got))
+        total += len(want)
+    assert total > 200 and lost <= 0.005 * total
+
+
+def test_windows_within_the_own_radius_are_found():
+    rng = np.random.default_rng(9)
+    text = filler(rng, 2000)
+    index = D.Items([(i, filler(rng, int(n))) for i, n in enumerate(rng.integers(1, 60, 300))])
+    h = index.words.of(text)
+    want = set()
+    for c, (prints, who, _) in index.classes.items():
+        f = index.prints(h, c)
+        for a, b in zip(*np.nonzero(np.bitwise_count(f[:, None] ^ prints[None]) <= index.radius)):
+            want.add((who[b][0], int(a) - who[b][1], int(np.bitwise_count(f[a] ^ prints[b]))))
+    assert set(index.candidates(h, index.radius)) == want and len(want) > 100
+
+
 def test_contaminated(spark):
     rng = np.random.default_rng(0)
     items = made(rng)
