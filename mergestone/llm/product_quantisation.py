@@ -7,7 +7,8 @@ inequality tells which vectors may lie within the wanted distance, and only thes
 
 Coarse centroids and codewords are fitted on at most ``sample`` vectors (a documented bound); every vector is indexed. Exact
 copies are one node with a count, so they are compared once. Spark deals (list, chunk of the list, chunk of its queries) to
-groups; a group returns a count of links for each query and as many links as connect its members, never all pairs.
+groups; a group returns a count of links for each query and as many links as connect its members, never all pairs. Where a
+vector that is found does not visit the query's own list, the pair is counted for it there too, so both ends count it once.
 """
 
 from __future__ import annotations
@@ -119,10 +120,13 @@ def search_group(table: pa.Table, index: Index) -> pa.Table:
     node, copies, asks = (table.column(c).to_numpy() for c in ("node", "copies", "asks"))
     exact, unit = units(x), units(x).astype(np.float32)
     q, db = np.flatnonzero(asks), np.flatnonzero(~asks)
+    lists = table.column("lists").combine_chunks()
+    start, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     out: list[tuple] = []
     if len(q) and len(db):
         codes, error = index.encode(unit[db], which)
-        count, left, right = np.zeros(len(q), np.int64), [], []
+        count, back, left, right = np.zeros(len(q), np.int64), np.zeros(len(db), np.int64), [], []
+        home, visits = flat[start[q]], flat[start[db][:, None] + np.arange(start[db[0] + 1] - start[db[0]])]
         for lo in range(0, len(q), 512):
             a, b = index.candidates(unit[q[lo : lo + 512]], which, codes, error)
             good = []
@@ -133,13 +137,15 @@ def search_group(table: pa.Table, index: Index) -> pa.Table:
                 good = np.concatenate(good)
                 a, b = a[good] + lo, b[good]
                 np.add.at(count, a, copies[db[b]])
+                one_way = ~(visits[b] == home[a][:, None]).any(1)
+                np.add.at(back, b[one_way], copies[q[a[one_way]]])
                 left.append(a)
                 right.append(b)
         a, b = (np.concatenate(z) if left else np.zeros(0, np.int64) for z in (left, right))
         low = linked_groups(len(q) + len(db), a, b + len(q))
         own = np.concatenate([node[q], node[db]])
-        hit = np.flatnonzero(count)
-        out += [(int(node[q[h]]), int(count[h]), None) for h in hit]
+        out += [(int(node[q[h]]), int(count[h]), None) for h in np.flatnonzero(count)]
+        out += [(int(node[db[h]]), int(back[h]), None) for h in np.flatnonzero(back)]
         out += [(int(x), 0, int(y)) for x, y in zip(own, own[low]) if x != y]
     got = list(zip(*out)) if out else [[], [], []]
     return pa.table({"a": pa.array(got[0], pa.int64()), "n": pa.array(got[1], pa.int64()), "b": pa.array(got[2], pa.int64())})
@@ -184,7 +190,8 @@ def embedding_classes(table: DataFrame, s: Settings = Settings()) -> DataFrame:
         db = placed.withColumn("list", F.col("lists")[0]).join(size, "list").withColumn("part", salt(1, "parts")).withColumn("turn", every("turns"))
         ask = placed.withColumn("list", F.explode("lists")).join(size, "list").withColumn("turn", salt(2, "turns")).withColumn("part", every("parts"))
         cols = ["list", "part", "turn", "node", "copies", "embedding"]
-        both = db.select(*cols, F.lit(False).alias("asks")).unionByName(ask.select(*cols, F.lit(True).alias("asks")))
+        # a vector brings the lists it visits, a query only its own
+        both = db.select(*cols, "lists", F.lit(False).alias("asks")).unionByName(ask.select(*cols, F.slice("lists", 1, 1).alias("lists"), F.lit(True).alias("asks")))
         found = both.groupBy("list", "part", "turn").applyInArrow(lambda t: search_group(t, index), "a long, n long, b long")
         found = written(found, "found")
     else:

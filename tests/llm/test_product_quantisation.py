@@ -56,5 +56,29 @@ def test_recall_on_vectors_with_many_lists():
         assert len(index.candidates(u[i : i + 1], lists[3000 + i, 0], codes, error)[0]) == 1
 
 
+def test_both_ends_count_a_pair_found_one_way(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(400, 16))
+    x = np.concatenate([base, base + rng.normal(size=(400, 16)) * 0.4, base[:20] * 2, base[20:30]])
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    s = P.Settings(per_list=8, probes=2, chunk=30, queries=100)
+    distinct = sorted({tuple(v): i for i, v in reversed(rows)}.items(), key=lambda r: r[1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r.n_links for r in P.embedding_classes(df, s).collect()}
+    # the same index, on nodes in the order of the table
+    nodes = spark.createDataFrame([(i, list(v)) for v, i in distinct], "node long, embedding array<double>")
+    order = [r.node for r in nodes.orderBy(P.F.xxhash64("node")).collect()]
+    of = {i: v for v, i in distinct}
+    index = P.Index(P.units(np.array([of[i] for i in order])).astype(np.float32), len(order), s)
+    u = P.units(x)
+    lists = index.probes(u.astype(np.float32))
+    reach = (lists[:, None, :] == lists[None, :, :1]).any(2)
+    same = (x[:, None] == x[None]).all(2)
+    near = (u @ u.T >= s.cosine) & (reach | reach.T | same)
+    np.fill_diagonal(near, False)
+    assert (near & ~reach & ~same).any()
+    assert [got[i] for i in range(len(x))] == near.sum(1).tolist()
+
+
 def test_empty_table(spark):
     assert P.embedding_classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
