@@ -14,6 +14,7 @@ Nulls, empty texts, ties: see :func:`fingerprints` and :func:`simhash_classes`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -394,14 +395,16 @@ def set_links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None
     return found
 
 
-def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, bits: int = 128, radius: int = 32, width: int = 12, keys: int = 32, weight: int = 1_000_000) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, bits: int = 128, radius: int = 38, width: int = 11, keys: int = 64, short: int = 20, weight: int = 1_000_000) -> DataFrame:
     """(doc_id, component_id) for each row with a doc_id: documents link at a Jaccard similarity of their sets of ``n``-word
     shingles of at least ``similarity``; component_id is the smallest doc_id that links reach.
 
     Candidates are fingerprints of ``bits`` bits within ``radius`` that agree on one of ``keys`` draws of ``width`` bits. At a
-    similarity of 0.8 a bit differs with a probability of 0.15, so the expected distance is 19 of 128 with a deviation of 4,
-    and a pair shares a bucket with a probability above 0.99. Groups of candidates are then compared exactly. Documents with
-    equal shingle sets are one node from the start. A group of more than ``weight`` shingles is split into chunks, and each
+    similarity of 0.8 a bit differs with a probability of 0.15, so the expected distance is 19 of 128 with a deviation of 4;
+    over that spread 0.998 of such pairs share a bucket. Fingerprints of few shingles spread more, so pairs of which one set
+    has at most ``short`` shingles are found exactly: in one order of all shingles, two sets that similar share one of the first
+    size - ceil(similarity * size) + 1 of each. Groups of candidates are then compared exactly. Documents with equal shingle
+    sets are one node from the start. A group of more than ``weight`` shingles is split into chunks, and each
     pair of chunks is compared by itself. Texts without words are equal to each other.
     """
     m = bits // 64
@@ -411,25 +414,30 @@ def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8,
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                prints, content, size = [], [], []
+                prints, content, size, first = [], [], [], []
                 for t in part.column(1):
                     raw = sorted(xxhash.xxh128_digest(s, 42) for s in set(shingles(words(t.as_py()), n)))
                     joined = b"".join(raw)
                     prints.append(majority(np.frombuffer(joined, np.uint64).reshape(-1, 2), bits))
                     content.append(xxhash.xxh128_digest(joined, 1))
                     size.append(len(raw))
+                    many = len(raw) - math.ceil(similarity * len(raw) - 1e-9) + 1 if 0 < len(raw) <= short / similarity else 0
+                    first.append(np.frombuffer(b"".join(raw[:many]), np.int64)[::2])
                 f = np.array(prints, np.uint64).reshape(-1, m)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(f[:, k]).view(np.int64)) for k in range(m)), pa.array(content, pa.binary()), pa.array(size, pa.int64())], ["doc_id", *cols, "content", "size"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(f[:, k]).view(np.int64)) for k in range(m)), pa.array(content, pa.binary()), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", *cols, "content", "size", "first"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    prints = written(rows.mapInArrow(digest, "doc_id long, " + ", ".join(f"{c} long" for c in cols) + ", content binary, size long"), "prints")
-    nodes = written(prints.groupBy("content").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in cols), F.first("size").alias("size")), "nodes")
+    prints = written(rows.mapInArrow(digest, "doc_id long, " + ", ".join(f"{c} long" for c in cols) + ", content binary, size long, first array<long>"), "prints")
+    nodes = written(prints.groupBy("content").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in cols), F.first("size").alias("size"), F.first("first").alias("first")), "nodes")
     draws = drawn_keys(bits, width, keys)
     filled = nodes.filter("size > 0").select("id", *cols)
     # the first draws join most of a large group; the others then return links between what is still apart only
     early = written(components(linked(filled, draws[:4], bits, radius), "early"), "early")
     labelled = filled.join(early, filled.id == early.node, "left").select("id", *cols, F.coalesce("component", "id").alias("label"))
     late = linked(labelled, draws[4:], bits, radius).unionByName(early.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    firsts = nodes.select("id", F.explode("first").alias("shingle"))
+    lowest = firsts.groupBy("shingle").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("shingle", "b")
+    late = late.unionByName(firsts.join(lowest, "shingle").filter("id <> b").select(F.col("id").alias("a"), "b"))
     groups = written(components(late, "candidates").join(nodes.select(F.col("id").alias("node"), "size"), "node"), "groups")
     big = groups.groupBy("component").agg(F.ceil(F.sum("size") / weight).alias("parts")).filter("parts > 1")
     placed = groups.join(big, "component", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))

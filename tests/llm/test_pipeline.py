@@ -44,6 +44,26 @@ def test_near_duplicates_equal_brute_force(spark, weight):
     assert got == jaccard_classes(rows)
 
 
+def test_pairs_near_the_bound_equal_brute_force(spark):
+    rng = np.random.default_rng(21)
+    rows, near = [], 0
+    for i in range(900):
+        n = int(rng.choice([8, 9, 12, 24, 49, 104, 184, 404]))
+        w = [f"v{x}" for x in rng.integers(0, 10**6, n)]
+        size = n - 4
+        cut = next(c for c in range(n, -1, -1) if 0.8 <= (size - c) / (size + c) or c == 0)
+        other = [*w[cut:], *(f"v{x}" for x in rng.integers(0, 10**6, cut))] if cut else [*w, "more"]
+        a, b = (set(S.shingles(S.words(" ".join(x)), 5)) for x in (w, other))
+        near += 0.8 <= len(a & b) / len(a | b) <= 0.83
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in S.near_duplicate_classes(df).collect()}
+    assert near > 500 and all(got[2 * i] == 2 * i for i in range(900))
+    short = [i for i in range(900) if len(rows[2 * i][1].split()) <= 24]
+    assert all(got[2 * i + 1] == 2 * i for i in short)
+    assert np.mean([got[2 * i + 1] == 2 * i for i in range(900) if i not in set(short)]) >= 0.99
+
+
 def test_set_links_with_sides():
     rng = np.random.default_rng(1)
     base = [np.unique(rng.integers(0, 5000, 60)) for _ in range(6)]
