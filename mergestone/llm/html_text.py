@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Of an element that isn't closed, or a head that isn't before the body, only the tag is skipped, but for scripts and styles.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|template|svg|noscript|iframe|object|title|head(?=[\s>](?!er)))\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?!head[\s>](?:(?!</head\s*>).)*?<body\b)(script|style|template|svg|noscript|iframe|object|title|head(?=[\s>](?!er)))\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?</\1\s*>"
+    r"|<(?:script|style)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*\Z"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
     re.S | re.I,
 )

@@ -35,6 +35,18 @@ def test_odd_pages():
     assert len(kept(long)) == 20000
 
 
+def test_elements_that_are_not_closed():
+    body = "<article><p>One two three.</p><p>Four five six.</p></article>"
+    head = '<head><meta charset="utf-8"><title>T</title><style>p{}</style><script>var b="<p>no</p>";</script>'
+    want = ["One two three.", "Four five six."]
+    for page in (f"<html>{head}</head><body>{body}</body></html>", f"<html>{head}<body>{body}", f"<html>{head}{body}", f"<html>{head}<body>{body}<p hidden></head></p>"):
+        assert [b[0] for b in H.blocks(page)] == want
+    for tag in ("title", "noscript", "svg", "template", "iframe", "object"):
+        assert [b[0] for b in H.blocks(f"<{tag} class='x'>{body}")] == want
+        assert [b[0] for b in H.blocks(f"<{tag}>no</{tag}>{body}<{tag}>")] == want
+    assert [b[0] for b in H.blocks(f"{body}<style>never closed")] == want
+
+
 def test_extract(spark):
     rows = [(1, "u", HELD_OUT, "x"), (1, "u", HELD_OUT, "x"), (2, None, None, "x"), (None, "v", "", "y"), (3, "w", "<nav><a>only</a></nav>", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
