@@ -28,13 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mergestone.llm import word_table as W
 from mergestone.llm.shared import shared_dir, written
 
 BLOCK = 8192
 HEADER = struct.Struct("<8sIIQQQ")
 MAGIC = b"TOKNIDS1"
 END_ID = 1
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Ids after which a task begins its next shard, so that no shard grows with the table.
+SHARD = 1 << 25
 
 
 def width(vocabulary: int) -> int:
@@ -57,8 +59,10 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(flat, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def _plain(word: str) -> bool:
-    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+def _plain(word: bytes) -> bool:
+    """Letters that the normaliser leaves as they are."""
+    text = word.decode("utf8")
+    return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
 
 @lru_cache(1)
@@ -67,16 +71,24 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+SMALL = np.zeros(256, bool)
+SMALL[97:123] = True
+#: ASCII signs: at the end of a word, after a letter, they are a word of their own to the pre-tokenizer.
+SIGN = np.zeros(256, bool)
+SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
 class WordEncoder:
     """Encodes texts with a word-level BPE of the tokenizers library.
 
     Its pre-tokenizer never joins characters across white space, so the ids of a text are those of its words, and each
-    distinct word needs the library only once. Trailing ASCII punctuation is a word of its own there too.
+    distinct word needs the library only once. Words are looked up many at a time; those that are new are cut into letters and
+    signs behind them, and of these again only new ones are encoded. A text that holds an added token, which the library looks
+    for before it lower-cases anything, goes to the library as a whole.
     """
 
-    TAIL = b".,;:!?*$"
     #: Words remembered at a time; the memory starts anew beyond it, which changes no result.
-    KEEP = 800_000
+    KEEP = 2_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -85,72 +97,86 @@ class WordEncoder:
         # the same vocabulary and merges for words that the normaliser leaves as they are and the pre-tokenizer doesn't cut
         plain = json.loads(self.library.to_str())
         byte_level = next(p for p in plain["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")
+        self.added = [t["content"].encode("utf8") for t in plain["added_tokens"]]
         plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
         self.plain = Tokenizer.from_str(json.dumps(plain))
         self.vocabulary = self.library.get_vocab_size()
         self.ends = np.zeros(self.vocabulary, bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.forget()
+        self.words, self.parts = W.Numbers(), W.Numbers()
+        self.ids, self.part_ids = W.Runs(np.uint32), W.Runs(np.uint32)
 
     def forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, new: list[bytes]) -> None:
-        pieces: dict[bytes, int] = {}  # number of a run of letters, or of a tail
-        odd: dict[bytes, int] = {}
-        made = []
-        for w in new:
-            core = w.rstrip(self.TAIL)
-            if core and (core.isalpha() or _plain(core.decode("utf8"))):
-                tail = w[len(core) :]
-                made.append((pieces.setdefault(core, len(pieces)), pieces.setdefault(tail, len(pieces)) if tail else -1))
-            else:
-                made.append((-2, odd.setdefault(w, len(odd))))
-        ids = [np.zeros(0, np.uint32)]
-        cut = np.zeros(1, np.int64)
-        if pieces:
-            got = np.array(self.plain.encode(b" ".join(pieces).decode("utf8"), add_special_tokens=False).ids, np.uint32)
-            at = np.r_[0, np.flatnonzero(self.ends[got]) + 1]
-            if len(at) == len(pieces) + 1 and at[-1] == len(got):
-                ids, cut = [got], at
-            else:  # a word ended otherwise than it should: each by itself
-                each = [e.ids for e in self.library.encode_batch([p.decode("utf8") for p in pieces], add_special_tokens=False)]
-                ids, cut = [np.array(x, np.uint32) for x in each], np.r_[0, np.cumsum([len(x) for x in each])]
-        each = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([w.decode("utf8") for w in odd], add_special_tokens=False)]
-        flat = np.concatenate([*ids, *each]).astype(np.uint32)
-        cut = np.r_[cut, cut[-1] + np.cumsum([len(x) for x in each], dtype=np.int64)] if each else cut
-        pair = np.array(made, np.int64).reshape(-1, 2)
-        first, second = np.where(pair[:, 0] == -2, pair[:, 1] + len(pieces), pair[:, 0]), np.where(pair[:, 0] == -2, -1, pair[:, 1])
-        which = np.stack([first, second], 1).ravel()
-        owner = np.repeat(np.arange(len(new)), 2)[which >= 0]
-        which = which[which >= 0]
-        n = np.diff(cut)[which]
-        take = np.repeat(cut[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        size = np.bincount(owner, n, len(new)).astype(np.int64)
-        for w in new:
-            self.index[w] = len(self.index)
-        self.start = np.r_[self.start, self.start[-1] + np.cumsum(size)]
-        self.flat = np.r_[self.flat, flat[take]]
-
-    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        split = []
-        for text in texts:
-            raw = (text or "").encode("utf8")
-            split.append((raw if b"<|" in raw else raw.translate(LOWER)).split())
-        if len(self.index) > self.KEEP:
-            self.forget()
-        index = self.index
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in index))
-        if new:
-            self.learn(new)
-        out = []
-        for ws in split:
-            i = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-            lo = self.start[i]
-            n = self.start[i + 1] - lo
-            out.append(self.flat[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        for memory in (self.words, self.parts, self.ids, self.part_ids):
+            memory.clear()
+
+    def learn(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Words that are not known yet, in their order."""
+        stop, some = end.copy(), np.arange(len(end))
+        for _ in range(W.SIDE_BY_SIDE):
+            some = some[SIGN[raw[stop[some] - 1]]]
+            if not len(some):
+                break
+            stop[some] -= 1
+            some = some[stop[some] > begin[some]]
+        odd = np.concatenate([np.zeros(1, np.int64), np.cumsum(~SMALL[raw])])
+        plain = (stop > begin) & (odd[stop] == odd[begin])
+        for i in np.flatnonzero(~plain & (stop > begin)).tolist():
+            plain[i] = _plain(raw[begin[i] : stop[i]].tobytes())
+        stop = np.where(plain, stop, end)  # other words go to the library as they are
+        tail = np.flatnonzero(stop < end)
+        lo, hi = np.concatenate([begin, stop[tail]]), np.concatenate([stop, end[tail]])
+        easy = np.concatenate([plain, np.ones(len(tail), bool)])
+        number, new = self.parts.found(W.keys(raw, lo, hi))
+        if len(new):
+            self.encode_parts([raw[lo[i] : hi[i]].tobytes().decode("utf8") for i in new.tolist()], easy[new])
+        pair = np.full((len(begin), 2), -1, np.int64)
+        pair[:, 0] = number[: len(begin)]
+        pair[tail, 1] = number[len(begin) :]
+        flat = pair.ravel()
+        at = np.flatnonzero(flat >= 0)
+        values, past = self.part_ids.take(flat[at])
+        size = np.bincount(at // 2, np.diff(past, prepend=0), len(begin)).astype(np.int64)
+        self.ids.add(values, size)
+
+    def encode_parts(self, parts: list[str], easy: np.ndarray) -> None:
+        which = np.flatnonzero(easy)
+        got = np.array(self.plain.encode(" ".join([parts[i] for i in which.tolist()]), add_special_tokens=False).ids, np.uint32)
+        size = np.diff(np.flatnonzero(self.ends[got]) + 1, prepend=0)
+        if len(size) != len(which) or size.sum() != len(got):  # a word ended otherwise than it should: each by itself
+            which, got, size = which[:0], got[:0], size[:0]
+        rest = np.setdiff1d(np.arange(len(parts)), which)
+        more = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([parts[i] for i in rest.tolist()], add_special_tokens=False)]
+        made = W.Runs(np.uint32)
+        made.add(got, size)
+        made.add(np.concatenate([got[:0], *more]), np.array([len(m) for m in more], np.int64))
+        place = np.empty(len(parts), np.int64)
+        place[np.concatenate([which, rest])] = np.arange(len(parts))
+        values, end = made.take(place)
+        self.part_ids.add(values, np.diff(end, prepend=0))
+
+    def encode(self, texts: pa.Array | Iterable[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text; a null is an empty text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out: list[np.ndarray] = []
+        for a, b in W.pieces_of(column):
+            raw, start = W.bytes_of(column.slice(a, b - a))
+            whole = raw.tobytes() if any(raw.tobytes().find(t) >= 0 for t in self.added) else b""
+            if len(self.words) > self.KEEP:
+                self.forget()
+            raw = W.LOWER[raw]
+            begin, end, first = W.spans(raw, start)
+            number, new = self.words.found(W.keys(raw, begin, end))
+            if len(new):
+                self.learn(raw, begin[new], end[new])
+            flat, past = self.ids.take(number)
+            ids = np.split(flat, W.ends_of(past, first)[:-1])
+            if whole:
+                for i, (lo, hi) in enumerate(zip(start.tolist(), start[1:].tolist())):
+                    if any(whole.find(t, lo, hi) >= 0 for t in self.added):
+                        ids[i] = np.array(self.library.encode(whole[lo:hi].decode("utf8"), add_special_tokens=False).ids, np.uint32)
+            out += ids
         return out
 
 
@@ -213,11 +239,12 @@ def read_range(f, lo: int, hi: int) -> tuple[list[int | None], np.ndarray, list[
     return [None if x else int(d) for d, x in zip(doc_ids, null)], starts, [ids[a - first * block : b - first * block] for a, b in zip(starts, ends)]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, shard_ids: int = SHARD) -> DataFrame:
     """Encodes whole texts, appends id 1 to each document, and writes shards in ascending doc_id order.
 
-    Returns one row (shard, path, n_docs, n_ids, first) for each shard; first counts the ids of all shards before it.
-    A null text is an empty one; null doc_ids come first; equal doc_ids are ordered by text. An empty table has no shard.
+    Returns one row (shard, path, n_docs, n_ids, first) for each shard; first counts the ids of all shards before it. A task
+    begins another shard after ``shard_ids`` ids. A null text is an empty one; null doc_ids come first; equal doc_ids are
+    ordered by text; a text of any length is encoded as a whole. An empty table has no shard. Extra columns are not read.
     """
     folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -226,28 +253,31 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        shard, attempt = task.partitionId(), task.taskAttemptId()
         to, place = fs.FileSystem.from_uri(folder)
         to.create_dir(place, recursive=True)
-        name, writer = f"{place}/shard-{shard:06d}.tok", None
-        encoder = None
-        out = None
+        encoder, writer, out, name, number = None, None, None, "", 0
+
+        def done() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            to.move(f"{place}/{name}.{task.taskAttemptId()}", f"{place}/{name}")
+            return pa.RecordBatch.from_pydict({"shard": [task.partitionId() << 24 | number], "path": [f"{folder}/{name}"], "n_docs": [len(writer.doc_ids)], "n_ids": [writer.n_ids]})
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                encoder = encoder_of(tokenizer)
-                out = to.open_output_stream(f"{name}.{attempt}")
-                writer = ShardWriter(out, width(encoder.vocabulary))
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                encoder = encoder or encoder_of(tokenizer)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
+                    if writer is not None and writer.n_ids >= shard_ids:
+                        yield done()
+                        writer, number = None, number + 1
+                    if writer is None:
+                        name = f"shard-{task.partitionId():06d}-{number:06d}.tok"
+                        out = to.open_output_stream(f"{place}/{name}.{task.taskAttemptId()}")
+                        writer = ShardWriter(out, width(encoder.vocabulary))
                     writer.add(doc_id, np.append(ids, np.uint32(END_ID)))
         if writer is not None:
-            writer.close()
-            out.close()
-            to.move(f"{name}.{attempt}", name)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.tok"], "n_docs": [len(writer.doc_ids)], "n_ids": [writer.n_ids]})
+            yield done()
 
     shards = written(rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard

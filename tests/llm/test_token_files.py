@@ -5,11 +5,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from mergestone.llm import token_files as T
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY, ENCODER = Tokenizer.from_file(PATH), T.WordEncoder(PATH)
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
@@ -38,6 +41,21 @@ def test_random_access(bits):
 TEXTS = ["Hello World! it's 42 ok...", "", None, "naïve CAFÉ ÉTÉ,,, ß\x1cx\x85y z", "a<|endoftext|>b <|ENDOFTEXT|>", "İstanbul K é.", "the " * 70000, "don't. can't!?", "1a2b $$$ x*** ﬁ", "你好 мир ☃."]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAbBLHelo wWÉéßſK.,'*<|>endoftxsr\n\t\x1c\u0301 12你ﬁİ") | st.characters(codec="utf8"), max_size=60), min_size=1, max_size=4))
+def test_any_texts(texts):
+    texts = [*texts, texts[0] + "<|endoftext|>" + texts[-1], "Hello World <|x", "HELLO <| there", "Hello <|endoftext|>WORLD Foo"]
+    for t, ids in zip(texts, ENCODER.encode(texts)):
+        assert ids.tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
+def test_forgotten_words_are_learnt_again(monkeypatch):
+    encoder = T.WordEncoder(PATH)
+    monkeypatch.setattr(T.WordEncoder, "KEEP", 3)
+    for t in ("some more words, than. it keeps", "it keeps some", "$" * 300 + " a" + "!" * 300):
+        assert encoder.encode([t])[0].tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
 def test_words_encode_as_the_whole_text():
     lib = Tokenizer.from_file(PATH)
     got = T.WordEncoder(PATH).encode(TEXTS)
@@ -45,10 +63,12 @@ def test_words_encode_as_the_whole_text():
         assert ids.tolist() == lib.encode(t or "", add_special_tokens=False).ids, t[:40]
 
 
-def test_write_and_read(spark):
+@pytest.mark.parametrize("shard_ids", [T.SHARD, 10])
+def test_write_and_read(spark, shard_ids):
     rows = [(i * 7 % 31, t, "x", 5) for i, t in enumerate(TEXTS * 3)] + [(None, "no id", None, None), (3, "again", "x", 1), (3, "again", "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, start int").repartition(3)
-    shards = T.write_token_files(df, PATH).persist()
+    shards = T.write_token_files(df, PATH, shard_ids=shard_ids).persist()
+    assert shards.count() > (4 if shard_ids < 1000 else 0)
     got = T.read_token_files(shards, digest=True, run_of=4).collect()
     ids = {(r.doc_id, r.start): r.ids for r in T.read_token_files(shards, run_of=7).collect()}
     assert all(zlib.crc32(np.array(ids[r.doc_id, r.start], "<u4").tobytes()) == r.ids_crc32 for r in got)
