@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergestone.llm.word_hashes import WordHashes, mixed, runs
+from mergestone.llm import word_table as W
+from mergestone.llm.word_hashes import hashes, hashes_of, mixed, runs
 
 SIZES = tuple(sorted({*range(1, 8), *(int(8 * 1.35**k) for k in range(30))}))
 STEP = 8192
@@ -40,6 +41,14 @@ def pair_bits(h: np.ndarray, c: int) -> np.ndarray:
     return np.unpackbits(f.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
+def running(bits: np.ndarray) -> np.ndarray:
+    """Running sums that begin with a row of zeros."""
+    kind = np.int16 if len(bits) < 1 << 15 else np.int32
+    total = np.zeros((len(bits) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=total[1:])
+    return total
+
+
 def window_prints(total: np.ndarray, n: int) -> np.ndarray:
     """SimHash of all windows of ``n`` features, from running sums that begin with a row of zeros."""
     return np.packbits((total[n:] - total[:-n]) > n // 2, axis=1, bitorder="little").view(np.uint64).ravel()
@@ -62,18 +71,20 @@ def shingle_weights(h: np.ndarray, n: int) -> Counter:
 class Items:
     def __init__(self, items: list[tuple[int, str]], n: int = 5, least: float = 0.8, radius: int = RADIUS):
         self.n, self.least, self.radius = n, least, radius
-        self.words = WordHashes()
-        self.items = [(i, h) for i, t in items if len(h := self.words.of(t))]
+        self.items = [(i, h) for i, t in items if len(h := hashes_of(t))]
         self.shingles = [shingle_weights(h, n) for _, h in self.items]
         held = Counter(s for c in self.shingles for s in c)
         self.weight = {s: 1 / k for s, k in held.items()}
         #: lengths of shingles in words, their hashes, and a table of the low bits of those
         self.lengths = sorted({min(n, len(h)) for _, h in self.items})
         self.known = np.array(sorted(self.weight), np.uint64)
+        self.weights = np.array([self.weight[s] for s in self.known.tolist()])
+        #: of each item: its shingles in order, how often it has each, and their weight in sum
+        self.own = [(np.array(sorted(c), np.uint64), np.array([c[s] for s in sorted(c)]), sum(self.weight[s] * k for s, k in c.items())) for c in self.shingles]
         self.marks = np.zeros(1 << 20, bool)
         self.marks[self.known & LOW] = True
         #: class -> fingerprints, (item, words from its start to the window), (number of the first, tables) of each share
-        self.classes: dict[int, tuple[np.ndarray, list[tuple[int, int]], list[tuple[int, np.ndarray]]]] = {}
+        self.classes: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]] = {}
         by: dict[int, list[tuple[np.uint64, int, int]]] = {}
         for k, (_, h) in enumerate(self.items):
             c = max(s for s in SIZES if s <= len(h))
@@ -83,15 +94,13 @@ class Items:
             f = np.array([m[0] for m in members], np.uint64)
             share = max(SHARE, -(-len(f) // MOST))
             tables = [(k, block_tables(f[k : k + share])) for k in range(0, len(f), share)]
-            self.classes[c] = f, [(m[1], m[2]) for m in members], tables
+            self.classes[c] = f, np.array([(m[1], m[2]) for m in members]), tables
 
     def prints(self, h: np.ndarray, c: int) -> np.ndarray:
         bits = pair_bits(h, c)
-        total = np.zeros((len(bits) + 1, 64), np.int16)
-        np.cumsum(bits, axis=0, dtype=np.int16, out=total[1:])
-        return window_prints(total, max(1, c - 1))
+        return window_prints(running(bits), max(1, c - 1))
 
-    def candidates(self, h: np.ndarray, radius: int = 7) -> list[tuple[int, int, int]]:
+    def candidates(self, h: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int, int]]:
         """(item, first word of the aligned stretch, distance) of all windows within ``radius``."""
         out = []
         widest = max(self.classes, default=0)
@@ -107,9 +116,7 @@ class Items:
                     f = self.prints(part, 1)
                 else:
                     if total is None:
-                        bits = pair_bits(part, 2)
-                        total = np.zeros((len(bits) + 1, 64), np.int16)
-                        np.cumsum(bits, axis=0, dtype=np.int16, out=total[1:])
+                        total = running(pair_bits(part, 2))
                     f = window_prints(total, c - 1)
                 f = f[:STEP]
                 block = f.view("<u2").reshape(-1, 4)
@@ -120,18 +127,17 @@ class Items:
                     rows = max(1, (1 << 20) // len(own))
                     for k in range(0, len(some), rows):
                         far = np.bitwise_count(f[some[k : k + rows], None] ^ own[None, :])
-                        for a, b in zip(*np.nonzero(far <= radius)):
-                            item, at = who[first + b]
-                            out.append((item, lo + int(some[k + a]) - at, int(far[a, b])))
+                        a, b = np.nonzero(far <= radius)
+                        out += zip(who[first + b, 0].tolist(), (lo + some[k + a] - who[first + b, 1]).tolist(), far[a, b].tolist())
         return out
 
-    def holding(self, h: np.ndarray) -> np.ndarray:
-        """Number of shingles of items that begin before each word, and before the end."""
-        out = np.zeros(len(h) + 1, np.int64)
+    def holding(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of texts end to end, the number of shingles of items that begin before each word, and before the end."""
+        out, left = np.zeros(len(h) + 1, np.int64), np.repeat(first[1:], np.diff(first)) - np.arange(len(h))
         for k in self.lengths:
             if len(h) >= k:
                 r = runs(h, k)
-                some = np.flatnonzero(self.marks[r & LOW])
+                some = np.flatnonzero(self.marks[r & LOW] & (left[: len(r)] >= k))
                 at = np.searchsorted(self.known, r[some])
                 out[some[self.known[np.minimum(at, len(self.known) - 1)] == r[some]] + 1] += 1
         return np.cumsum(out)
@@ -145,35 +151,73 @@ class Items:
             one += w * max(own[s], other[s])
         return both / one if one else 0.0
 
+    def similarities(self, item: int, h: np.ndarray, a0: int, a1: int) -> np.ndarray:
+        """:meth:`similarity` of the stretches of the item's length that begin at a0, a0 + 1, .. a1, as far as the text reaches.
+
+        A shingle at p counts as shared in the stretches from a on that hold it, but for those that hold it more often before
+        than the item has it: so p adds its weight to a run of values of a, and running sums give all stretches at once."""
+        n = len(self.items[item][1])
+        k = min(self.n, n)
+        m = n - k + 1  # shingles of a stretch
+        p0, p1 = max(0, a0), min(len(h) - k + 1, a1 + m)
+        if p1 <= p0:
+            return np.zeros(a1 - a0 + 1)
+        r, p = runs(h[p0 : p1 + k - 1], k), np.arange(p0, p1)
+        at = np.minimum(np.searchsorted(self.known, r), len(self.known) - 1)
+        w = np.where(self.known[at] == r, self.weights[at], 1.0)
+        values, often, sum_own = self.own[item]
+        at = np.minimum(np.searchsorted(values, r), len(values) - 1)
+        order = np.flatnonzero(values[at] == r)
+        order = order[np.argsort(at[order], kind="stable")]
+        which, place = at[order], np.arange(len(order))
+        back = place - often[which]  # the occurrence that many before
+        same = (back >= 0) & (which[np.maximum(back, 0)] == which)
+        begin = np.maximum(np.where(same, p[order[np.maximum(back, 0)]], -(1 << 60)) + 1, np.maximum(p[order] - m + 1, a0))
+        end = np.minimum(p[order], a1)
+        some = begin <= end
+        change = np.bincount(begin[some] - a0, w[order[some]], a1 - a0 + 2) - np.bincount(end[some] + 1 - a0, w[order[some]], a1 - a0 + 2)
+        both = np.cumsum(change)[:-1]
+        total, a = np.append(0, np.cumsum(w)), np.arange(a0, a1 + 1)
+        other = total[np.clip(a + m - p0, 0, len(w))] - total[np.clip(a - p0, 0, len(w))]
+        return both / (sum_own + other - both)
+
     def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, best similarity, first word of the best stretch, stretches that don't overlap) of all items that the text holds."""
-        h = self.words.of(text)
-        best: dict[int, tuple[float, int]] = {}
-        places: dict[int, list[int]] = {}
-        known: dict[tuple[int, bytes], float] = {}
-        seen = set()
-        begun = self.holding(h)
-        for item, first, _ in self.candidates(h, self.radius) if begun[-1] or self.least <= 0 else []:
+        return self.matches_of(pa.array([text], pa.string()))[0]
+
+    def matches_of(self, column: pa.Array) -> list[list[tuple[int, float, int, int]]]:
+        """:meth:`matches` of many texts; only those that hold a shingle of an item are looked into."""
+        h, first = hashes(column)
+        begun = self.holding(h, first)
+        held = begun[first[1:]] > begun[first[:-1]]
+        out: list[list] = [[] for _ in held]
+        for d in np.flatnonzero(held | (self.least <= 0)).tolist():
+            out[d] = self.found(h[first[d] : first[d + 1]], begun[first[d] : first[d + 1] + 1])
+        return out
+
+    def found(self, h: np.ndarray, begun: np.ndarray) -> list[tuple[int, float, int, int]]:
+        near = np.array(self.candidates(h, self.radius), np.int64).reshape(-1, 3)
+        out = []
+        for item in np.unique(near[:, 0]).tolist():
             n = len(self.items[item][1])
-            lo, hi = max(0, first), min(len(h), first + n)
-            if (item, lo) in seen or begun[hi] == begun[lo] and self.least > 0:
+            start = np.unique(near[near[:, 0] == item, 1])
+            if self.least > 0:
+                start = start[begun[np.clip(start + n, 0, len(h))] > begun[np.maximum(start, 0)]]
+            good, share = [start[:0]], [np.zeros(0)]
+            for run in np.split(start, np.flatnonzero(np.diff(start) > n) + 1) if len(start) else []:  # neighbours together
+                s = self.similarities(item, h, int(run[0]), int(run[-1]))[run - run[0]]
+                good.append(run[s > self.least - 1e-9])
+                share.append(s[s > self.least - 1e-9])
+            good, share = np.maximum(np.concatenate(good), 0), np.concatenate(share)
+            if not len(good):
                 continue
-            seen.add((item, lo))
-            key = item, h[lo:hi].tobytes()
-            if key not in known:
-                known[key] = self.similarity(item, h[lo:hi])
-            if known[key] >= self.least:
-                places.setdefault(item, []).append(lo)
-                if item not in best or (known[key], -lo) > (best[item][0], -best[item][1]):
-                    best[item] = known[key], lo
-        out = []
-        for i, (s, at) in sorted(best.items()):
-            n, end, count = len(self.items[i][1]), -1, 0
-            for lo in sorted(places[i]):  # stretches that overlap are one
+            end, count = -1, 0
+            for lo in good.tolist():  # stretches that overlap are one
                 if lo >= end:
                     count, end = count + 1, lo + n
-            out.append((self.items[i][0], s, at, count))
-        return out
+            at = int(np.flatnonzero(share >= share.max() - 1e-9)[0])
+            out.append((item, min(1.0, round(float(share[at]), 12)), int(good[at]), count))
+        return [(self.items[i][0], *x) for i, *x in out]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = RADIUS, bound: int = 16_000_000) -> DataFrame:
@@ -190,9 +234,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Items(held, n, least, radius)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    found = [(d, *m) for d, t in zip(part.column(0).to_pylist(), part.column(1)) for m in index.matches(t.as_py())]
+                for lo, hi in W.pieces_of(batch.column(1)):
+                    part = batch.slice(lo, hi - lo)
+                    found = [(d, *m) for d, own in zip(part.column(0).to_pylist(), index.matches_of(part.column(1))) for m in own]
                     cols = list(zip(*found)) if found else [[]] * 5
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "similarity", "first_word", "n_windows"])
@@ -203,16 +247,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.8, radius: int = RADIUS, bound: int = 16_000_000) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item; cases as in :func:`contaminated`."""
+    """The rows of ``docs``, with all their columns, that hold no item. Rows with a null or empty text, or a null doc_id, are
+    judged by their text alone, so the former stay; other cases as in :func:`contaminated`."""
     at = docs.columns.index("text")
     for held in slices_of(benchmark, bound):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Items(held, n, least, radius)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    yield part.filter(pa.array([not index.matches(t.as_py()) for t in part.column(at)], pa.bool_()))
+                for lo, hi in W.pieces_of(batch.column(at)):
+                    part = batch.slice(lo, hi - lo)
+                    yield part.filter(pa.array([not own for own in index.matches_of(part.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -10,6 +10,7 @@ Documents are independent rows: Spark deals them to tasks, templates are a fixed
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergestone.llm.license_templates import TEMPLATES
-from mergestone.llm.word_hashes import WordHashes, runs
+from mergestone.llm import word_table as W
+from mergestone.llm.word_hashes import hashes, hashes_of, runs
 
 SHINGLE = 3
 STEPS = tuple(sorted(b << k for b in (3, 4, 5, 7) for k in range(20)))
@@ -28,11 +30,11 @@ class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], bands: int = 14, least: float = 0.8):
         rng = np.random.default_rng(5)
         self.a = rng.integers(0, 2**63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.least, self.words = least, WordHashes()
+        self.least = least
         self.names, self.sets, self.lengths, by_step = [], [], [], {}
         for name, notices in templates.items():
             for notice in notices:
-                h = self.words.of(notice)
+                h = hashes_of(notice)
                 self.names.append(name)
                 self.sets.append(np.unique(runs(h, SHINGLE)))
                 self.lengths.append(len(runs(h, SHINGLE)))
@@ -88,13 +90,14 @@ class Scanner:
         return window
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        return self.scan_all([text])[0]
+        return self.scan_all(pa.array([text], pa.string()))[0]
 
-    def scan_all(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
+    def scan_all(self, texts: pa.Array) -> list[list[tuple[str, float, int, int]]]:
         """For each text (licence, containment, first word, words) of every stated notice; of overlapping ones of a licence the
         best. The texts' shingles are looked through end to end; a window over two texts is verified in each by itself."""
-        hashes = [self.words.of(t) for t in texts]
-        each = [runs(h, SHINGLE) for h in hashes]
+        h, first = hashes(texts)
+        words = np.diff(first)
+        each = [runs(h[a:b], SHINGLE) for a, b in zip(first.tolist(), first[1:].tolist())]
         start = np.r_[0, np.cumsum([len(x) for x in each])]
         shingles = np.concatenate(each) if each else np.zeros(0, np.uint64)
         found: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
@@ -108,14 +111,20 @@ class Scanner:
                     own = here[(here >= first) & (here < first + self.lengths[t])]
                     share = len(np.unique(part[own])) / len(self.sets[t])
                     if share >= self.least:
-                        found[d].append((self.names[t], share, a - int(start[d]) + int(first), int(own[-1] - first) + min(SHINGLE, len(hashes[d]))))
+                        found[d].append((self.names[t], share, a - int(start[d]) + int(first), int(own[-1] - first) + min(SHINGLE, int(words[d]))))
                 d += 1
         return [self.apart(f) for f in found]
 
     def apart(self, found: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
+        """The best ones of a licence first, those that overlap none of the ones before; those kept are held in order, so each is
+        compared with its neighbours alone."""
         out: list[tuple[str, float, int, int]] = []
+        held: dict[str, list[tuple[int, int]]] = {}
         for x in sorted(set(found), key=lambda f: (f[0], -f[1], -f[3], f[2])):
-            if not any(y[0] == x[0] and x[2] < y[2] + y[3] and y[2] < x[2] + x[3] for y in out):
+            own = held.setdefault(x[0], [])
+            at = bisect(own, (x[2], x[2]))
+            if (at == 0 or own[at - 1][1] <= x[2]) and (at == len(own) or own[at][0] >= x[2] + x[3]):
+                own.insert(at, (x[2], x[2] + x[3]))
                 out.append(x)
         return sorted(out, key=lambda f: (f[2], f[0]))
 
@@ -130,9 +139,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, least=least)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                rows = [(d, *m) for d, found in zip(part.column(0).to_pylist(), scanner.scan_all(part.column(1).to_pylist())) for m in found]
+            for lo, hi in W.pieces_of(batch.column(1), 500_000):
+                part = batch.slice(lo, hi - lo)
+                rows = [(d, *m) for d, found in zip(part.column(0).to_pylist(), scanner.scan_all(part.column(1))) for m in found]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "license", "containment", "first_word", "n_words"])

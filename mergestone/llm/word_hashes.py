@@ -3,36 +3,45 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
-
-from mergestone.llm.simhash import LOWER
-
-EDGE = b".,;:!?\"'()[]{}<>*_`"
-KEEP = 1_000_000
-
-
-class WordHashes(dict):
-    """Raw word -> hash; remembers words, and starts anew when it holds too many, which changes no result."""
-
-    def __missing__(self, word: bytes) -> int:
-        bare = word.strip(EDGE) or word
-        got = self[word] = xxhash.xxh64_intdigest(bare, 1)
-        return got
-
-    def of(self, text: str | None) -> np.ndarray:
-        if len(self) > KEEP:
-            self.clear()
-        ws = text.encode("utf8").translate(LOWER).split() if text else []
-        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Finaliser of a public 64-bit mixing function: every input bit reaches every output bit."""
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+import pyarrow as pa
+
+from mergestone.llm import word_table as W
+from mergestone.llm.word_table import mixed
+
+EDGE = np.zeros(256, bool)
+EDGE[list(b".,;:!?\"'()[]{}<>*_`")] = True
+
+
+def bare(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without signs at their edges; a span of signs alone stays as it is."""
+    lo, hi = begin.copy(), end.copy()
+    for at, step in ((lo, 1), (hi, -1)):
+        some = np.arange(len(at))
+        for _ in range(W.SIDE_BY_SIDE):
+            some = some[EDGE[raw[at[some] if step > 0 else at[some] - 1]]]
+            if not len(some):
+                break
+            at[some] += step
+            some = some[lo[some] < hi[some]]
+        for i in some.tolist():  # a long run of signs
+            left = raw[lo[i] : hi[i]]
+            rest = np.flatnonzero(~EDGE[left])
+            at[i] += step * int(len(left) if not len(rest) else rest[0] if step > 0 else len(left) - 1 - rest[-1])
+    empty = lo >= hi
+    lo[empty], hi[empty] = begin[empty], end[empty]
+    return lo, hi
+
+
+def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, the number of the first word of each text and of all words)."""
+    raw, start = W.bytes_of(column)
+    raw = W.LOWER[raw]
+    begin, end, first = W.spans(raw, start)
+    return W.keys(raw, *bare(raw, begin, end)), first
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    return hashes(pa.array([text], pa.string()))[0]
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
