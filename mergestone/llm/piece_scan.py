@@ -6,10 +6,12 @@ algebra whose states are pieces and whose step from one piece to the next weighs
 infinity otherwise. The encoding is the one path of finite weight.
 
 Giant texts are split into chunks. A chunk's matrix has the pieces that may cross its first boundary as rows and those that
-may cross its last one as columns; an entry is finite if a path joins the two. Tasks make these matrices independently, the
-products of a document's matrices tell the piece at every boundary, and tasks trace each chunk back from its boundary pieces.
-Inside a chunk no piece reaches across the start of a word, so all that is between the first and last word start is encoded
-word by word, each distinct word once.
+may cross its last one as columns; an entry is finite if a path joins the two. Tasks make these matrices independently. Spark
+multiplies them in a tree: products of :data:`FAN` neighbours, then products of those, up to one matrix a document; on the way
+down each product hands the pieces at its own ends to its factors, which so learn the pieces at theirs. No task holds more than
+:data:`FAN` matrices of a document. Then tasks trace each chunk back from its boundary pieces, by itself. Inside a chunk no
+piece reaches across the start of a word, so all that is between the first and last word start is encoded word by word, each
+distinct word once. A shorter text is one chunk, whose boundaries are the ends of the text.
 
 The vocabulary, its scores and its byte pieces come from a SentencePiece model file; the ids equal that library's.
 """
@@ -19,20 +21,27 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mergestone.llm import word_table as W
 from mergestone.llm.shared import written
 
 SPACE = "▁"
 CHUNK = 32_768
-SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: Matrices that are multiplied in one task.
+FAN = 8
 KEEP = 600_000
+#: Segments remembered at a time; the memory starts anew beyond it, which changes no result.
+REMEMBER = 2_000_000
+SIGNS = np.zeros(256, bool)
+SIGNS[list(b".,;:!?*$)\"#%&")] = True
 
 
 class Pieces:
@@ -46,13 +55,9 @@ class Pieces:
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
         self.byte = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.longest = max(map(len, self.id))
-        self.text = [sp.id_to_piece(i).replace(SPACE, " ") if not (sp.is_control(i) or sp.is_byte(i)) else "" for i in range(n)]
-        self.high = np.zeros(n, np.int16)  # a byte piece above 0x7F, plus one
-        for b, i in self.byte.items():
-            if b < 128:
-                self.text[i] = chr(b)
-            else:
-                self.high[i] = b + 1
+        self.spelt = W.Runs(np.uint8)  # the bytes of each id
+        spelt = [b"" if sp.is_control(i) else bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
+        self.spelt.add(np.frombuffer(b"".join(spelt), np.uint8), np.array(list(map(len, spelt)), np.int64))
         crossing = [p for p in self.id if re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p]
         if crossing:
             raise ValueError("pieces reach across the start of a word")
@@ -70,8 +75,8 @@ class Pieces:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.segments, self.parts = W.Numbers(), W.Numbers()
+        self.ids, self.part_ids = W.Runs(np.int32), W.Runs(np.int32)
 
     # ------------------------------------------------------------------------------------------------- pieces and pairs
 
@@ -186,42 +191,64 @@ class Pieces:
             out.append(own[::-1])
         return out
 
-    def learn(self, new: list[str]) -> list[list[int]]:
-        """Ids of new segments; signs at the end of a word that no piece joins to its last letter are a segment of their own."""
-        cut: list[tuple[int, int]] = []
-        short: dict[str, int] = {}
-        for p in new:
-            core = p.rstrip(".,;:!?*$)\"")
-            if core and core != p and p[len(core) - 1 : len(core) + 1] not in self.side_by_side:
-                cut.append((short.setdefault(core, len(short)), short.setdefault(p[len(core) :], len(short))))
-            else:
-                cut.append((short.setdefault(p, len(short)), -1))
-        made = self.many(list(short))
-        return [made[a] + made[b] if b >= 0 else made[a] for a, b in cut]
+    def learn(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Segments that are not known yet, in their order. Signs at the end of a word that no piece joins to its last letter are
+        a segment of their own, and only parts that are new are traced."""
+        stop, some = end.copy(), np.arange(len(end))
+        for _ in range(W.SIDE_BY_SIDE):
+            some = some[SIGNS[raw[stop[some] - 1]]]
+            if not len(some):
+                break
+            stop[some] -= 1
+            some = some[stop[some] > begin[some]]
+        tail = np.flatnonzero((stop < end) & (stop > begin))
+        joins = [self.joins(raw, int(stop[i])) for i in tail.tolist()]
+        tail = tail[~np.array(joins, bool)]
+        past = end.copy()
+        past[tail] = stop[tail]
+        lo, hi = np.concatenate([begin, past[tail]]), np.concatenate([past, end[tail]])
+        number, new = self.parts.found(W.keys(raw, lo, hi))
+        if len(new):
+            made = self.many([raw[lo[i] : hi[i]].tobytes().decode("utf8").replace(" ", SPACE) for i in new.tolist()])
+            size = np.array(list(map(len, made)), np.int64)
+            self.part_ids.add(np.fromiter((i for m in made for i in m), np.int32, int(size.sum())), size)
+        pair = np.full((len(begin), 2), -1, np.int64)
+        pair[:, 0] = number[: len(begin)]
+        pair[tail, 1] = number[len(begin) :]
+        at = np.flatnonzero(pair.ravel() >= 0)
+        values, ends = self.part_ids.take(pair.ravel()[at])
+        self.ids.add(values, np.bincount(at // 2, np.diff(ends, prepend=0), len(begin)).astype(np.int64))
+
+    def joins(self, raw: np.ndarray, at: int) -> bool:
+        """Does some piece hold the characters before and behind ``at`` side by side?"""
+        lo = at - 1
+        while raw[lo] & 0xC0 == 0x80:
+            lo -= 1
+        return raw[lo : at + 1].tobytes().decode("utf8").replace(" ", SPACE) in self.side_by_side
 
     def words(self, text: str) -> np.ndarray:
-        return self.texts([text])[0]
-
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts that begin and end where no piece can cross."""
-        split = [SEGMENT.findall(t) for t in texts]
-        index = self.index
-        new = [p for p in dict.fromkeys(p for parts in split for p in parts) if p not in index]
-        if new:
-            made = self.learn(new)
-            for p in new:
-                index[p] = len(index)
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(m) for m in made])])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for m in made for i in m), np.int32)])
-        out = []
-        for parts in split:
-            i = np.fromiter(map(index.__getitem__, parts), np.int64, len(parts))
-            lo = self.start[i]
-            n = self.start[i + 1] - lo
-            out.append(self.ids[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-        if len(index) > KEEP:
+        """Ids of a text that begins and ends where no piece can cross."""
+        data = text.replace(SPACE, " ").encode("utf8", "replace")
+        return self.encoded(np.frombuffer(data + bytes(8), np.uint8), np.array([0, len(data)]))[0]
+
+    def encoded(self, raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, end) of texts, end to end, as :func:`W.bytes_of` gives them, with a space for each U+2581. Segments begin at
+        line ends, behind them, and at the first of some spaces, which belong to the word behind them."""
+        n = int(start[-1])
+        if len(self.segments) > REMEMBER:
             self.forget()
-        return out
+        line, space = raw[:n] == 10, raw[:n] == 32
+        new = line | space
+        new[1:] &= ~(space[1:] & space[:-1])
+        new[1:] |= line[:-1]
+        new[start[:-1][start[:-1] < n]] = True
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], n)
+        number, fresh = self.segments.found(W.keys(raw, begin, end))
+        if len(fresh):
+            self.learn(raw, begin[fresh], end[fresh])
+        ids, past = self.ids.take(number)
+        return ids, W.ends_of(past, np.searchsorted(begin, start))
 
     # ----------------------------------------------------------------------------------------------------------- chunks
 
@@ -288,21 +315,7 @@ class Pieces:
     # --------------------------------------------------------------------------------------------------------- decoding
 
     def decode(self, ids: np.ndarray) -> str:
-        text, high = self.text, self.high[ids]
-        if not high.any():
-            out = "".join([text[i] for i in ids.tolist()])
-        else:
-            parts, run = [], bytearray()
-            for i, b in zip(ids.tolist(), high.tolist()):
-                if b:
-                    run.append(b - 1)
-                else:
-                    if run:
-                        parts.append(run.decode("utf8", "replace"))
-                        run.clear()
-                    parts.append(text[i])
-            parts.append(run.decode("utf8", "replace"))
-            out = "".join(parts)
+        out = self.spelt.take(ids)[0].tobytes().decode("utf8", "replace")
         return out[1:] if out[:1] == " " else out
 
 
@@ -316,107 +329,208 @@ def normal(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def joined(chunks: list[list[tuple[int, int, int, int]]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """From the matrices of a document's chunks, in order, the pieces over each chunk's boundaries. Products from the left
-    tell which states are reached, and going back from the end picks the one path."""
-    reached: list[set] = [{e[:2] for e in chunks[0]}]
-    for m in chunks:
+def normal_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of :func:`normal`, with spaces for U+2581, as :func:`W.bytes_of` gives them."""
+    column = column.cast(pa.large_string()).fill_null("")
+    if pc.any(pc.match_substring(column, SPACE)).as_py():
+        column = pc.replace_substring(column, SPACE, " ")
+    behind = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), column, pa.scalar(" ", pa.large_string()))
+    return W.bytes_of(pc.if_else(pc.equal(pc.binary_length(column), 0), pa.scalar("", pa.large_string()), behind))
+
+
+# --------------------------------------------------------------------------------------------- matrices and their products
+
+Entry = tuple[int, int, int, int]
+
+
+def product(left: set[Entry], right: set[Entry]) -> set[Entry]:
+    """Max-plus product: an entry is finite if some piece at the boundary between the two is reached and left."""
+    onward: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for e in right:
+        onward.setdefault(e[:2], []).append(e[2:])
+    return {(*a[:2], *b) for a in left for b in onward.get(a[2:], ())}
+
+
+def handed_down(factors: list[set[Entry]], whole: Entry) -> list[Entry]:
+    """The entry of each factor on the one path whose ends are those of ``whole``."""
+    reached = [{whole[:2]}]
+    for m in factors:
         reached.append({e[2:] for e in m if e[:2] in reached[-1]})
-    out = []
-    state = next(iter(reached[-1]))
-    for k in range(len(chunks) - 1, -1, -1):
-        before = next(e[:2] for e in chunks[k] if e[2:] == state and e[:2] in reached[k])
-        out.append((before, state))
-        state = before
+    out, state = [], whole[2:]
+    for k in range(len(factors) - 1, -1, -1):
+        out.append(next(e for e in factors[k] if e[2:] == state and e[:2] in reached[k]))
+        state = out[-1][:2]
     return out[::-1]
 
 
+def entries(flat: list[int]) -> set[Entry]:
+    return {tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)}
+
+
+def boundaries(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """(row, k, path): the pieces over both boundaries of each chunk, from (row, k, m) with the entries of each chunk's matrix.
+
+    A tree of grouped products: every group is ``fan`` neighbours of one document, on the way up and down."""
+    levels = [written(matrices, "matrices")]
+    most = levels[0].agg(F.max("k")).first()[0] or 0
+
+    def multiplied(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda x: x["k"])
+        m = reduce(product, [entries(x["m"]) for x in rows])
+        return pa.table({"row": t.column("row")[:1], "k": pa.array([rows[0]["k"] // fan], pa.int32()), "m": pa.array([[v for e in sorted(m) for v in e]], pa.list_(pa.int64()))})
+
+    while most:
+        up = levels[-1].groupBy("row", F.floor(F.col("k") / fan)).applyInArrow(multiplied, "row long, k int, m array<long>")
+        levels.append(written(up, "products"))
+        most //= fan
+
+    def handed(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda x: x["k"])
+        paths = handed_down([entries(x["m"]) for x in rows], tuple(rows[0]["whole"]))
+        return pa.table({"row": t.column("row"), "k": pa.array([x["k"] for x in rows], pa.int32()), "path": pa.array([list(p) for p in paths], pa.list_(pa.int64()))})
+
+    path = levels.pop().select("row", "k", F.slice("m", 1, 4).alias("path"))  # from end to end of a document there is one path
+    for level in reversed(levels):
+        whole = path.select("row", F.col("k").alias("up"), F.col("path").alias("whole"))
+        below = level.withColumn("up", F.floor(F.col("k") / fan).cast("int")).join(whole, ["row", "up"])
+        path = written(below.groupBy("row", "up").applyInArrow(handed, "row long, k int, path array<long>"), "paths")
+    return path
+
+
+# ------------------------------------------------------------------------------------------------- checksums of joined parts
+
+
+def _times(matrix: list[int], vector: int) -> int:
+    out, k = 0, 0
+    while vector:
+        if vector & 1:
+            out ^= matrix[k]
+        vector, k = vector >> 1, k + 1
+    return out
+
+
+def crc32_joined(parts: list[tuple[int, int]]) -> int:
+    """crc32 of byte strings end to end, from (crc32, length) of each: adding a zero bit is a linear map over bits of the sum,
+    so adding n zero bytes is a power of it."""
+    powers = [[0xEDB88320] + [1 << k for k in range(31)]]  # one zero bit
+    out = 0
+    for crc, length in parts:
+        bits, k = length * 8, 0
+        while bits:
+            if k == len(powers):
+                powers.append([_times(powers[-1], c) for c in powers[-1]])
+            if bits & 1:
+                out = _times(powers[k], out)
+            bits, k = bits >> 1, k + 1
+        out ^= crc
+    return out
+
+
+# -------------------------------------------------------------------------------------------------------------- operators
+
+
 def encode_texts(docs: DataFrame, model: str, digest: bool = False, chunk: int = CHUNK) -> DataFrame:
     """One row (doc_id, n_chunks, ids) for each row of ``docs``, or with ``digest`` (doc_id, n_chunks, n_tokens, ids_crc32,
     same): same tells whether the decoded ids are the text again, but for U+2581, which decodes to a space.
 
-    Null and empty texts have no ids. Texts of more than ``chunk`` characters are split, whole, as described above.
-    Repeated rows and null doc_ids are encoded each. Extra columns are not read.
+    Null and empty texts have no ids. Texts of more than ``chunk`` characters are split, whole, as described above; with
+    ``digest`` the chunks of a text are not brought together again. Repeated rows and null doc_ids are encoded each. Extra
+    columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("n", F.length("text") + 1)
+    size = F.length("text") + 1
     kind = "doc_id long, n_chunks int, " + ("n_tokens long, ids_crc32 long, same boolean" if digest else "ids array<int>")
 
-    def result(doc_id, n_chunks: list[int], ids: list[np.ndarray], texts: list[str], p: Pieces) -> pa.RecordBatch:
-        out = {"doc_id": doc_id, "n_chunks": pa.array(n_chunks, pa.int32())}
-        if digest:
-            out["n_tokens"] = pa.array([len(i) for i in ids], pa.int64())
-            out["ids_crc32"] = pa.array([zlib.crc32(np.ascontiguousarray(i, "<u4")) for i in ids], pa.int64())
-            out["same"] = pa.array([p.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts)])
-        else:
-            out["ids"] = pa.array(ids, pa.list_(pa.int32()))
-        return pa.RecordBatch.from_pydict(out)
-
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = part.column(1).to_pylist()
-                ids = p.texts([normal(t) for t in texts])
-                yield result(part.column(0), [1] * len(ids), ids, texts, p)
-
-    few = rows.filter(F.col("n") <= chunk).select("doc_id", "text").mapInArrow(short, kind)
-    giant = written(rows.filter(F.col("n") > chunk).withColumn("row", F.monotonically_increasing_id()), "giant")
+            for lo, hi in W.pieces_of(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                raw, start = normal_bytes(part.column(1))
+                ids, end = p.encoded(raw, start)
+                out = {"doc_id": part.column(0), "n_chunks": pa.array(np.ones(len(end), np.int32))}
+                begin = np.append(0, end[:-1])
+                if digest:
+                    back, past = p.spelt.take(ids)
+                    past = np.append(0, past)[np.append(0, end)]
+                    same = np.diff(past) == np.diff(start)
+                    if not same.all() or (back != raw[: len(back)]).any():
+                        same &= [bool(same[i]) and (back[past[i] : past[i + 1]] == raw[start[i] : start[i + 1]]).all() for i in range(len(end))]
+                    data = memoryview(ids.astype("<u4")).cast("B")
+                    out |= {"n_tokens": pa.array(end - begin), "ids_crc32": pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), end.tolist())], pa.int64()), "same": pa.array(same)}
+                else:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, end), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_pydict(out)
+
+    few = rows.filter(size <= chunk).mapInArrow(short, kind)
+    giant = rows.filter(size > chunk).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     side = 64  # characters of the neighbours that a chunk holds, above twice the longest piece
-    cut = giant.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / chunk).cast("int") - 1)))
-    at = F.greatest(F.col("k") * chunk - side, F.lit(0))
-    space = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
-    cut = cut.select("row", "k", at.alias("at"), (F.col("k") == F.ceil(F.col("n") / chunk) - 1).alias("final"), F.col("n").alias("end"), F.substring(space, at + 1, F.lit(chunk + 2 * side)).alias("part"))
-    cut = cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "k")
 
-    def place(x: dict) -> tuple[int, int]:
-        return x["k"] * chunk - x["at"], (x["end"] if x["final"] else (x["k"] + 1) * chunk) - x["at"]
+    def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One pass over each text; chunk k begins at character k * chunk, and ``part`` at character ``at``."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = normal(batch.column(2)[i].as_py())
+                n = -(-len(text) // chunk)
+                at = [max(0, k * chunk - side) for k in range(n)]
+                for lo in range(0, n, 64):
+                    own = range(lo, min(n, lo + 64))
+                    cols = {"doc_id": pa.array([batch.column(0)[i].as_py()] * len(own), pa.int64()), "row": pa.array([batch.column(1)[i].as_py()] * len(own), pa.int64()), "k": pa.array(list(own), pa.int32()), "at": pa.array([at[k] for k in own], pa.int64())}
+                    yield pa.RecordBatch.from_pydict(cols | {"end": pa.array([len(text)] * len(own), pa.int64()), "part": pa.array([text[at[k] : (k + 1) * chunk + side] for k in own], pa.string())})
+
+    cut = giant.mapInArrow(cutting, "doc_id long, row long, k int, at long, end long, part string")
+    cut = written(cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "k"), "chunks")
+
+    def place(x: dict) -> tuple[int, int, bool]:
+        final = x["end"] <= (x["k"] + 1) * chunk
+        return x["k"] * chunk - x["at"], (x["end"] if final else (x["k"] + 1) * chunk) - x["at"], final
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model)
         if 2 * p.longest > side:
             raise ValueError("a chunk must hold twice the longest piece of its neighbours")
         for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                lo, hi = place(x)
-                m = p.matrix(x["part"], lo, hi, x["k"] == 0, x["final"])
-                out.append({"row": x["row"], "k": x["k"], "m": [v + x["at"] for e in m for v in e]})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("row", pa.int64()), ("k", pa.int32()), ("m", pa.list_(pa.int64()))]))
-
-    def products(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda x: x["k"])
-        states = joined([[tuple(x["m"][i : i + 4]) for i in range(0, len(x["m"]), 4)] for x in rows])
-        return pa.table({"row": t.column("row"), "k": pa.array([x["k"] for x in rows], pa.int32()), "path": pa.array([[*a, *b] for a, b in states], pa.list_(pa.int64()))})
+            for x in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                lo, hi, final = place(x)
+                m = p.matrix(x["part"], lo, hi, x["k"] == 0, final)
+                yield pa.RecordBatch.from_pydict({"row": [x["row"]], "k": pa.array([x["k"]], pa.int32()), "m": pa.array([[v + x["at"] for e in m for v in e]], pa.list_(pa.int64()))})
 
-    made = cut.mapInArrow(matrices, "row long, k int, m array<long>")
-    paths = written(made.groupBy("row").applyInArrow(products, "row long, k int, path array<long>"), "paths")  # a document's matrices are a few KB a chunk
+    paths = boundaries(cut.select("row", "k", "at", "end", "part").mapInArrow(matrices, "row long, k int, m array<long>"))
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model)
         for batch in batches:
-            for x in batch.to_pylist():
-                (lo, hi), s = place(x), [v - x["at"] for v in x["path"]]
-                ids = p.traced(x["part"], lo, hi, (s[0], s[1]), (s[2], s[3]), x["final"])
-                yield pa.RecordBatch.from_pydict({"row": [x["row"]], "k": pa.array([x["k"]], pa.int32()), "ids": pa.array([ids], pa.list_(pa.int32()))})
-
-    traced = cut.join(paths, ["row", "k"]).mapInArrow(trace, "row long, k int, ids array<int>")
-    whole = traced.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))  # of one document
-    whole = whole.join(giant, "row").select("doc_id", "text", F.expr("transform(parts, x -> x.ids)").alias("parts"))
-
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces_of(model)
+            for x in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                (lo, hi, final), s = place(x), [v - x["at"] for v in x["path"]]
+                ids = p.traced(x["part"], lo, hi, (s[0], s[1]), (s[2], s[3]), final)
+                out = {"doc_id": pa.array([x["doc_id"]], pa.int64()), "row": [x["row"]], "k": pa.array([x["k"]], pa.int32())}
+                if digest:
+                    spelt = p.spelt.take(ids)[0].tobytes()
+                    own = x["part"][s[1] : max(s[1], hi if final else s[3])].replace(SPACE, " ").encode("utf8", "replace")
+                    out |= {"n": pa.array([len(ids)], pa.int64()), "crc": pa.array([zlib.crc32(np.ascontiguousarray(ids, "<u4"))], pa.int64()), "same": [spelt == own]}
+                else:
+                    out["ids"] = pa.array([ids], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(out)
+
+    of_chunk = "n long, crc long, same boolean" if digest else "ids array<int>"
+    traced = cut.join(paths, ["row", "k"]).mapInArrow(trace, f"doc_id long, row long, k int, {of_chunk}")
+    if not digest:
+        whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("p"))  # of one document
+        return few.unionByName(whole.select("doc_id", F.size("p").alias("n_chunks"), F.flatten("p.ids").alias("ids")))
+    whole = traced.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.count("*").cast("int").alias("n_chunks"), F.sum("n").alias("n_tokens"), F.min("same").alias("same"), F.sort_array(F.collect_list(F.struct("k", "crc", "n"))).alias("p")
+    )  # a few bytes a chunk
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                parts = batch.column(2)[i].values
-                yield result(batch.column(0).slice(i, 1), [len(parts)], [parts.flatten().to_numpy()], [batch.column(1)[i].as_py()], p)
+            crc = [crc32_joined([(x["crc"], 4 * x["n"]) for x in p]) for p in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(crc, pa.int64()), batch.column(3)], ["doc_id", "n_chunks", "n_tokens", "ids_crc32", "same"])
 
-    return few.unionByName(whole.mapInArrow(long, kind))
+    return few.unionByName(whole.select("doc_id", "n_chunks", "n_tokens", "same", "p").mapInArrow(sums, kind))
 
 
 def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids)."""
+    """(doc_id, text) from (doc_id, ids). Null ids are an empty text; bytes that are no character become U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model)

@@ -1,7 +1,9 @@
 import zlib
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -29,7 +31,11 @@ def chunked(text, size):
         parts.append((part, at, lo, hi, final))
         matrices.append([tuple(v + at for v in e) for e in P.matrix(part, lo, hi, k == 0, final)])
     ids = []
-    for (part, at, lo, hi, final), (a, b) in zip(parts, S.joined(matrices)):
+    m = [set(x) for x in matrices]
+    left, right = reduce(S.product, m), reduce(lambda a, b: S.product(b, a), m[::-1])
+    assert left == right and len(left) == 1  # products may be taken in any order
+    for (part, at, lo, hi, final), e in zip(parts, S.handed_down(m, next(iter(left)))):
+        a, b = e[:2], e[2:]
         ids += P.traced(part, lo, hi, (a[0] - at, a[1] - at), (b[0] - at, b[1] - at), final).tolist()
     return ids
 
@@ -38,6 +44,9 @@ def chunked(text, size):
 def test_equals_the_library(text):
     want = LIB.encode(text)
     assert P.words(S.normal(text)).tolist() == want
+    raw, start = S.normal_bytes(pa.array([None, text, "", text, "x"]))
+    ids, end = P.encoded(raw, start)
+    assert [x.tolist() for x in np.split(ids, end[:-1])] == [[], want, [], want, LIB.encode("x")]
     assert P.decode(np.array(want, int)) == LIB.decode(want)
     for size in (1, 7, 20, 400):
         if text:
@@ -76,5 +85,20 @@ def test_encode(spark):
     assert all(r.same for r in digests) and max(r.n_chunks for r in digests) > 5
 
 
+@pytest.mark.parametrize("fan", [2, 3, 8])
+def test_products_in_a_tree(spark, fan):
+    text = S.normal("ththe on aeé " * 700 + "x" * 900 + "\n ing")
+    n, size = -(-len(text) // 50), 50
+    rows = [(r, k, [v for e in P.matrix(text, k * size, min(len(text), (k + 1) * size), k == 0, k == n - 1) for v in e]) for r in (1, 2) for k in range(n)]
+    got = {(r.row, r.k): list(r.path) for r in S.boundaries(spark.createDataFrame(rows, "row long, k int, m array<long>").repartition(5), fan).collect()}
+    want = S.handed_down([S.entries(m) for r, _, m in rows if r == 1], (0, 0, len(text), len(text)))
+    assert got == {(r, k): list(e) for r in (1, 2) for k, e in enumerate(want)}
+
+
+@given(st.lists(st.binary(max_size=40), max_size=6))
+def test_checksums_of_joined_parts(parts):
+    assert S.crc32_joined([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
 def test_empty_table(spark):
     assert S.encode_texts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
