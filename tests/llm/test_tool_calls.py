@@ -1,4 +1,8 @@
 import json
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from mergestone.llm import tool_calls as T
 
@@ -18,6 +22,48 @@ def test_canonical():
     assert T.canonical({"b": [1, {"z": "é", "a": None}], "a": 1.5}) == '{"a":1.5,"b":[1,{"a":null,"z":"é"}]}'
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from('[]{}":,\\ud8e9Na1-.') | st.characters(), max_size=30))
+def test_any_arguments(text):
+    T.problems(text, SCHEMAS["add"])
+    try:
+        out = T.canonical(T.parsed_json(text))
+    except ValueError:
+        return
+    assert out.encode() and T.canonical(json.loads(out)) == out
+
+
+def test_arguments_that_break_parsers():
+    p = lambda a: T.problems(a, SCHEMAS["add"])
+    for bad in ["[" * 100_000, '{"a":' * 100_000, '{"a": NaN}', '{"a": Infinity}', '{"a": 1, "b": 1e999}', '{"a": ' + "9" * 5000 + "}"]:
+        assert p(bad) == ["not JSON"], bad[:20]
+    assert p('{"a": 1, "mode": "\\ud800"}') == ["mode is not among the choices"] and p('{"a": 1, "\\udfff": 2}') == ["unexpected \ufffd"]
+    assert T.canonical(json.loads('["\\ud800x", "\\ud83d\\ude00"]')) == '["\\ud800x","\U0001f600"]'
+
+
+def test_lines_of_odd_arguments(spark):
+    odd = ["[" * 100_000, '{"a": NaN}', '"\\ud800"', '{"b": "\\udc00"}', "\x00", ""]
+    df = spark.createDataFrame([call(1, k, (f"c{k}", "add", a, None)) for k, a in enumerate(odd)], "conv_id long, turn long, role string, text string")
+    got = T.link_tool_calls(df, SCHEMAS).orderBy("turn").collect()
+    assert len(got) == len(odd) and not any(r.valid for r in got)
+    assert [json.loads(r.line)["arguments"] for r in got] == [odd[0], odd[1], "\ud800", {"b": "\udc00"}, "\x00", ""]
+
+
+def test_several_prerequisites(spark):
+    rng = random.Random(4)
+    after = {k: rng.sample(range(k), min(k, rng.choice([0, 1, 1, 1, 2, 3]))) for k in range(120)}
+    after |= {200: [201, 5], 201: [200], 202: [999, 3], 203: [202], 204: [200, 202], 205: [119, 118, None], 206: [206, 1]}
+    rows = []
+    for c in (1, 2):
+        rows += [call(c, rng.randrange(50), (f"k{k}", "add", "{}", [f"k{x}" if x is not None else None for x in xs] if len(xs) != 1 or k % 2 else f"k{xs[0]}")) for k, xs in after.items()]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv_id, r.call_id): r.depth for r in T.link_tool_calls(df, SCHEMAS).collect()}
+    want = {}
+    for k in [*range(120), 205]:
+        want[k] = max([want[x] + 1 for x in after[k] if x is not None], default=0)
+    assert got == {(c, f"k{k}"): want.get(k) for c in (1, 2) for k in after}
+
+
 def call(conv, turn, *calls):
     return (conv, turn, "assistant", json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a, "after": f} for i, n, a, f in calls]}))
 
