@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Of an element that isn't closed, or a head that isn't before the body, only the tag is skipped, but for scripts and styles.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?!head[\s>](?:(?!</head\s*>).)*?<body\b)(script|style|template|svg|noscript|iframe|object|title|head(?=[\s>](?!er)))\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?</\1\s*>"
-    r"|<(?:script|style)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*\Z"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: A tag whose quotes hold no angle brackets; tags of any other form are found by :meth:`Scanner.tag_end`.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>\"']*+(?:\"[^\"<>]*+\"[^<>\"']*+|'[^'<>]*+'[^<>\"']*+)*+)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+QUOTE_OR_END = re.compile("[\"'>]")
+#: Elements that are skipped with all that they hold. Of one that isn't closed, or a head that isn't before the body, only the tag
+#: is skipped, but for scripts and styles, which take the rest of the page.
+SKIPPED = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in "script style template svg noscript iframe object title head".split()}
+BODY = re.compile(r"<body\b", re.I)
 SPACE_ONLY = frozenset({"br", "wbr", "img", "input", "hr"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -33,6 +35,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td "
     "textarea tfoot th thead tr ul".split()
 )
+NOT_P = BLOCK - {"p"}
 CLOSES_P = BLOCK - {"body", "html", "label", "button", "option"}
 #: Elements that end at the start of the next of their kind.
 AGAIN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
@@ -68,10 +71,87 @@ def _role(tag: str, attributes: str) -> int:
     return 1 if main else -1 if away else 0
 
 
-def blocks(page: str) -> list[tuple[str, list[float], str]]:
-    """Flat blocks of a page in order: (text, own features, marks), white space inside made one space."""
-    out: list[tuple[str, list[float], str]] = []
+class Scanner:
+    """The tags of a page, in time proportional to its length whatever its markup: what isn't found behind some place is not
+    looked for again behind later ones, and no quote that leads nowhere is followed twice."""
+
+    def __init__(self, page: str):
+        self.page, self.missing, self.dead = page, {}, set()
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.missing.get(what, len(self.page) + 1):
+            return -1
+        got = self.page.find(what, at)
+        if got < 0:
+            self.missing[what] = at
+        return got
+
+    def closed(self, tag: str, at: int) -> int:
+        """Where the next end tag of an element that is skipped ends, or -1."""
+        if at >= self.missing.get(tag, len(self.page) + 1):
+            return -1
+        got = SKIPPED[tag].search(self.page, at)
+        if got is None:
+            self.missing[tag] = at
+        return got.end() if got and not (tag == "head" and BODY.search(self.page, at, got.start())) else -1
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag, outside quotes, or, where a quote is not closed, the next > at all; or -1."""
+        begin, opened = at, []
+        while (m := QUOTE_OR_END.search(self.page, at)) is not None:
+            if m[0] == ">":
+                return m.start()
+            at = self.find(m[0], m.end()) + 1
+            if m.start() in self.dead or not at:
+                break
+            opened.append(m.start())
+        self.dead.update(opened)
+        return self.find(">", begin)
+
+    def tags(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        """(start, end, name, closing, attributes); the name is None for what is skipped."""
+        page, at = self.page, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+                yield at, end, None, False, ""
+            elif page.startswith("<![CDATA[", at):
+                end = self.find("]]>", at)
+                end = len(page) if end < 0 else end + 3
+                yield at, end, None, False, ""
+            elif page.startswith(("<!", "<?"), at):
+                end = self.find(">", at) + 1
+                if not end:
+                    return
+                yield at, end, None, False, ""
+            else:
+                m = TAG.match(page, at) or NAME.match(page, at)
+                if m is None:
+                    at += 1
+                    continue
+                end = m.end() if m.lastindex == 3 else self.tag_end(m.end()) + 1
+                if not end:
+                    at += 1
+                    continue
+                name, closing = m[2].lower(), bool(m[1])
+                if name in SKIPPED and not closing:
+                    past = self.closed(name, end)
+                    if past < 0 and name in ("script", "style"):
+                        past = len(page)
+                    if past >= 0:
+                        yield at, past, None, False, ""
+                        at = past
+                        continue
+                yield at, end, name, closing, m[3] if m.lastindex == 3 else page[m.end() : end - 1]
+            at = end
+
+
+def blocks(page: str) -> list[tuple[str, list[float]]]:
+    """Flat blocks of a page in order: (text, own features), white space inside made one space."""
+    out: list[tuple[str, list[float]]] = []
     stack: list[tuple[str, int, bool, bool]] = []  # tag, role so far, inside article or main, inside nav, form and the like
+    opened: Counter[str] = Counter()  # tags in the stack
     text: list[str] = []
     linked = 0
     anchors = 0
@@ -83,17 +163,13 @@ def blocks(page: str) -> list[tuple[str, list[float], str]]:
         if text:
             words = html.unescape("".join(text)).split()
             text.clear()
-            if words and not hidden():
-                top = stack[-1] if stack else ("", 0, False, False)
-                mark = "data-main" if any(s[0] == "#main" for s in stack) else ""
+            top = stack[-1] if stack else ("", 0, False, False)
+            if words and top[1] != -2:
                 joined = " ".join(words)
                 own = [len(words), min(1.0, linked / len(words)), top[1], top[2], top[3], tag_of_block[0] == "h" and tag_of_block[1:].isdigit(), tag_of_block in ("li", "td", "dd", "dt", "th"), joined[-1] in ".!?…\"”»:"]
-                out.append((joined, own, mark))
+                out.append((joined, own))
         linked = 0
 
-    def hidden() -> bool:
-        return bool(stack) and stack[-1][1] == -2
-
     def add(part: str) -> None:
         nonlocal linked
         if part:
@@ -101,16 +177,24 @@ def blocks(page: str) -> list[tuple[str, list[float], str]]:
             if anchors:
                 linked += len(part.split())
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
+    def close(tags: set[str] | frozenset[str], up_to: frozenset[str]) -> None:
+        """Ends the innermost open element of some tags, unless one of ``up_to`` is open inside it."""
+        if any(opened[t] for t in tags):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in tags:
+                    opened.subtract(x[0] for x in stack[k:])
+                    del stack[k:]
+                    return
+                if stack[k][0] in up_to:
+                    return
+
+    for start, end, tag, closing, attributes in Scanner(page).tags():
+        if start > at:
+            add(page[at:start])
+        at = end
         if tag is None:
-            if m[1]:
-                text.append(" ")
+            text.append(" ")
             continue
-        tag, closing = tag.lower(), bool(m[2])
         if tag == "a":
             anchors = max(0, anchors - 1) if closing else 1
             continue
@@ -123,30 +207,18 @@ def blocks(page: str) -> list[tuple[str, list[float], str]]:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            close({tag}, frozenset())
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
+            close({"p"}, NOT_P)
         if tag in AGAIN:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in AGAIN[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            close(AGAIN[tag], SCOPE)
         if tag in BLOCK or tag in ("span", "b", "i", "em", "strong", "font"):
             _, role, inside, away = stack[-1] if stack else ("", 0, False, False)
-            own = _role(tag, m[4]) if tag not in ("body", "html") and (m[4] or tag in AWAY_TAGS or tag in MAIN_TAGS) else 0
+            own = _role(tag, attributes) if tag not in ("body", "html") and (attributes or tag in AWAY_TAGS or tag in MAIN_TAGS) else 0
             role = -2 if -2 in (role, own) else own or role
             stack.append((tag, role, inside or tag in MAIN_TAGS, away or tag in AWAY_TAGS))
+            opened[tag] += 1
     add(page[at:])
     flush()
     return out
@@ -160,14 +232,10 @@ def features(own: list[list[float]]) -> np.ndarray:
     return np.hstack([a[:, :2], before[: len(a), :2], after[: len(a), :2], a[:, 2:], has])
 
 
-#: Of equal splits the first of these features wins: what the ancestors say, then the block, then its neighbours.
-ROLE_FIRST = (6, 8, 7, 12, 1, 0, 9, 10, 11, 3, 5, 2, 4)
-
-
 class Tree:
     """A binary decision tree grown by Gini impurity; arrays of (feature, threshold, left, right, value)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
         self.nodes: list[list[float]] = []
         self._grow(x, y, depth, least)
         self.table = np.array(self.nodes)
@@ -177,7 +245,7 @@ class Tree:
         self.nodes.append([-1, 0, 0, 0, float(y.mean() >= 0.5)])
         best = (2 * y.mean() * (1 - y.mean()) * len(y) - 1e-9, None, None)
         if depth and 0 < y.mean() < 1:
-            for k in ROLE_FIRST:
+            for k in range(x.shape[1]):
                 order = np.argsort(x[:, k], kind="stable")
                 v, c = x[order, k], np.cumsum(y[order])
                 cut = np.flatnonzero(v[1:] > v[:-1]) + 1
@@ -206,15 +274,27 @@ class Tree:
             at = np.where(inner, np.where(low, self.table[at, 2], self.table[at, 3]).astype(int), at)
 
 
+#: What tells a role outright: elements and attributes.
+TELLING_TAG = re.compile(rf"<(/?)(?:{'|'.join(sorted((AWAY_TAGS | MAIN_TAGS) - {'select', 'menu'}))})\b[^>]*>", re.I)
+TELLING_ATTRIBUTE = re.compile(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+
+
+def without_names(page: str) -> str:
+    """The page with all that names a role taken out, so that only its blocks and their neighbours tell what is main text."""
+    return TELLING_ATTRIBUTE.sub("", TELLING_TAG.sub(r"<\1div>", page))
+
+
 @lru_cache(1)
 def trained() -> Tree:
+    """Grown on every page of the labelled table as it is and without names."""
     from mergestone.llm.html_labels import LABELLED
 
     x, y = [], []
     for page, main in LABELLED:
-        found = blocks(page)
-        x.append(features([b[1] for b in found]))
-        y += [any(b[0].startswith(m) for m in main) for b in found]
+        for form in (page, without_names(page)):
+            found = blocks(form)
+            x.append(features([b[1] for b in found]))
+            y += [any(b[0].startswith(m) for m in main) for b in found]
     return Tree(np.vstack(x), np.array(y, float))
 
 

@@ -1,3 +1,6 @@
+import random
+import time
+
 from mergestone.llm import html_text as H
 from mergestone.llm.html_labels import LABELLED
 
@@ -35,6 +38,53 @@ def test_odd_pages():
     assert len(kept(long)) == 20000
 
 
+def made(rng):
+    """A page from blocks of known kinds, and the text that a reader of the whole page would keep."""
+    word = lambda: "".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(2, 9)))
+    say = lambda n: " ".join(word() for _ in range(n)) + rng.choice([".", "!", "?"])
+    main = []
+
+    def paragraph(name):
+        text = say(rng.randint(3, 40))
+        main.append(text + (" & <b>" if rng.random() < 0.2 else ""))
+        inner = text.replace(" ", rng.choice([" ", "\n  ", "&#32;"]), 1) + (" &amp; &lt;b&gt;" if main[-1] != text else "")
+        return f"<{name}>{inner}" + (f"</{name}>" if name != "p" or rng.random() < 0.8 else "")
+
+    away = [
+        lambda: f'<nav><ul>{"".join(f"<li><a href=x>{say(2)}</a></li>" for _ in range(4))}</ul></nav>', lambda: f'<div class="advert">{say(9)}</div>', lambda: f"<aside><p>{say(12)}</p></aside>",
+        lambda: f"<footer>{say(15)}</footer>", lambda: f"<form><p>{say(20)}</p><input name='q'></form>", lambda: f"<script>var a = '<p>{say(5)}</p>';</script>", lambda: f"<!-- {say(4)} -->",
+        lambda: f'<section class="comments"><p>{say(30)}</p></section>', lambda: f"<style>p::after {{content: '{say(2)}'}}</style>", lambda: f'<div id="cookie-notice">{say(9)}</div>',
+    ]
+    before, inside, after = ([a() for a in rng.sample(away, rng.randint(0, 4))] for _ in range(3))
+    parts = [paragraph("h1"), *(paragraph(rng.choice(["p", "p", "p", "h2", "blockquote"])) for _ in range(rng.randint(1, 12)))]
+    for x in inside:
+        at = rng.randint(1, len(parts))
+        parts.insert(at, x)
+    wrap = rng.choice(["<article>%s</article>", "<main>%s</main>", '<div class="post">%s</div>'])
+    return f"<html><head><title>{say(3)}</title></head><body>{''.join(before)}{wrap % ''.join(parts)}{''.join(after)}</body></html>", main
+
+
+def test_pages_of_known_text():
+    rng = random.Random(7)
+    for _ in range(400):
+        page, main = made(rng)
+        assert kept(page) == main, page
+
+
+def test_broken_markup_takes_time_in_proportion():
+    n = 40_000
+    began = time.thread_time()
+    for page in ('<a x="' * n, ('<a x="' * 9 + ">") * (n // 9), "<a x=\"' " * n + ">", "<div>" * n + "</p>" * n, "<svg>" * n, "<head>" * n, "<div><td>" * n, "<span>" * n + "<div>x" * n, "<!x " * n, "<" * n):
+        H.blocks(page)
+    assert time.thread_time() - began < 60
+    assert [b[0] for b in H.blocks('<p title="a>b">one</p><p title="two>three</p>')] == ["one", "three"]
+
+
+def test_a_page_without_names():
+    page = H.without_names(LABELLED[0][0])
+    assert "<article" not in page and "class=" not in page and len(H.blocks(page)) == len(H.blocks(LABELLED[0][0]))
+
+
 def test_elements_that_are_not_closed():
     body = "<article><p>One two three.</p><p>Four five six.</p></article>"
     head = '<head><meta charset="utf-8"><title>T</title><style>p{}</style><script>var b="<p>no</p>";</script>'
