@@ -7,7 +7,7 @@ corpus, given the costs. The restored words are then scored by a model learnt fr
 
 Spark: character counts are gathered from all documents, word counts being combined in tasks first; document counts of words
 and word beginnings are gathered from all labelled training rows. What tasks are given back (character trigrams, weighted word
-features) is of bounded size. Scoring is a map over documents; a task remembers what it has restored.
+features) is of bounded size by shares of the whole, so it is decided alike at every size. Scoring is a map over documents; a task remembers what it has restored.
 """
 
 from __future__ import annotations
@@ -36,31 +36,53 @@ EDGE = ".,;:!?*$\"'()[]{}<>«»„“”‘’…-_=|~`/\\&#%^+"
 SWAPPED, DROPPED, REPEATED, SPACED, BROKEN = 1.0, 1.5, 0.7, 1.2, 1.0
 BOUNDARY = " "
 SUSPECT_RUN = re.compile(r"(.)\1\1")
-#: Bounds on what is held by every task: character trigrams, weighted features, and rows used for calibration.
-TRIGRAMS, FEATURES, CALIBRATION = 60_000, 100_000, 20_000
+#: The model knows trigrams and bigrams that are at least this share of all, so at most 500,000 of each; what it has of shorter
+#: contexts is summed over all trigrams, so a rarer one costs what its last two letters, and its last one, tell.
+SHARE = 2e-6
+#: Toxic training texts that a word or beginning must be in to be evidence: so many, and this share of all toxic ones.
+LEAST, LEAST_SHARE = 3, 1e-4
+#: Bound on the labelled rows used for calibration.
+CALIBRATION = 20_000
 BEGINNINGS = (4, 5, 6, 7, 8)
 REMEMBER = 500_000
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Character trigrams, and sums over them by their last two, their first two, their last and their middle character."""
+
+    three: dict[str, int]
+    two: dict[str, int]
+    after_two: dict[str, int]
+    one: dict[str, int]
+    after_one: dict[str, int]
+
+    @classmethod
+    def of(cls, three: dict[str, int]) -> Counts:
+        def by(lo: int, hi: int) -> dict[str, int]:
+            out: Counter[str] = Counter()
+            for t, c in three.items():
+                out[t[lo:hi]] += c
+            return dict(out)
+
+        return cls(three, by(1, 3), by(0, 2), by(2, 3), by(1, 2))
+
+
 class Characters:
     """Interpolated character trigram model over letters and the word boundary."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.three = counts
-        self.two, self.one, self.after_two, self.after_one = Counter(), Counter(), Counter(), Counter()
-        for t, c in counts.items():
-            self.two[t[1:]] += c
-            self.one[t[2]] += c
-            self.after_two[t[:2]] += c
-            self.after_one[t[1]] += c
-        self.total = max(1, sum(self.one.values()))
+    def __init__(self, counts: Counts):
+        self.counts, self.total = counts, max(1, sum(counts.one.values()))
         self.cache: dict[str, float] = {}
 
     def cost(self, t: str) -> float:
         """-log P(t[2] | t[:2])"""
         got = self.cache.get(t)
         if got is None:
-            p = 0.7 * self.three.get(t, 0) / max(1, self.after_two[t[:2]]) + 0.25 * self.two[t[1:]] / max(1, self.after_one[t[1]]) + 0.049 * self.one[t[2]] / self.total + 1e-6
+            c = self.counts
+            p = 0.7 * c.three.get(t, 0) / c.after_two.get(t[:2], 1) + 0.25 * c.two.get(t[1:], 0) / c.after_one.get(t[1], 1) + 0.049 * c.one.get(t[2], 0) / self.total + 1e-6
+            if len(self.cache) > REMEMBER:
+                self.cache.clear()
             got = self.cache[t] = -math.log(p)
         return got
 
@@ -111,7 +133,7 @@ def restored(stretch: str, model: Characters) -> str:
 class Restorer:
     """Restored words of whole texts. Words that nothing can have been done to are kept as they are."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: Counts):
         self.model = Characters(counts)
         self.plain: dict[str, tuple[str, ...] | None] = {}
         self.spelt: dict[str, tuple[str, ...]] = {}
@@ -221,8 +243,8 @@ def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(packed, return_counts=True)
 
 
-def character_counts(docs: DataFrame) -> dict[str, int]:
-    """Counts of character trigrams over all words of all documents; the commonest ``TRIGRAMS`` are kept."""
+def character_counts(docs: DataFrame) -> Counts:
+    """Counts of characters over all words of all documents; see :data:`SHARE`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         three: dict[int, int] = {}
@@ -236,7 +258,14 @@ def character_counts(docs: DataFrame) -> dict[str, int]:
             yield pa.RecordBatch.from_pydict({"t": keys, "c": list(three.values())})
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "t string, c long").groupBy("t").agg(F.sum("c").alias("c"))
-    return {r.t: r.c for r in at_most(written(found, "trigrams"), "c", TRIGRAMS).collect() if len(r.t) == 3}
+    found = written(found.filter("length(t) = 3"), "trigrams")
+    least = SHARE * (found.agg(F.sum("c")).first()[0] or 0)
+
+    def by(lo: int, n: int, least: float) -> dict[str, int]:
+        part = found.groupBy(F.substring("t", lo, n).alias("t")).agg(F.sum("c").alias("c")).filter(F.col("c") >= least).toArrow()
+        return dict(zip(part.column("t").to_pylist(), part.column("c").to_pylist()))
+
+    return Counts(by(1, 3, least), by(2, 2, least), by(1, 2, least), by(3, 1, 0), by(2, 1, 0))
 
 
 @dataclass
@@ -265,7 +294,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def learn_weights(rows: DataFrame, trigrams: dict[str, int]) -> dict[str, float]:
+def learn_weights(rows: DataFrame, trigrams: Counts) -> dict[str, float]:
     """From rows (text, toxic): for each word or beginning, the lower bound of its log-likelihood ratio, where positive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,14 +319,14 @@ def learn_weights(rows: DataFrame, trigrams: dict[str, int]) -> dict[str, float]
             seen[0][""], seen[1][""] = n
             yield out()
 
-    counts = written(rows.select("text", "toxic").mapInArrow(run, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter("p >= 3 or f = ''"), "features")
+    counts = written(rows.select("text", "toxic").mapInArrow(run, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).filter(f"p >= {LEAST} or f = ''"), "features")
     total = counts.filter("f = ''").first()
     if total is None or not total.p or not total.n:
         return {}
     ratio = F.log((F.col("p") + 0.5) / (total.p + 1)) - F.log((F.col("n") + 0.5) / (total.n + 1))
     bound = ratio - 1.5 * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    best = counts.filter("f <> ''").select("f", bound.alias("w")).filter("w > 0.5")
-    return {r.f: r.w for r in at_most(best, "w", FEATURES, 1000).collect()}
+    best = counts.filter("f <> ''").filter(F.col("p") >= LEAST_SHARE * total.p).select("f", bound.alias("w")).filter("w > 0.5").toArrow()
+    return dict(zip(best.column("f").to_pylist(), best.column("w").to_pylist()))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -314,7 +343,7 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], Scorer]:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Counts, Scorer]:
     """Characters from all documents; weights from three quarters of the labelled training rows, calibration from at most
     ``CALIBRATION`` of the last quarter. Training rows are those whose crc32(doc_id as text) mod 3 is not 1."""
     trigrams = character_counts(docs)
@@ -342,7 +371,7 @@ def _evidence(batches, trigrams, scorer):
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """One row (doc_id, held_out, score, predicted) for each row of ``docs``, of its whole text only.
 
-    A null or empty text has no evidence and gets the score of that. Labels other than 0 and 1 are not learnt from; of repeated
+    A null or empty text has no evidence and gets the score of that; a text of any length is scored as a whole. Labels other than 0 and 1 are not learnt from; of repeated
     labels of a document the larger counts. Without labels of both kinds every score is that of no evidence. Extra columns are
     not read; repeated rows are scored each.
     """
@@ -362,7 +391,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``; cases as in :func:`score_toxicity`."""
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``. Rows with a null doc_id or text are
+    judged by their text alone, so null and empty texts stay; other cases as in :func:`score_toxicity`."""
     trigrams, scorer = fit(docs, labels)
     at = docs.columns.index("text")
 

@@ -16,7 +16,7 @@ def trained():
         for i in range(len(w) + 1):
             t = f"  {w} "[i : i + 3]
             count[t] = count.get(t, 0) + 1
-    return count
+    return N.Counts.of(count)
 
 
 @pytest.mark.parametrize(
@@ -97,6 +97,18 @@ def test_without_labels_or_rows(spark):
     assert N.score_toxicity(d.limit(0), none).count() == 0
 
 
+def test_counts_of_rare_trigrams_stay_in_the_sums(spark, monkeypatch):
+    df = spark.createDataFrame([("the then them " * 50 + "xyz xyq",), (None,), ("",)], "text string")
+    every = N.character_counts(df)
+    assert every == N.Counts.of(every.three)
+    monkeypatch.setattr(N, "SHARE", 0.01)
+    few = N.character_counts(df)
+    assert "xyz" in every.three and "xyz" not in few.three and len(few.three) <= 100 and set(few.three) < set(every.three)
+    assert few.one == every.one and few.after_one == every.after_one and all(every.two[k] == v for k, v in few.two.items())
+    least = 0.01 * sum(every.three.values())
+    assert few.two == {k: v for k, v in every.two.items() if v >= least} and few.after_two == {k: v for k, v in every.after_two.items() if v >= least}
+
+
 def test_character_counts_in_one_pass():
     from collections import Counter
 
