@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergestone.llm.shared import components, written
+from mergestone.llm.shared import components, looked_up, written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 KEY_SEED = 0x5BD1E995
@@ -91,24 +91,32 @@ def fingerprints(docs: DataFrame, n: int = 4, bits: int = 64) -> DataFrame:
 
 
 def planes(f: np.ndarray, bits: int) -> np.ndarray:
-    """``f``: (n, bits // 64) unsigned words. (bits, ceil(n / 64)) words: bit i % 64 of word i // 64 is that of row i."""
-    n = len(f)
-    flat = np.zeros((-(-n // 64) * 64, bits), np.uint8)
-    flat[:n] = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(n, bits // 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(flat.T, axis=1, bitorder="little")).view(np.uint64)
-
-
-def _add(counters: list[np.ndarray], x: np.ndarray, at: int) -> None:
-    """Carry-save: adds the bits ``x``, each worth 2**at, to the bit-sliced counters."""
-    while True:
-        if at == len(counters):
-            counters.append(x)
-            return
-        carry = counters[at] & x
-        counters[at] = counters[at] ^ x
-        if not carry.any():
-            return
-        x, at = carry, at + 1
+    """``f``: (n, bits // 64) unsigned words. (bits, ceil(n / 64)) words: bit i % 64 of word i // 64 is that of row i.
+
+    Squares of 64 by 64 bits are transposed by swapping their quarters, then the quarters of these, and so on."""
+    n, m = len(f), bits // 64
+    square = np.zeros((-(-n // 64) * 64, m), np.uint64)
+    square[:n] = f
+    square = np.ascontiguousarray(square.T).reshape(m, -1, 64)
+    for k in (32, 16, 8, 4, 2, 1):
+        quarters = square.reshape(m, -1, 64 // (2 * k), 2, k)
+        low, high = quarters[..., 0, :], quarters[..., 1, :]
+        mask = np.uint64(sum(((1 << k) - 1) << i for i in range(0, 64, 2 * k)))
+        swap = low >> np.uint64(k)
+        swap ^= high
+        swap &= mask
+        high ^= swap
+        low ^= swap << np.uint64(k)
+    return np.ascontiguousarray(square.transpose(0, 2, 1)).reshape(bits, -1)
+
+
+def _save(ones: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Carry-save adder: ``ones`` becomes the sum's low bits; returns the carries, worth two."""
+    half = a ^ b
+    carry = a & b
+    carry |= half & ones
+    ones ^= half
+    return carry
 
 
 def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
@@ -128,29 +136,42 @@ def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
 def within(left: np.ndarray, right: np.ndarray, radius: int, step: int = 16) -> np.ndarray:
     """``left``, ``right``: planes that broadcast to (bits, ..., words). Packed lanes: is the distance <= radius?
 
-    After every ``step`` planes the words in which all 64 distances exceed the radius are dropped from the work.
+    Eight planes at a time go through a tree of carry-save adders into bit-sliced counters. After every ``step`` planes the words
+    in which all 64 distances exceed the radius are dropped from the work, once that is a third of them.
     """
     bits, shape = len(left), np.broadcast_shapes(left.shape[1:], right.shape[1:])
     out = np.zeros(int(np.prod(shape)), np.uint64)
-    left = np.broadcast_to(left, (bits, *shape)).reshape(bits, -1) if left.shape[1:] != shape else left.reshape(bits, -1)
-    right = np.broadcast_to(right, (bits, *shape)).reshape(bits, -1) if right.shape[1:] != shape else right.reshape(bits, -1)
-    alive, counters = np.arange(out.size), [np.zeros(out.size, np.uint64)]
+    if not out.size:
+        return out.reshape(shape)
+    alive = at_left = at_right = None
+    counters = [np.zeros(shape, np.uint64) for _ in range(bits.bit_length())]
     everything = np.uint64(2**64 - 1)
-    for k in range(0, bits, 2):
-        full = len(alive) == out.size
-        a = left[k] ^ right[k] if full else left[k][alive] ^ right[k][alive]
-        b = left[k + 1] ^ right[k + 1] if full else left[k + 1][alive] ^ right[k + 1][alive]
-        half = a ^ b  # a full adder: ones + a + b gives the new ones and a carry worth two
-        carry = (a & b) | (half & counters[0])
-        counters[0] = counters[0] ^ half
-        _add(counters, carry, 1)
-        if (k + 2) % step == 0 and k + 2 > radius and k + 2 < bits:
-            keep = _over(counters, radius) != everything
+    left_flat, right_flat = left.reshape(bits, -1), right.reshape(bits, -1)
+
+    def differing(k: int) -> np.ndarray:
+        return left[k] ^ right[k] if alive is None else left_flat[k][at_left] ^ right_flat[k][at_right]
+
+    for k in range(0, bits, 8):
+        twos = [_save(counters[0], differing(k + j), differing(k + j + 1)) for j in (0, 2, 4, 6)]
+        fours = [_save(counters[1], *twos[:2]), _save(counters[1], *twos[2:])]
+        carry = _save(counters[2], *fours)
+        for j in range(3, len(counters)):
+            more = counters[j] & carry
+            counters[j] ^= carry
+            carry = more
+        if (k + 8) % step == 0 and k + 8 > radius and k + 8 < bits:
+            keep = (_over(counters, radius) != everything).ravel()
             if not keep.any():
                 return out.reshape(shape)
-            if keep.mean() < 0.7:
-                alive, counters = alive[keep], [c[keep] for c in counters]
-    out[alive] = ~_over(counters, radius)
+            if keep.mean() < 0.67:
+                if alive is None:
+                    alive = np.flatnonzero(keep)
+                    at_left = np.broadcast_to(np.arange(left_flat.shape[1]).reshape(left.shape[1:]), shape).ravel()[alive]
+                    at_right = np.broadcast_to(np.arange(right_flat.shape[1]).reshape(right.shape[1:]), shape).ravel()[alive]
+                else:
+                    alive, at_left, at_right = alive[keep], at_left[keep], at_right[keep]
+                counters = [c.ravel()[keep] for c in counters]
+    out[slice(None) if alive is None else alive] = ~_over(counters, radius).ravel()
     return out.reshape(shape)
 
 
@@ -201,14 +222,17 @@ def spanning(f: np.ndarray, bits: int, radius: int, side: np.ndarray | None = No
                 sliced[other] = rows, lanes
         q = np.unpackbits(np.ascontiguousarray(f[taken]).view(np.uint8).reshape(len(taken), -1), axis=1, bitorder="little").T
         near = within(np.where(q[:, :, None] == 1, full, np.uint64(0)), lanes[:, None, :], radius)
-        for k in np.flatnonzero(near.any(axis=1)):
-            i = taken[k]
-            hit = rows[unpacked(near[k], len(rows))]
-            hit = hit[group[hit] != group[i]]
-            if len(hit):
-                value, first = np.unique(group[hit], return_index=True)
-                found += [(int(i), int(hit[x])) for x in first]
-                waiting[hit] = waiting[i] = True
+        some = np.flatnonzero(near.any(axis=1))
+        at, hit = np.nonzero(unpacked(near[some], len(rows)))
+        new = group[taken[some[at]]] != group[rows[hit]]
+        at, hit = some[at[new]], rows[hit[new]]
+        for k in np.unique(at).tolist():
+            i, own = taken[k], hit[at == k]
+            own = own[group[own] != group[i]]
+            if len(own):
+                value, first = np.unique(group[own], return_index=True)
+                found += [(int(i), int(own[x])) for x in first]
+                waiting[own] = waiting[i] = True
                 group[np.isin(group, value)] = group[i]
         done[taken] = True
 
@@ -232,13 +256,9 @@ def small_links(f: np.ndarray, bucket: np.ndarray, bits: int, radius: int, known
         if known is not None:
             new = known[left] != known[right]
             left, right = left[new], right[new]
-        for k in range(0, bits, 64):  # the first words of most pairs already exceed the radius
-            if len(left):
-                word = slice(k // 64, k // 64 + 1)
-                near = unpacked(within(planes(f[left, word], 64), planes(f[right, word], 64), radius), len(left))
-                left, right = left[near], right[near]
-        if bits > 64 and len(left):
-            near = unpacked(within(planes(f[left], bits), planes(f[right], bits), radius), len(left))
+        if len(left):
+            apart = planes(f[left] ^ f[right], bits)
+            near = unpacked(within(apart, np.zeros((bits, 1), np.uint64), radius), len(left))
             left, right = left[near], right[near]
         out_l.append(left)
         out_r.append(right)
@@ -262,6 +282,19 @@ def drawn_keys(bits: int, width: int, count: int) -> list[list[int]]:
     return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(count)]
 
 
+def draws_for(bits: int, width: int, similarity: float, recall: float) -> int:
+    """Draws of ``width`` bits of which two fingerprints share one with a probability of ``recall``, at a Jaccard similarity of
+    their sets: a bit, being the sign of a sum over each set, differs with the probability acos(r) / pi, r being the share of
+    what the two sets have in common, and the distance is taken as binomial."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = [math.comb(bits, d) * p**d * (1 - p) ** (bits - d) for d in range(bits + 1)]
+    meet = [math.comb(bits - d, width) / math.comb(bits, width) for d in range(bits + 1)]
+    n = 1
+    while sum(s * (1 - (1 - m) ** n) for s, m in zip(share, meet)) < recall:
+        n += 1
+    return n
+
+
 def linked(prints: DataFrame, keys: list[list[int]], bits: int, radius: int, chunk: int = 8192) -> DataFrame:
     """Links (a, b) between rows (id, f0[, f1]) within the radius that share a bucket of some key; within a bucket only
     as many links as connect its groups, never all pairs.
@@ -284,11 +317,9 @@ def linked(prints: DataFrame, keys: list[list[int]], bits: int, radius: int, chu
             out, at, i = out.bitwiseOR(F.shiftleft(run, at)), at + j - i + 1, j + 1
         return out
 
-    if max(map(len, keys)) > 56:
-        raise ValueError("a key holds more than 56 bits")
-    numbered = [F.shiftleft(value(key), 6).bitwiseOR(F.lit(i % 64).cast("long")) for i, key in enumerate(keys)]
-    if len(keys) > 64:
-        raise ValueError("more than 64 keys")
+    if max(map(len, keys)) > 48 or len(keys) > 1 << 15:
+        raise ValueError("a key holds more than 48 bits, or there are too many keys")
+    numbered = [F.shiftleft(value(key), 15).bitwiseOR(F.lit(i).cast("long")) for i, key in enumerate(keys)]
     labelled = "label" in prints.columns
     if labelled:
         cols.append("label")
@@ -337,17 +368,18 @@ def simhash_classes(docs: DataFrame, n: int = 4, radius: int = 4, blocks: int =
     component_id is the smallest doc_id that links reach. Equal fingerprints are one node before anything is compared, so
     thousands of exact copies cost one comparison. Rows with a null doc_id keep their row and may join a class, but
     don't name one unless it holds no other. Repeated rows get equal results. An empty table gives an empty result.
-    Extra columns are not read.
+    Extra columns are not read; texts of any length are read whole. Rows of a fingerprint that very many share are not dealt
+    by it.
     """
     prints = written(fingerprints(docs, n), "fingerprints")
-    nodes = prints.groupBy("f0").agg(F.min("doc_id").alias("low"))
+    nodes = written(prints.groupBy("f0").agg(F.min("doc_id").alias("low"), F.count("*").alias("held")), "nodes")
     links = linked(nodes.select(F.col("f0").alias("id"), "f0"), block_keys(64, radius, blocks), 64, radius, chunk)
     parts = components(links, "simhash")
-    named = nodes.join(parts, nodes.f0 == parts.node, "left").select("f0", "low", F.coalesce("component", "f0").alias("part"))
+    named = nodes.join(parts, nodes.f0 == parts.node, "left").select("f0", "low", "held", F.coalesce("component", "f0").alias("part"))
     named = written(named, "classes")
-    low = named.groupBy("part").agg(F.min("low").alias("component_id"))
-    of_print = named.join(low, "part").select("f0", "component_id")
-    out = prints.join(of_print, "f0")
+    low = named.groupBy("part").agg(F.min("low").alias("component_id"), F.count("*").alias("prints"))
+    of_print = looked_up(named, low, "part", "prints", named.count()).select("f0", "held", "component_id")
+    out = looked_up(prints, of_print, "f0", "held", prints.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -395,13 +427,15 @@ def set_links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None
     return found
 
 
-def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, bits: int = 128, radius: int = 38, width: int = 11, keys: int = 64, short: int = 20, weight: int = 1_000_000) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, bits: int = 128, radius: int = 38, bucket: int = 512, recall: float = 0.998, short: int = 20, weight: int = 1_000_000) -> DataFrame:
     """(doc_id, component_id) for each row with a doc_id: documents link at a Jaccard similarity of their sets of ``n``-word
     shingles of at least ``similarity``; component_id is the smallest doc_id that links reach.
 
-    Candidates are fingerprints of ``bits`` bits within ``radius`` that agree on one of ``keys`` draws of ``width`` bits. At a
-    similarity of 0.8 a bit differs with a probability of 0.15, so the expected distance is 19 of 128 with a deviation of 4;
-    over that spread 0.998 of such pairs share a bucket. Fingerprints of few shingles spread more, so pairs of which one set
+    Candidates are fingerprints of ``bits`` bits within ``radius`` that agree on some draw of bits. Draws are so wide that even
+    buckets would hold at most ``bucket`` of the texts, so comparisons of a text stay about as many whatever the size of the table,
+    and :func:`draws_for` tells how many draws it takes that pairs at the similarity share a bucket with a probability of
+    ``recall``. At a similarity of 0.8 a bit differs with a probability of 0.15, so the expected distance is 19 of 128 with a
+    deviation of 4. Fingerprints of few shingles spread more, so pairs of which one set
     has at most ``short`` shingles are found exactly: in one order of all shingles, two sets that similar share one of the first
     size - ceil(similarity * size) + 1 of each. Groups of candidates are then compared exactly. Documents with equal shingle
     sets are one node from the start. A group of more than ``weight`` shingles is split into chunks, and each
@@ -428,8 +462,9 @@ def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8,
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     prints = written(rows.mapInArrow(digest, "doc_id long, " + ", ".join(f"{c} long" for c in cols) + ", content binary, size long, first array<long>"), "prints")
-    nodes = written(prints.groupBy("content").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in cols), F.first("size").alias("size"), F.first("first").alias("first")), "nodes")
-    draws = drawn_keys(bits, width, keys)
+    nodes = written(prints.groupBy("content").agg(F.min("doc_id").alias("id"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in cols), F.first("size").alias("size"), F.first("first").alias("first")), "nodes")
+    width = max(4, math.ceil(math.log2(max(1, nodes.count()) / bucket)))
+    draws = drawn_keys(bits, width, draws_for(bits, width, similarity, recall))
     filled = nodes.filter("size > 0").select("id", *cols)
     # the first draws join most of a large group; the others then return links between what is still apart only
     early = written(components(linked(filled, draws[:4], bits, radius), "early"), "early")
@@ -470,8 +505,8 @@ def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8,
 
     links = tasks.select("i", "j", "rows").mapInArrow(exact, "a long, b long")
     parts = components(links, "duplicates")
-    named = nodes.join(parts, nodes.id == parts.node, "left").select("content", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "content").select("doc_id", "component_id")
+    named = nodes.join(parts, nodes.id == parts.node, "left").select("content", "held", F.coalesce("component", "id").alias("component_id"))
+    return looked_up(prints.select("doc_id", "content"), named, "content", "held", prints.count()).select("doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
