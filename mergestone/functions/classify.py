@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,31 +12,67 @@ from mergestone.functions import vocabulary as V
 ACCENTS = ("áàâäãåçéèêëíìîïñóòôöõúùûü", "aaaaaaceeeeiiiinooooouuuu")
 
 
-def any_of(*lists: tuple[str, ...]) -> str:
-    """A pattern for any word of the lists, as a whole word."""
-    return r"\b(?:" + "|".join(w for ws in lists for w in ws) + r")\b"
+#: What stands before and behind a whole word. Written out, since engines differ in which letters their word boundaries know.
+BEFORE, BEHIND = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
 
 
-#: code -> (phrases that are taken out first, pattern)
+def any_of(*lists: tuple[str, ...]) -> str:
+    """A pattern for any word of the lists, as a whole word."""
+    return BEFORE + "(?:" + "|".join(w for ws in lists for w in ws) + ")" + BEHIND
+
+
+def spelt_out(pattern: str) -> set[str]:
+    """All strings that a pattern of the word lists stands for: letters, groups of alternatives, sets, and what may be left out;
+    a set that may repeat stands for none and one, which is all that the first word of a phrase needs."""
+
+    def alternatives(at: int) -> tuple[set[str], int]:
+        out, done = {""}, set()
+        while at < len(pattern) and pattern[at] != ")":
+            if pattern[at] == "|":
+                done |= out
+                out, at = {""}, at + 1
+                continue
+            if pattern.startswith("(?:", at):
+                part, at = alternatives(at + 3)
+                at += 1
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                part, at = set(pattern[at + 1 : end]), end + 1
+            else:
+                part, at = {pattern[at]}, at + 1
+            if at < len(pattern) and pattern[at] in "?*":
+                part, at = part | {""}, at + 1
+            out = {a + b for a in out for b in part}
+        return done | out, at
+
+    return alternatives(0)[0]
+
+
+def first_words(*lists: tuple[str, ...]) -> list[str]:
+    """The first word of everything that the lists stand for: without one of these in it, a text holds none of them."""
+    return sorted({re.match(r"\w+", s)[0] for ws in lists for w in ws for s in spelt_out(w)})
+
+
+#: code -> (phrases that are taken out first, lists of words)
 TAGS = {
-    "vegan": ((), r"\bvegan\b"),
-    "vegetarian": ((), r"\bvegetarian\b"),
-    "plant_based": ((), r"\bplant[ -]based\b"),
-    "gluten_free": ((), r"\bgluten[ /-]*(?:free|friendly|wheat friendly)\b"),
-    "contains_alcohol": (V.NOT_BEER, any_of(("beers?", "ales?", "brut", "bellini", "sour ale", "spritz", "(?:red|white) blends?"), V.BEER_STYLE_WORDS, V.WINE_WORDS, V.CIDER_WORDS, V.SPIRIT_WORDS, V.BREW_WORDS)),
-    "spicy": (V.NOT_HEAT, any_of(V.HEAT_WORDS)),
-    "contains_nuts": (V.NOT_NUTS, any_of(V.NUT_WORDS)),
-    "contains_shellfish": ((), any_of(V.SHELLFISH_WORDS)),
+    "vegan": ((), (("vegan",),)),
+    "vegetarian": ((), (("vegetarian",),)),
+    "plant_based": ((), (("plant[ -]based",),)),
+    "gluten_free": ((), (("gluten[ /-]*(?:free|friendly|wheat friendly)",),)),
+    "contains_alcohol": (V.NOT_BEER, (("beers?", "ales?", "brut", "bellini", "sour ale", "spritz", "(?:red|white) blends?"), V.BEER_STYLE_WORDS, V.WINE_WORDS, V.CIDER_WORDS, V.SPIRIT_WORDS, V.BREW_WORDS)),
+    "spicy": (V.NOT_HEAT, (V.HEAT_WORDS,)),
+    "contains_nuts": (V.NOT_NUTS, (V.NUT_WORDS,)),
+    "contains_shellfish": ((), (V.SHELLFISH_WORDS,)),
 }
-FLAVOURS = {"sweet": (V.NOT_SWEET, any_of(V.SWEET_WORDS)), "savory": (V.NOT_SAVORY, any_of(V.SAVORY_WORDS))}
+FLAVOURS = {"sweet": (V.NOT_SWEET, (V.SWEET_WORDS,)), "savory": (V.NOT_SAVORY, (V.SAVORY_WORDS,))}
 KINDS = (
-    ("cider", (), any_of(V.CIDER_WORDS)),
-    ("beer", V.NOT_BEER, any_of(("beers?", "ales?"), V.BEER_STYLE_WORDS)),
-    ("wine", (), any_of(V.WINE_WORDS, V.WINE_ONLY_WORDS)),
-    ("beer", (), any_of(V.BEER_MAKER_WORDS)),
-    ("liquor", (), any_of(V.SPIRIT_WORDS)),
+    ("cider", (), (V.CIDER_WORDS,)),
+    ("beer", V.NOT_BEER, (("beers?", "ales?"), V.BEER_STYLE_WORDS)),
+    ("wine", (), (V.WINE_WORDS, V.WINE_ONLY_WORDS)),
+    ("beer", (), (V.BEER_MAKER_WORDS,)),
+    ("liquor", (), (V.SPIRIT_WORDS,)),
 )
-DRINK_AT_END = r"\b(?:" + "|".join(V.DRINK_ENDINGS) + r")\s*[*.!]?$"
+DRINK_AT_END = BEFORE + "(?:" + "|".join(V.DRINK_ENDINGS) + r")\s*[*.!]?$"
 
 
 def plain(text: Column) -> Column:
@@ -42,27 +80,37 @@ def plain(text: Column) -> Column:
     return F.translate(F.lower(text), *ACCENTS)
 
 
-def _says(text: Column, out: tuple[str, ...], pattern: str) -> Column:
-    return (F.regexp_replace(text, any_of(out), " ") if out else text).rlike(pattern)
+def words_of(text: Column) -> Column:
+    return F.split(text, r"[^\pL\pN_]+")
+
+
+def _says(text: Column, words: Column, out: tuple[str, ...], lists: tuple[tuple[str, ...], ...]) -> Column:
+    """Most texts hold no first word of any phrase, so the pattern is tried on the others only. What doesn't count is taken out
+    twice, since two phrases side by side share what stands between them."""
+    left = text
+    for _ in range(2 if out else 0):
+        left = F.regexp_replace(left, any_of(out), " ")
+    return F.arrays_overlap(words, F.array(*map(F.lit, first_words(*lists)))) & left.rlike(any_of(*lists))
 
 
 def dietary_tags(text: Column) -> Column:
     """CLS1; a disclaimer takes contains_alcohol away."""
     t = plain(F.coalesce(text, F.lit("")))
-    marks = [F.when(_says(t, *rule) & (~t.rlike(any_of(V.NOT_ALCOHOLIC_WORDS)) if code == "contains_alcohol" else F.lit(True)), F.lit(code)) for code, rule in TAGS.items()]
+    w = words_of(t)
+    marks = [F.when(_says(t, w, *rule) & (~t.rlike(any_of(V.NOT_ALCOHOLIC_WORDS)) if code == "contains_alcohol" else F.lit(True)), F.lit(code)) for code, rule in TAGS.items()]
     return F.array_compact(F.array(*marks))
 
 
 def flavour_tags(text: Column) -> Column:
     """CLS2"""
     t = plain(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(_says(t, *rule), F.lit(code)) for code, rule in FLAVOURS.items())))
+    return F.array_compact(F.array(*(F.when(_says(t, words_of(t), *rule), F.lit(code)) for code, rule in FLAVOURS.items())))
 
 
 def alcohol_kind(category: Column, text: Column) -> Column:
     """CLS3: the first list that speaks, for alcoholic drinks only."""
     t = plain(text)
-    return F.when(category == "alcoholic_beverage", F.coalesce(*(F.when(_says(t, out, p), F.lit(kind)) for kind, out, p in KINDS)))
+    return F.when(category == "alcoholic_beverage", F.coalesce(*(F.when(_says(t, words_of(t), out, lists), F.lit(kind)) for kind, out, lists in KINDS)))
 
 
 def is_new(text: Column) -> Column:

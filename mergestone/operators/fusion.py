@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["entity", "field"]
 
 
 def by_priority() -> Column:
-    """Orders candidates for max_by: lowest rank, then most recent, then lowest ref (WIN5)."""
-    return F.struct(-F.col("rank"), F.col("observed_at"), -F.col("ref"))
+    """Orders candidates for max_by: lowest rank, then most recent, then lowest ref (WIN5); of equals the largest source and
+    value, so that the outcome never depends on the order of rows."""
+    return F.struct(-F.col("rank"), F.col("observed_at"), -F.col("ref"), "source", "value")
 
 
 def by_recency() -> Column:
-    """WIN6: latest observed, then lowest ref."""
-    return F.struct(F.col("observed_at"), -F.col("ref"))
+    """WIN6: latest observed, then lowest ref, then as above."""
+    return F.struct(F.col("observed_at"), -F.col("ref"), "source", "value")
 
 
 def distinct_candidates(candidates: DataFrame) -> DataFrame:
@@ -31,30 +32,30 @@ def fused(candidates: DataFrame, order: Column) -> DataFrame:
 
 def union_fused(candidates: DataFrame) -> DataFrame:
     """FUS4, AGG12 over array values: all members in order of first occurrence by (rank, ref); if a curated candidate (rank 0)
-    exists, the latest of those replaces the union. Members are deduplicated before they are gathered."""
-    curated = candidates.filter("rank = 0").groupBy(*KEY).agg(F.max_by("value", by_recency()).alias("curated"))
-    members = candidates.select(*KEY, "rank", "ref", F.posexplode("value").alias("at", "member"))
-    first = members.groupBy(*KEY, "member").agg(F.min(F.struct("rank", "ref", "at")).alias("first"))
-    joined = first.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "member"))).alias("m"))
-    every = candidates.select(*KEY).distinct()
-    out = every.join(joined, KEY, "left").join(curated, KEY, "left")
-    union = F.coalesce(F.transform("m", lambda x: x["member"]), F.array().cast("array<string>"))
-    return out.select(*KEY, F.coalesce("curated", union).alias("value"), F.col("curated").isNotNull().alias("is_curated"))
-
-
-def selected(candidates: DataFrame, winners: DataFrame) -> DataFrame:
-    """FUS5: candidates with is_selected."""
-    w = winners.select(*KEY, F.col("ref").alias("winner"))
-    return candidates.join(w, KEY).withColumn("is_selected", F.col("ref") == F.col("winner")).drop("winner")
-
-
-def disagreement(candidates: DataFrame, winners: DataFrame, numeric: bool, share: float = 0.2) -> DataFrame:
-    """FUS6, MAT2: (entity, field, n_values, disagrees). Numbers disagree if any differs from the winner by more than
-    ``share`` of it (from a winner of zero, if any is not zero); strings if there is more than one."""
-    c = candidates.filter("value is not null").join(winners.select(*KEY, F.col("value").alias("w")), KEY)
-    far = F.when(F.col("w") == 0, F.col("value") != 0).otherwise(F.abs(F.col("value") - F.col("w")) > share * F.abs(F.col("w")))
-    test = F.max(far) if numeric else F.min("value") != F.max("value")
-    return c.groupBy(*KEY).agg(F.count("*").alias("n_values"), (F.coalesce(test, F.lit(False)) & (F.count("*") >= 2)).alias("disagrees"))
+    exists, the latest of those replaces the union. Members are deduplicated before they are gathered, and the latest curated
+    value comes along in the same two aggregations."""
+    members = candidates.withColumn("curated", F.when(F.col("rank") == 0, F.struct(by_recency().alias("order"), "value"))).select(*KEY, "rank", "ref", "curated", F.posexplode_outer("value").alias("at", "member"))
+    first = members.groupBy(*KEY, "member").agg(F.min(F.struct("rank", "ref", "at")).alias("first"), F.max("curated").alias("curated"))
+    joined = first.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.when(F.col("member").isNotNull(), F.struct("first", "member")))).alias("m"), F.max("curated").alias("c"))
+    return joined.select(*KEY, F.coalesce("c.value", F.transform("m", lambda x: x["member"])).alias("value"), F.col("c.value").isNotNull().alias("is_curated"))
+
+
+def selected(candidates: DataFrame, order: Column) -> DataFrame:
+    """FUS5: candidates with is_selected, true for the first of each (entity, field) in ``order``, and for one of equal rows."""
+    at = F.row_number().over(Window.partitionBy(*KEY).orderBy(order.desc()))
+    return candidates.withColumn("is_selected", at == 1)
+
+
+def disagreement(candidates: DataFrame, order: Column, numeric: bool, share: float = 0.2) -> DataFrame:
+    """FUS6, MAT2: (entity, field, n_values, disagrees). Numbers disagree if any differs from the winner in ``order`` by more than
+    ``share`` of it (from a winner of zero, if any is not zero); strings if there is more than one. The least and the largest
+    value decide it, so one aggregation does."""
+    c = candidates.groupBy(*KEY).agg(F.count("value").alias("n_values"), F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("value", order).alias("w")).filter("n_values > 0")
+    if numeric:
+        far = F.when(F.col("w") == 0, (F.col("low") != 0) | (F.col("high") != 0)).otherwise(F.greatest(F.col("w") - F.col("low"), F.col("high") - F.col("w")) > share * F.abs(F.col("w")))
+    else:
+        far = F.when(F.col("w").isNotNull(), F.col("low") != F.col("high"))
+    return c.select(*KEY, "n_values", (F.coalesce(far, F.lit(False)) & (F.col("n_values") >= 2)).alias("disagrees"))
 
 
 def by_source(candidates: DataFrame) -> DataFrame:

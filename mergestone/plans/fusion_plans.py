@@ -23,7 +23,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-WINNER = "row_number() OVER (PARTITION BY entity, field ORDER BY rank, observed_at DESC, ref)"
+WINNER = "row_number() OVER (PARTITION BY entity, field ORDER BY rank, observed_at DESC, ref, source DESC, value DESC)"
 
 
 @query(f"WITH {OBS} SELECT entity, field, value, ref, source, CAST(rank AS INT) AS rank, n FROM (SELECT *, count(*) OVER (PARTITION BY entity, field) AS n, {WINNER} AS k FROM obs) WHERE k = 1")
@@ -32,7 +32,7 @@ def fus3_priority_fusion(spark, sf_dir):
     return U.fused(observations(spark, sf_dir), U.by_priority()).withColumn("rank", F.col("rank").cast("int"))
 
 
-@query(f"WITH {OBS} SELECT entity, field, value, ref, source, n FROM (SELECT *, count(*) OVER (PARTITION BY entity, field) AS n, row_number() OVER (PARTITION BY entity, field ORDER BY observed_at DESC, ref) AS k FROM obs) WHERE k = 1")
+@query(f"WITH {OBS} SELECT entity, field, value, ref, source, n FROM (SELECT *, count(*) OVER (PARTITION BY entity, field) AS n, row_number() OVER (PARTITION BY entity, field ORDER BY observed_at DESC, ref, source DESC, value DESC) AS k FROM obs) WHERE k = 1")
 def win6_most_recent_fusion(spark, sf_dir):
     return U.fused(observations(spark, sf_dir), U.by_recency()).drop("rank")
 
@@ -46,7 +46,7 @@ def fus2_distinct_candidates(spark, sf_dir):
 @query(f"WITH {OBS}, w AS (SELECT *, {WINNER} AS k FROM obs) SELECT entity, field, source, ref, value, k = 1 AS is_selected FROM w")
 def fus5_selected_candidates(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return U.selected(o, U.fused(o, U.by_priority())).select("entity", "field", "source", "ref", "value", "is_selected")
+    return U.selected(o, U.by_priority()).select("entity", "field", "source", "ref", "value", "is_selected")
 
 
 DISAGREE = f"""{OBS}, w AS (SELECT *, {WINNER} AS k FROM obs), win AS (SELECT entity, field, value AS w FROM w WHERE k = 1),
@@ -56,13 +56,13 @@ d AS (SELECT entity, field, count(*) AS n_values, count(*) >= 2 AND bool_or(CASE
 @query(f"WITH {DISAGREE} SELECT * FROM d")
 def fus6_numeric_disagreement(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return U.disagreement(o, U.fused(o, U.by_priority()), numeric=True)
+    return U.disagreement(o, U.by_priority(), numeric=True)
 
 
 @query(f"WITH {OBS} SELECT entity, field, count(*) AS n_values, count(*) >= 2 AND count(DISTINCT flag) > 1 AS disagrees FROM obs GROUP BY entity, field")
 def fus6_text_disagreement(spark, sf_dir):
     o = observations(spark, sf_dir).withColumn("value", F.col("flag"))
-    return U.disagreement(o, U.fused(o, U.by_priority()), numeric=False)
+    return U.disagreement(o, U.by_priority(), numeric=False)
 
 
 @query(f"""WITH {DISAGREE}, opened AS (SELECT DISTINCT entity, field FROM obs WHERE entity % 3 = 0)
@@ -70,12 +70,12 @@ SELECT entity, field, CASE WHEN coalesce(disagrees, false) AND o.e IS NOT NULL T
 FROM d LEFT JOIN (SELECT entity AS e, field AS f FROM opened) o ON entity = e AND field = f""")
 def fus7_conflict_lifecycle(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return U.conflict_changes(U.disagreement(o, U.fused(o, U.by_priority()), numeric=True), o.filter("entity % 3 = 0"))
+    return U.conflict_changes(U.disagreement(o, U.by_priority(), numeric=True), o.filter("entity % 3 = 0"))
 
 
 @query(f"""WITH {OBS}, m AS (SELECT entity, field, flag AS member, min(rank * 10000000000 + ref) AS first FROM obs GROUP BY ALL),
 u AS (SELECT entity, field, string_agg(member, ',' ORDER BY first) AS v FROM m GROUP BY ALL),
-c AS (SELECT entity, field, flag FROM (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY observed_at DESC, ref) AS k FROM obs WHERE rank = 0) WHERE k = 1)
+c AS (SELECT entity, field, flag FROM (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY observed_at DESC, ref, source DESC, flag DESC) AS k FROM obs WHERE rank = 0) WHERE k = 1)
 SELECT entity, field, coalesce(c.flag, u.v) AS value, c.flag IS NOT NULL AS is_curated FROM u LEFT JOIN c USING (entity, field)""")
 def fus4_union_with_curated_replacement(spark, sf_dir):
     """FUS4, AGG12"""
@@ -104,7 +104,7 @@ def fus1_wide_to_long(spark, sf_dir):
 def pub5_provenance_view(spark, sf_dir):
     o = observations(spark, sf_dir).filter("entity % 10 = 1")  # the view of some entities is the feature
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_name").alias("source_key"))
-    return U.selected(o, U.fused(o, U.by_priority())).join(s, "source").select("entity", "field", "source_key", (F.col("rank") == 0).alias("curated"), "ref", "value", "is_selected")
+    return U.selected(o, U.by_priority()).join(s, "source").select("entity", "field", "source_key", (F.col("rank") == 0).alias("curated"), "ref", "value", "is_selected")
 
 
 # ------------------------------------------------------------------------------------------------------------- triage

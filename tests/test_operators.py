@@ -90,15 +90,22 @@ def test_fusion_does_not_depend_on_order(spark):
         c = candidates(spark, order)
         assert U.fused(c, U.by_priority()).first().ref == 3
         assert U.fused(c, U.by_recency()).first().ref == 5
-    w = U.fused(candidates(spark, rows), U.by_priority())
-    assert U.disagreement(candidates(spark, rows), w, numeric=True).first().disagrees
+    assert U.disagreement(candidates(spark, rows), U.by_priority(), numeric=True).first().disagrees
     assert U.fused(candidates(spark, []), U.by_priority()).count() == 0
 
 
+def test_one_of_equal_candidates_is_selected(spark):
+    d = dt.date(2026, 1, 1)
+    rows = [(1, 7, 1, d, 2.0), (1, 8, 1, d, 3.0), (1, 8, 1, d, 3.0), (1, 8, 1, d, 1.0), (2, 9, 2, d, 9.0), (3, 9, 1, None, None)]
+    for order in itertools.islice(itertools.permutations(rows), 0, 720, 191):
+        got = [r for r in U.selected(candidates(spark, order), U.by_priority()).collect() if r.is_selected]
+        assert [(r.ref, r.source, r.value) for r in got] == [(1, 8, 3.0)] and U.fused(candidates(spark, order), U.by_priority()).first().value == 3.0
+
+
 def test_zero_winner_and_union(spark):
     d = dt.date(2026, 1, 1)
     c = candidates(spark, [(1, 1, 1, d, 0.0), (2, 2, 2, d, 0.1)])
-    assert U.disagreement(c, U.fused(c, U.by_priority()), numeric=True).first().disagrees
+    assert U.disagreement(c, U.by_priority(), numeric=True).first().disagrees
     rows = [("e", "f", 1, 1, 2, d, ["b", "a"]), ("e", "f", 2, 2, 1, d, ["c", "a"]), ("g", "f", 3, 3, 0, d, []), ("g", "f", 4, 4, 1, d, ["z"])]
     a = spark.createDataFrame(rows, "entity string, field string, ref long, source long, rank int, observed_at date, value array<string>")
     assert {r.entity: list(r.value) for r in U.union_fused(a).collect()} == {"e": ["c", "a", "b"], "g": []}
