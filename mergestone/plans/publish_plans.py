@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mergestone.operators import elements as E
 from mergestone.operators import publish as P
 from mergestone.operators import resolution as R
+from mergestone.plans.extract_plans import TITLE
 from mergestone.plans.registry import query, table
 from mergestone.plans.resolution_plans import LCS, entities, records
 
@@ -52,10 +53,11 @@ def pub2_file_snapshot(spark, sf_dir):
     return P.file_snapshot(parents, kids).withColumn("items", F.array_join("items", ","))
 
 
-@query("SELECT page_id, 'Fife and Drum' AS parent, 'Pie ' || page_id AS head FROM pages UNION ALL SELECT page_id, 'Holiday Kitchen', 'Cake' FROM pages")
+@query(f"SELECT page_id, {TITLE} AS parent, trim(regexp_extract('Pie of ' || {TITLE}, '^([^:]*)', 1)) AS head FROM pages UNION ALL SELECT page_id, 'Holiday Kitchen', 'Cake' FROM pages")
 def ext8_guide_photos(spark, sf_dir):
-    k = F.col("page_id")
-    html = F.concat(F.lit('<img src="/a" alt="Pie '), k, F.lit(': with cream"><img src="/z"><h3>Fife and Drum Menu</h3><img src="/b" alt="Cake"><h4>NEW! Holiday Kitchen Menu</h4><h3>For Kids</h3><img src="/c" alt="Toy"><h3>Last Menu</h3>'))
+    """EXT8 in whole pages: an image before the headline, which ends in Menu, and more behind the page's end."""
+    html = F.regexp_replace("html", F.lit("<h1>([^<]*)</h1>"), F.lit('<img src="/a" alt="Pie of $1: with cream"><img src="/z"><h1>$1 Menu</h1>'))
+    html = F.concat(html, F.lit('<img src="/b" alt="Cake"><h4>NEW! Holiday Kitchen Menu</h4><h3>For Kids</h3><img src="/c" alt="Toy"><h3>Last Menu</h3>'))
     return E.guide_photos(E.tokenised(table(spark, sf_dir, "pages").select("page_id", html.alias("html")))).select("page_id", "parent", "head")
 
 
