@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergestone.llm.shared import components, looked_up, written
+from mergestone.llm.word_table import mixed
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 KEY_SEED = 0x5BD1E995
@@ -57,6 +58,14 @@ def majority(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
+def widened(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of 128 bits made ``bits`` wide: each further two words mix all bits of the first two anew."""
+    out = [hashes]
+    for k in range(1, bits // 128):
+        out.append(mixed(hashes + hashes[:, ::-1] * np.uint64(2 * k + 1) + np.uint64(k)))
+    return np.hstack(out)
+
+
 def text_fingerprint(text: str | None, n: int = 4, bits: int = 64) -> np.ndarray:
     """64 bits: XXH64 with seed 42 of every shingle, with repeats. 128 bits: XXH128 of the distinct shingles."""
     parts = shingles(words(text), n)
@@ -427,15 +436,17 @@ def set_links(sets: list[np.ndarray], similarity: float, side: np.ndarray | None
     return found
 
 
-def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, bits: int = 128, radius: int = 38, bucket: int = 512, recall: float = 0.998, short: int = 20, weight: int = 1_000_000) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, bits: int = 256, radius: int = 68, bucket: int = 512, recall: float = 0.998, short: int = 20, weight: int = 1_000_000) -> DataFrame:
     """(doc_id, component_id) for each row with a doc_id: documents link at a Jaccard similarity of their sets of ``n``-word
     shingles of at least ``similarity``; component_id is the smallest doc_id that links reach.
 
     Candidates are fingerprints of ``bits`` bits within ``radius`` that agree on some draw of bits. Draws are so wide that even
     buckets would hold at most ``bucket`` of the texts, so comparisons of a text stay about as many whatever the size of the table,
     and :func:`draws_for` tells how many draws it takes that pairs at the similarity share a bucket with a probability of
-    ``recall``. At a similarity of 0.8 a bit differs with a probability of 0.15, so the expected distance is 19 of 128 with a
-    deviation of 4. Fingerprints of few shingles spread more, so pairs of which one set
+    ``recall``. At a similarity of 0.8 a bit differs with a probability of 0.15, so the expected distance is 39 of 256 with a
+    deviation of 6. Fingerprints of texts that have little in common differ in 128 bits or somewhat less, with a deviation of 8, so
+    hardly any are within the radius, and groups of candidates don't grow together in large tables. Fingerprints of few shingles
+    spread more, so pairs of which one set
     has at most ``short`` shingles are found exactly: in one order of all shingles, two sets that similar share one of the first
     size - ceil(similarity * size) + 1 of each. Groups of candidates are then compared exactly. Documents with equal shingle
     sets are one node from the start. A group of more than ``weight`` shingles is split into chunks, and each
@@ -452,7 +463,7 @@ def near_duplicate_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8,
                 for t in part.column(1):
                     raw = sorted(xxhash.xxh128_digest(s, 42) for s in set(shingles(words(t.as_py()), n)))
                     joined = b"".join(raw)
-                    prints.append(majority(np.frombuffer(joined, np.uint64).reshape(-1, 2), bits))
+                    prints.append(majority(widened(np.frombuffer(joined, np.uint64).reshape(-1, 2), bits), bits))
                     content.append(xxhash.xxh128_digest(joined, 1))
                     size.append(len(raw))
                     many = len(raw) - math.ceil(similarity * len(raw) - 1e-9) + 1 if 0 < len(raw) <= short / similarity else 0
