@@ -210,10 +210,10 @@ def agg17_daily_actives(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count_distinct("user_id").alias("devices"), F.count("*").alias("events"))
 
 
-@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS s FROM events), n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
 z AS (SELECT user_id, k, count(*) AS events, epoch(max(ts)) - epoch(min(ts)) AS secs FROM n GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(events) AS longest FROM z GROUP BY 1""")
 def stm5_sessions(spark, sf_dir):
-    s = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("events"))
+    s = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "5 minutes")).agg(F.count("*").alias("events"))
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("longest"))
 
 
