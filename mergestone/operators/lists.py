@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +68,43 @@ def canonical_json(df: DataFrame, columns: list[str]) -> Column:
 def haversine(lat1, lon1, lat2, lon2) -> Column:
     """MAT3: metres."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371000 * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+EARTH = 6371000
+
+
+def nearest(points: DataFrame, places: DataFrame) -> DataFrame:
+    """SRT6: ``points`` (id, lat, lon) with the place of ``places`` (place, lat2, lon2) nearest in whole metres, lower places first in
+    ties; null for points without a position, or if there are no places. Places without a position are left out.
+
+    Positions are dealt to cubes around their unit vectors, and a position meets the places of the 27 cubes at its own only.
+    It is settled once it has a place nearer than the edge of a cube, since none outside can be nearer; otherwise edges are
+    doubled, up to cubes that hold the whole sphere. Equal positions are one row."""
+    spots = places.dropna(subset=["lat2", "lon2"]).groupBy("lat2", "lon2").agg(F.min("place").alias("place"))
+    asks = points.select("lat", "lon").dropna().distinct().withColumn("best", F.lit(None).cast(f"struct<d: double, place: {dict(places.dtypes)['place']}>")).withColumn("settled", F.lit(False))
+    n = spots.count()
+
+    def cube(lat: Column, lon: Column, edge: float) -> list[Column]:
+        a, o = F.radians(lat), F.radians(lon)
+        return [F.floor(x / edge).cast("int") for x in (F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a))]
+
+    for k in range(math.ceil(math.log2(math.sqrt(n + 1))), -1, -1):
+        edge = 2 / 2**k
+        reach = 2 * EARTH * math.asin(min(1, edge / 2))
+        near = F.array([F.lit(i) for i in (-1, 0, 1)])
+        # settled positions stay alone, and apart from each other
+        apart = F.lit(-(10**9)) - F.pmod(F.xxhash64("lat", "lon"), F.lit(10**6)).cast("int")
+        x, y, z = cube(F.col("lat"), F.col("lon"), edge)
+        met = F.flatten(F.flatten(F.transform(near, lambda i: F.transform(near, lambda j: F.transform(near, lambda m: F.struct((x + i).alias("x"), (y + j).alias("y"), (z + m).alias("z")))))))
+        alone = F.array(F.struct(apart.alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z")))
+        dealt = asks.select("lat", "lon", "best", "settled", F.explode(F.when(F.col("settled"), alone).otherwise(met)).alias("c")).select("lat", "lon", "best", "settled", "c.*")
+        cells = spots.select("lat2", "lon2", "place", *(v.alias(c) for v, c in zip(cube(F.col("lat2"), F.col("lon2"), edge), "xyz")))
+        d = F.round(haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 0)
+        found = dealt.join(cells, ["x", "y", "z"], "left").withColumn("found", F.when(F.col("place").isNotNull(), F.struct(d.alias("d"), "place")))
+        asks = found.groupBy("lat", "lon").agg(F.min(F.least("best", "found")).alias("best"))
+        asks = asks.withColumn("settled", F.coalesce(F.col("best.d") + 1 < reach, F.lit(False)))
+    return points.join(asks.select("lat", "lon", F.col("best.place").alias("nearest")), ["lat", "lon"], "left").select("id", "nearest")
 
 
 def shortened(labels: Column, n: int = 8) -> Column:

@@ -129,15 +129,14 @@ def prj2_client_rows(spark, sf_dir):
     return p.select(F.col("p_brand").alias("parent"), "p_partkey", n.alias("position"), F.format_string("%.2f", "p_retailprice").alias("price"), F.coalesce(F.nullif("p_type", F.lit("")), F.lit("food")).alias("category"))
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, (c_custkey % 180) - 90.0 AS lat, (c_custkey * 7 % 360) - 180.0 AS lon FROM customer), s AS (SELECT s_suppkey AS sid, (s_suppkey * 3 % 180) - 90.0 AS lat2, (s_suppkey * 11 % 360) - 180.0 AS lon2 FROM supplier WHERE s_suppkey % 10 = 1)
+@query("""WITH c AS (SELECT c_custkey AS id, (c_custkey % 180) - 90.0 AS lat, (c_custkey * 7 % 360) - 180.0 AS lon FROM customer), s AS (SELECT s_suppkey AS sid, (s_suppkey * 3 % 180) - 90.0 AS lat2, (s_suppkey * 11 % 360) - 180.0 AS lon2 FROM supplier)
 SELECT id, sid AS nearest FROM (SELECT id, sid, row_number() OVER (PARTITION BY id ORDER BY round(2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2)))), 0), sid) AS k FROM c, s) WHERE k = 1""")
 def srt6_nearest_place(spark, sf_dir):
-    """SRT6, MAT3: the nearest of a bounded list of places, found inside each row, so that no pairs are made."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 180 - 90.0).cast("double").alias("lat"), (F.col("c_custkey") * 7 % 360 - 180.0).cast("double").alias("lon"))
-    places = table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 1").agg(F.collect_list(F.struct(F.col("s_suppkey").alias("sid"), (F.col("s_suppkey") * 3 % 180 - 90.0).cast("double").alias("lat2"), (F.col("s_suppkey") * 11 % 360 - 180.0).cast("double").alias("lon2")))).scalar()
-    c = c.withColumn("places", places)
-    near = F.array_min(F.transform("places", lambda p: F.struct(F.round(L.haversine(F.col("lat"), F.col("lon"), p["lat2"], p["lon2"]), 0).alias("d"), p["sid"].alias("sid"))))
-    return c.select("id", near["sid"].alias("nearest"))
+    """SRT6, MAT3: for every customer the nearest of all suppliers, found among the places of the cells around it."""
+    k, n = F.col("c_custkey"), F.col("s_suppkey")
+    c = table(spark, sf_dir, "customer").select(k.alias("id"), (k % 180 - 90.0).cast("double").alias("lat"), (k * 7 % 360 - 180.0).cast("double").alias("lon"))
+    s = table(spark, sf_dir, "supplier").select(n.alias("place"), (n * 3 % 180 - 90.0).cast("double").alias("lat2"), (n * 11 % 360 - 180.0).cast("double").alias("lon2"))
+    return L.nearest(c, s)
 
 
 @query("""SELECT p_brand, CASE WHEN count(*) > 8 THEN array_to_string(list_sort(list(p_name || '#' || p_partkey))[1:8], ', ') || ' and ' || (count(*) - 8) || ' more' ELSE array_to_string(list_sort(list(p_name || '#' || p_partkey)), ', ') END AS labels FROM part GROUP BY 1""")

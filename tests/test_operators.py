@@ -204,3 +204,25 @@ def test_curated_files(spark, tmp_path):
     df = spark.createDataFrame([("ok-1", "image/png", "aGk="), ("../x", "image/jpeg", "aGk="), ("a", "image/png", "!!")], "id string, mime string, data_base64 string")
     got = S.photos(df).collect()
     assert [bytes(r.bytes) for r in got] == [b"hi", b"hi"] and got[0].file == "ok-1.png" and got[1].file.startswith("photo-") and got[1].file.endswith(".jpg")
+
+
+def test_nearest_against_all_pairs(spark):
+    import math
+    import random
+
+    from mergestone.operators.lists import nearest
+
+    def metres(a, o, b, q):
+        h = math.sin(math.radians(b - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(b)) * math.sin(math.radians(q - o) / 2) ** 2
+        return round(2 * 6371000 * math.asin(min(1.0, math.sqrt(h))))
+
+    r = random.Random(3)
+    spread = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(60)]
+    crowd = [(100 + i, 10 + r.random() / 100, 20 + r.random() / 100) for i in range(40)]  # far from most points
+    points = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(80)] + [(80, 90.0, 0.0), (81, -90.0, 5.0), (82, 0.0, 180.0)]
+    for places in (spread + crowd, crowd, crowd[:1], [(7, 1.0, 1.0), (6, 1.0, 1.0)]):
+        got = nearest(spark.createDataFrame([*points, (90, None, 1.0)], "id long, lat double, lon double"), spark.createDataFrame([*places, (1, None, None)], "place long, lat2 double, lon2 double"))
+        want = {i: min((metres(a, o, b, q), p) for p, b, q in places)[1] for i, a, o in points} | {90: None}
+        assert {r.id: r.nearest for r in got.collect()} == want
+    none = nearest(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame([], "place long, lat2 double, lon2 double"))
+    assert {r.nearest for r in none.collect()} == {None}
