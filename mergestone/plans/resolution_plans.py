@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mergestone.functions.text import length_bound, similarity, token_sorted
+from mergestone.functions.text import similarity, token_sorted
 from mergestone.operators import photos as P
 from mergestone.operators import resolution as R
 from mergestone.plans.registry import query, table
@@ -18,10 +18,13 @@ s AS (SELECT a, b, round(200.0 * row[len(row)] / (length(a) + length(b)), 6) AS
 
 @query(f"WITH RECURSIVE {LCS} SELECT a, b, score FROM s WHERE a < b AND score >= 70")
 def str3_similar_names(spark, sf_dir):
-    """STR3, UDF2, ER1: scores of distinct names with a common word; names without one are paired by their first letters' block."""
-    n = table(spark, sf_dir, "part").select(token_sorted(F.col("p_name")).alias("k")).distinct()
-    # a score of 70 or more needs letters in common: the vocabulary of names is small and fixed, so one block holds it
-    pairs = n.select(F.col("k").alias("a"), F.lit(1).alias("block")).join(n.select(F.col("k").alias("b"), F.lit(1).alias("block")), "block").filter("a < b").filter(length_bound(F.col("a"), F.col("b")) >= 70)
+    """STR3, UDF2, ER1: scores of distinct names. A name meets those of the lengths with which 70 can be reached, by equality of
+    lengths, so pairs are dealt by many keys."""
+    n = table(spark, sf_dir, "part").select(token_sorted(F.col("p_name")).alias("k")).distinct().withColumn("n", F.length("k"))
+    # 200 * min / (x + y) >= 70 for lengths x and y, so that y is from 7 / 13 of x to 13 / 7 of it
+    meets = F.sequence(F.ceil(F.col("n") * 7 / 13 - 1e-9).cast("int"), F.floor(F.col("n") * 13 / 7 + 1e-9).cast("int"))
+    a = n.select(F.col("k").alias("a"), F.explode(meets).alias("n"))
+    pairs = a.join(n.withColumnRenamed("k", "b"), "n").filter("a < b")
     return pairs.select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 6).alias("score")).filter("score >= 70")
 
 
