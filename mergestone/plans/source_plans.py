@@ -38,8 +38,7 @@ def src7_changeset_scan(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     item = F.array(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_size").alias("price_usd"), F.lit(1).alias("secret")))
     p.select(F.lit(1).alias("version"), F.col("p_brand").alias("festival"), item.alias("menu_items"), F.lit("x").alias("other")).write.json(out)
-    raw = spark.read.schema(S.CHANGESET).json(out)
-    return raw.filter("version = 1").select("festival", F.inline("menu_items")).select("festival", "name", "category", "price_usd")
+    return S.changeset(spark, out, lines=True).select("festival", "name", "category", "price_usd")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'doc-' || doc_id ELSE 'photo-' || sha256('a/' || doc_id)[1:32] END || '.png' AS file, strlen(text) AS n FROM documents WHERE text IS NOT NULL""")

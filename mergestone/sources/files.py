@@ -38,9 +38,10 @@ def folders(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame
 CHANGESET = "version int, generated_at string, festival string, menu_items array<struct<name:string,booth_name:string,category:string,price_usd:double,rename_to:string,new:boolean,deleted:boolean,photo:struct<id:string,mime:string,data_base64:string>>>"
 
 
-def changeset(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7, PRJ6: changes of version 1; the schema is the list of keys that are let in, other versions fail."""
-    raw = spark.read.schema(CHANGESET).option("multiLine", True).json(path)
+def changeset(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC7, PRJ6: changes of version 1; the schema is the list of keys that are let in, other versions fail. One changeset a file,
+    or with ``lines`` one a line."""
+    raw = spark.read.schema(CHANGESET).option("multiLine", not lines).json(path)
     ok = F.when(F.col("version") == 1, F.col("menu_items")).otherwise(F.raise_error(F.lit("changeset is not of version 1")))
     return raw.select("festival", F.inline(ok))
 
