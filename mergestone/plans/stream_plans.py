@@ -27,3 +27,18 @@ def stm2_incremental_pass(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("at", F.to_date("o_orderdate"))
     since = o.filter("o_orderstatus = 'F'").agg(F.date_sub(F.max("at"), 365).alias("since"))
     return S.incremental(o, since, "at").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+
+
+@query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS run, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY 1""")
+def stm2_resumed_passes(spark, sf_dir):
+    """STM2, STM3: three runs over one folder of arrivals and one checkpoint. The second reads only what came since the first, and
+    the third, for which nothing came, adds no rows."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    arrivals, folder = S.shared_folder(spark, "arrivals"), S.shared_folder(spark, "passes")
+    done = None
+    for run, came in ((1, "o_orderstatus = 'F'"), (2, "o_orderstatus <> 'F'"), (3, None)):
+        if came:
+            o.filter(came).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(o.schema).parquet(arrivals).select(F.lit(run).alias("run"), "o_orderkey")
+        done = S.run_to_end(stream, "passes", folder=folder)
+    return done.groupBy("run").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))

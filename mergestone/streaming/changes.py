@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where all executors can write: in spark.checkpoint.dir, or local where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder where all executors can write: in spark.checkpoint.dir. Where that is unset, a local one on a single machine,
+    as in tests; on a cluster, whose executors would not see it, an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -42,10 +47,12 @@ def once(records: DataFrame, key: str, at: str, late: str = "10 days") -> DataFr
     return records.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """STM2: all that is available now, then stop; the checkpoint makes the next run begin where this one ended."""
+def run_to_end(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """STM2, STM3: all that is available now, then stop. With a ``folder`` of an earlier run, the checkpoint there makes this run begin
+    where that one ended, and the result holds the rows of all runs; without one, the run is the first of a new folder."""
     spark = stream.sparkSession
-    out, mark = shared_folder(spark, name), shared_folder(spark, f"{name}-checkpoint")
+    folder = folder or shared_folder(spark, name)
+    out, mark = f"{folder}/out", f"{folder}/checkpoint"
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
