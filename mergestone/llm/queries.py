@@ -72,6 +72,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(with_tool_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet")), SCHEMAS)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.periodic_runs import find_runs, run_digests, with_planted_runs
+
+    return run_digests(find_runs(with_planted_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -83,6 +89,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
