@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergestone.llm.importance_resampling import SQL as SQL_12
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mergestone.llm.noisy_channel import score_toxicity
@@ -78,6 +80,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(find_runs(with_planted_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.importance_resampling import resampled
+
+    found = resampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -90,7 +99,8 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_importance_resampling": SQL_12}
