@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergestone.llm.importance_resampling import SQL as SQL_12
+from mergestone.llm.substring_dedup import SQL as SQL_13
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +88,13 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mergestone.llm.substring_dedup import without_repeated_passages
+
+    found = without_repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_lm_scoring": op2_lm_scoring,
@@ -100,7 +108,8 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLE: dict[str, str] = {"op12_importance_resampling": SQL_12}
+ORACLE: dict[str, str] = {"op12_importance_resampling": SQL_12, "op13_substring_dedup": SQL_13}
