@@ -259,6 +259,6 @@ def without_repeated_passages(docs: DataFrame, length: int = LENGTH, anchor: int
 SQL = r"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
 w AS (SELECT row, doc_id, i, list_aggregate(words[i : i + 12], 'string_agg', ' ') AS t FROM (SELECT row, doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d)),
 f AS (SELECT t, min(doc_id) AS first FROM w GROUP BY 1),
-l AS (SELECT row, list(DISTINCT i) AS at FROM (SELECT row, unnest(range(i, i + 13)) AS i FROM w JOIN f USING (t) WHERE first < doc_id) GROUP BY 1),
-k AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d) u ANTI JOIN (SELECT row, unnest(at) AS i FROM l) x USING (row, i) GROUP BY 1)
+l AS (SELECT row, list(DISTINCT i) AS gone FROM (SELECT row, unnest(range(i, i + 13)) AS i FROM w JOIN f USING (t) WHERE first < doc_id) GROUP BY 1),
+k AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d) u ANTI JOIN (SELECT row, unnest(gone) AS i FROM l) x USING (row, i) GROUP BY 1)
 SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (row)"""
