@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergestone.functions.text import length_bound, similarity, token_sorted
+from mergestone.functions.text import token_sorted
+from mergestone.operators.rounds import kept
+from mergestone.operators.similarity_join import GRAMS, similar
 
 AUTO, REVIEW = 90.0, 70.0
 
@@ -17,15 +19,23 @@ def outcome(score: Column) -> Column:
 
 def matched(records: DataFrame, entities: DataFrame, least: float = 0.0) -> DataFrame:
     """ER1-ER3, JOI11, SRT4: each record (record, block, key) with the entity (entity, block, ekey, is_active) of its block that
-    scores best; live ones win ties, then lower ids. Equal keys of a block are scored once, and pairs whose lengths cannot
-    reach ``least`` are never scored. Records without candidates are new entities with a null score."""
-    keys = records.select("block", "key").distinct()
-    others = entities.groupBy("block", "ekey").agg(F.max(F.struct("is_active", -F.col("entity"))).alias("e"))
-    pairs = keys.join(others, "block").filter(length_bound(F.col("key"), F.col("ekey")) >= least)
-    scored = pairs.withColumn("score", F.round(similarity(F.col("key"), F.col("ekey")), 6))
-    best = scored.groupBy("block", "key").agg(F.max(F.struct("score", "e")).alias("b"))
-    best = best.select("block", "key", F.col("b.score").alias("score"), (-F.col("b.e.col2")).alias("entity"))
-    out = records.join(best, ["block", "key"], "left")
+    scores best, and at least ``least``; live ones win ties, then lower ids. Equal keys of a block are scored once. With a ``least`` of
+    sure matches (AUTO) they come from an index of grams; below, keys that the block's entities do not hold as they are meet those with
+    enough letters in common. Records without candidates are new entities with a null score."""
+    keyed = records.withColumn("a", token_sorted(F.col("key")))
+    others = entities.select("block", token_sorted(F.col("ekey")).alias("b"), F.struct("is_active", -F.col("entity")).alias("e")).groupBy("block", "b").agg(F.max("e").alias("e"))
+    keys = keyed.select("block", "a").distinct()
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return pairs.join(others, ["block", "b"]).groupBy("block", "a").agg(F.max(F.struct("score", "e")).alias("b"))
+
+    if least >= GRAMS:
+        found = best(similar(keys, others, least))
+    else:  # nothing scores more than equal keys, so only the others meet their block
+        same = keys.join(others.withColumnRenamed("b", "a"), ["block", "a"]).select("block", "a", F.struct(F.lit(100.0).alias("score"), "e").alias("b"))
+        found = same.unionByName(best(similar(keys.join(others.select("block", F.col("b").alias("a")), ["block", "a"], "left_anti"), others, least)))
+    found = found.select("block", "a", F.col("b.score").alias("score"), (-F.col("b.e.col2")).alias("entity"))
+    out = keyed.join(found, ["block", "a"], "left").drop("a")
     return out.withColumn("outcome", outcome(F.col("score"))).withColumn("entity", F.when(F.col("outcome") != "new_entity", F.col("entity")))
 
 
@@ -36,31 +46,30 @@ def flagged(matches: DataFrame) -> DataFrame:
 
 
 def leader_clusters(records: DataFrame) -> DataFrame:
-    """ER4, UDF4: exact sequential clustering inside blocks: (record, block, key) -> leader. Records of equal keys follow the
-    first of them, so a block's task holds its distinct keys only; blocks are independent groups."""
-    first = records.groupBy("block", "key").agg(F.min("record").alias("record")).withColumn("sorted", token_sorted(F.col("key")))
-
-    def cluster(pdf):
-        from mergestone.functions.text import _common
-
-        leaders: list[tuple[str, int]] = []
-        out = []
-        for r in pdf.sort_values("record").itertuples():
-            best, at = -1.0, None
-            for s, i in leaders:
-                n = len(s) + len(r.sorted)
-                if 200.0 * min(len(s), len(r.sorted)) >= AUTO * n and n:
-                    score = 200.0 * _common(s, r.sorted) / n
-                    if score > best:
-                        best, at = score, i
-            if best < AUTO:
-                at = r.record
-                leaders.append((r.sorted, r.record))
-            out.append(at)
-        return pdf.sort_values("record").assign(leader=out)[["block", "key", "leader"]]
-
-    led = first.groupBy("block").applyInPandas(cluster, "block string, key string, leader long")
-    return records.join(led, ["block", "key"]).select("record", "block", "key", "leader")
+    """ER4, UDF4: exact sequential clustering inside blocks: (record, block, key) -> leader. In the order of records, a key follows the
+    leader that is most alike (the earlier of equals) if that scores a sure match, and leads otherwise.
+
+    A key's part follows from the earlier keys near it alone, so all blocks and keys go side by side: in each round, keys with no earlier
+    undecided neighbour lead, and their later neighbours follow. Rounds go on while neighbours are undecided; their tables are written to
+    the shared folder, each smaller than the last. Records with a null block or key lead themselves."""
+    nodes = records.filter("block is not null and key is not null").groupBy("block", "key").agg(F.min("record").alias("record")).withColumn("s", token_sorted(F.col("key")))
+    first = nodes.groupBy("block", "s").agg(F.min("record").alias("at"))
+    near = kept(similar(first.withColumnRenamed("s", "a"), first.withColumnRenamed("s", "b"), AUTO, F.col("a") <= F.col("b")), "near")
+    near = near.unionByName(near.filter("a <> b").select("block", F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    placed = near.filter("a <> b").join(first.select("block", F.col("s").alias("a"), F.col("at").alias("x")), ["block", "a"]).join(first.select("block", F.col("s").alias("b"), F.col("at").alias("y")), ["block", "b"])
+    # a key's first record tells it apart from others of its block
+    edges = kept(placed.filter("x < y").select("block", "x", "y"), "edges")
+    follows = None
+    while not edges.isEmpty():
+        lead = edges.select("block", "x").distinct().join(edges.select("block", F.col("y").alias("x")).distinct(), ["block", "x"], "left_anti")
+        now = kept(edges.join(lead, ["block", "x"], "left_semi").select("block", F.col("y").alias("at")).distinct(), "follow")
+        follows = now if follows is None else follows.unionByName(now)
+        x, y = now.withColumnRenamed("at", "x"), now.withColumnRenamed("at", "y")
+        edges = kept(edges.join(lead, ["block", "x"], "left_anti").join(x, ["block", "x"], "left_anti").join(y, ["block", "y"], "left_anti"), "edges")
+    leaders = first if follows is None else first.join(follows, ["block", "at"], "left_anti")
+    meets = nodes.withColumnRenamed("s", "a").join(near, ["block", "a"]).join(leaders.withColumnRenamed("s", "b"), ["block", "b"]).filter("at <= record")
+    led = meets.groupBy("block", "key").agg((-F.max(F.struct("score", (-F.col("at")).alias("at")))["at"]).alias("leader"))
+    return records.join(led, ["block", "key"], "left").select("record", "block", "key", F.coalesce("leader", "record").alias("leader"))
 
 
 def longest_prefix_parent(lines: DataFrame, parents: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mergestone.functions.text import similarity, token_sorted
+from mergestone.functions.text import token_sorted
 from mergestone.operators import photos as P
 from mergestone.operators import resolution as R
+from mergestone.operators.similarity_join import GRAMS, similar
 from mergestone.plans.registry import query, table
 
 #: Longest common subsequence of all ordered pairs of distinct keys, by the rows of the usual table, in SQL.
@@ -18,14 +19,33 @@ s AS (SELECT a, b, round(200.0 * row[len(row)] / (length(a) + length(b)), 6) AS
 
 @query(f"WITH RECURSIVE {LCS} SELECT a, b, score FROM s WHERE a < b AND score >= 70")
 def str3_similar_names(spark, sf_dir):
-    """STR3, UDF2, ER1: scores of distinct names. A name meets those of the lengths with which 70 can be reached, by equality of
-    lengths, so pairs are dealt by many keys."""
-    n = table(spark, sf_dir, "part").select(token_sorted(F.col("p_name")).alias("k")).distinct().withColumn("n", F.length("k"))
-    # 200 * min / (x + y) >= 70 for lengths x and y, so that y is from 7 / 13 of x to 13 / 7 of it
-    meets = F.sequence(F.ceil(F.col("n") * 7 / 13 - 1e-9).cast("int"), F.floor(F.col("n") * 13 / 7 + 1e-9).cast("int"))
-    a = n.select(F.col("k").alias("a"), F.explode(meets).alias("n"))
-    pairs = a.join(n.withColumnRenamed("k", "b"), "n").filter("a < b")
-    return pairs.select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 6).alias("score")).filter("score >= 70")
+    """STR3, UDF2, ER1: scores of distinct names."""
+    n = table(spark, sf_dir, "part").select(F.lit("").alias("block"), token_sorted(F.col("p_name")).alias("a"))
+    return similar(n, n.withColumnRenamed("a", "b"), R.REVIEW, F.col("a") < F.col("b")).select("a", "b", "score")
+
+
+HEADLINE = "lower(trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '[^a-zA-Z0-9]+', ' ', 'g'), ' +', ' ', 'g')))"
+
+
+def headlines(spark, sf_dir):
+    """Pages with their headline's words, in blocks of one: all headlines may meet."""
+    words = F.lower(F.trim(F.regexp_replace(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1), "[^a-zA-Z0-9]+", " ")))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("record"), F.lit("").alias("block"), words.alias("key"))
+
+
+LCS_OF_HEADLINES = f"""h AS (SELECT page_id AS record, {HEADLINE} AS key FROM pages), t AS (SELECT *, array_to_string(list_sort(string_split(key, ' ')), ' ') AS k FROM h), n AS (SELECT DISTINCT k FROM t),
+d AS (SELECT x.k AS a, y.k AS b, 0 AS i, list_transform(generate_series(0, length(y.k)), lambda z: 0) AS row FROM n x, n y WHERE x.k < y.k AND 200 * least(length(x.k), length(y.k)) >= 85 * (length(x.k) + length(y.k))
+UNION ALL SELECT a, b, i + 1, list_reduce(list_prepend([0], list_transform(generate_series(1, length(b)), lambda j: [j])), lambda acc, z: list_append(acc, CASE WHEN a[i + 1] = b[z[1]] THEN row[z[1]] + 1 ELSE greatest(row[z[1] + 1], acc[len(acc)]) END)) FROM d WHERE i < length(a) AND 200 * (row[len(row)] + length(a) - i) >= 85 * (length(a) + length(b))),
+s AS (SELECT a, b, round(200.0 * row[len(row)] / (length(a) + length(b)), 6) AS score FROM d WHERE i = length(a))"""
+
+
+@query(f"WITH RECURSIVE {LCS_OF_HEADLINES}, p AS (SELECT a, b, score FROM s WHERE score >= 85 UNION ALL SELECT b, a, score FROM s WHERE score >= 85) SELECT k AS a, count(b) AS n_near, max(score) AS best FROM n LEFT JOIN p ON a = k GROUP BY 1")
+def er2_similar_headlines(spark, sf_dir):
+    """ER2, JOI11: of each headline, how many others are near it, and the best score, through the index of grams."""
+    h = headlines(spark, sf_dir).select("block", token_sorted(F.col("key")).alias("a"))
+    near = similar(h, h.withColumnRenamed("a", "b"), GRAMS, F.col("a") < F.col("b"))
+    both = near.select("a", "score").unionByName(near.select(F.col("b").alias("a"), "score")).groupBy("a").agg(F.count("*").alias("n_near"), F.max("score").alias("best"))
+    return h.select("a").distinct().join(both, "a", "left").select("a", F.coalesce("n_near", F.lit(0)).alias("n_near"), "best")
 
 
 def records(spark, sf_dir):
@@ -76,6 +96,17 @@ def er4_leader_clusters(spark, sf_dir):
     return R.leader_clusters(records(spark, sf_dir)).select("record", "leader")
 
 
+@query(f"""WITH RECURSIVE {LCS_OF_HEADLINES}, f AS (SELECT *, row_number() OVER (ORDER BY record) AS i FROM (SELECT key, k, min(record) AS record FROM t GROUP BY ALL)),
+c AS (SELECT y.i, list(x.record ORDER BY coalesce(score, 100) DESC, x.record) AS near FROM f y JOIN f x ON x.i < y.i LEFT JOIN s ON s.a = least(x.k, y.k) AND s.b = greatest(x.k, y.k) AND score >= 90 WHERE score IS NOT NULL OR x.k = y.k GROUP BY ALL),
+o AS (SELECT f.key, f.i, f.record, coalesce(near, []) AS near FROM f LEFT JOIN c ON c.i = f.i),
+g AS (SELECT key, i, record AS leader, [record] AS leaders FROM o WHERE i = 1
+UNION ALL SELECT key, i, coalesce(held, record), CASE WHEN held IS NULL THEN list_append(leaders, record) ELSE leaders END FROM (SELECT o.*, g.leaders, list_filter(o.near, lambda x: list_contains(g.leaders, x))[1] AS held FROM g JOIN o ON o.i = g.i + 1))
+SELECT record, leader FROM t JOIN g USING (key)""")
+def er4_headline_clusters(spark, sf_dir):
+    """ER4, UDF4: the order-exact rule over one block of the whole table."""
+    return R.leader_clusters(headlines(spark, sf_dir)).select("record", "leader")
+
+
 @query("""WITH p AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS name FROM part), l AS (SELECT p_partkey AS id, p_name AS line FROM part) SELECT id, line, (SELECT max_by(name, length(name)) FROM p WHERE line = name OR (starts_with(line, name) AND NOT regexp_matches(substring(line, length(name) + 1, 1), '\\w'))) AS parent FROM l""")
 def joi15_longest_prefix_parent(spark, sf_dir):
     p = table(spark, sf_dir, "part")
