@@ -49,22 +49,6 @@ def settled(pending: DataFrame, base: DataFrame, key: str) -> DataFrame:
     return rows.filter(~landed).select(key, "field", "value", "deleted")
 
 
-def applied(base: DataFrame, changes: DataFrame, categories: list[str]) -> tuple[DataFrame, DataFrame]:
-    """UPS3, UPS4: (result, report) of a changeset (name, rename_to, category, price, is_new, is_deleted) on (name, category, price).
-    A change is skipped, with a reason, if its category is unknown, its row is not there, or its new name is taken."""
-    names = base.select("name").withColumn("there", F.lit(True))
-    taken = base.select(F.col("name").alias("rename_to")).withColumn("taken", F.lit(True))
-    c = changes.join(names, "name", "left").join(taken, "rename_to", "left")
-    bad = F.col("category").isNotNull() & ~F.col("category").isin(categories)
-    reason = F.when(bad, "unknown category").when(F.col("is_new") & F.col("there").isNotNull(), "already there").when(~F.col("is_new") & F.col("there").isNull(), "not there").when(F.col("taken").isNotNull(), "name taken")
-    report = c.withColumn("reason", reason).withColumn("status", F.when(reason.isNotNull(), "skipped").when(F.col("is_deleted"), "deleted").when(F.col("is_new"), "added").otherwise("kept"))
-    good = report.filter("status <> 'skipped'").select("name", "rename_to", F.col("category").alias("c2"), F.col("price").alias("p2"), "status")
-    kept = base.join(good.filter("status <> 'added'"), "name", "left").filter("status is null or status <> 'deleted'")
-    kept = kept.select(F.coalesce("rename_to", "name").alias("name"), F.coalesce("c2", "category").alias("category"), F.coalesce("p2", "price").alias("price"))
-    added = good.filter("status = 'added'").select("name", F.col("c2").alias("category"), F.col("p2").alias("price"))
-    return kept.unionByName(added), report.select("name", "status", "reason")
-
-
 def checked(proposals: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
     """UPS8: why a proposal (id, parent, child, name, price, is_add, was_price) may not stand; null if it may."""
     p = parents.select("parent").distinct().withColumn("has_parent", F.lit(True))

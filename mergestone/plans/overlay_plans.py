@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mergestone.operators import overlay as O
+from mergestone.operators.changesets import applied
 from mergestone.plans.registry import query, table
 
 BASE = "b AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 3 = 1 THEN CAST(p_size AS VARCHAR) END AS size FROM part WHERE p_partkey % 5 <> 0)"
@@ -78,18 +79,51 @@ def changeset(spark, sf_dir):
 
 @query(f"WITH {CHANGES} SELECT name, status, reason FROM s")
 def ups4_changeset_report(spark, sf_dir):
-    return O.applied(*changeset(spark, sf_dir), ["food", "drink"])[1]
+    return applied(*changeset(spark, sf_dir), ["food", "drink"])[1].select("name", "status", "reason")
 
 
 @query(f"""WITH {CHANGES} SELECT coalesce(s.rename_to, b.name) AS name, coalesce(s.category, b.category) AS category, coalesce(s.price, b.price) AS price FROM b LEFT JOIN s ON s.name = b.name AND s.status IN ('kept', 'deleted') WHERE coalesce(s.status, '') <> 'deleted'
 UNION ALL SELECT name, category, price FROM s WHERE status = 'added'""")
 def ups3_changeset_result(spark, sf_dir):
-    return O.applied(*changeset(spark, sf_dir), ["food", "drink"])[0]
+    return applied(*changeset(spark, sf_dir), ["food", "drink"])[0]
+
+
+#: Orders as entries whose names collide: one in three gives a name another may hold, free or take.
+ORDERED = """e AS (SELECT o_custkey % 1000 AS scope, o_orderkey AS seq, 'n' || (o_custkey // 1000 + o_orderkey % 5) AS name, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey // 3 % 7 <> o_custkey // 1000 + o_orderkey % 5 THEN 'n' || (o_orderkey // 3 % 7) END AS rename_to, CASE CAST(floor(o_totalprice) AS BIGINT) % 10 WHEN 0 THEN 'odd' WHEN 1 THEN 'food' WHEN 2 THEN 'drink' END AS category, CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS INT) END AS price, o_orderkey % 7 = 2 AS is_new, o_orderkey % 7 = 3 AS is_deleted FROM orders),
+b AS (SELECT DISTINCT c_custkey % 1000 AS scope, 'n' || k AS name FROM customer, range(0, 7, 2) r(k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY seq) AS i FROM e),
+g AS (SELECT scope, 0 AS i, list({'name': name, 'category': 'drink', 'price': 1} ORDER BY name) AS held, NULL::BIGINT AS seq, NULL::VARCHAR AS name, NULL::VARCHAR AS reason FROM b GROUP BY scope
+UNION ALL SELECT g.scope, o.i, CASE WHEN w.reason IS NOT NULL THEN held WHEN is_new THEN list_append(held, {'name': o.name, 'category': category, 'price': price}) WHEN is_deleted THEN list_filter(held, lambda x: x.name <> o.name)
+ELSE list_transform(held, lambda x: CASE WHEN x.name = o.name THEN {'name': coalesce(rename_to, o.name), 'category': coalesce(category, x.category), 'price': coalesce(price, x.price)} ELSE x END) END, o.seq, o.name, w.reason
+FROM g JOIN o ON o.scope = g.scope AND o.i = g.i + 1, LATERAL (SELECT CASE WHEN category = 'odd' THEN 'unknown category' WHEN is_new AND list_contains(list_transform(held, lambda x: x.name), o.name) THEN 'already there' WHEN NOT is_new AND NOT list_contains(list_transform(held, lambda x: x.name), o.name) THEN 'not there' WHEN list_contains(list_transform(held, lambda x: x.name), rename_to) THEN 'name taken' END AS reason) w)"""
+
+
+def ordered_changeset(spark, sf_dir):
+    n = lambda x: F.concat(F.lit("n"), F.expr(x))
+    whole = F.floor("o_totalprice")
+    c = table(spark, sf_dir, "orders").select(
+        F.expr("o_custkey % 1000 AS scope"), F.col("o_orderkey").alias("seq"), n("o_custkey div 1000 + o_orderkey % 5").alias("name"), F.when(F.expr("o_orderkey % 3 = 0 AND o_orderkey div 3 % 7 <> o_custkey div 1000 + o_orderkey % 5"), n("o_orderkey div 3 % 7")).alias("rename_to"),
+        F.when(whole % 10 == 0, "odd").when(whole % 10 == 1, "food").when(whole % 10 == 2, "drink").alias("category"), F.when(F.col("o_orderkey") % 2 == 0, whole.cast("int")).alias("price"), F.expr("o_orderkey % 7 = 2 AS is_new"), F.expr("o_orderkey % 7 = 3 AS is_deleted"),
+    )
+    b = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 1000).alias("scope")).distinct().select("scope", F.explode(F.sequence(F.lit(0), F.lit(6), F.lit(2))).alias("k"))
+    return b.select("scope", F.concat(F.lit("n"), "k").alias("name"), F.lit("drink").alias("category"), F.lit(1).alias("price")), c
+
+
+@query(f"WITH RECURSIVE {ORDERED} SELECT scope, seq, name, CASE WHEN reason IS NOT NULL THEN 'skipped' WHEN is_new THEN 'added' WHEN is_deleted THEN 'deleted' ELSE 'kept' END AS status, reason FROM g JOIN e USING (scope, seq, name)")
+def ups4_ordered_report(spark, sf_dir):
+    """UPS4: entries that take and free each other's names, in order."""
+    return applied(*ordered_changeset(spark, sf_dir), ["food", "drink"], ["scope"])[1]
+
+
+@query(f"WITH RECURSIVE {ORDERED} SELECT scope, x.name AS name, x.category AS category, x.price AS price FROM (SELECT scope, unnest(arg_max(held, i)) AS x FROM g GROUP BY scope)")
+def ups3_ordered_result(spark, sf_dir):
+    """UPS3: what is left of rows that were renamed, deleted and added again."""
+    return applied(*ordered_changeset(spark, sf_dir), ["food", "drink"], ["scope"])[0].select("scope", "name", "category", "price")
 
 
 @query(f"WITH {CHANGES} SELECT printf('%d changed, %d added, %d deleted', count(*) FILTER (status = 'kept'), count(*) FILTER (status = 'added'), count(*) FILTER (status = 'deleted')) AS headline FROM s")
 def grd3_report_headline(spark, sf_dir):
-    r = O.applied(*changeset(spark, sf_dir), ["food", "drink"])[1]
+    r = applied(*changeset(spark, sf_dir), ["food", "drink"])[1]
     n = lambda s: F.count_if(F.col("status") == s)
     return r.agg(F.format_string("%d changed, %d added, %d deleted", n("kept"), n("added"), n("deleted")).alias("headline"))
 
