@@ -63,9 +63,11 @@ def checked(proposals: DataFrame, parents: DataFrame, children: DataFrame) -> Da
     return rows.select("id", why.alias("reason"))
 
 
-def digest(entries: DataFrame, *columns: str) -> DataFrame:
-    """HSH2, HSH3: (n, digest): an order-free digest of canonical rows. Each row's sha-256 is cut into four numbers that are
-    summed, so no list of rows is gathered, and the sums are hashed."""
+def digest(entries: DataFrame, *columns: str, by: list[str] | None = None) -> DataFrame:
+    """HSH2, HSH3: (n, digest), for each group of ``by`` if given: an order-free digest of canonical rows. Each row's sha-256 is cut into
+    four numbers that are summed, so no list of rows is gathered, and the sums are hashed."""
+    by = by or []
     row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
     sums = [F.sum(F.conv(F.substring(row, 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(4)]
-    return entries.agg(F.count("*").alias("n"), *sums).select("n", F.substring(F.sha2(F.concat_ws("-", "n", *(F.col(f"s{k}").cast("string") for k in range(4))), 256), 1, 32).alias("digest"))
+    told = F.substring(F.sha2(F.concat_ws("-", "n", *(F.col(f"s{k}").cast("string") for k in range(4))), 256), 1, 32)
+    return entries.groupBy(*by).agg(F.count("*").alias("n"), *sums).select(*by, "n", told.alias("digest"))

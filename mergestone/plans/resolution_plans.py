@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mergestone.functions.text import token_sorted
 from mergestone.operators import photos as P
 from mergestone.operators import resolution as R
-from mergestone.operators.similarity_join import GRAMS, similar
+from mergestone.operators.similarity_join import similar
 from mergestone.plans.registry import query, table
 
 #: Longest common subsequence of all ordered pairs of distinct keys, by the rows of the usual table, in SQL.
@@ -34,16 +34,16 @@ def headlines(spark, sf_dir):
 
 
 LCS_OF_HEADLINES = f"""h AS (SELECT page_id AS record, {HEADLINE} AS key FROM pages), t AS (SELECT *, array_to_string(list_sort(string_split(key, ' ')), ' ') AS k FROM h), n AS (SELECT DISTINCT k FROM t),
-d AS (SELECT x.k AS a, y.k AS b, 0 AS i, list_transform(generate_series(0, length(y.k)), lambda z: 0) AS row FROM n x, n y WHERE x.k < y.k AND 200 * least(length(x.k), length(y.k)) >= 85 * (length(x.k) + length(y.k))
-UNION ALL SELECT a, b, i + 1, list_reduce(list_prepend([0], list_transform(generate_series(1, length(b)), lambda j: [j])), lambda acc, z: list_append(acc, CASE WHEN a[i + 1] = b[z[1]] THEN row[z[1]] + 1 ELSE greatest(row[z[1] + 1], acc[len(acc)]) END)) FROM d WHERE i < length(a) AND 200 * (row[len(row)] + length(a) - i) >= 85 * (length(a) + length(b))),
+d AS (SELECT x.k AS a, y.k AS b, 0 AS i, list_transform(generate_series(0, length(y.k)), lambda z: 0) AS row FROM n x, n y WHERE x.k < y.k AND 200 * least(length(x.k), length(y.k)) >= 90 * (length(x.k) + length(y.k))
+UNION ALL SELECT a, b, i + 1, list_reduce(list_prepend([0], list_transform(generate_series(1, length(b)), lambda j: [j])), lambda acc, z: list_append(acc, CASE WHEN a[i + 1] = b[z[1]] THEN row[z[1]] + 1 ELSE greatest(row[z[1] + 1], acc[len(acc)]) END)) FROM d WHERE i < length(a) AND 200 * (row[len(row)] + length(a) - i) >= 90 * (length(a) + length(b))),
 s AS (SELECT a, b, round(200.0 * row[len(row)] / (length(a) + length(b)), 6) AS score FROM d WHERE i = length(a))"""
 
 
-@query(f"WITH RECURSIVE {LCS_OF_HEADLINES}, p AS (SELECT a, b, score FROM s WHERE score >= 85 UNION ALL SELECT b, a, score FROM s WHERE score >= 85) SELECT k AS a, count(b) AS n_near, max(score) AS best FROM n LEFT JOIN p ON a = k GROUP BY 1")
+@query(f"WITH RECURSIVE {LCS_OF_HEADLINES}, p AS (SELECT a, b, score FROM s WHERE score >= 90 UNION ALL SELECT b, a, score FROM s WHERE score >= 90) SELECT k AS a, count(b) AS n_near, max(score) AS best FROM n LEFT JOIN p ON a = k GROUP BY 1")
 def er2_similar_headlines(spark, sf_dir):
     """ER2, JOI11: of each headline, how many others are near it, and the best score, through the index of grams."""
     h = headlines(spark, sf_dir).select("block", token_sorted(F.col("key")).alias("a"))
-    near = similar(h, h.withColumnRenamed("a", "b"), GRAMS, F.col("a") < F.col("b"))
+    near = similar(h, h.withColumnRenamed("a", "b"), R.AUTO, F.col("a") < F.col("b"))
     both = near.select("a", "score").unionByName(near.select(F.col("b").alias("a"), "score")).groupBy("a").agg(F.count("*").alias("n_near"), F.max("score").alias("best"))
     return h.select("a").distinct().join(both, "a", "left").select("a", F.coalesce("n_near", F.lit(0)).alias("n_near"), "best")
 

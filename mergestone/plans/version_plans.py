@@ -97,6 +97,41 @@ def lif5_refused_pass(spark, sf_dir):
     return judged(spark, sf_dir, 1)
 
 
+#: Parents are brands, children parts; support follows from suppliers that are not left out.
+TOGETHER = """p AS (SELECT p_brand AS entity, count(*) FILTER (p_size = 1) % 5 = 0 AS curated, min(p_partkey) % 6 <> 5 AS is_active FROM part GROUP BY 1),
+c AS (SELECT p_partkey AS entity, p_brand AS parent, p_partkey % 40 = 0 AS curated, p_partkey % 9 <> 0 AS is_active FROM part),
+ps AS (SELECT DISTINCT p_brand AS entity FROM part WHERE {parents}), cs AS (SELECT DISTINCT l_partkey AS entity FROM lineitem WHERE {children}),
+pw AS (SELECT *, NOT curated AND entity IN (SELECT entity FROM ps) AS wanted FROM p),
+cw AS (SELECT c.*, NOT curated AND entity IN (SELECT entity FROM cs) AND parent IN (SELECT entity FROM pw WHERE wanted OR (curated AND is_active)) AS wanted FROM c),
+g AS (SELECT (SELECT count(*) FILTER (is_active AND NOT curated) > 0 AND count(*) FILTER (is_active AND NOT curated AND NOT wanted) = count(*) FILTER (is_active AND NOT curated) OR count(*) FILTER (is_active AND NOT curated AND NOT wanted) > 0.6 * count(*) FILTER (is_active AND NOT curated) FROM pw)
+OR (SELECT count(*) FILTER (is_active AND NOT curated) > 0 AND count(*) FILTER (is_active AND NOT curated AND NOT wanted) = count(*) FILTER (is_active AND NOT curated) FROM cw) AS refused),
+b AS (SELECT 'parent' AS side, CAST(entity AS VARCHAR) AS entity, curated, is_active, wanted FROM pw UNION ALL SELECT 'child', CAST(entity AS VARCHAR), curated, is_active, wanted FROM cw),
+d AS (SELECT side, entity, curated, is_active AS was_active, CASE WHEN curated OR refused THEN is_active ELSE wanted END AS is_active, refused FROM b, g)"""
+
+
+def together(spark, sf_dir, parents, children):
+    part = table(spark, sf_dir, "part")
+    p = part.groupBy(F.col("p_brand").alias("entity")).agg((F.count_if(F.col("p_size") == 1) % 5 == 0).alias("curated"), (F.min("p_partkey") % 6 != 5).alias("is_active"))
+    k = F.col("p_partkey")
+    c = part.select(k.alias("entity"), F.col("p_brand").alias("parent"), (k % 40 == 0).alias("curated"), (k % 9 != 0).alias("is_active"))
+    out = L.judged_together(p, c, part.filter(parents).select(F.col("p_brand").alias("entity")), table(spark, sf_dir, "lineitem").filter(children).select(F.col("l_partkey").alias("entity")))
+    rows = [df.select(F.lit(side).alias("side"), F.col("entity").cast("string").alias("entity"), "curated", "was_active", "is_active", "change", "refused") for side, df in zip(("parent", "child"), out)]
+    return rows[0].unionByName(rows[1])
+
+
+@query(f"WITH {TOGETHER.format(parents='p_brand <> (SELECT max(p_brand) FROM part)', children='l_suppkey % 3 = 0 AND l_linenumber = 1')} SELECT *, {CHANGE} AS change FROM d")
+def lif5_one_verdict_passes(spark, sf_dir):
+    """LIF2-LIF5: parents and children retired and reactivated together; one brand has no support, and takes its parts along."""
+    last = table(spark, sf_dir, "part").agg(F.max("p_brand")).first()[0]
+    return together(spark, sf_dir, F.col("p_brand") != last, F.expr("l_suppkey % 3 = 0 and l_linenumber = 1"))
+
+
+@query(f"WITH {TOGETHER.format(parents='p_size < 0', children='true')} SELECT *, {CHANGE} AS change FROM d")
+def lif5_one_verdict_refuses(spark, sf_dir):
+    """LIF5: no parent has support, so both halves are refused, though children alone would pass."""
+    return together(spark, sf_dir, F.expr("p_size < 0"), F.expr("true"))
+
+
 @query(f"""WITH {SUPPORT.format(k=8)} SELECT p_size AS child, j.entity AS parent_entity, j.is_active AND p_size % 2 = 0 AS is_active FROM (SELECT DISTINCT p_size, p_partkey FROM part) c JOIN j ON c.p_partkey = j.entity""")
 def lif3_children_follow_parents(spark, sf_dir):
     c = table(spark, sf_dir, "part").select(F.col("p_size").alias("child"), F.col("p_partkey").alias("parent"), (F.col("p_size") % 2 == 0).alias("is_active")).distinct()
@@ -138,10 +173,34 @@ def grd1_inventory_problems(spark, sf_dir):
     return L.inventory_problems(items, p.select(F.col("p_brand").alias("id")).distinct())
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000)")
 def joi6_not_yet_held(spark, sf_dir):
-    """JOI6, JOI7, UPS5"""
-    return L.unheld(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    """JOI6: customers without a large order that is done."""
+    held = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return L.unheld(table(spark, sf_dir, "customer").select("c_custkey"), held, "c_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber >= 2)")
+def joi7_not_yet_linked(spark, sf_dir):
+    """JOI7, ER7: records, as orders, that have no link yet."""
+    links = table(spark, sf_dir, "lineitem").filter("l_linenumber >= 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    return L.unheld(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), links, "o_orderkey")
+
+
+@query("""WITH h AS (SELECT o_custkey AS url, sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS h FROM orders),
+x AS (SELECT url, h, CAST('0x' || substr(h, 1, 12) AS HUGEINT) AS a, CAST('0x' || substr(h, 13, 12) AS HUGEINT) AS b, CAST('0x' || substr(h, 25, 12) AS HUGEINT) AS c, CAST('0x' || substr(h, 37, 12) AS HUGEINT) AS d FROM h)
+SELECT url, count(*) AS n, substr(sha256(concat_ws('-', count(*), sum(a), sum(b), sum(c), sum(d))), 1, 32) AS digest, CASE WHEN url % 5 = 0 THEN 1 ELSE 2 END AS version FROM x WHERE url % 3 = 0 OR url % 5 = 0 GROUP BY url""")
+def ups5_staged_lists(spark, sf_dir):
+    """UPS5, HSH3: of each customer's list of orders those that changed or are new. One in three was held with other statuses, one in five
+    not at all; the others are held as they are, and are not staged again."""
+    from mergestone.operators.overlay import digest
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), "o_orderkey", "o_orderstatus")
+    before = o.filter("url % 5 <> 0").withColumn("o_orderstatus", F.when(F.col("url") % 3 == 0, "?").otherwise(F.col("o_orderstatus")))
+    lists = lambda df: digest(df, "o_orderkey", "o_orderstatus", by=["url"])
+    none = lists(o.limit(0)).select("url", "digest", F.lit(0).cast("long").alias("version"))
+    held = L.staged(lists(before), none, "url").select("url", "digest", "version")
+    return L.staged(lists(o), held, "url")
 
 
 @query("""SELECT s_suppkey AS k, s_name AS v FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
