@@ -54,7 +54,7 @@ def leader_clusters(records: DataFrame) -> DataFrame:
     the shared folder, each smaller than the last. Records with a null block or key lead themselves."""
     nodes = records.filter("block is not null and key is not null").groupBy("block", "key").agg(F.min("record").alias("record")).withColumn("s", token_sorted(F.col("key")))
     first = nodes.groupBy("block", "s").agg(F.min("record").alias("at"))
-    near = kept(similar(first.withColumnRenamed("s", "a"), first.withColumnRenamed("s", "b"), AUTO, F.col("a") <= F.col("b")), "near")
+    near = kept(similar(first.withColumnRenamed("s", "a"), first.withColumnRenamed("s", "b"), AUTO, once=True), "near")
     near = near.unionByName(near.filter("a <> b").select("block", F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     placed = near.filter("a <> b").join(first.select("block", F.col("s").alias("a"), F.col("at").alias("x")), ["block", "a"]).join(first.select("block", F.col("s").alias("b"), F.col("at").alias("y")), ["block", "b"])
     # a key's first record tells it apart from others of its block

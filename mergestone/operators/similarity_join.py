@@ -76,50 +76,52 @@ def letter_bits(key: str) -> tuple[int, int, int]:
     return bits[0], bits[1], len(key) - sum(held)
 
 
-def _listed(keys: DataFrame, least: float) -> DataFrame:
-    """``keys`` (block, key, ...) with a row for each gram under which a key is listed."""
+@F.pandas_udf(StructType([StructField("low", LongType()), StructField("high", LongType()), StructField("more", LongType())]))
+def _letters(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([letter_bits(t) for t in s], columns=["low", "high", "more"])
 
-    @F.pandas_udf("array<string>")
-    def grams(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: rare_grams(t, least))
 
-    return keys.withColumn("under", F.explode(grams(keys.columns[1])))
+def bound() -> Column:
+    """No less than the score of two keys, from their lengths and letters."""
+    both = lambda h: F.bit_count(F.col(f"{h}_a").bitwiseAND(F.col(f"{h}_b")))
+    common = F.least(F.col("n_a"), F.col("n_b"), both("low") + both("high") + F.least("more_a", "more_b"))
+    return F.when(F.col("n_a") + F.col("n_b") == 0, 100.0).otherwise(200.0 * common / F.greatest(F.col("n_a") + F.col("n_b"), F.lit(1)))
 
 
-@F.pandas_udf(StructType([StructField("low", LongType()), StructField("high", LongType()), StructField("more", LongType())]))
-def _letters(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([letter_bits(t) for t in s], columns=["low", "high", "more"])
+def _listed(keys: DataFrame, side: str, least: float) -> DataFrame:
+    """Short rows: what a key is listed under, its number, length and letters."""
 
+    @F.pandas_udf("array<string>")
+    def grams(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: rare_grams(t, least))
 
-def bound(a: Column, b: Column) -> Column:
-    """No less than the score of two keys, from their lengths and letters (n, l)."""
-    both = lambda h: F.bit_count(a["l"][h].bitwiseAND(b["l"][h]))
-    common = F.least(a["n"], b["n"], both("low") + both("high") + F.least(a["l"]["more"], b["l"]["more"]))
-    return F.when(a["n"] + b["n"] == 0, 100.0).otherwise(200.0 * common / F.greatest(a["n"] + b["n"], F.lit(1)))
+    told = keys.withColumn("l", _letters("s"))
+    told = told.withColumn("under", F.explode(grams("s"))) if least >= GRAMS else told.withColumn("under", F.lit(""))
+    named = lambda c, x: c.alias(f"{x}_{side}")
+    return told.select(F.xxhash64("block", "under").alias("under"), named(F.col("id"), "id"), named(F.length("s"), "n"), named(F.col("l.low"), "low"), named(F.col("l.high"), "high"), named(F.col("l.more"), "more"))
 
 
-def _in_parts(x: DataFrame, y: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides of a join on ``keys``, with long lists of ``y`` dealt to numbered parts, each of which meets all of ``x``."""
-    many = y.groupBy(*keys).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")
+def _in_parts(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides, with long lists of ``y`` dealt to numbered parts, each of which meets all of ``x``."""
+    many = y.groupBy("under").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")
     n = F.coalesce("parts", F.lit(1))
-    x = x.join(many, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
-    y = y.join(many, keys, "left").withColumn("part", F.pmod(F.xxhash64(name), n).cast("int")).drop("parts")
-    return x, y, [*keys, "part"]
+    x = x.join(many, "under", "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
+    return x, y.join(many, "under", "left").withColumn("part", F.pmod(F.xxhash64("id_b"), n).cast("int")).drop("parts")
 
 
-def similar(left: DataFrame, right: DataFrame, least: float, only: Column | None = None) -> DataFrame:
+def similar(left: DataFrame, right: DataFrame, least: float, once: bool = False) -> DataFrame:
     """ER2, JOI11, STR3: (block, a, b, score) of all pairs of distinct token-sorted keys a of ``left`` (block, a) and b of ``right`` (block,
-    b) with a score of at least ``least``. ``only`` is a condition on a and b that pairs must meet, such as a < b. Null keys and
-    blocks match nothing; two empty keys are equal."""
-    a = left.select("block", "a").filter("block is not null and a is not null").distinct()
-    b = right.select("block", "b").filter("block is not null and b is not null").distinct()
-    told = lambda s: F.struct(F.length(s).alias("n"), _letters(s).alias("l"))
-    a, b = a.withColumn("x", told("a")), b.withColumn("y", told("b"))
-    good = (bound(F.col("x"), F.col("y")) >= least - EPS) & (F.lit(True) if only is None else only)
-    if least >= GRAMS:
-        x, y, on = _in_parts(_listed(a, least), _listed(b, least), ["block", "under"], "b")
-        pairs = x.join(y, on).filter(good).select("block", "a", "b").distinct()
-    else:
-        x, y, on = _in_parts(a, b, ["block"], "b")
-        pairs = x.join(y, on).filter(good).select("block", "a", "b")
-    return pairs.select("block", "a", "b", F.round(ratio_of_sorted(F.col("a"), F.col("b")), 6).alias("score")).filter(F.col("score") >= least)
+    b) with a score of at least ``least``. With ``once``, for two sides that are the same, pairs come once, with a <= b. Null keys and
+    blocks match nothing; two empty keys are equal.
+
+    Keys are numbered by a hash while candidates are looked for, so lists and pairs are short rows; texts are joined to the candidates
+    by number, and keys that share one only add candidates, as scores come from the texts."""
+    keys = lambda df, c: df.select("block", F.col(c).alias("s")).filter("block is not null and s is not null").distinct().withColumn("id", F.xxhash64("block", "s"))
+    a, b = keys(left, "a"), keys(right, "b")
+    x, y = _in_parts(_listed(a, "a", least), _listed(b, "b", least))
+    good = bound() >= least - EPS
+    pairs = x.join(y, ["under", "part"]).filter(good & (F.col("id_a") <= F.col("id_b")) if once else good).select("id_a", "id_b").distinct()
+    met = pairs.join(a.select(F.col("id").alias("id_a"), "block", F.col("s").alias("a")), "id_a").join(b.select(F.col("id").alias("id_b"), "block", F.col("s").alias("b")), ["id_b", "block"])
+    if once:
+        met = met.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.select("block", "a", "b", F.round(ratio_of_sorted(F.col("a"), F.col("b")), 6).alias("score")).filter(F.col("score") >= least)

@@ -21,7 +21,7 @@ s AS (SELECT a, b, round(200.0 * row[len(row)] / (length(a) + length(b)), 6) AS
 def str3_similar_names(spark, sf_dir):
     """STR3, UDF2, ER1: scores of distinct names."""
     n = table(spark, sf_dir, "part").select(F.lit("").alias("block"), token_sorted(F.col("p_name")).alias("a"))
-    return similar(n, n.withColumnRenamed("a", "b"), R.REVIEW, F.col("a") < F.col("b")).select("a", "b", "score")
+    return similar(n, n.withColumnRenamed("a", "b"), R.REVIEW, once=True).filter("a < b").select("a", "b", "score")
 
 
 HEADLINE = "lower(trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '[^a-zA-Z0-9]+', ' ', 'g'), ' +', ' ', 'g')))"
@@ -43,7 +43,7 @@ s AS (SELECT a, b, round(200.0 * row[len(row)] / (length(a) + length(b)), 6) AS
 def er2_similar_headlines(spark, sf_dir):
     """ER2, JOI11: of each headline, how many others are near it, and the best score, through the index of grams."""
     h = headlines(spark, sf_dir).select("block", token_sorted(F.col("key")).alias("a"))
-    near = similar(h, h.withColumnRenamed("a", "b"), R.AUTO, F.col("a") < F.col("b"))
+    near = similar(h, h.withColumnRenamed("a", "b"), R.AUTO, once=True).filter("a < b")
     both = near.select("a", "score").unionByName(near.select(F.col("b").alias("a"), "score")).groupBy("a").agg(F.count("*").alias("n_near"), F.max("score").alias("best"))
     return h.select("a").distinct().join(both, "a", "left").select("a", F.coalesce("n_near", F.lit(0)).alias("n_near"), "best")
 

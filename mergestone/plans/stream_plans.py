@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mergestone.plans.registry import query, table
 from mergestone.plans.version_plans import VERSIONS
 from mergestone.streaming import changes as S
+from mergestone.streaming import settled as T
 
 
 @query(f"WITH {VERSIONS} SELECT url, CAST(version AS BIGINT) AS version, version_id AS fetch_id, hash FROM v".replace("min(fetch_id) AS version_id", "arg_min(fetch_id, (fetched_at, fetch_id)) AS version_id"))
@@ -42,3 +43,48 @@ def stm2_resumed_passes(spark, sf_dir):
         stream = spark.readStream.schema(o.schema).parquet(arrivals).select(F.lit(run).alias("run"), "o_orderkey")
         done = S.run_to_end(stream, "passes", folder=folder)
     return done.groupBy("run").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+
+
+#: Orders as fetches that arrive by key, so not by time, in four files; the last holds a sentinel that moves the watermark past all others.
+SENTINEL = -1
+
+
+def shuffled_arrivals(spark, sf_dir, files: int = 4) -> str:
+    """A folder of files whose rows are in no order of time, and at last a file with one fetch far in the future."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"), F.col("o_orderkey").alias("fetch_id"), F.col("o_orderstatus").alias("hash"))
+    folder = S.shared_folder(spark, "fetches")
+    for k in range(files):
+        o.filter(F.pmod(F.xxhash64("fetch_id"), F.lit(files)) == k).coalesce(1).write.mode("append").parquet(folder)
+    last = spark.createDataFrame([(SENTINEL, SENTINEL, "")], "url long, fetch_id long, hash string").select("url", F.lit("2200-01-01").cast("timestamp").alias("fetched_at"), "fetch_id", "hash")
+    last.coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+@query(f"WITH {VERSIONS} SELECT url, CAST(version AS BIGINT) AS version, version_id AS fetch_id, hash FROM v".replace("min(fetch_id) AS version_id", "arg_min(fetch_id, (fetched_at, fetch_id)) AS version_id").replace("CAST(o_orderdate AS DATE) AS fetched_at", "o_orderdate AS fetched_at"))
+def stm1_settled_versions(spark, sf_dir):
+    """STM1: the batch form's versions from arrivals in no order of time, by keyed state, timers and a watermark."""
+    folder = shuffled_arrivals(spark, sf_dir)
+    fetches = spark.readStream.schema("url long, fetched_at timestamp, fetch_id long, hash string").option("maxFilesPerTrigger", 1).parquet(folder)
+    out = S.run_to_end(T.settled_versions(fetches, "9000 days"), "settled")
+    return out.filter("not late").select("url", "version", "fetch_id", "hash")
+
+
+@query("""SELECT o_custkey AS url, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS hash, max(o_orderdate)::DATE AS seen, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS fetch_id FROM orders GROUP BY 1""")
+def stm2_batch_ledger(spark, sf_dir):
+    """STM2, STM3: the newest order of each customer from numbered batches, of which one is delivered again and one fails half way first."""
+    schema = "url long, seen date, fetch_id long, hash string"
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.to_date("o_orderdate").alias("seen"), F.col("o_orderkey").alias("fetch_id"), F.col("o_orderstatus").alias("hash"), F.col("o_orderdate").alias("at"))
+    ledger = T.Ledger(spark, S.shared_folder(spark, "ledger"), f"{schema}, at timestamp", "url", ["at", "fetch_id"])
+    parts = [o.filter(F.pmod(F.xxhash64("fetch_id"), F.lit(3)) == k) for k in range(3)]
+
+    def fails():
+        raise RuntimeError("lost")
+
+    ledger.take(parts[0], 0)
+    try:
+        ledger.take(parts[1], 1, between=fails)
+    except RuntimeError:
+        pass
+    for batch, rows in ((1, parts[1]), (0, parts[0]), (2, parts[2]), (1, parts[1])):
+        ledger.take(rows, batch)
+    return ledger.table().select("url", "hash", "seen", "fetch_id")

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from mergestone.functions.text import _common
 from mergestone.operators import resolution as R
@@ -36,7 +35,8 @@ def test_all_pairs_are_found(spark, least, monkeypatch):
     a = spark.createDataFrame(rows, "block string, a string")
     b = spark.createDataFrame(rows, "block string, b string")
     want = sorted((p, x, y, s) for p, x in rows for q, y in rows if p and p == q and x is not None and y is not None and x <= y and (s := score(x, y)) >= least)
-    assert sorted(tuple(r) for r in S.similar(a, b, least, F.col("a") <= F.col("b")).collect()) == want
+    assert sorted(tuple(r) for r in S.similar(a, b, least, once=True).collect()) == want
+    assert S.similar(a, b, least).count() == 2 * len(want) - sum(x == y for _, x, y, _ in want)
 
 
 def test_best_match_of_each_record(spark):
