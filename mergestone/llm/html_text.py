@@ -51,6 +51,8 @@ AWAY = re.compile(
     re.I,
 )
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|content|story|main|maincontent|body|text|prose)(?:$|[\s_-])", re.I)
+ARTICLE = re.compile(r"(?:^|[\s\"'=_-])(?:article|articlebody|post|entry|story|prose)(?:$|[\s\"'>_-])", re.I)
+SURELY_AWAY = re.compile(r"comment|advert|\bads?\b|sidebar|footer|header|related|share|promo|notice|cookie|newsletter|\b(?:nav|menu|form|login|modal|popup|breadcrumbs?|subscribe)\b", re.I)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "role", "main_tag", "away_tag", "heading", "item", "stop", "page_has_main")
 
 
@@ -66,8 +68,8 @@ def _role(tag: str, attributes: str) -> int:
             away = away or bool(AWAY.search(value))
             if value.lower() in ("navigation", "banner"):
                 away = True
-    if main and away:
-        return 1 if tag in MAIN_TAGS else -1 if re.search(r"comment|advert|\bads?\b|sidebar|footer|header|related|share|promo|notice|cookie|newsletter", attributes, re.I) else 1
+    if main and away:  # such as main-menu or modal-body: only a name of the article itself outweighs the other
+        return 1 if tag in MAIN_TAGS or ARTICLE.search(attributes) and not SURELY_AWAY.search(attributes) else -1
     return 1 if main else -1 if away else 0
 
 
@@ -98,7 +100,10 @@ class Scanner:
     def tag_end(self, at: int) -> int:
         """The place of the > that ends a tag, outside quotes, or, where a quote is not closed, the next > at all; or -1."""
         begin, opened = at, []
-        while (m := QUOTE_OR_END.search(self.page, at)) is not None:
+        while at < self.missing.get("", len(self.page) + 1):
+            if (m := QUOTE_OR_END.search(self.page, at)) is None:
+                self.missing[""] = at  # nor behind any later place
+                break
             if m[0] == ">":
                 return m.start()
             at = self.find(m[0], m.end()) + 1

@@ -104,3 +104,17 @@ def test_extract(spark):
     text = "\n\n".join(kept(HELD_OUT))
     assert got == sorted([(1, "u", text), (1, "u", text), (2, None, ""), (None, "v", ""), (3, "w", "")], key=str)
     assert H.extract_text(df.limit(0)).count() == 0
+
+
+def test_menus_with_names_of_main_parts_go():
+    for name in ("main-menu", "main-nav", "nav-content", "menu-text", "breadcrumb-content", "subscribe-content", "login-main", "form-text", "modal-body", "popup-content"):
+        words = "The harbour was quiet when the boats came in, and nobody spoke of the storm that had kept them away. " * 4
+        page = f'<html><body><div class="{name}"><a href="/">Home</a> <a href="/a">About us</a><p>Please log in</p></div><article><p>{words}</p></article></body></html>'
+        assert kept(page) == [words.strip()], name
+
+
+def test_open_tags_take_time_in_proportion():
+    for piece in ("<a <b ", "<a x='", '<a "<b '):
+        began = time.time()
+        H.blocks(piece * 40_000)
+        assert time.time() - began < 20, piece
