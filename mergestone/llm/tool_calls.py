@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from mergestone.llm.shared import dropped, written
 
-CALLS = "tool_calls array<struct<id: string, name: string, arguments: string, after: string>>"
+CALLS = "tool_calls array<struct<id: string, name: string, arguments: string, after: variant>>"
 LONE = re.compile(r"[\ud800-\udfff]")
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
@@ -34,14 +35,23 @@ def canonical(value) -> str:
     return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", out)
 
 
+#: Levels of lists and objects that arguments may have; the parser and the writer of JSON manage several times as many.
+DEEPEST = 1000
+
+
 def parsed_json(text: str | None):
-    """The value of a JSON text that :func:`canonical` can write again; else ValueError: for one that is nested too deep for the
-    parser, or has numbers that no double holds, too."""
+    """The value of a JSON text that :func:`canonical` can write again, inside other objects too; else ValueError: for one of more than
+    :data:`DEEPEST` levels, or with numbers that no double holds, too."""
     try:
         value = json.loads(text or "")
-        canonical(value)
     except RecursionError:
         raise ValueError("nested too deep") from None
+    level, inside = 0, [value]
+    while inside := [y for x in inside if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]:
+        level += 1
+        if level > DEEPEST:
+            raise ValueError("nested too deep")
+    canonical(value)
     return value
 
 
@@ -76,8 +86,8 @@ def parsed(chat: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of a chat. Text that is no such JSON is neither."""
     rows = chat.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     calls = rows.filter("role = 'assistant' and text like '{%tool_calls%'").select("conv_id", "turn", F.posexplode(F.from_json("text", CALLS)["tool_calls"]).alias("place", "call"))
-    after = F.col("call.after")  # an array stands there as its JSON text
-    needed = F.when(after.startswith("["), F.from_json(after, "array<string>")).when(after.isNotNull(), F.array(after))
+    after = F.col("call.after")  # one identifier, or an array of them
+    needed = F.when(F.schema_of_variant(after).startswith("ARRAY"), F.try_variant_get(after, "$", "array<string>")).when(after.isNotNull(), F.array(F.try_variant_get(after, "$", "string")))
     needed = F.array_sort(F.array_distinct(F.filter(F.coalesce(needed, F.array().cast("array<string>")), lambda x: x.isNotNull())))
     calls = calls.select("conv_id", "turn", "place", F.col("call.id").alias("call_id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"), needed.alias("after"))
     results = rows.filter("role = 'tool' and text like '{%'").withColumn("r", F.from_json("text", "tool_call_id string, content string"))
@@ -111,20 +121,27 @@ def depths(calls: DataFrame) -> DataFrame:
     at = at.withColumn("steps", F.when(F.col("done"), F.col("steps")))
     several = number.filter("n > 1").select("conv_id", "call_id")
     starts = known.join(number, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).cast("long").alias("depth"))
-    settled, new = starts, None
+    settled = starts
     if not several.isEmpty():
         reach = at.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("from"), "steps")
         edges = written(waits.join(several, ["conv_id", "call_id"], "left_semi").join(reach, ["conv_id", "to"], "left").select("conv_id", "call_id", "from", (F.col("steps") + 1).alias("steps")), "edges")
-        settled, left = written(starts, "settled"), edges
-        while True:
-            # edges whose call is settled give a depth; a call is settled with its last edge
-            reached = left.join(settled.withColumnRenamed("call_id", "from"), ["conv_id", "from"], "left").withColumn("depth", F.col("depth") + F.col("steps"))
-            best = reached.groupBy("conv_id", "call_id").agg(F.max("depth").alias("depth"), F.count("*").alias("n"), F.count("depth").alias("good")).filter("n = good").select("conv_id", "call_id", "depth")
-            new = written(best, "settled")
-            if new.isEmpty():
-                break
-            settled = settled.unionByName(new)
-            left = left.join(new, ["conv_id", "call_id"], "left_anti")
+        # an edge leaves when its end is settled, and leaves the greatest depth so far behind; with its last edge a call is settled
+        new, left, got, name = written(starts, "settled"), edges, None, ["conv_id", "call_id"]
+        rounds = [new]
+        while not new.isEmpty():
+            hit = written(left.join(new.withColumnRenamed("call_id", "from"), ["conv_id", "from"]).withColumn("depth", F.col("depth") + F.col("steps")), "hit")
+            rest = written(left.join(hit, ["conv_id", "call_id", "from"], "left_anti"), "edges")
+            seen = hit.select(*name, "depth")
+            seen = (seen if got is None else got.unionByName(seen)).groupBy(*name).agg(F.max("depth").alias("depth"))
+            open_calls = rest.select(*name).distinct().withColumn("open", F.lit(True))
+            both = written(seen.join(open_calls, name, "left"), "seen")
+            for table in (left, hit):
+                dropped(table)
+            new, got, left = both.filter("open is null").drop("open"), both.filter("open").drop("open"), rest
+            rounds.append(new)
+        while len(rounds) > 1:  # a flat table of all rounds, put together in a tree
+            rounds = [written(reduce(DataFrame.unionByName, rounds[k : k + 32]), "settled") for k in range(0, len(rounds), 32)]
+        settled = rounds[0]
     ends = settled.select("conv_id", F.col("call_id").alias("to"), "depth")
     return at.join(ends, ["conv_id", "to"], "left").select("conv_id", "call_id", (F.col("depth") + F.col("steps")).alias("depth"))
 
@@ -137,7 +154,7 @@ def link_tool_calls(chat: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     Of several results of an identifier the earliest counts, and of those of one turn the least content; the others are
     repeated_result. line is the canonical JSON of call and result. Rows with a null conv_id or identifier are left out; null or
     other texts, empty tables and extra columns make no difference; texts of any length are read whole. Arguments that are no JSON,
-    are nested too deep for the parser, or hold numbers that no double holds, are not valid and stand in line as a string. Ordered by (conv_id, depth, turn, place), each call comes
+    have more than 1,000 levels, or hold numbers that no double holds, are not valid and stand in line as a string. Ordered by (conv_id, depth, turn, place), each call comes
     after all that it waits for.
     """
     calls, results = parsed(chat)

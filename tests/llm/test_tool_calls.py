@@ -127,3 +127,21 @@ def test_derived_calls(spark):
             assert r.depth == depth and (r.status == "linked") == ((r.conv_id, t + 1) in answers)
             text = dict(((c, k), v) for c, k, _, v in chat)[r.conv_id, t] or ""
             assert x["arguments"] == "{broken" or text in x["arguments"].values()
+
+
+def test_arguments_of_any_depth(spark):
+    chat = []
+    for k, n in enumerate([1, 990, 1000, 1001, 1500, 5000, 9970, *range(9978, 9992), 20_000, 200_000]):
+        arguments = '{"text":' + "[" * n + "]" * n + "}"
+        chat.append((k, 1, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "translate", "arguments": arguments}]})))
+    got = {r.conv_id: r for r in T.link_tool_calls(spark.createDataFrame(chat, "conv_id long, turn long, role string, text string"), T.SCHEMAS).collect()}
+    assert len(got) == len(chat)
+    assert isinstance(json.loads(got[0].line)["arguments"], dict) and isinstance(json.loads(got[3].line)["arguments"], str) and got[3].problems == "not JSON"
+
+
+def test_what_a_call_waits_for_keeps_its_type(spark):
+    call = lambda i, after: {"id": i, "name": "search", "arguments": '{"query":"x"}', "after": after}
+    text = json.dumps({"tool_calls": [call("[a", None), call("b", "[a"), call("c", ["[a", "b"]), call("d", []), call("7", "d"), call("e", 7)]})
+    got = {r.call_id: r for r in T.link_tool_calls(spark.createDataFrame([(1, 1, "assistant", text)], "conv_id long, turn long, role string, text string"), T.SCHEMAS).collect()}
+    assert {k: r.depth for k, r in got.items()} == {"[a": 0, "b": 1, "c": 2, "d": 0, "7": 1, "e": 2}
+    assert json.loads(got["b"].line)["after"] == "[a"
