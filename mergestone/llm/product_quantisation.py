@@ -14,6 +14,7 @@ vector that is found does not visit the query's own list, the pair is counted fo
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,7 @@ class Index:
 
 
 def units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square is too large or too small for a double
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -154,17 +156,23 @@ def search_group(table: pa.Table, index: Index) -> pa.Table:
 def embedding_classes(table: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """One row (vec_id, n_links, component_id, kept) for each row of ``table`` (vec_id, embedding).
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or differ in length from most others link with
-    nothing, and so do rows with a null vec_id, which are not kept. Rows that repeat a vector count each as another vector.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so do rows with a null vec_id,
+    which are not kept. Vectors of each length have an index of their own. Rows that repeat a vector count each as another vector.
     Extra columns are not read. An empty table gives an empty result.
     """
     spark = table.sparkSession
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
-    usable = F.coalesce(F.expr(f"vec_id IS NOT NULL AND {finite} AND aggregate(embedding, 0D, (a, x) -> a + x * x) BETWEEN 1e-300 AND 1e300"), F.lit(False))
+    usable = F.coalesce(F.expr(f"vec_id IS NOT NULL AND {finite} AND exists(embedding, x -> x <> 0)"), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    most = rows.filter("usable").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.withColumn("usable", F.col("usable") & (F.size("embedding") == (most.d if most else 0))).withColumn("h", F.xxhash64("embedding"))
+    size = F.size("embedding")
+    lengths = sorted(r[0] for r in rows.filter("usable").select(size.alias("d")).distinct().collect())
+    if len(lengths) > 1:
+        each = [embedding_classes(table.filter(F.size("embedding") == d), s) for d in lengths]
+        rest = rows.filter(F.coalesce(~size.isin(lengths), F.lit(True))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(False).alias("kept"))
+        rest = rest.withColumn("kept", F.col("vec_id").isNotNull())
+        return reduce(DataFrame.unionByName, each, rest)
+    rows = rows.withColumn("h", F.xxhash64("embedding"))
     good = rows.filter("usable")
     nodes = written(good.groupBy("h", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
     n = nodes.count()

@@ -82,3 +82,9 @@ def test_both_ends_count_a_pair_found_one_way(spark):
 
 def test_empty_table(spark):
     assert P.embedding_classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_any_length_and_any_finite_norm_links(spark):
+    rows = [(1, [1e-160, 2e-160]), (2, [1e-160, 2e-160]), (3, [1e155, 2e155]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.0]), (6, [0.0, 0.0]), (7, None), (8, []), (9, [5e-324, 1e-323]), (10, [-1.0, 5.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in P.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True), 7: (0, 7, True), 8: (0, 8, True), 9: (3, 1, False), 10: (0, 10, True)}
