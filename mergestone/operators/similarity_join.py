@@ -6,7 +6,8 @@
   as must hold a shared one, and under itself. q is 4 for long keys, down to 2 for short ones.
 * Below that, letters are parted too often for pairs to be shared. There all keys of a block may meet.
 
-In both, a pair becomes a row only if its keys have enough letters in common, which the join counts in packed bits.
+In both, a pair becomes a row only if its keys have enough letters, and pairs of neighbouring letters, in common, which the join
+counts in packed bits.
 
 Lists of frequent pairs, and large blocks, are dealt out in numbered parts, so neither is one task.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -69,23 +71,36 @@ def rare_grams(key: str, least: float) -> list[str]:
     return out
 
 
-def letter_bits(key: str) -> tuple[int, int, int]:
-    """Up to four of each of 27 letters as bits of two numbers, and how many letters there are besides."""
+def key_bits(key: str) -> tuple[int, ...]:
+    """Up to four of each of 27 letters as bits of two numbers, how many letters there are besides, and 256 bits of four numbers, set by
+    the key's pairs of neighbouring letters."""
     held = [min(4, key.count(c)) for c in COMMON]
     bits = [sum((1 << k) - 1 << 4 * g for g, k in enumerate(part)) for part in (held[:14], held[14:])]
-    return bits[0], bits[1], len(key) - sum(held)
+    pairs = 0
+    for i in range(len(key) - 1):
+        pairs |= 1 << crc32(key[i : i + 2].encode()) % 256
+    words = [(pairs >> 64 * k & (1 << 64) - 1) for k in range(4)]
+    return bits[0], bits[1], len(key) - sum(held), *(w - (1 << 64) if w >> 63 else w for w in words)
 
 
-@F.pandas_udf(StructType([StructField("low", LongType()), StructField("high", LongType()), StructField("more", LongType())]))
-def _letters(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([letter_bits(t) for t in s], columns=["low", "high", "more"])
+BITS = ["low", "high", "more", "p0", "p1", "p2", "p3"]
 
 
-def bound() -> Column:
-    """No less than the score of two keys, from their lengths and letters."""
+@F.pandas_udf(StructType([StructField(c, LongType()) for c in BITS]))
+def _bits(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([key_bits(t) for t in s], columns=BITS)
+
+
+def may_reach(least: float) -> Column:
+    """Whether two keys may score so much: they need enough letters, and enough pairs of neighbouring letters, in common."""
     both = lambda h: F.bit_count(F.col(f"{h}_a").bitwiseAND(F.col(f"{h}_b")))
-    common = F.least(F.col("n_a"), F.col("n_b"), both("low") + both("high") + F.least("more_a", "more_b"))
-    return F.when(F.col("n_a") + F.col("n_b") == 0, 100.0).otherwise(200.0 * common / F.greatest(F.col("n_a") + F.col("n_b"), F.lit(1)))
+    n = F.col("n_a") + F.col("n_b")
+    letters = F.least(F.col("n_a"), F.col("n_b"), both("low") + both("high") + F.least("more_a", "more_b"))
+    # pairs that set a bit which another has set may be any
+    others = lambda x: F.col(f"n_{x}") - 1 - sum((F.bit_count(f"p{k}_{x}") for k in range(1, 4)), F.bit_count(f"p0_{x}"))
+    pairs = both("p0") + both("p1") + both("p2") + both("p3") + F.least(others("a"), others("b"))
+    common = F.ceil(n * (least / 200) - EPS)
+    return (letters >= common) & (pairs >= 3 * common - n - 1)
 
 
 def _listed(keys: DataFrame, side: str, least: float) -> DataFrame:
@@ -95,10 +110,10 @@ def _listed(keys: DataFrame, side: str, least: float) -> DataFrame:
     def grams(s: pd.Series) -> pd.Series:
         return s.map(lambda t: rare_grams(t, least))
 
-    told = keys.withColumn("l", _letters("s"))
+    told = keys.withColumn("l", _bits("s"))
     told = told.withColumn("under", F.explode(grams("s"))) if least >= GRAMS else told.withColumn("under", F.lit(""))
     named = lambda c, x: c.alias(f"{x}_{side}")
-    return told.select(F.xxhash64("block", "under").alias("under"), named(F.col("id"), "id"), named(F.length("s"), "n"), named(F.col("l.low"), "low"), named(F.col("l.high"), "high"), named(F.col("l.more"), "more"))
+    return told.select(F.xxhash64("block", "under").alias("under"), named(F.col("id"), "id"), named(F.length("s"), "n"), *(named(F.col(f"l.{c}"), c) for c in BITS))
 
 
 def _in_parts(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +134,7 @@ def similar(left: DataFrame, right: DataFrame, least: float, once: bool = False)
     keys = lambda df, c: df.select("block", F.col(c).alias("s")).filter("block is not null and s is not null").distinct().withColumn("id", F.xxhash64("block", "s"))
     a, b = keys(left, "a"), keys(right, "b")
     x, y = _in_parts(_listed(a, "a", least), _listed(b, "b", least))
-    good = bound() >= least - EPS
+    good = may_reach(least)
     pairs = x.join(y, ["under", "part"]).filter(good & (F.col("id_a") <= F.col("id_b")) if once else good).select("id_a", "id_b").distinct()
     met = pairs.join(a.select(F.col("id").alias("id_a"), "block", F.col("s").alias("a")), "id_a").join(b.select(F.col("id").alias("id_b"), "block", F.col("s").alias("b")), ["id_b", "block"])
     if once:
