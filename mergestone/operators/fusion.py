@@ -20,8 +20,9 @@ def by_recency() -> Column:
 
 
 def distinct_candidates(candidates: DataFrame) -> DataFrame:
-    """FUS2: one candidate for each (entity, field, source, ref): the earliest observed."""
-    return candidates.groupBy(*KEY, "source", "ref").agg(F.min_by(F.struct("rank", "observed_at", "value"), "observed_at").alias("c")).select(*KEY, "source", "ref", "c.*")
+    """FUS2: one candidate for each (entity, field, source, ref): the earliest observed, and of those the least rank
+    and value."""
+    return candidates.groupBy(*KEY, "source", "ref").agg(F.min_by(F.struct("rank", "observed_at", "value"), F.struct("observed_at", "rank", "value")).alias("c")).select(*KEY, "source", "ref", "c.*")
 
 
 def fused(candidates: DataFrame, order: Column) -> DataFrame:
@@ -60,7 +61,7 @@ def disagreement(candidates: DataFrame, order: Column, numeric: bool, share: flo
 
 def by_source(candidates: DataFrame) -> DataFrame:
     """AGG11: the last value of each source as a map, and its size."""
-    last = candidates.groupBy(*KEY, "source").agg(F.max_by("value", F.struct("observed_at", "ref")).alias("value"))
+    last = candidates.groupBy(*KEY, "source").agg(F.max_by("value", F.struct("observed_at", "ref", "value")).alias("value"))
     return last.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "value")))).alias("values"))
 
 

@@ -107,6 +107,7 @@ def nearest(points: DataFrame, places: DataFrame) -> DataFrame:
     return points.join(asks.select("lat", "lon", F.col("best.place").alias("nearest")), ["lat", "lon"], "left").select("id", "nearest")
 
 
-def shortened(labels: Column, n: int = 8) -> Column:
-    """SRT8: the first n labels and how many more there are."""
-    return F.concat(F.array_join(F.slice(labels, 1, n), ", "), F.when(F.size(labels) > n, F.concat(F.lit(" and "), F.size(labels) - n, F.lit(" more"))).otherwise(""))
+def shortened(labels: Column, n: int = 8, total: Column | None = None) -> Column:
+    """SRT8: the first n labels and how many more there are; of ``total``, if not all labels were gathered."""
+    more = (F.size(labels) if total is None else total) - n
+    return F.concat(F.array_join(F.slice(labels, 1, n), ", "), F.when(more > 0, F.concat(F.lit(" and "), more, F.lit(" more"))).otherwise(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AUTO_APPLY = 0.85
@@ -20,8 +20,10 @@ def numeric_outliers(conflicts: DataFrame, share: float = 0.2) -> DataFrame:
 
 
 def text_variants(conflicts: DataFrame) -> DataFrame:
-    """TRI2 over (id, rank, value, key): equal keys propose the value of the best rank; a longest one that holds all others, itself."""
-    g = conflicts.groupBy("id").agg(F.min_by("value", F.struct("rank", "value")).alias("best"), F.max_by("value", F.struct(F.length("key"), -F.col("rank"))).alias("longest"), F.max_by("key", F.struct(F.length("key"), -F.col("rank"))).alias("longest_key"), F.count_distinct("key").alias("n_keys"), F.count("*").alias("n"))
+    """TRI2 over (id, rank, value, key): equal keys propose the value of the best rank; a longest one that holds all others, itself
+    (of equals that of the best rank, then the largest value and key)."""
+    longest = F.struct(F.length("key"), -F.col("rank"), "value", "key")
+    g = conflicts.groupBy("id").agg(F.min_by("value", F.struct("rank", "value")).alias("best"), F.max_by("value", longest).alias("longest"), F.max_by("key", longest).alias("longest_key"), F.count_distinct("key").alias("n_keys"), F.count("*").alias("n"))
     holds = conflicts.join(g, "id").groupBy("id").agg(F.min(F.col("longest_key").contains(F.col("key"))).alias("holds"))
     out = g.join(holds, "id")
     same, whole = (F.col("n") >= 2) & (F.col("n_keys") == 1), (F.col("n") >= 2) & F.col("holds")
@@ -36,10 +38,13 @@ def score_band(score: Column) -> tuple[Column, Column]:
 
 def parent_reference(scores: DataFrame) -> DataFrame:
     """TRI4, WIN8: over (id, parent, score): best and runner-up; a clear best is a match."""
-    top = scores.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("parent")).alias("p"))), asc=False), 1, 2).alias("top"))
-    best, gap = F.col("top")[0]["score"], F.col("top")[0]["score"] - F.coalesce(F.try_element_at("top", F.lit(2))["score"], F.lit(0.0))
+    best_first = Window.partitionBy("id").orderBy(F.col("score").desc(), "parent")
+    # two rows of an id, at most, leave a task
+    two = scores.withColumn("k", F.row_number().over(best_first)).filter("k <= 2")
+    top = two.groupBy("id").agg(F.max(F.when(F.col("k") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("k") == 1, F.col("parent"))).alias("first"), F.max(F.when(F.col("k") == 2, F.col("score"))).alias("second"))
+    best, gap = F.col("score"), F.col("score") - F.coalesce("second", F.lit(0.0))
     clear = (best >= PARENT_LEAST) & (gap >= PARENT_GAP)
-    return top.select("id", best.alias("score"), gap.alias("gap"), F.when(clear, -F.col("top")[0]["p"]).alias("parent"), F.when(clear, F.least(0.5 + (best - PARENT_LEAST) / 50, F.lit(MOST))).alias("confidence"))
+    return top.select("id", "score", gap.alias("gap"), F.when(clear, F.col("first")).alias("parent"), F.when(clear, F.least(0.5 + (best - PARENT_LEAST) / 50, F.lit(MOST))).alias("confidence"))
 
 
 def dispatched(proposals: DataFrame) -> DataFrame:

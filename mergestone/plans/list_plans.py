@@ -147,7 +147,7 @@ def srt8_shortened_labels(spark, sf_dir):
     first = p.withColumn("label", F.concat_ws("#", "p_name", "p_partkey")).withColumn("k", F.row_number().over(w))
     # of a group no more than eight labels are gathered
     g = first.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.when(F.col("k") <= 8, F.col("label")))).alias("l"), F.count("*").alias("n"))
-    return g.select("p_brand", F.concat(F.array_join("l", ", "), F.when(F.col("n") > 8, F.concat(F.lit(" and "), F.col("n") - 8, F.lit(" more"))).otherwise("")).alias("labels"))
+    return g.select("p_brand", L.shortened(F.col("l"), total=F.col("n")).alias("labels"))
 
 
 @query("""SELECT p_partkey, CASE p_type WHEN (SELECT min(p_type) FROM part) THEN 0 ELSE 1 END AS grade, dense_rank() OVER (ORDER BY CASE p_type WHEN (SELECT min(p_type) FROM part) THEN 0 ELSE 1 END, lower(p_brand)) AS place FROM part""")
