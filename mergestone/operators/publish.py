@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mergestone.functions.classify import consistent_category
 from mergestone.operators import fusion as U
+from mergestone.operators.snapshots import PER, pieces
 
 
 def live_rows(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
@@ -38,3 +39,11 @@ def file_snapshot(parents: DataFrame, children: DataFrame) -> DataFrame:
     first = parents.withColumn("name", F.trim("name")).withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("position"))).filter("k = 1 and is_active")
     kids = children.filter("is_active").groupBy(F.trim("parent").alias("name")).agg(F.array_sort(F.collect_list(F.col("name"))).alias("items"))
     return first.join(kids, "name", "left").select("position", "name", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def file_snapshot_pieces(parents: DataFrame, children: DataFrame, per: int = PER) -> DataFrame:
+    """PUB2 for parents of any size: the documents of ``file_snapshot`` as numbered pieces of text, by name."""
+    w = Window.partitionBy("name").orderBy("position")
+    first = parents.withColumn("name", F.trim("name")).withColumn("k", F.row_number().over(w)).filter("k = 1 and is_active").select("name", F.col("name").alias("brand"), "position")
+    kids = children.filter("is_active").select(F.trim("parent").alias("name"), F.col("name").alias("item"))
+    return pieces(first, {"items": kids}, "name", {"items": ["item"]}, per)

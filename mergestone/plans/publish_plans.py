@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from mergestone.operators import elements as E
 from mergestone.operators import publish as P
 from mergestone.operators import resolution as R
+from mergestone.operators import snapshots as S
+from mergestone.operators.photos import attributed
 from mergestone.plans.extract_plans import TITLE
 from mergestone.plans.registry import query, table
 from mergestone.plans.resolution_plans import LCS, entities, records
@@ -78,3 +80,70 @@ def pub1_snapshot(spark, sf_dir):
     live = table(spark, sf_dir, "part").filter("p_size > 5").withColumnRenamed("p_brand", "parent")
     n = nested(live.select("parent").distinct(), live, "parent", ["p_partkey", "p_name"])
     return n.agg(F.count("*").alias("parents"), F.sum(F.size("items")).alias("items"), F.max(F.array_max(F.transform("items", lambda x: x["p_partkey"]))).alias("data_updated_at"))
+
+
+#: Children a piece of the snapshot queries, few enough that parents of the small tables have several pieces.
+PER = 100
+
+
+def listed(name, rows, segment, first=False, last=False):
+    """The pieces of one list in SQL: ``rows`` is a query of (key, ord, json)."""
+    opens, closes = ("{" if first else ",") + f'"{name}":[', "]" + ("}" if last else "")
+    return f"""SELECT key, {segment} AS segment, coalesce(piece, 0) AS piece, CASE WHEN coalesce(piece, 0) = 0 THEN '{opens}' ELSE ',' END || coalesce(text, '') || CASE WHEN coalesce(piece, 0) = coalesce(max(piece) OVER (PARTITION BY key), 0) THEN '{closes}' ELSE '' END AS text
+    FROM parents LEFT JOIN (SELECT key, piece, string_agg(json, ',' ORDER BY ord) AS text FROM (SELECT *, (row_number() OVER (PARTITION BY key ORDER BY ord) - 1) // {PER} AS piece FROM ({rows})) GROUP BY ALL) USING (key)"""
+
+
+DOCUMENT = f"""WITH parents AS (SELECT r_regionkey AS key, r_name FROM region), c AS (SELECT customer.*, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey), o AS (SELECT o.*, n_regionkey FROM orders o JOIN c ON c_custkey = o_custkey),
+f AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS ref FROM orders GROUP BY ALL),
+i AS (SELECT c_custkey, c_name, c_nationkey, n_regionkey, ref FROM c LEFT JOIN f ON o_custkey = c_custkey AND o_orderstatus = CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END WHERE c_acctbal > 0),
+p AS ({listed("booths", "SELECT n_regionkey AS key, s_suppkey AS ord, '{\"booth\":' || s_suppkey || ',\"name\":\"' || s_name || '\"}' AS json FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0", 0, first=True)}
+UNION ALL {listed("events", "SELECT n_regionkey AS key, o_orderkey AS ord, '{\"id\":' || o_orderkey || ',\"starts\":\"' || CAST(o_orderdate AS DATE) || '\"}' AS json FROM o WHERE o_orderpriority = '1-URGENT'", 1)}
+UNION ALL SELECT key, 2, 0, ',"festival":"' || r_name || '"' FROM parents
+UNION ALL {listed("items", "SELECT n_regionkey AS key, c_custkey AS ord, '{\"booth\":' || c_nationkey || ',\"credit\":' || CASE WHEN ref IS NULL THEN 'null' WHEN ref % 3 = 0 THEN '\"Example News\"' ELSE '\"photos.example.org\"' END || ',\"item\":' || c_custkey || ',\"name\":\"' || c_name || '\"}' AS json FROM i", 3)}
+UNION ALL {listed("seminars", "SELECT n_regionkey AS key, o_orderkey AS ord, '{\"id\":' || o_orderkey || ',\"starts\":\"' || CAST(o_orderdate AS DATE) || '\"}' AS json FROM o WHERE o_orderpriority = '5-LOW'", 4, last=True)})
+SELECT key, segment, CAST(piece AS BIGINT) AS piece, length(text) AS n, sha256(text) AS digest FROM p"""
+
+
+def festival(spark, sf_dir):
+    """Regions as festivals: suppliers as booths, customers as items with the credit of their photo, urgent orders as events, low ones as
+    seminars; live are those with a balance above zero."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("key"))
+    parents = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("festival"))
+    booths = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("key", F.col("s_suppkey").alias("booth"), F.col("s_name").alias("name"))
+    c = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf_dir, "orders")
+    dated = orders.join(c.select(F.col("c_custkey").alias("o_custkey"), "key"), "o_custkey").select("key", "o_orderpriority", F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("starts"))
+    live = c.filter("c_acctbal > 0")
+    served = live.select(F.col("c_custkey").alias("item"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("O").alias("value"))
+    shown = orders.select(F.col("o_custkey").alias("item"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("ref"))
+    pages = orders.select(F.col("o_orderkey").alias("ref"), F.when(F.col("o_orderkey") % 3 == 0, "https://www.news.example.com/a").otherwise("https://photos.example.org/b").alias("url"))
+    credits = spark.createDataFrame([("news.example.com", "Example News")], "host string, credit string")
+    credit = attributed(served, shown, pages, credits).select("item", "credit")
+    items = live.select("key", F.col("c_custkey").alias("item"), F.col("c_nationkey").alias("booth"), F.col("c_name").alias("name")).join(credit, "item")
+    lists = {"booths": booths, "items": items, "events": dated.filter("o_orderpriority = '1-URGENT'").drop("o_orderpriority"), "seminars": dated.filter("o_orderpriority = '5-LOW'").drop("o_orderpriority")}
+    return parents, lists
+
+
+@query(DOCUMENT)
+def pub1_snapshot_document(spark, sf_dir):
+    """PUB1, FIL5, JOI3, PHO6, SNK1, SNK2: the pieces of each festival's document, byte for byte."""
+    parents, lists = festival(spark, sf_dir)
+    rows = S.pieces(parents, lists, "key", {"booths": ["booth"], "items": ["item"], "events": ["id"], "seminars": ["id"]}, PER)
+    return rows.select("key", "segment", "piece", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("digest"))
+
+
+@query()
+def pub1_snapshot_etags(spark, sf_dir):
+    """PUB1, HSH2: one tag a document, whatever the order of its children."""
+    parents, lists = festival(spark, sf_dir)
+    return S.etags(parents, lists, "key")
+
+
+@query(f"""WITH a AS (SELECT p_partkey AS position, p_brand AS key, p_size % 3 <> 0 AS is_active, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part), parents AS (SELECT key, position FROM a WHERE k = 1 AND is_active),
+p AS (SELECT key, 0 AS segment, 0 AS piece, '{{"brand":"' || key || '"' AS text FROM parents UNION ALL {listed("items", "SELECT p_brand AS key, (p_name, p_partkey) AS ord, '{\"item\":\"' || p_name || '\"}' AS json FROM part WHERE p_size > 25", 1)} UNION ALL SELECT key, 2, 0, ',"position":' || position || '}}' FROM parents)
+SELECT key AS name, segment, CAST(piece AS BIGINT) AS piece, text FROM p""")
+def pub2_file_snapshot_pieces(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    parents = p.select(F.col("p_partkey").alias("position"), F.concat(F.lit(" "), "p_brand").alias("name"), (F.col("p_size") % 3 != 0).alias("is_active"))
+    kids = p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("parent"), (F.col("p_size") > 25).alias("is_active"))
+    return P.file_snapshot_pieces(parents, kids, PER).select("name", "segment", "piece", "text")

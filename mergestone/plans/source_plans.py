@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mergestone.operators.snapshots import pieces, read_list, write_snapshot
 from mergestone.plans.registry import query, table
 from mergestone.sources import files as S
 from mergestone.streaming.changes import shared_folder
@@ -52,13 +53,14 @@ def src8_embedded_binaries(spark, sf_dir):
 
 @query("SELECT n_name AS parent, c_custkey AS child, c_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT n_name, NULL, NULL FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)")
 def snk1_nested_snapshot(spark, sf_dir):
-    """SNK1, PRJ1: nested parents written as JSON, read again and flattened."""
+    """SNK1, PRJ1: nested parents written as pieces of JSON, read again and flattened."""
     out = shared_folder(spark, "snapshot")
-    kids = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(F.struct("c_custkey", "c_name")).alias("items"))
-    n = table(spark, sf_dir, "nation").join(kids, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("n_name", "items")
-    n.write.json(out)
-    back = spark.read.schema("n_name string, items array<struct<c_custkey:long,c_name:string>>").json(out)
-    return back.select(F.col("n_name").alias("parent"), F.inline_outer("items")).withColumnsRenamed({"c_custkey": "child", "c_name": "name"})
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    kids = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", "c_name")
+    write_snapshot(pieces(n, {"items": kids}, "n_nationkey", {"items": ["c_custkey"]}), "n_nationkey", out)
+    back = spark.read.schema("n_nationkey long, segment int, piece long, text string, ends int").json(out)
+    items = read_list(back, "n_nationkey", "items", "c_custkey long, c_name string")
+    return n.join(items, "n_nationkey", "left").select(F.col("name").alias("parent"), F.col("c_custkey").alias("child"), F.col("c_name").alias("name"))
 
 
 @query("SELECT 'a' AS label, count(*) AS items FROM part UNION ALL SELECT 'b', count(*) FROM orders")
