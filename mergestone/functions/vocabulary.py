@@ -56,7 +56,13 @@ NOT_NUTS = ("water chestnuts?",)
 NOT_HEAT = ("jamon serranos?",)
 NOT_SWEET = ("crab cakes?", "fish cakes?", "onion cakes?", "rice cakes?", "pot pies?", "shepherd's pies?", "cottage pies?", "savou?ry custard", "caramel(?:i[sz]ed)?[ -]?onions?", "sweet[ -]?potato(?:es)?", "sweet[ -]?(?:and|&)[ -]?(?:sour|spicy|hot)")
 NOT_SAVORY = ("cream cheese", "chocolate truffles?", "almond truffles?", "olives? oil", "bread pudding")
-BOILERPLATE = ("booth", "kiosk", "marketplace", "menu")
+# Patterns of what a match key leaves out, taken out in this order.
+ASIDE = r"\([^)]*\)"
+BOILERPLATE = (r"\bbooth\b", r"\bkiosk\b", r"\bmarketplace\b", r"\bmenu\b", r"\bpresented by [\w'&]+(\s[\w'&]+)*", r"\bhosted by [\w'&]+(\s[\w'&]+)*", r"<—.*", r"<-.*", r"click to see.*")
+PRICE = r"\$\s*\d+(?:[.,]\d{1,2})?"
+SIZE = r"\b\d+(?:\.\d+)?\s*(?:oz|ounces?|ml|cl|lit(?:er|re)s?)\b"
+SIGN = r"[^\w\s]"
+LEFT_OUT = (ASIDE, "|".join(BOILERPLATE), PRICE, SIZE, SIGN)
 TAG_LABELS = {
     "vegan": ("Vegan", "dietary"), "vegetarian": ("Vegetarian", "dietary"), "plant_based": ("Plant-based", "dietary"), "gluten_free": ("Gluten-friendly", "dietary"),
     "contains_alcohol": ("Contains alcohol", "dietary"), "spicy": ("Spicy", "dietary"), "contains_nuts": ("Contains nuts", "dietary"), "contains_shellfish": ("Contains shellfish", "dietary"),

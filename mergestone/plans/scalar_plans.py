@@ -1,4 +1,4 @@
-"""Scalars over menu lines: each part carries one of the lines below, by its key."""
+"""Scalars over menu lines of parts, over the lines of all documents, and over the addresses and dates of other tables."""
 
 from __future__ import annotations
 
@@ -10,20 +10,33 @@ from mergestone.functions import vocabulary as V
 from mergestone.operators.overlay import lenient_equal
 from mergestone.plans.registry import query, table
 
-LINES = (
-    "Bubbles & Brine (NEW)", "  The   Alps  ", "Trio of 3 Cheeses", "12 Ounce Ozark Lager", "Frozen Rosé — $9.50", "3 Daughters Brewing Apple Strudel Hard Cider", "1000 Stories Bourbon Barrel-Aged Zinfandel",
-    "Beer Flight", "Kirinzan Lemonade Sake", "Spiced Apple Mule: Frozen Ginger Beer with Iceberg Canadian Vodka", "Something Entirely Unlabelled", "Kirschwasser Torte", "Peroni Pilsner - $5.25", "Virgin Mojito with Mint and Lime",
-    "Root Beer Float with Vanilla Ice Cream", "Roasted Chestnut Soup", "Stir-fried Water Chestnuts and Snow Peas", "Pumpkin Spice Doughnut with Nutmeg", "Crab Cake with Tropical Fruit Chutney, $8.00", "Sweet Chile-Lime Plant-based Chicken Strips",
-    "NEW! Belgian Waffle", "New York Strip Steak", "Las Posadas Wings (30th Anniversary Legacy Item) (New)", "Coastal Eats - Opening October 2nd", "Seafood Tower, Vegan Aioli and Gluten/Wheat Friendly Bread - 6 oz $6.00 / 12 oz $9.75", "Menu Booth 2026",
+#: What parts are served with; the rest of a line is the part's own name, brand, size and price.
+SERVED = (
+    "Almond Crust", "Oat Stout", "Smoked Trout Chowder", "Ginger Beer", "Vegan Dill Sauce", "Pear Perry", "Garlic Toast", "Iced Tea", "Plum Sake", "Water Chestnuts", "Virgin Punch", "Crab Cakes",
+    "Onion Soup", "Dry Riesling", "Peach Pie", "Plant-based Bacon", "Gluten-free Bread", "Kimchi Mayo", "Mussels", "Brut Spritz", "Café Cocoa",
 )
-LIST = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in LINES) + "]"
-SQL = f"m AS (SELECT p_partkey AS id, {LIST}[CAST(p_partkey % {len(LINES)} AS INT) + 1] AS line FROM part)"
+DISH = "[" + ", ".join(f"'{x}'" for x in SERVED) + f"][CAST(p_size % {len(SERVED)} AS INT) + 1]"
+COST = "CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS VARCHAR)"
+#: The lines that the queries read: one a part, in nine forms, and all lines of all documents.
+SQL = f"""m AS (SELECT 'p' || p_partkey AS id, p_partkey AS n, CASE p_partkey % 9 WHEN 0 THEN p_name || ' and ' || {DISH} || ' (NEW)' WHEN 1 THEN '  ' || p_name || '   ' || p_brand || '  ' WHEN 2 THEN p_size || ' oz ' || {DISH} || ' — $' || {COST} WHEN 3 THEN p_name || ', ' || {DISH} || ', $' || {COST}
+WHEN 4 THEN 'NEW! ' || {DISH} WHEN 5 THEN p_name || ' - Opening May ' || p_size WHEN 6 THEN {DISH} || ' 6 oz $' || p_size || '.00 / 12 oz $' || {COST} WHEN 7 THEN p_name || ' Booth (by ' || p_brand || ') presented by ' || p_type || ' 20' || (10 + p_size) ELSE p_name || ' ' || {DISH} || ' Legacy Item (New)' END AS line FROM part
+UNION ALL SELECT 'd' || doc_id || '-' || i, i, line FROM (SELECT doc_id, generate_subscripts(s, 1) - 1 AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)))"""
 PLAIN = f"translate(lower(line), '{C.ACCENTS[0]}', '{C.ACCENTS[1]}')"
 
 
 def menu(spark, sf_dir):
-    lines = F.array(*(F.lit(x) for x in LINES))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(lines, (F.col("p_partkey") % len(LINES) + 1).cast("int")).alias("line"))
+    """Rows (id, n, line): menu lines made of the columns of parts, and the lines of documents."""
+    c = F.col
+    dish = F.element_at(F.array(*map(F.lit, SERVED)), (c("p_size") % len(SERVED) + 1).cast("int"))
+    cost, name = c("p_retailprice").cast("decimal(10,2)").cast("string"), c("p_name")
+    forms = [
+        [name, " and ", dish, " (NEW)"], ["  ", name, "   ", c("p_brand"), "  "], [c("p_size"), " oz ", dish, " — $", cost], [name, ", ", dish, ", $", cost], ["NEW! ", dish], [name, " - Opening May ", c("p_size")],
+        [dish, " 6 oz $", c("p_size"), ".00 / 12 oz $", cost], [name, " Booth (by ", c("p_brand"), ") presented by ", c("p_type"), " 20", 10 + c("p_size")], [name, " ", dish, " Legacy Item (New)"],
+    ]
+    line = F.coalesce(*(F.when(c("p_partkey") % len(forms) == k, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in form))) for k, form in enumerate(forms)))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), c("p_partkey").alias("n"), line.alias("line"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return parts.unionByName(lines.select(F.concat(F.lit("d"), "doc_id", F.lit("-"), "n").alias("id"), c("n").cast("long").alias("n"), "line"))
 
 
 def matches(pattern, t="t"):
@@ -51,22 +64,25 @@ def cls2_flavour_tags(spark, sf_dir):
     return menu(spark, sf_dir).select("id", F.array_join(C.flavour_tags(F.col("line")), ",").alias("tags"))
 
 
-@query(f"WITH {SQL}, t AS (SELECT id, {PLAIN} AS t FROM m) SELECT id, CASE WHEN id % 3 <> 0 THEN CASE {' '.join(f'WHEN {says(o, p)} THEN {chr(39)}{k}{chr(39)}' for k, o, p in C.KINDS)} END END AS kind FROM t")
+@query(f"WITH {SQL}, t AS (SELECT id, n, {PLAIN} AS t FROM m) SELECT id, CASE WHEN n % 3 <> 0 THEN CASE {' '.join(f'WHEN {says(o, p)} THEN {chr(39)}{k}{chr(39)}' for k, o, p in C.KINDS)} END END AS kind FROM t")
 def cls3_alcohol_kind(spark, sf_dir):
-    category = F.when(F.col("id") % 3 != 0, "alcoholic_beverage").otherwise("food")
+    category = F.when(F.col("n") % 3 != 0, "alcoholic_beverage").otherwise("food")
     return menu(spark, sf_dir).select("id", C.alcohol_kind(category, F.col("line")).alias("kind"))
 
 
-@query(f"""WITH {SQL}, t AS (SELECT id, line, {PLAIN} AS t, CASE WHEN id % 2 = 0 THEN 'food' ELSE 'beverage' END AS section FROM m), a AS (SELECT *, {says(*C.TAGS['contains_alcohol'])} AND NOT {NOT_ALC} AS alc FROM t)
+@query(f"""WITH {SQL}, t AS (SELECT id, line, {PLAIN} AS t, CASE WHEN n % 2 = 0 THEN 'food' ELSE 'beverage' END AS section FROM m), a AS (SELECT *, {says(*C.TAGS['contains_alcohol'])} AND NOT {NOT_ALC} AS alc FROM t)
 SELECT id, CASE WHEN regexp_matches(line, '(?i)\\(\\s*new\\s*\\)') AND NOT regexp_matches(line, '(?i)\\blegacy item\\b') THEN true END AS is_new, CASE WHEN NOT (section = 'beverage' OR {matches(C.DRINK_AT_END)}) THEN section WHEN alc THEN 'alcoholic_beverage' ELSE 'non_alcoholic_beverage' END AS category, CASE WHEN alc THEN 'alcoholic_beverage' ELSE 'non_alcoholic_beverage' END AS consistent FROM a""")
 def cls4_newness_and_category(spark, sf_dir):
     """CLS4, CLS5, CLS6"""
     m = menu(spark, sf_dir).withColumn("tags", C.dietary_tags(F.col("line")))
-    section = F.when(F.col("id") % 2 == 0, "food").otherwise("beverage")
+    section = F.when(F.col("n") % 2 == 0, "food").otherwise("beverage")
     return m.select("id", C.is_new(F.col("line")).alias("is_new"), C.category_of(section, F.col("line"), F.col("tags")).alias("category"), C.consistent_category(F.lit("non_alcoholic_beverage"), F.col("tags")).alias("consistent"))
 
 
-NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '\([^)]*\)', ' ', 'g'), '\b(?:booth|kiosk|marketplace|menu)\b', ' ', 'g'), '\$\s*\d+(?:[.,]\d{{1,2}})?', ' ', 'g'), '\b\d+(?:\.\d+)?\s*(?:oz|ounces?|ml|cl|lit(?:er|re)s?)\b', ' ', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"""
+NORMAL = "lower(strip_accents({x}))"
+for pattern in V.LEFT_OUT:
+    NORMAL = f"regexp_replace({NORMAL}, '" + pattern.replace("'", "''").replace("{", "{{").replace("}", "}}") + "', ' ', 'g')"
+NORMAL = f"trim(regexp_replace({NORMAL}, '\\s+', ' ', 'g'))"
 
 
 @query(f"WITH {SQL}, k AS (SELECT id, {NORMAL.format(x='line')} AS key FROM m) SELECT id, key, array_to_string(list_sort(string_split(key, ' ')), ' ') AS sorted FROM k")
@@ -101,18 +117,29 @@ def str7_price_clause_and_description(spark, sf_dir):
     return menu(spark, sf_dir).withColumn("name", T.strip_price_clause(x)).select("id", "name", T.description_of(x, F.regexp_extract(x, r"^(\S+\s+\S+)", 1)).alias("description"))
 
 
-@query("""SELECT page_id, regexp_replace(url, '[#?].*$', '') AS absolute, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') AS host, regexp_replace(url, '[#?].*$', '') || '' AS same,
-CASE WHEN regexp_matches(regexp_replace(url, '[#?].*$', ''), '\\.html?$') THEN 'article' WHEN regexp_matches(regexp_replace(url, '[#?].*$', ''), '/\\d+$') THEN 'item' ELSE 'hub' END AS kind, url AS original, CASE WHEN regexp_matches(url, '\\.html($|[?#])') THEN '.jpg' ELSE '.jpg' END AS ext FROM pages""")
+BARE = "regexp_replace(url, '[#?].*$', '')"
+
+
+@query(rf"""WITH u AS (SELECT page_id, replace(url, '/en/', '/' || (2000 + page_id % 60) || '/') AS url FROM pages) SELECT page_id, {BARE} AS absolute, regexp_replace(split_part(url, '/', 3), '^www\.', '') AS host, {BARE} AS same,
+CASE WHEN regexp_matches({BARE}, '/20\d\d/') THEN 'permalink' WHEN regexp_matches({BARE}, '\.html?$') THEN 'article' WHEN regexp_matches({BARE}, '/\d+$') THEN 'item' ELSE 'hub' END AS kind,
+CASE WHEN contains({BARE}, '/20') THEN TRY_CAST(list_filter(string_split({BARE}, '/')[4:], lambda x: regexp_full_match(x, '20\d\d'))[1] AS INT) END AS year, url AS original, '.jpg' AS ext FROM u""")
 def str11_url_scalars(spark, sf_dir):
-    """STR11, STR12, STR13, STR14, STR17"""
+    """STR11, STR12, STR13, STR14, STR17; pages in English stand under a year."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.replace("url", F.lit("/en/"), F.concat(F.lit("/"), (2000 + F.col("page_id") % 60).cast("string"), F.lit("/"))).alias("url"))
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", T.absolute_url(u, "example.org").alias("absolute"), T.host_key(u).alias("host"), T.absolute_url(F.regexp_replace(u, "^https?:", ""), "x").alias("s"), T.page_kind(u).alias("kind"), T.archive_original(F.concat(F.lit("https://web.example/web/2020id_/"), u)).alias("original"), T.extension_of(u).alias("ext"), u.alias("u")).select("page_id", "absolute", "host", F.when(F.col("s").isNotNull(), F.col("absolute")).alias("same"), "kind", "original", "ext")
+    archived = F.concat(F.lit("https://web.example/web/2020id_/"), u)
+    same = T.absolute_url(F.regexp_replace(u, "^https?:", ""), "x")
+    scheme = F.regexp_extract(u, "^https?", 0)
+    return p.select("page_id", T.absolute_url(u, "example.org").alias("absolute"), T.host_key(u).alias("host"), F.regexp_replace(same, "^https", scheme).alias("same"), T.page_kind(u).alias("kind"), T.url_year(F.regexp_replace(u, "[#?].*$", "")).alias("year"), T.archive_original(archived).alias("original"), T.extension_of(u).alias("ext"))
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'Old Mill' ELSE 'River' END END AS name FROM part""")
+@query("""WITH w AS (SELECT p_partkey AS id, p_size, string_split(p_name, ' ') AS w FROM part) SELECT id, CASE WHEN p_size % 3 < 2 THEN array_to_string(list_transform(w, lambda x: upper(x[1]) || lower(x[2:])), ' ') WHEN p_size % 3 = 2 AND id % 5 = 0 THEN array_to_string(list_transform(w[-1:], lambda x: upper(x[1]) || lower(x[2:])), ' ') END AS name FROM w""")
 def str15_name_from_file(spark, sf_dir):
-    k, s = F.col("p_partkey"), F.col("p_size")
-    file = F.when(s % 2 == 1, "some-photo.jpg").when(k % 3 == 0, "2019-old-mill-booth-300x200.jpg").otherwise("festival-river-booth.png")
+    """STR15 over the names of parts: behind a year and a size, behind noise, without the word, and with a year between."""
+    k, s, stem = F.col("p_partkey"), F.col("p_size"), F.replace("p_name", F.lit(" "), F.lit("-"))
+    words = F.split("p_name", " ")
+    between = F.concat_ws("-", F.slice(words, 1, F.size(words) - 1), F.lit("2019"), F.element_at(words, -1), F.lit("booth.JPG"))
+    file = F.when(s % 3 == 0, F.concat(F.lit("2019-"), stem, F.lit("-booth-300x200.jpg"))).when(s % 3 == 1, F.concat(F.lit("festival-"), stem, F.lit("-booth.png"))).when(k % 5 == 0, between).otherwise(F.concat(stem, F.lit(".jpg")))
     return table(spark, sf_dir, "part").select(k.alias("id"), T.name_from_file(file).alias("name"))
 
 
