@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mergestone.functions.text import token_sorted
+from mergestone.functions.text import native_similarity, token_sorted
 from mergestone.operators import photos as P
 from mergestone.operators import resolution as R
 from mergestone.operators.similarity_join import similar
@@ -24,6 +25,15 @@ def str3_similar_names(spark, sf_dir):
     return similar(n, n.withColumnRenamed("a", "b"), R.REVIEW, once=True).filter("a < b").select("a", "b", "score")
 
 
+@query(f"WITH RECURSIVE {LCS}, p AS (SELECT p_partkey, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS k, p_brand FROM part), w AS (SELECT p_partkey, k AS a, lag(k) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM p) SELECT p_partkey, score FROM w JOIN s USING (a, b)")
+def udf2_native_similarity(spark, sf_dir):
+    """UDF2: each part's name against the one before it in its brand, by built-in functions."""
+    before = F.lag("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    p = table(spark, sf_dir, "part").withColumn("before", before).filter("before is not null")
+    pairs = p.select("p_name", "before").distinct().withColumn("score", F.round(native_similarity(F.col("p_name"), F.col("before")), 6))
+    return p.join(pairs, ["p_name", "before"]).select("p_partkey", "score")
+
+
 HEADLINE = "lower(trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '[^a-zA-Z0-9]+', ' ', 'g'), ' +', ' ', 'g')))"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mergestone.operators.snapshots import pieces, read_list, write_snapshot
 from mergestone.plans.registry import query, table
 from mergestone.sources import files as S
+from mergestone.sources.keyed_folders import keyed_folders
 from mergestone.streaming.changes import shared_folder
 
 
@@ -19,6 +20,15 @@ def src4_folder_per_key(spark, sf_dir):
     return rows.select(F.translate("brand", "-", "#").alias("key"), "p_partkey", "p_name")
 
 
+@query("SELECT p_brand AS key, p_partkey, p_name FROM part WHERE p_brand IN ('Brand#3', 'Brand#11', 'Brand#14')")
+def src4_asked_folders(spark, sf_dir):
+    """SRC4, SRC1: of one folder a brand, those that are asked for are read."""
+    out = shared_folder(spark, "feed")
+    S.write_feed(table(spark, sf_dir, "part").select(F.translate("p_brand", "#", "-").alias("brand"), "p_partkey", "p_name"), "brand", out)
+    rows = keyed_folders(spark, f"{out}/feed", ".json", "key string, p_partkey long, p_name string", "brand=", ["Brand-3", "Brand-11", "Brand-14"])
+    return rows.select(F.translate("key", "-", "#").alias("key"), "p_partkey", "p_name")
+
+
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
 def snk3_feed_index(spark, sf_dir):
     return S.write_feed(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), "p_brand", shared_folder(spark, "feed"))

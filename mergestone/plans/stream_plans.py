@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mergestone.plans.registry import query, table
 from mergestone.plans.version_plans import VERSIONS
+from mergestone.streaming import actives as A
 from mergestone.streaming import changes as S
 from mergestone.streaming import settled as T
 
@@ -88,3 +89,47 @@ def stm2_batch_ledger(spark, sf_dir):
     for batch, rows in ((1, parts[1]), (0, parts[0]), (2, parts[2]), (1, parts[1])):
         ledger.take(rows, batch)
     return ledger.table().select("url", "hash", "seen", "fetch_id")
+
+
+def late_arrivals(spark, sf_dir, files: int = 4) -> str:
+    """A folder of events in files by time of arrival, which is up to an hour after the event, and at last a file with one event far in the
+    future, which moves the watermark past all sessions and days."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id")
+    e = e.withColumn("arrived", F.unix_timestamp("at") + F.pmod(F.xxhash64("event_id"), F.lit(3600)))
+    span = e.agg(F.min("arrived").alias("a"), (F.max("arrived") + 1).alias("z")).first()
+    folder, width = S.shared_folder(spark, "arrivals"), ((span.z or 1) - (span.a or 0)) / files
+    for k in range(files):
+        part = F.least(F.floor((F.col("arrived") - (span.a or 0)) / width), F.lit(files - 1)) == k
+        e.filter(part).select("user_id", "at").write.mode("append").parquet(folder)
+    last = spark.createDataFrame([(SENTINEL,)], "user_id long").withColumn("at", F.lit("2200-01-01").cast("timestamp"))
+    last.select(F.col("user_id").cast(dict(e.dtypes)["user_id"]), "at").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def arriving(spark, folder):
+    schema = spark.read.parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS s FROM events), n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS began, epoch_us(max(ts)) - epoch_us(min(ts)) AS lasted, count(*) AS events FROM n GROUP BY user_id, k""")
+def stm5_session_stream(spark, sf_dir):
+    """STM5: all sessions, from events that arrive out of order, each once its end is behind the watermark."""
+    out = S.run_to_end(A.sessions(arriving(spark, late_arrivals(spark, sf_dir)), "user_id", "at", late="61 minutes"), "sessions")
+    began, ends = F.unix_micros("start"), F.unix_micros("end") - 5 * 60 * 1_000_000
+    return out.filter(F.col("user_id") != SENTINEL).select("user_id", began.alias("began"), (ends - began).alias("lasted"), "events")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events), w AS (SELECT day + CAST(i AS INT) AS until, user_id FROM d, generate_series(0, 6) t(i)), m AS (SELECT day + CAST(i AS INT) AS until, user_id FROM d, generate_series(0, 27) t(i))
+SELECT until, 7 AS days, count(DISTINCT user_id) AS actives, true AS within FROM w GROUP BY 1 UNION ALL SELECT until, 28, count(DISTINCT user_id), true FROM m GROUP BY 1""")
+def stm6_actives_by_sketches(spark, sf_dir):
+    """STM6: users active in each week and each four weeks, from one stream of daily sketches, beside the exact numbers."""
+    sketches = S.run_to_end(A.daily_sketches(arriving(spark, late_arrivals(spark, sf_dir)), "user_id", "at", late="61 minutes"), "sketches").filter("day < DATE'2200-01-01'")
+    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "user_id").distinct()
+    out = None
+    for n in (7, 28):
+        spans = days.select(F.explode(F.sequence("day", F.date_add("day", n - 1))).alias("until"), "user_id")
+        exact = spans.groupBy("until").agg(F.count_distinct("user_id").alias("exact"))
+        both = exact.join(A.actives(sketches, n), "until", "full").select("until", F.lit(n).alias("days"), F.col("exact").alias("actives"), A.within(F.col("actives"), F.col("exact")).alias("within"))
+        out = both if out is None else out.unionByName(both)
+    return out
