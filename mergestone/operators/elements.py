@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mergestone.functions.text import price_of
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 KEPT = frozenset("h1 h2 h3 h4 h5 h6 p li a img figcaption figure strong title footer nav article div span td".split())
 SCHEMA = "page_id long, pos int, tag string, level int, parent_tag string, class string, text string, href string, src string, alt string, width int, height int"
@@ -90,10 +92,10 @@ def sections(elements: DataFrame, boundary: Column) -> DataFrame:
 
 def priced_items(elements: DataFrame, price: str = r"\$\s*(\d+(?:\.\d{1,2})?)") -> DataFrame:
     """EXT1: list items and paragraphs of up to 300 characters with a price, under the nearest heading of under 80; the name is
-    what stands before the dash and the price."""
+    what stands before the dash and the price; the lowest price is text with two decimals."""
     heading = F.when(F.col("tag").rlike("^h[1-6]$") & (F.length("text") < 80) & (F.col("text") != ""), F.col("text"))
     rows = carried(elements, heading, "parent").filter(F.col("tag").isin("li", "p") & (F.length("text") <= 300) & F.col("text").rlike(price))
-    lowest = F.array_min(F.transform(F.regexp_extract_all("text", F.lit(price), F.lit(1)), lambda x: x.cast("decimal(8,2)")))
+    lowest = F.array_min(F.transform(F.regexp_extract_all("text", F.lit(price), F.lit(1)), price_of))["text"]
     return rows.select("page_id", "pos", "parent", F.trim(F.regexp_extract("text", r"^(.*?)(?:\s+[-–—]\s*\$.*|\s*\$.*)$", 1)).alias("name"), lowest.alias("price"))
 
 

@@ -33,7 +33,7 @@ def menus(spark, sf_dir):
 @query(f"""SELECT page_id, trim(name) AS name, CAST(page_id % 9 + 1 AS VARCHAR) || '.50' AS price FROM (SELECT page_id, {ITEM} AS name FROM pages)""")
 def ext1_priced_items(spark, sf_dir):
     """EXT1, WIN10, AGG15, UDF3"""
-    return E.priced_items(E.tokenised(menus(spark, sf_dir))).select("page_id", "name", F.col("price").cast("string").alias("price"))
+    return E.priced_items(E.tokenised(menus(spark, sf_dir))).select("page_id", "name", "price")
 
 
 @query(f"""SELECT page_id, 'food' AS category, count(*) AS n, max(t) AS parent FROM (SELECT page_id, {TITLE} AS t, {ITEM} AS name FROM pages) GROUP BY 1 UNION ALL SELECT page_id, 'beverage', 2, {TITLE} FROM pages""")
