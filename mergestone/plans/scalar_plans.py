@@ -103,8 +103,8 @@ def str4_text_scalars(spark, sf_dir):
 @query(f"""WITH {SQL}, p AS (SELECT id, line, list_transform(regexp_extract_all(line, '\\$\\s*(\\d+(?:\\.\\d{{1,2}})?)', 1), lambda x: CAST(x AS DECIMAL(8,2))) AS ps FROM m) SELECT id, CAST(len(ps) AS INT) AS n, CAST(list_min(ps) AS VARCHAR) AS low, CAST(ps[1] AS VARCHAR) AS first FROM p""")
 def mat1_prices(spark, sf_dir):
     """MAT1, AGG15"""
-    ps = F.transform(F.regexp_extract_all("line", F.lit(r"\$\s*(\d+(?:\.\d{1,2})?)"), F.lit(1)), lambda x: x.cast("decimal(8,2)"))
-    return menu(spark, sf_dir).withColumn("ps", ps).select("id", F.size("ps").alias("n"), F.array_min("ps").cast("string").alias("low"), F.try_element_at("ps", F.lit(1)).cast("string").alias("first"))
+    ps = F.transform(F.regexp_extract_all("line", F.lit(r"\$\s*(\d+(?:\.\d{1,2})?)"), F.lit(1)), T.price_of)
+    return menu(spark, sf_dir).withColumn("ps", ps).select("id", F.size("ps").alias("n"), F.array_min("ps")["text"].alias("low"), F.try_element_at("ps", F.lit(1))["text"].alias("first"))
 
 
 @query(rf"""WITH {SQL}, c AS (SELECT id, line, regexp_replace(line, '^((?s:.*))(?:\s+[—–-]\s+|,\s+)[^$]*\$.*$', '\1') AS cut FROM m),
