@@ -13,8 +13,13 @@ def pages(spark, sf_dir):
     return table(spark, sf_dir, "pages")
 
 
-#: A page's headline as a reader sees it, its list items, and the headline as it stands in the markup.
-TITLE = """trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+#: A page's headline as a reader sees it, its list items, and the headline as it stands in the markup. The parser reads a character
+#: reference with or without its semicolon, so also one that the end of the headline cuts off behind its name; one cut off inside its digits names a
+#: control character, which no text holds. White space is what the parser's text is split at.
+TITLE = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+for said, shown in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27(?:;|([^0-9A-Fa-f;])|$)", r"''\1"), ("&#x2$", ""), ("&amp;?", "&")):
+    TITLE = f"regexp_replace({TITLE}, '{said}', '{shown}', 'g')"
+TITLE = rf"trim(regexp_replace({TITLE}, '[\s\x0B\x1C-\x1F\x{{85}}\pZ]+', ' ', 'g'))"
 ITEM = "unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1))"
 HEAD = "<h1>([^<]*)</h1>"
 
