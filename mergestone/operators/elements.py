@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +16,17 @@ KEPT = frozenset("h1 h2 h3 h4 h5 h6 p li a img figcaption figure strong title fo
 SCHEMA = "page_id long, pos int, tag string, level int, parent_tag string, class string, text string, href string, src string, alt string, width int, height int"
 
 
+#: Rows, and letters of their texts, in a batch that goes back to Spark.
+ROWS, LETTERS = 2_000, 4_000_000
+
+
 class _Elements(HTMLParser):
+    """``rows``: elements as they stand in SCHEMA, with the range of their pieces of ``data`` in place of a text."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
+        self.data: list[str] = []
         self.stack: list[tuple[str, int | None]] = []
         self.skip = 0
 
@@ -34,7 +41,8 @@ class _Elements(HTMLParser):
         if tag in KEPT:
             number = lambda k: int(a[k]) if (a.get(k) or "").isdigit() and len(a[k]) < 9 else None
             at = len(self.rows)
-            self.rows.append([at, tag, len(self.stack), self.stack[-1][0] if self.stack else None, a.get("class"), "", a.get("href"), a.get("src"), a.get("alt"), number("width"), number("height")])
+            begins = len(self.data)
+            self.rows.append([at, tag, len(self.stack), self.stack[-1][0] if self.stack else None, a.get("class"), (begins, begins if tag in VOID else None), a.get("href"), a.get("src"), a.get("alt"), number("width"), number("height")])
         if tag not in VOID:
             self.stack.append((tag, at))
 
@@ -44,32 +52,49 @@ class _Elements(HTMLParser):
             return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
+                for _, at in self.stack[k:]:
+                    if at is not None:
+                        self.rows[at][5] = (self.rows[at][5][0], len(self.data))
                 del self.stack[k:]
                 return
 
     def handle_data(self, data):
-        if self.skip or not data.strip():
-            return
-        for _, at in self.stack:
-            if at is not None:
-                self.rows[at][5] += data
+        if not self.skip and data.strip():
+            self.data.append(data)
+
+    def elements(self) -> Iterator[list]:
+        for r in self.rows:
+            begins, ends = r[5]
+            yield [*r[:5], " ".join("".join(self.data[begins:ends]).split()), *r[6:]]
 
 
 def tokenised(pages: DataFrame) -> DataFrame:
     """UDF3: one row for each element of interest of (page_id, html), in document order, its text including what is inside it.
-    Pages are independent rows; the standard library parses them in batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for page, html in zip(pdf["page_id"], pdf["html"]):
+    Pages are independent rows, which the standard library parses one by one. Rows go back to Spark in small batches, so a task holds one
+    page and one batch of rows, however many pages it has."""
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
+
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, letters = [], 0
+        for pages in batches:
+            for page, html in zip(*pages.columns):
                 parser = _Elements()
-                parser.feed(html or "")
+                parser.feed(html.as_py() or "")
                 parser.close()
-                out += [[page, *r[:5], " ".join(r[5].split()), *r[6:]] for r in parser.rows]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"width": "Int32", "height": "Int32"})
-
-    return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
+                for r in parser.elements():
+                    rows.append([page.as_py(), *r])
+                    letters += len(r[5])
+                    if len(rows) >= ROWS or letters >= LETTERS:
+                        yield batch(rows)
+                        rows, letters = [], 0
+        if rows:
+            yield batch(rows)
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, SCHEMA)
 
 
 def _up_to() -> Window:
