@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,24 +22,40 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Keys of a stream share the state of their bucket, so a task makes a few calls for each bucket, not for each key. The number stays, since
+#: checkpoints hold it; a bucket's rows and state grow with the stream.
+BUCKETS = 512
+
+
+def bucket_of(key: str) -> Column:
+    """The bucket of a key; a null key has one of its own."""
+    return F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int").alias("bucket")
+
+
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["fetched_at", "fetch_id"])
-    last, n = state.get if state.exists else (None, 0)
-    out = []
-    for r in rows.itertuples():
-        if n == 0 or r.hash != last:
-            n += 1
-            out.append((key[0], n, r.fetch_id, r.hash))
-            last = r.hash
-    state.update((last, n))
-    yield pd.DataFrame(out, columns=["url", "version", "fetch_id", "hash"])
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(["url", "fetched_at", "fetch_id"], ignore_index=True)
+    known = {url: (n, last) for url, n, last in zip(*state.get)} if state.exists else {}
+    first = ~rows["url"].duplicated()
+    code = pd.Series(pd.factorize(rows["hash"])[0])  # nulls are equal
+    # of each url the first fetch here differs from what is held, the others from the one before
+    told = {url: known[url] for url in rows["url"][first].tolist() if url in known}
+    begins = [url not in told or told[url][1] != now for url, now in zip(rows["url"][first].tolist(), rows["hash"][first].where(rows["hash"][first].notna(), None).tolist())]
+    new = code != code.shift()
+    new[first] = begins
+    number = new.astype("int64").groupby(rows["url"]).cumsum() + rows["url"].map({url: n for url, (n, _) in told.items()}).fillna(0).astype("int64")
+    newest = ~rows["url"].duplicated(keep="last")
+    known |= {url: (n, None if pd.isna(h) else h) for url, n, h in zip(rows["url"][newest].tolist(), number[newest].tolist(), rows["hash"][newest].tolist())}
+    state.update((list(known), [n for n, _ in known.values()], [last for _, last in known.values()]))
+    out = rows[new]
+    yield pd.DataFrame({"url": None if key[0] == -1 else out["url"], "version": number[new], "fetch_id": out["fetch_id"], "hash": out["hash"]}, index=out.index)
 
 
 def changed_versions(fetches: DataFrame) -> DataFrame:
-    """STM1: of a stream (url, fetched_at, fetch_id, hash) the fetches that begin a new version. The state of a url is its last
-    hash and version number. Inside a micro-batch a url's fetches are taken in order of time; across micro-batches the order
+    """STM1: of a stream (url, fetched_at, fetch_id, hash) the fetches that begin a new version. The state of a bucket of urls is their last
+    hashes and version numbers. Inside a micro-batch a url's fetches are taken in order of time; across micro-batches the order
     of arrival counts, as in the batch form over the same arrivals."""
-    return fetches.groupBy("url").applyInPandasWithState(_changes, "url long, version long, fetch_id long, hash string", "hash string, n long", "append", "NoTimeout")
+    rows = fetches.select(bucket_of("url"), F.coalesce("url", F.lit(0)).cast("long").alias("url"), "fetched_at", "fetch_id", "hash")
+    return rows.groupBy("bucket").applyInPandasWithState(_changes, "url long, version long, fetch_id long, hash string", "url array<long>, n array<long>, hash array<string>", "append", "NoTimeout")
 
 
 def once(records: DataFrame, key: str, at: str, late: str = "10 days") -> DataFrame:
