@@ -55,7 +55,7 @@ def shuffled_arrivals(spark, sf_dir, files: int = 4) -> str:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"), F.col("o_orderkey").alias("fetch_id"), F.col("o_orderstatus").alias("hash"))
     folder = S.shared_folder(spark, "fetches")
     for k in range(files):
-        o.filter(F.pmod(F.xxhash64("fetch_id"), F.lit(files)) == k).coalesce(1).write.mode("append").parquet(folder)
+        o.filter(F.pmod(F.xxhash64("fetch_id"), F.lit(files)) == k).repartition(1).write.mode("append").parquet(folder)
     last = spark.createDataFrame([(SENTINEL, SENTINEL, "")], "url long, fetch_id long, hash string").select("url", F.lit("2200-01-01").cast("timestamp").alias("fetched_at"), "fetch_id", "hash")
     last.coalesce(1).write.mode("append").parquet(folder)
     return folder

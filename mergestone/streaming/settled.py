@@ -9,57 +9,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from mergestone.streaming.changes import bucket_of
+
 VERSIONS = "url long, version long, fetch_id long, hash string, late boolean"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Versions(StatefulProcessor):
-    """Of one url: ``last``, the hash, number and time of its newest version, and ``waiting``, fetches that the watermark has not passed.
+    """Of a bucket of urls: ``last``, the hashes, numbers and times of their newest versions, and ``waiting``, fetches that the watermark has
+    not passed, a list for each Arrow batch that came.
 
-    A fetch waits until its timer says that the watermark has passed its time; by then no earlier one can come any more, so waiting
-    fetches are settled in order of time, whatever order they arrived in. One that comes after the watermark has passed its time is late:
-    it changes nothing and is marked. Where ``forget`` is given, a url that had no fetch for more than so long in event time is forgotten, and the
-    next one is its first version again."""
+    A fetch waits until a timer says that the watermark has passed its time; by then no earlier one can come any more, so waiting
+    fetches are settled in order of time, whatever order they arrived in. The timer is set for the first of those that wait. A fetch that comes
+    after the watermark has passed its time is late: it changes nothing and is marked. Where ``forget`` is given, a url that had no fetch for
+    more than so long in event time is forgotten, and the next one is its first version again."""
 
     def __init__(self, forget: int | None):
         self.forget = forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "hash string, n long, at long")
-        self.waiting = handle.getListState("waiting", "at long, fetch_id long, hash string")
+        self.last = handle.getValueState("last", "url array<long>, hash array<string>, n array<long>, at array<long>")
+        self.waiting = handle.getListState("waiting", "url array<long>, at array<long>, fetch_id array<long>, hash array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         for part in rows:  # one Arrow batch at a time
             late = part["at"] < passed
-            for r in part[~late].itertuples():
-                self.waiting.appendValue((int(r.at), int(r.fetch_id), r.hash))
-            for at in part.loc[~late, "at"].unique().tolist():
-                self.handle.registerTimer(int(at))
+            held = part[~late]
+            if len(held):
+                self.waiting.appendValue(tuple([None if pd.isna(x) else x for x in held[c].tolist()] for c in ("url", "at", "fetch_id", "hash")))
+                self.handle.registerTimer(int(held["at"].min()))
             if late.any():
-                yield pd.DataFrame({"url": key[0], "version": None, "fetch_id": part.loc[late, "fetch_id"], "hash": part.loc[late, "hash"], "late": True})
+                yield pd.DataFrame({"url": part.loc[late, "url"], "version": None, "fetch_id": part.loc[late, "fetch_id"], "hash": part.loc[late, "hash"], "late": True})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed, out = timerValues.getCurrentWatermarkInMs(), []
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted(r for r in held if r[0] <= passed)
-        left = [r for r in held if r[0] > passed]
-        last, n, newest = tuple(self.last.get()) if self.last.exists() else (None, 0, None)
-        for at, fetch_id, now in ready:
+        held = [r for lists in self.waiting.get() for r in zip(*lists)] if self.waiting.exists() else []
+        ready = sorted((r for r in held if r[1] <= passed), key=lambda r: r[:3])
+        left = [r for r in held if r[1] > passed]
+        known = {url: (now, n, at) for url, now, n, at in zip(*self.last.get())} if self.last.exists() else {}
+        for url, at, fetch_id, now in ready:
+            last, n, newest = known.get(url, (None, 0, None))
             if self.forget is not None and newest is not None and at > newest + self.forget:
                 last, n = None, 0
-            newest = at
             if n == 0 or now != last:
                 n, last = n + 1, now
-                out.append((key[0], n, fetch_id, now, False))
+                out.append((url, n, fetch_id, now, False))
+            known[url] = (last, n, at)
+        if self.forget is not None:  # what waits of the others came later still, and begins anew
+            known = {url: k for url, k in known.items() if k[2] + self.forget >= passed}
+        if known:
+            self.last.update((list(known), *(list(c) for c in zip(*known.values()))))
+        else:
+            self.last.clear()
         if ready:
-            self.last.update((last, n, newest))
-            self.waiting.put(left) if left else self.waiting.clear()
-            if self.forget is not None:
-                self.handle.registerTimer(newest + self.forget)
-        elif self.forget is not None and newest is not None and newest + self.forget <= passed:
-            self.last.clear()  # what waits came later still, and begins anew
+            self.waiting.put([tuple(list(c) for c in zip(*left))]) if left else self.waiting.clear()
+        if left:
+            self.handle.registerTimer(min(r[1] for r in left))
+        if self.forget is not None and known:
+            self.handle.registerTimer(min(k[2] for k in known.values()) + self.forget + 1)
         yield pd.DataFrame(out, columns=["url", "version", "fetch_id", "hash", "late"])
 
     def close(self) -> None:
@@ -74,9 +83,9 @@ def settled_versions(fetches: DataFrame, delay: str, forget_days: int | None = N
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # the store that keyed state with timers needs
     told = fetches.filter("url is not null and fetched_at is not null and fetch_id is not null").withWatermark("fetched_at", delay)
     # a plain number, so that late rows reach the state instead of being dropped before it
-    rows = told.select("url", F.unix_millis("fetched_at").alias("at"), "fetch_id", "hash")
+    rows = told.select(bucket_of("url"), "url", F.unix_millis("fetched_at").alias("at"), "fetch_id", "hash")
     forget = None if forget_days is None else forget_days * 86_400_000
-    return rows.groupBy("url").transformWithStateInPandas(Versions(forget), VERSIONS, "append", "EventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(Versions(forget), VERSIONS, "append", "EventTime")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
