@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +75,8 @@ KINDS = (
 )
 DRINK_AT_END = BEFORE + "(?:" + "|".join(V.DRINK_ENDINGS) + r")\s*[*.!]?$"
 
+LAST_WORDS = sorted({re.search(r"\w+$", w)[0] for w in V.DRINK_ENDINGS})
+
 
 def plain(text: Column) -> Column:
     """Lower-case, Latin letters without accents."""
@@ -84,33 +87,61 @@ def words_of(text: Column) -> Column:
     return F.split(text, r"[^\pL\pN_]+")
 
 
-def _says(text: Column, words: Column, out: tuple[str, ...], lists: tuple[tuple[str, ...], ...]) -> Column:
-    """Most texts hold no first word of any phrase, so the pattern is tried on the others only. What doesn't count is taken out
-    twice, since two phrases side by side share what stands between them."""
+def single_words(*lists: tuple[str, ...]) -> list[str]:
+    """What the lists stand for that is one word: a text holds it as a whole word just if it is among the text's words."""
+    return sorted({s for ws in lists for w in ws for s in spelt_out(w) if re.fullmatch(r"\w+", s)})
+
+
+def begins_of_phrases(*lists: tuple[str, ...]) -> list[str]:
+    """The first words of what the lists stand for in several words."""
+    return sorted({re.match(r"\w+", s)[0] for ws in lists for w in ws for s in spelt_out(w) if not re.fullmatch(r"\w+", s)})
+
+
+def _any(hits: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(hits, F.array(*map(F.lit, words))) if words else F.lit(False)
+
+
+def _read(text: Column, rules: list[tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]], f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of the plain text and of those of its words that begin anything the rules name, each made once a text. Looking a
+    word up takes the same time however long the lists are, and most texts have none."""
+    named = sorted({w for out, lists in rules for w in first_words(out, *lists)})
+    read = F.transform(F.array(plain(text)), lambda t: F.struct(t.alias("t"), F.array_distinct(F.filter(words_of(t), lambda w: w.isin(*named))).alias("hits")))
+    return F.element_at(F.transform(read, lambda x: f(x["t"], x["hits"])), 1)
+
+
+def _says(text: Column, hits: Column, out: tuple[str, ...], lists: tuple[tuple[str, ...], ...]) -> Column:
+    """Where no phrase that doesn't count may begin, a single word of the lists is enough. Patterns are tried only on texts that hold
+    the beginning of a phrase. What doesn't count is taken out twice, since two phrases side by side share what stands between them."""
     left = text
     for _ in range(2 if out else 0):
         left = F.regexp_replace(left, any_of(out), " ")
-    return F.arrays_overlap(words, F.array(*map(F.lit, first_words(*lists)))) & left.rlike(any_of(*lists))
+    plainly = _any(hits, single_words(*lists)) | (_any(hits, begins_of_phrases(*lists)) & text.rlike(any_of(*lists)))
+    return F.when(_any(hits, first_words(out)), _any(hits, first_words(*lists)) & left.rlike(any_of(*lists))).otherwise(plainly) if out else plainly
+
+
+DISCLAIMER = ((), (V.NOT_ALCOHOLIC_WORDS,))
 
 
 def dietary_tags(text: Column) -> Column:
     """CLS1; a disclaimer takes contains_alcohol away."""
-    t = plain(F.coalesce(text, F.lit("")))
-    w = words_of(t)
-    marks = [F.when(_says(t, w, *rule) & (~t.rlike(any_of(V.NOT_ALCOHOLIC_WORDS)) if code == "contains_alcohol" else F.lit(True)), F.lit(code)) for code, rule in TAGS.items()]
-    return F.array_compact(F.array(*marks))
+
+    def tags(t: Column, hits: Column) -> Column:
+        marks = [F.when(_says(t, hits, *rule) & (~_says(t, hits, *DISCLAIMER) if code == "contains_alcohol" else F.lit(True)), F.lit(code)) for code, rule in TAGS.items()]
+        return F.when(F.size(hits) == 0, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*marks)))
+
+    return _read(F.coalesce(text, F.lit("")), [*TAGS.values(), DISCLAIMER], tags)
 
 
 def flavour_tags(text: Column) -> Column:
     """CLS2"""
-    t = plain(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(_says(t, words_of(t), *rule), F.lit(code)) for code, rule in FLAVOURS.items())))
+    tags = lambda t, hits: F.array_compact(F.array(*(F.when(_says(t, hits, *rule), F.lit(code)) for code, rule in FLAVOURS.items())))
+    return _read(F.coalesce(text, F.lit("")), list(FLAVOURS.values()), tags)
 
 
 def alcohol_kind(category: Column, text: Column) -> Column:
     """CLS3: the first list that speaks, for alcoholic drinks only."""
-    t = plain(text)
-    return F.when(category == "alcoholic_beverage", F.coalesce(*(F.when(_says(t, words_of(t), out, lists), F.lit(kind)) for kind, out, lists in KINDS)))
+    kind = _read(text, [(out, lists) for _, out, lists in KINDS], lambda t, hits: F.coalesce(*(F.when(_says(t, hits, out, lists), F.lit(kind)) for kind, out, lists in KINDS)))
+    return F.when(category == "alcoholic_beverage", kind)
 
 
 def is_new(text: Column) -> Column:
@@ -120,7 +151,9 @@ def is_new(text: Column) -> Column:
 
 def category_of(section: Column, name: Column, tags: Column) -> Column:
     """CLS5: a drink is what a section of drinks holds, or what ends in the name of one."""
-    drink = (section == "beverage") | plain(name).rlike(DRINK_AT_END)
+    words = F.filter(words_of(plain(name)), lambda w: w != "")
+    # the pattern is tried on names whose last word ends one of a drink
+    drink = (section == "beverage") | (F.coalesce(F.try_element_at(words, F.lit(-1)).isin(*LAST_WORDS), F.lit(False)) & plain(name).rlike(DRINK_AT_END))
     return F.when(~drink, section).when(F.array_contains(tags, "contains_alcohol"), "alcoholic_beverage").otherwise("non_alcoholic_beverage")
 
 
