@@ -38,8 +38,9 @@ CHUNK = 32_768
 #: Matrices that are multiplied in one task.
 FAN = 8
 KEEP = 600_000
-#: Segments remembered at a time; the memory starts anew beyond it, which changes no result.
-REMEMBER = 2_000_000
+#: Segments remembered at a time; the memory starts anew beyond it, which changes no result. A worker keeps it from task to task, so
+#: it must be small beside an executor's memory however many tasks there are.
+REMEMBER = 400_000
 SIGNS = np.zeros(256, bool)
 SIGNS[list(b".,;:!?*$)\"#%&")] = True
 
