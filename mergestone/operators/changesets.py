@@ -13,6 +13,8 @@ and freed as it goes. Two things make that a matter of joins and windows:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ def _known(asked: DataFrame, effects: DataFrame, scope: list[str]) -> DataFrame:
     return rows.withColumn("there", there).withColumn("since", F.when(held, F.col("sure.seq"))).drop("__ask", "state", "open", "sure", "may_go", "may_come")
 
 
+def _needed(asked: DataFrame, sure: DataFrame, scope: list[str]) -> DataFrame:
+    """Of ``sure`` effects, those that are the last before some asked entry: nothing that is asked later depends on the others."""
+    a = asked.select(*scope, "name", "seq", F.lit(None).cast("boolean").alias("state"), F.lit(True).alias("ask"))
+    rows = a.unionByName(sure.select(*scope, "name", "seq", "state", F.lit(False).alias("ask")))
+    before = Window.partitionBy(*scope, "name").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    last = rows.withColumn("last", F.max(F.when(~F.col("ask"), F.struct("seq", "state"))).over(before)).filter("ask and last is not null")
+    return last.select(*scope, "name", "last.seq", "last.state", F.lit(False).alias("open")).distinct()
+
+
 def _effects(entries: DataFrame, scope: list[str], is_open: Column) -> DataFrame:
     """What entries do to names: an added one is there after them, a deleted one is not, and a renamed row leaves one for another."""
     e, f = F.lit(True), F.lit(False)
@@ -67,20 +78,23 @@ def applied(base: DataFrame, changes: DataFrame, categories: list[str], scope: l
     there = touched.select(*scope, "name", F.lit(BASE).cast("long").alias("seq"), yes.alias("state"), no.alias("open"))
     plain = there.unionByName(_effects(good.filter("rename_to is null"), scope, no))
     linked = good.filter("rename_to is not null")
-    done, left = None, linked.select(*scope, "seq", "name", "rename_to", "is_new", "is_deleted")
+    done, left = [], linked.select(*scope, "seq", "name", "rename_to", "is_new", "is_deleted")
+    roles = F.array(F.struct(F.col("name"), no.alias("target")), F.struct(F.col("rename_to").alias("name"), yes.alias("target")))
+    asking = lambda e: e.select(*scope, "seq", "is_new", F.explode(roles).alias("r")).select(*scope, "seq", "is_new", "r.name", "r.target")
+    # a round costs what is left of the entries, not what was decided before
+    sure = kept(_needed(asking(left), plain, scope), "sure")
     while True:
-        effects = plain.unionByName(_effects(left, scope, yes))
-        effects = effects if done is None else effects.unionByName(_effects(done.filter("ok"), scope, no))
-        roles = F.array(F.struct(F.col("name"), no.alias("target")), F.struct(F.col("rename_to").alias("name"), yes.alias("target")))
-        asked = left.select(*scope, "seq", "is_new", F.explode(roles).alias("r")).select(*scope, "seq", "is_new", "r.name", "r.target")
+        effects = sure.unionByName(_effects(left, scope, yes))
         fits = F.when(F.col("target") | F.col("is_new"), ~F.col("there")).otherwise(F.col("there"))
         # every name fits, or one is known not to
-        found = _known(asked, effects, scope).groupBy(*scope, "seq").agg(F.when(F.bool_or(~fits), False).when(F.count(fits) == 2, True).alias("ok"))
+        found = _known(asking(left), effects, scope).groupBy(*scope, "seq").agg(F.when(F.bool_or(~fits), False).when(F.count(fits) == 2, True).alias("ok"))
         decided = kept(left.join(found, [*scope, "seq"]), "decided")
         now, left = decided.filter("ok is not null"), decided.filter("ok is null").drop("ok")
-        done = now if done is None else done.unionByName(now)
+        done.append(now)
         if left.isEmpty():
             break
+        sure = kept(_needed(asking(left), sure.unionByName(_effects(now.filter("ok"), scope, no)), scope), "sure")
+    done = kept(reduce(DataFrame.unionByName, done), "done")
     settled = plain.unionByName(_effects(done.filter("ok"), scope, no))
     at_name = _known(c, settled, scope).withColumnRenamed("there", "has").drop("since").join(done.select(*scope, "seq", "ok"), [*scope, "seq"], "left")
     bad = F.col("category").isNotNull() & ~F.col("category").isin(categories)
