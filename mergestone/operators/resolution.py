@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mergestone.functions.text import token_sorted
 from mergestone.operators.rounds import kept
-from mergestone.operators.similarity_join import GRAMS, similar
+from mergestone.operators.similarity_join import similar
 
 AUTO, REVIEW = 90.0, 70.0
 
@@ -19,9 +19,9 @@ def outcome(score: Column) -> Column:
 
 def matched(records: DataFrame, entities: DataFrame, least: float = 0.0) -> DataFrame:
     """ER1-ER3, JOI11, SRT4: each record (record, block, key) with the entity (entity, block, ekey, is_active) of its block that
-    scores best, and at least ``least``; live ones win ties, then lower ids. Equal keys of a block are scored once. With a ``least`` of
-    sure matches (AUTO) they come from an index of grams; below, keys that the block's entities do not hold as they are meet those with
-    enough letters in common. Records without candidates are new entities with a null score."""
+    scores best, and at least ``least``; live ones win ties, then lower ids. Equal keys of a block are scored once, and keys that the block's
+    entities do not hold as they are meet those with enough letters in common. Records without candidates are new entities with a null
+    score."""
     keyed = records.withColumn("a", token_sorted(F.col("key")))
     others = entities.select("block", token_sorted(F.col("ekey")).alias("b"), F.struct("is_active", -F.col("entity")).alias("e")).groupBy("block", "b").agg(F.max("e").alias("e"))
     keys = keyed.select("block", "a").distinct()
@@ -29,11 +29,9 @@ def matched(records: DataFrame, entities: DataFrame, least: float = 0.0) -> Data
     def best(pairs: DataFrame) -> DataFrame:
         return pairs.join(others, ["block", "b"]).groupBy("block", "a").agg(F.max(F.struct("score", "e")).alias("b"))
 
-    if least >= GRAMS:
-        found = best(similar(keys, others, least))
-    else:  # nothing scores more than equal keys, so only the others meet their block
-        same = keys.join(others.withColumnRenamed("b", "a"), ["block", "a"]).select("block", "a", F.struct(F.lit(100.0).alias("score"), "e").alias("b"))
-        found = same.unionByName(best(similar(keys.join(others.select("block", F.col("b").alias("a")), ["block", "a"], "left_anti"), others, least)))
+    # nothing scores more than equal keys, so only the others meet their block
+    same = keys.join(others.withColumnRenamed("b", "a"), ["block", "a"]).select("block", "a", F.struct(F.lit(100.0).alias("score"), "e").alias("b"))
+    found = same.unionByName(best(similar(keys.join(others.select("block", F.col("b").alias("a")), ["block", "a"], "left_anti"), others, least)))
     found = found.select("block", "a", F.col("b.score").alias("score"), (-F.col("b.e.col2")).alias("entity"))
     out = keyed.join(found, ["block", "a"], "left").drop("a")
     return out.withColumn("outcome", outcome(F.col("score"))).withColumn("entity", F.when(F.col("outcome") != "new_entity", F.col("entity")))

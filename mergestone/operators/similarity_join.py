@@ -1,142 +1,228 @@
 """Similarity joins of names: pairs of token-sorted keys whose score, 200 LCS / (n + m), reaches a threshold.
 
-* Sure matches (:data:`GRAMS` and above) come from an inverted index. With a score of S per cent, keys of n and m letters have a
-  common subsequence of L >= S (n + m) / 200, which leaves d = n + m - 2L letters outside it. Each of these spoils q - 1 runs of q
-  letters at most, so the keys share L - (q - 1)(1 + d) such runs. Each key is therefore listed only under as many of its rarest runs
-  as must hold a shared one, and under itself. q is 4 for long keys, down to 2 for short ones.
-* Below that, letters are parted too often for pairs to be shared. There all keys of a block may meet.
-
-In both, a pair becomes a row only if its keys have enough letters, and pairs of neighbouring letters, in common, which the join
-counts in packed bits.
-
-Lists of frequent pairs, and large blocks, are dealt out in numbered parts, so neither is one task.
+Keys of n and m letters with a score of S per cent have a common subsequence of L >= S (n + m) / 200 letters. Two keys with such a score may
+share no run of letters that few others hold, so an index does not spare many pairs: all keys of a block may meet. A block is dealt into
+numbered parts of about :data:`PART` keys at most, and two parts that meet are a cell, which is one group of a shuffle; small blocks share cells. So a
+task holds two parts, however large a block is, and no pair is a row before its score is sure. In a cell, by arrays:
+
+* A pair is a candidate if its lengths allow L and the keys have L letters in common, counted in 128 bits of each key.
+* L of the candidates is found a letter at a time for many pairs at once, the rows of the table of common subsequences being bits of
+  integers. In a common subsequence of L letters, letters that meet stand at most n - L places later in the one key, or m - L in the
+  other, so others don't count, and a pair is given up when more than m - L letters have met none.
 """
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache
-from zlib import crc32
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from mergestone.functions.text import ratio_of_sorted
+from mergestone.functions.text import _common
 
-#: The least score for which any two keys, but equal ones, share a pair of neighbouring letters.
-GRAMS = 85.0
-#: Letters by how often names hold them; others count as rarer. Only the work depends on it.
-COMMON = " eaoirntslducmhpgbyfvkwzxjq"
-#: Keys in a numbered part of a list or block.
-PART = 1000
+#: Keys in a numbered part of a block, on average at most.
+PART = 16_384
+#: Candidates whose scores are found together, and words of memory for the places of their letters.
+PAIRS, WORDS = 16_384, 1 << 21
+#: Pairs of a block that are scored one by one, since arrays would cost more.
+FEW = 50
 #: Scores are compared after rounding to six decimals.
 EPS = 1e-6
 
-
-def shared_grams(q: int, letters: int, least: float) -> int:
-    """How many runs of ``q`` letters two keys of so many letters together share at least."""
-    common = math.ceil(least * letters / 200 - EPS)
-    return common - (q - 1) * (1 + letters - 2 * common)
-
-
-def gram_size(letters: int, least: float) -> int:
-    """The longest runs of which enough are shared; two letters where keys are short."""
-    return next((q for q in (4, 3) if shared_grams(q, letters, least) >= q - 1), 2)
-
-
-@lru_cache(10_000)
-def listed_grams(n: int, least: float) -> tuple[tuple[int, int], ...]:
-    """(size, number) of the grams that a key of ``n`` letters is listed under, so that it shares one with each key that it may match."""
-    out: dict[int, int] = {}
-    for m in range(math.ceil(n * least / (200 - least) - EPS), math.floor(n * (200 - least) / least + EPS) + 1):
-        q = gram_size(n + m, least)
-        if (some := n - q + 1 - max(1, shared_grams(q, n + m, least)) + 1) > 0:
-            out[q] = max(out.get(q, 0), some)
-    return tuple(out.items())
-
-
-def rare_grams(key: str, least: float) -> list[str]:
-    """What a key is listed under: itself, and its rarest grams in an order common to all keys. Equal grams of one key are numbered."""
-    out = ["=" + key]
-    for q, some in listed_grams(len(key), least):
-        seen: dict[str, int] = {}
-        grams = []
-        for i in range(len(key) - q + 1):
-            g = key[i : i + q]
-            seen[g] = k = seen.get(g, 0) + 1
-            grams.append((-sum(COMMON.find(c) % 64 for c in g), -k, g))
-        out += [f"{-k}{g}" for _, k, g in sorted(grams)[:some]]
+FOUND = pa.schema([("block", pa.string()), ("a", pa.string()), ("b", pa.string()), ("common", pa.int32())])
+EIGHT = np.arange(8)
+ONES = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
+
+
+def needed(letters: np.ndarray, least: float) -> np.ndarray:
+    """The least number of letters in common of two keys with so many letters together."""
+    return np.maximum(np.ceil(letters * ((least - EPS) / 200) - EPS), 0).astype(np.int64)
+
+
+class Side:
+    """Keys of one side, shortest first: lengths ``n``, and ``letters`` one after the other, each key's from ``at`` on, with one that stands for the end."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = sorted(keys, key=len)
+        self.n = np.fromiter(map(len, self.keys), np.int64, len(self.keys))
+        self.at = np.cumsum(self.n + 1) - self.n - 1
+        self.letters = np.frombuffer("".join(k + "\0" for k in self.keys).encode("utf-32-le"), np.uint32)
+        self.ends = self.at + self.n
+
+    def number(self, known: np.ndarray, often: np.ndarray) -> None:
+        """Numbers for letters, by how often they stand; one more stands for the end, and for what is not known."""
+        by = np.empty(len(known) + 1, np.int64)
+        by[np.append(np.argsort(-often, kind="stable"), len(known))] = np.arange(len(known) + 1)
+        at = np.searchsorted(known, self.letters)
+        self.letters = np.where(np.append(known, 0)[at] == self.letters, by[at], len(known))
+        self.letters[self.ends] = len(known)
+
+    def counts(self, many: int) -> np.ndarray:
+        """How often each key holds each of the first letters."""
+        of = np.repeat(np.arange(len(self.n)), self.n + 1)
+        few = self.letters < many
+        return np.bincount(of[few] * many + self.letters[few], minlength=len(self.n) * many).reshape(len(self.n), many)
+
+
+def letter_bits(sides: list[Side], many: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Two words of bits of each key, one for each of up to 128 statements "it holds this letter so many times", of which those are taken that
+    tell most keys apart, and how many of its letters they don't count."""
+    counts = [s.counts(many) for s in sides]
+    total = sum(len(s.n) for s in sides)
+    told = []
+    for g in range(many):
+        held = np.bincount(np.minimum(np.concatenate([c[:, g] for c in counts]), 40), minlength=41)
+        share = held[::-1].cumsum()[::-1] / total
+        told += [(-f * (1 - f), g, k) for k, f in enumerate(share) if 1 <= k < 40 and f > 0]
+    told = sorted(told)[:128]
+    out = []
+    for s, c in zip(sides, counts):
+        words = np.zeros((2, len(s.n)), np.uint64)
+        for x, (_, g, k) in enumerate(told):
+            words[x // 64] |= (c[:, g] >= k).astype(np.uint64) << np.uint64(x % 64)
+        out.append((words[0], words[1], s.n - np.bitwise_count(words[0]) - np.bitwise_count(words[1])))
     return out
 
 
-def key_bits(key: str) -> tuple[int, ...]:
-    """Up to four of each of 27 letters as bits of two numbers, how many letters there are besides, and 256 bits of four numbers, set by
-    the key's pairs of neighbouring letters."""
-    held = [min(4, key.count(c)) for c in COMMON]
-    bits = [sum((1 << k) - 1 << 4 * g for g, k in enumerate(part)) for part in (held[:14], held[14:])]
-    pairs = 0
-    for i in range(len(key) - 1):
-        pairs |= 1 << crc32(key[i : i + 2].encode()) % 256
-    words = [(pairs >> 64 * k & (1 << 64) - 1) for k in range(4)]
-    return bits[0], bits[1], len(key) - sum(held), *(w - (1 << 64) if w >> 63 else w for w in words)
-
-
-BITS = ["low", "high", "more", "p0", "p1", "p2", "p3"]
-
-
-@F.pandas_udf(StructType([StructField(c, LongType()) for c in BITS]))
-def _bits(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([key_bits(t) for t in s], columns=BITS)
-
-
-def may_reach(least: float) -> Column:
-    """Whether two keys may score so much: they need enough letters, and enough pairs of neighbouring letters, in common."""
-    both = lambda h: F.bit_count(F.col(f"{h}_a").bitwiseAND(F.col(f"{h}_b")))
-    n = F.col("n_a") + F.col("n_b")
-    letters = F.least(F.col("n_a"), F.col("n_b"), both("low") + both("high") + F.least("more_a", "more_b"))
-    # pairs that set a bit which another has set may be any
-    others = lambda x: F.col(f"n_{x}") - 1 - sum((F.bit_count(f"p{k}_{x}") for k in range(1, 4)), F.bit_count(f"p0_{x}"))
-    pairs = both("p0") + both("p1") + both("p2") + both("p3") + F.least(others("a"), others("b"))
-    common = F.ceil(n * (least / 200) - EPS)
-    return (letters >= common) & (pairs >= 3 * common - n - 1)
-
-
-def _listed(keys: DataFrame, side: str, least: float) -> DataFrame:
-    """Short rows: what a key is listed under, its number, length and letters."""
-
-    @F.pandas_udf("array<string>")
-    def grams(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: rare_grams(t, least))
-
-    told = keys.withColumn("l", _bits("s"))
-    told = told.withColumn("under", F.explode(grams("s"))) if least >= GRAMS else told.withColumn("under", F.lit(""))
-    named = lambda c, x: c.alias(f"{x}_{side}")
-    return told.select(F.xxhash64("block", "under").alias("under"), named(F.col("id"), "id"), named(F.length("s"), "n"), *(named(F.col(f"l.{c}"), c) for c in BITS))
-
-
-def _in_parts(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides, with long lists of ``y`` dealt to numbered parts, each of which meets all of ``x``."""
-    many = y.groupBy("under").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")
-    n = F.coalesce("parts", F.lit(1))
-    x = x.join(many, "under", "left").withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).drop("parts")
-    return x, y.join(many, "under", "left").withColumn("part", F.pmod(F.xxhash64("id_b"), n).cast("int")).drop("parts")
+def few_true(is_so: np.ndarray) -> np.ndarray:
+    """Where it is true, found by bytes of eight, since few are."""
+    at = (np.packbits(is_so).nonzero()[0][:, None] * 8 + EIGHT).ravel()
+    if len(at) and at[-1] >= len(is_so):
+        at = at[at < len(is_so)]
+    return at[is_so[at]]
+
+
+def scored(x: Side, y: Side, i: np.ndarray, j: np.ndarray, end: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates (i, j), the rows of i ascending, those that score enough, and how many letters they have in common."""
+    rows, row_of = np.unique(i, return_inverse=True)
+    n = x.n[rows]
+    words = max(1, int(n.max() + 63) // 64)
+    own = np.repeat(np.arange(len(rows)), n)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    places = np.zeros((words, len(rows) * (end + 1)), np.uint64)
+    np.bitwise_or.at(places, (place >> 6, own * (end + 1) + x.letters[x.at[rows][own] + place]), np.uint64(1) << (place & 63).astype(np.uint64))
+    base, m = row_of * (end + 1), y.n[j]
+    need = needed(x.n[i] + m, least)
+    before, after, at = m - need, x.n[i] - need, y.at[j]
+    row = np.full((words, len(i)), ~np.uint64(0))
+    alive = np.arange(len(i))
+    for t in range(int(m.max(initial=0))):
+        if t % 4 == 0:
+            go = np.minimum(t, m) - np.bitwise_count(~row).sum(axis=0, dtype=np.int64) <= before
+            if not go.all():
+                alive, base, m, before, after, at, row = alive[go], base[go], m[go], before[go], after[go], at[go], row[:, go]
+            if not len(alive):
+                break
+            if words == 1:
+                near = ONES[np.minimum(t + 4 + after, 64)] & ~ONES[np.clip(t - before, 0, 64)]
+        where = base + y.letters[at + np.minimum(t, m)]
+        if words == 1:
+            hit = row[0] & near & places[0][where]
+            row[0] = (row[0] + hit) | (row[0] - hit)
+        else:
+            carry = np.zeros(len(alive), np.uint64)
+            for w in range(words):
+                hit = row[w] & places[w][where]
+                first = row[w] + hit
+                up = first + carry
+                carry = ((first < hit) | (up < first)).astype(np.uint64)
+                row[w] = up | (row[w] - hit)
+    common = np.bitwise_count(~row).sum(axis=0, dtype=np.int64)
+    enough = common >= need[alive]
+    return i[alive[enough]], j[alive[enough]], common[enough]
+
+
+def meeting(a: list[str], b: list[str] | None, least: float) -> Iterator[tuple[Sequence[str], Sequence[str], Sequence[int]]]:
+    """Pairs of keys of the two lists, or without ``b`` the pairs of the first one, each once and with itself, and their letters in common."""
+    if len(a) * len(b or a) <= FEW:
+        few = [(p, q, _common(p, q)) for k, p in enumerate(a) for q in (a[k:] if b is None else b)]
+        if few := [(p, q, c) for p, q, c in few if c >= needed(len(p) + len(q), least)]:
+            yield tuple(zip(*few))
+        return
+    x = Side(a)
+    y = x if b is None else Side(b)
+    sides = [x] if b is None else [x, y]
+    letters, often = np.unique(np.delete(x.letters, x.ends), return_counts=True)
+    for s in sides:
+        s.number(letters, often)
+    bits = letter_bits(sides, min(len(letters), 64))
+    (x0, x1, x2), (y0, y1, y2) = bits[0], bits[-1]
+    kind = np.uint8 if max(x.n[-1], y.n[-1]) < 256 else np.int64
+    both, told, more = np.empty(len(y.n), np.uint64), np.empty(len(y.n), np.uint8), np.empty(len(y.n), np.uint8)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    pairs = words = 0
+
+    def ready() -> tuple[list[str], list[str], np.ndarray]:
+        i, j, common = scored(x, y, *(np.concatenate(z) for z in zip(*waiting)), len(letters), least)
+        return [x.keys[k] for k in i], [y.keys[k] for k in j], common
+
+    length = -1
+    for k, n in enumerate(x.n):
+        if n != length:  # the keys that are not too short or too long for this length stand side by side
+            length, need = n, needed(n + y.n, least)
+            fit = np.flatnonzero(np.minimum(n, y.n) >= need)
+            lo, hi = (fit[0], fit[-1] + 1) if len(fit) else (0, 0)
+            told_least: dict[int, np.ndarray] = {}
+        start = max(lo, k) if b is None else lo
+        if start >= hi:
+            continue
+        others = x2[k]
+        if others not in told_least:
+            told_least[others] = np.maximum(need - np.minimum(y2, others), 0).astype(kind)
+        s = slice(start, hi)
+        t, u, v = told[s], more[s], both[s]
+        np.bitwise_count(np.bitwise_and(y0[s], x0[k], out=v), out=t)
+        np.bitwise_count(np.bitwise_and(y1[s], x1[k], out=v), out=u)
+        t += u
+        j = few_true(t >= told_least[others][s]) + start
+        size = (len(letters) + 1) * (n // 64 + 1)
+        for part in (j[p : p + PAIRS] for p in range(0, len(j), PAIRS)):
+            waiting.append((np.full(len(part), k), part))
+            pairs += len(part)
+            words = (len(waiting) + 1) * size  # keys come by length, so the last is the longest
+            if pairs >= PAIRS or words >= WORDS:
+                yield ready()
+                waiting, pairs = [], 0
+    if waiting:
+        yield ready()
 
 
 def similar(left: DataFrame, right: DataFrame, least: float, once: bool = False) -> DataFrame:
     """ER2, JOI11, STR3: (block, a, b, score) of all pairs of distinct token-sorted keys a of ``left`` (block, a) and b of ``right`` (block,
     b) with a score of at least ``least``. With ``once``, for two sides that are the same, pairs come once, with a <= b. Null keys and
-    blocks match nothing; two empty keys are equal.
-
-    Keys are numbered by a hash while candidates are looked for, so lists and pairs are short rows; texts are joined to the candidates
-    by number, and keys that share one only add candidates, as scores come from the texts."""
-    keys = lambda df, c: df.select("block", F.col(c).alias("s")).filter("block is not null and s is not null").distinct().withColumn("id", F.xxhash64("block", "s"))
-    a, b = keys(left, "a"), keys(right, "b")
-    x, y = _in_parts(_listed(a, "a", least), _listed(b, "b", least))
-    good = may_reach(least)
-    pairs = x.join(y, ["under", "part"]).filter(good & (F.col("id_a") <= F.col("id_b")) if once else good).select("id_a", "id_b").distinct()
-    met = pairs.join(a.select(F.col("id").alias("id_a"), "block", F.col("s").alias("a")), "id_a").join(b.select(F.col("id").alias("id_b"), "block", F.col("s").alias("b")), ["id_b", "block"])
+    blocks match nothing; two empty keys are equal."""
+    keys = lambda df, c: df.select("block", F.col(c).alias("s")).filter("block is not null and s is not null").distinct()
+    both = keys(left, "a").withColumn("right", F.lit(False)).unionByName(keys(right, "b").withColumn("right", F.lit(True)))
+    parts = lambda c: F.ceil(F.count_if(c) / PART).cast("int")
+    # blocks of several parts are few, since each holds more than a part
+    large = both.groupBy("block").agg(parts(~F.col("right")).alias("n_a"), parts(F.col("right")).alias("n_b")).filter("greatest(n_a, n_b) > 1")
+    shelves = both.agg(F.ceil(F.count("*") / PART)).scalar()
+    n = lambda c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1))
+    dealt = both.join(F.broadcast(large), "block", "left").withColumn("part", F.pmod(F.xxhash64("s"), F.when(F.col("right"), n("n_b")).otherwise(n("n_a"))).cast("int"))
+    shelf = F.when(F.col("n_a").isNull(), F.pmod(F.xxhash64("block"), F.greatest(shelves, F.lit(1)))).otherwise(F.xxhash64("block"))
+    met = dealt.withColumn("shelf", shelf).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("right"), n("n_a")).otherwise(n("n_b")) - 1)))
+    if once:  # a part meets itself and later ones
+        met = met.filter(F.when(F.col("right"), F.col("other") < F.col("part")).otherwise(F.col("part") <= F.col("other")))
+    cells = met.select("shelf", F.when(F.col("right"), F.col("other")).otherwise(F.col("part")).alias("i"), F.when(F.col("right"), F.col("part")).otherwise(F.col("other")).alias("j"), "block", "s", "right")
+
+    def cell(at: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone = once and at[1].as_py() == at[2].as_py()
+        held: dict[str, tuple[list[str], list[str]]] = {}
+        for r in rows:
+            for block, s, side in zip(*(r.column(c).to_pylist() for c in ("block", "s", "right"))):
+                held.setdefault(block, ([], []))[side].append(s)
+        for block, (a, b) in held.items():
+            if a and (b or alone):
+                for x, y, common in meeting(a, None if alone else b, least):
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(x), pa.string()), pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(common, pa.int32())], schema=FOUND)
+
+    # cells are many letters' work for few bytes, so there are several tasks a core however small the rows are
+    tasks = 4 * both.sparkSession.sparkContext.defaultParallelism
+    found = cells.repartition(tasks, "shelf", "i", "j").groupBy("shelf", "i", "j").applyInArrow(cell, "block string, a string, b string, common int")
     if once:
-        met = met.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return met.select("block", "a", "b", F.round(ratio_of_sorted(F.col("a"), F.col("b")), 6).alias("score")).filter(F.col("score") >= least)
+        found = found.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common")
+    letters = F.length("a") + F.length("b")
+    score = F.when(letters == 0, 100.0).otherwise(F.lit(200.0) * F.col("common") / letters)
+    return found.select("block", "a", "b", F.round(score, 6).alias("score")).filter(F.col("score") >= least)
