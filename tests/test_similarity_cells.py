@@ -5,6 +5,7 @@ import random
 import pytest
 
 from mergestone.functions.text import _common
+from mergestone.operators import resolution as R
 from mergestone.operators import similarity_join as S
 
 
@@ -63,3 +64,28 @@ def test_pairs_are_no_rows_before_they_are_scored(spark):
     plan = S.similar(rows, rows.withColumnRenamed("a", "b"), 90.0, once=True)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1  # of keys with the number of parts of their block
     assert "FlatMapGroupsInArrow" in plan
+
+
+def test_clusters_of_one_large_block(spark, monkeypatch):
+    """Headlines of one block in several cells: no table of candidates is made, and leaders equal the sequential rule."""
+    monkeypatch.setattr(S, "PART", 60)
+    plans = {}
+    kept = R.kept
+    monkeypatch.setattr(R, "kept", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), kept(df, name))[1])
+    rng = random.Random(5)
+    heads = [" ".join(rng.choices(["thered", "ofing", "the", "anre", "tion", "wh", "ner", "ou"], k=9)) for _ in range(150)]
+    heads += [h[:9] + rng.choice("xyz") + h[9:] for h in heads[:60]]
+    rng.shuffle(heads)
+    got = R.leader_clusters(spark.createDataFrame([(k, "", h) for k, h in enumerate(heads)], "record long, block string, key string")).collect()
+    order = lambda h: " ".join(sorted(h.split(" ")))
+    leaders, want, led = [], [], {}
+    for k, h in enumerate(heads):
+        if h not in led:
+            near = max(((s, -at) for at, x in leaders if (s := score(order(x), order(h))) >= 90), default=None)
+            led[h] = k if near is None else -near[1]
+            if near is None:
+                leaders.append((k, h))
+        want.append((k, led[h]))
+    assert sorted((r["record"], r["leader"]) for r in got) == want
+    assert len(leaders) < len(set(heads))
+    assert plans["near"].count("Join ") == 1 and "FlatMapGroupsInArrow" in plans["near"]
