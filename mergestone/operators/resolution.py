@@ -49,7 +49,9 @@ def leader_clusters(records: DataFrame) -> DataFrame:
 
     A key's part follows from the earlier keys near it alone, so all blocks and keys go side by side: in each round, keys with no earlier
     undecided neighbour lead, and their later neighbours follow. Rounds go on while neighbours are undecided; their tables are written to
-    the shared folder, each smaller than the last. Records with a null block or key lead themselves."""
+    the shared folder, each smaller than the last, and so are the records first, since they are read many times and may come from rows that are
+    much longer. Records with a null block or key lead themselves."""
+    records = kept(records.select("record", "block", "key"), "records")
     nodes = records.filter("block is not null and key is not null").groupBy("block", "key").agg(F.min("record").alias("record")).withColumn("s", token_sorted(F.col("key")))
     first = nodes.groupBy("block", "s").agg(F.min("record").alias("at"))
     near = kept(similar(first.withColumnRenamed("s", "a"), first.withColumnRenamed("s", "b"), AUTO, once=True), "near")

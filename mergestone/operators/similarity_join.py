@@ -5,7 +5,8 @@ share no run of letters that few others hold, so an index does not spare many pa
 numbered parts of about :data:`PART` keys at most, and two parts that meet are a cell, which is one group of a shuffle; small blocks share cells. So a
 task holds two parts, however large a block is, and no pair is a row before its score is sure. In a cell, by arrays:
 
-* A pair is a candidate if its lengths allow L and the keys have L letters in common, counted in 128 bits of each key.
+* A pair is a candidate if its lengths allow L and the keys have L letters in common, counted in 128 bits of each key: in the 64 that tell
+  most keys apart first, since those alone leave 1 in some 900 pairs of headlines, and in all of them for what is left.
 * L of the candidates is found a letter at a time for many pairs at once, the rows of the table of common subsequences being bits of
   integers. In a common subsequence of L letters, letters that meet stand at most n - L places later in the one key, or m - L in the
   other, so others don't count, and a pair is given up when more than m - L letters have met none.
@@ -17,6 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from mergestone.functions.text import _common
 
 #: Keys in a numbered part of a block, on average at most.
 PART = 16_384
+#: Pairs that the first word of bits lets pass, which meet the second word together.
+LOT = 131_072
 #: Candidates whose scores are found together, and words of memory for the places of their letters.
 PAIRS, WORDS = 16_384, 1 << 21
 #: Pairs of a block that are scored one by one, since arrays would cost more.
@@ -32,7 +36,6 @@ FEW = 50
 EPS = 1e-6
 
 FOUND = pa.schema([("block", pa.string()), ("a", pa.string()), ("b", pa.string()), ("common", pa.int32())])
-EIGHT = np.arange(8)
 ONES = np.array([(1 << k) - 1 for k in range(65)], np.uint64)
 
 
@@ -55,15 +58,17 @@ class Side:
         """Numbers for letters, by how often they stand; one more stands for the end, and for what is not known."""
         by = np.empty(len(known) + 1, np.int64)
         by[np.append(np.argsort(-often, kind="stable"), len(known))] = np.arange(len(known) + 1)
-        at = np.searchsorted(known, self.letters)
-        self.letters = np.where(np.append(known, 0)[at] == self.letters, by[at], len(known))
+        of = np.full(max(known.max(initial=0), self.letters.max()) + 1, len(known))
+        of[known] = by[:-1]
+        self.letters = of[self.letters]
         self.letters[self.ends] = len(known)
 
     def counts(self, many: int) -> np.ndarray:
-        """How often each key holds each of the first letters."""
+        """How often each of the first letters stands in each key, up to 40 times."""
         of = np.repeat(np.arange(len(self.n)), self.n + 1)
         few = self.letters < many
-        return np.bincount(of[few] * many + self.letters[few], minlength=len(self.n) * many).reshape(len(self.n), many)
+        counts = np.bincount(self.letters[few] * len(self.n) + of[few], minlength=len(self.n) * many)
+        return np.minimum(counts, 40).astype(np.uint8).reshape(many, len(self.n))
 
 
 def letter_bits(sides: list[Side], many: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -73,7 +78,7 @@ def letter_bits(sides: list[Side], many: int) -> list[tuple[np.ndarray, np.ndarr
     total = sum(len(s.n) for s in sides)
     told = []
     for g in range(many):
-        held = np.bincount(np.minimum(np.concatenate([c[:, g] for c in counts]), 40), minlength=41)
+        held = sum(np.bincount(c[g], minlength=41) for c in counts)
         share = held[::-1].cumsum()[::-1] / total
         told += [(-f * (1 - f), g, k) for k, f in enumerate(share) if 1 <= k < 40 and f > 0]
     told = sorted(told)[:128]
@@ -81,19 +86,11 @@ def letter_bits(sides: list[Side], many: int) -> list[tuple[np.ndarray, np.ndarr
     for s, c in zip(sides, counts):
         words = np.zeros((2, len(s.n)), np.uint64)
         for x, (_, g, k) in enumerate(told):
-            words[x // 64] |= (c[:, g] >= k).astype(np.uint64) << np.uint64(x % 64)
+            words[x // 64] |= (c[g] >= k).astype(np.uint64) << np.uint64(x % 64)
         out.append((words[0], words[1], s.n - np.bitwise_count(words[0]) - np.bitwise_count(words[1])))
     return out
 
 
-def few_true(is_so: np.ndarray) -> np.ndarray:
-    """Where it is true, found by bytes of eight, since few are."""
-    at = (np.packbits(is_so).nonzero()[0][:, None] * 8 + EIGHT).ravel()
-    if len(at) and at[-1] >= len(is_so):
-        at = at[at < len(is_so)]
-    return at[is_so[at]]
-
-
 def scored(x: Side, y: Side, i: np.ndarray, j: np.ndarray, end: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of candidates (i, j), the rows of i ascending, those that score enough, and how many letters they have in common."""
     rows, row_of = np.unique(i, return_inverse=True)
@@ -149,14 +146,25 @@ def meeting(a: list[str], b: list[str] | None, least: float) -> Iterator[tuple[S
         s.number(letters, often)
     bits = letter_bits(sides, min(len(letters), 64))
     (x0, x1, x2), (y0, y1, y2) = bits[0], bits[-1]
-    kind = np.uint8 if max(x.n[-1], y.n[-1]) < 256 else np.int64
-    both, told, more = np.empty(len(y.n), np.uint64), np.empty(len(y.n), np.uint8), np.empty(len(y.n), np.uint8)
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    pairs = words = 0
-
-    def ready() -> tuple[list[str], list[str], np.ndarray]:
-        i, j, common = scored(x, y, *(np.concatenate(z) for z in zip(*waiting)), len(letters), least)
-        return [x.keys[k] for k in i], [y.keys[k] for k in j], common
+    x_rest, y_rest = x.n - np.bitwise_count(x0), y.n - np.bitwise_count(y0)
+    kind, wide = (np.uint8, np.int16) if max(x.n[-1], y.n[-1]) < 256 else (np.int64, np.int64)
+    x_rest, y_rest = x_rest.astype(wide), y_rest.astype(wide)
+    both, told = np.empty(len(y.n), np.uint64), np.empty(len(y.n), np.uint8)
+    waiting: list[tuple[int, np.ndarray]] = []
+    pairs = 0
+
+    def ready() -> Iterator[tuple[list[str], list[str], np.ndarray]]:
+        i, j = np.repeat([k for k, _ in waiting], [len(j) for _, j in waiting]), np.concatenate([j for _, j in waiting])
+        go = np.bitwise_count(x0[i] & y0[j]) + np.bitwise_count(x1[i] & y1[j]) >= needed(x.n[i] + y.n[j], least) - np.minimum(x2[i], y2[j])
+        i, j = i[go], j[go]
+        if not len(i):
+            return
+        size = (len(letters) + 1) * (x.n[i[-1]] // 64 + 1)  # keys come by length, so the last is the longest
+        rows = np.cumsum(np.diff(i, prepend=-1) != 0)
+        lots = np.flatnonzero(np.diff(rows * size // WORDS) | np.diff(np.arange(len(i)) // PAIRS)) + 1
+        for p, q in zip(np.split(i, lots), np.split(j, lots)):
+            p, q, common = scored(x, y, p, q, len(letters), least)
+            yield [x.keys[k] for k in p], [y.keys[k] for k in q], common
 
     length = -1
     for k, n in enumerate(x.n):
@@ -164,29 +172,25 @@ def meeting(a: list[str], b: list[str] | None, least: float) -> Iterator[tuple[S
             length, need = n, needed(n + y.n, least)
             fit = np.flatnonzero(np.minimum(n, y.n) >= need)
             lo, hi = (fit[0], fit[-1] + 1) if len(fit) else (0, 0)
-            told_least: dict[int, np.ndarray] = {}
+            need, told_least = need.astype(wide), {}
         start = max(lo, k) if b is None else lo
         if start >= hi:
             continue
-        others = x2[k]
-        if others not in told_least:
-            told_least[others] = np.maximum(need - np.minimum(y2, others), 0).astype(kind)
+        rest = x_rest[k]
+        if rest not in told_least:
+            told_least[rest] = np.maximum(need - np.minimum(y_rest, rest), 0).astype(kind)
         s = slice(start, hi)
-        t, u, v = told[s], more[s], both[s]
-        np.bitwise_count(np.bitwise_and(y0[s], x0[k], out=v), out=t)
-        np.bitwise_count(np.bitwise_and(y1[s], x1[k], out=v), out=u)
-        t += u
-        j = few_true(t >= told_least[others][s]) + start
-        size = (len(letters) + 1) * (n // 64 + 1)
-        for part in (j[p : p + PAIRS] for p in range(0, len(j), PAIRS)):
-            waiting.append((np.full(len(part), k), part))
-            pairs += len(part)
-            words = (len(waiting) + 1) * size  # keys come by length, so the last is the longest
-            if pairs >= PAIRS or words >= WORDS:
-                yield ready()
+        t, u = told[s], both[s]
+        np.bitwise_count(np.bitwise_and(y0[s], x0[k], out=u), out=t)
+        j = (t >= told_least[rest][s]).nonzero()[0] + start
+        if len(j):
+            waiting.append((k, j))
+            pairs += len(j)
+            if pairs >= LOT:
+                yield from ready()
                 waiting, pairs = [], 0
     if waiting:
-        yield ready()
+        yield from ready()
 
 
 def similar(left: DataFrame, right: DataFrame, least: float, once: bool = False) -> DataFrame:
@@ -211,6 +215,11 @@ def similar(left: DataFrame, right: DataFrame, least: float, once: bool = False)
         alone = once and at[1].as_py() == at[2].as_py()
         held: dict[str, tuple[list[str], list[str]]] = {}
         for r in rows:
+            if pc.count_distinct(r.column("block")).as_py() == 1:  # so in every cell of a large block
+                right = r.column("right")
+                for side, of in enumerate((pc.invert(right), right)):
+                    held.setdefault(r.column("block")[0].as_py(), ([], []))[side].extend(r.column("s").filter(of).to_pylist())
+                continue
             for block, s, side in zip(*(r.column(c).to_pylist() for c in ("block", "s", "right"))):
                 held.setdefault(block, ([], []))[side].append(s)
         for block, (a, b) in held.items():
@@ -218,8 +227,8 @@ def similar(left: DataFrame, right: DataFrame, least: float, once: bool = False)
                 for x, y, common in meeting(a, None if alone else b, least):
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(x), pa.string()), pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(common, pa.int32())], schema=FOUND)
 
-    # cells are many letters' work for few bytes, so there are several tasks a core however small the rows are
-    tasks = 4 * both.sparkSession.sparkContext.defaultParallelism
+    # cells are many letters' work for few bytes, so there are many tasks a core however small the rows are, and none that many cells fall to
+    tasks = 16 * both.sparkSession.sparkContext.defaultParallelism
     found = cells.repartition(tasks, "shelf", "i", "j").groupBy("shelf", "i", "j").applyInArrow(cell, "block string, a string, b string, common int")
     if once:
         found = found.select("block", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common")

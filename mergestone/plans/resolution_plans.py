@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mergestone.functions.text import native_similarity, token_sorted
 from mergestone.operators import photos as P
 from mergestone.operators import resolution as R
+from mergestone.operators.rounds import kept
 from mergestone.operators.similarity_join import similar
 from mergestone.plans.registry import query, table
 
@@ -52,10 +53,10 @@ s AS (SELECT a, b, round(200.0 * row[len(row)] / (length(a) + length(b)), 6) AS
 @query(f"WITH RECURSIVE {LCS_OF_HEADLINES}, p AS (SELECT a, b, score FROM s WHERE score >= 90 UNION ALL SELECT b, a, score FROM s WHERE score >= 90) SELECT k AS a, count(b) AS n_near, max(score) AS best FROM n LEFT JOIN p ON a = k GROUP BY 1")
 def er2_similar_headlines(spark, sf_dir):
     """ER2, JOI11: of each headline, how many others are near it, and the best score, through the index of grams."""
-    h = headlines(spark, sf_dir).select("block", token_sorted(F.col("key")).alias("a"))
+    h = kept(headlines(spark, sf_dir).select("block", token_sorted(F.col("key")).alias("a")).distinct(), "headlines")
     near = similar(h, h.withColumnRenamed("a", "b"), R.AUTO, once=True).filter("a < b")
     both = near.select("a", "score").unionByName(near.select(F.col("b").alias("a"), "score")).groupBy("a").agg(F.count("*").alias("n_near"), F.max("score").alias("best"))
-    return h.select("a").distinct().join(both, "a", "left").select("a", F.coalesce("n_near", F.lit(0)).alias("n_near"), "best")
+    return h.select("a").join(both, "a", "left").select("a", F.coalesce("n_near", F.lit(0)).alias("n_near"), "best")
 
 
 def records(spark, sf_dir):

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mergestone.functions.text import _common
 from mergestone.operators import resolution as R
@@ -89,3 +90,33 @@ def test_clusters_of_one_large_block(spark, monkeypatch):
     assert sorted((r["record"], r["leader"]) for r in got) == want
     assert len(leaders) < len(set(heads))
     assert plans["near"].count("Join ") == 1 and "FlatMapGroupsInArrow" in plans["near"]
+
+
+@pytest.mark.parametrize("lot, pairs, words", [(5, 3, 200), (1, 1, 1), (64, 1000, 5000)])
+def test_lots_of_pairs_lose_none(lot, pairs, words, monkeypatch):
+    """Pairs that the first word of bits lets pass come to the second one, and to their scores, in lots of bounded size."""
+    monkeypatch.setattr(S, "LOT", lot)
+    monkeypatch.setattr(S, "PAIRS", pairs)
+    monkeypatch.setattr(S, "WORDS", words)
+    sizes = []
+    scored = S.scored
+    monkeypatch.setattr(S, "scored", lambda x, y, i, *rest: (sizes.append(len(i)), scored(x, y, i, *rest))[1])
+    rng = random.Random(lot)
+    for a in (keys(rng, 60), ["".join(rng.choices("abcd", k=300)) for _ in range(20)] + ["abcd" * 75, "abcd" * 74 + "abxcd"], [chr(k) + chr(k + 1) * 9 for k in range(0x20000, 0x20020)]):
+        got = sorted((*sorted((p, q)), int(c)) for x, y, n in S.meeting(a, None, 90.0) for p, q, c in zip(x, y, n) if score(p, q) >= 90)
+        assert got == sorted((*sorted((p, q)), _common(p, q)) for k, p in enumerate(a) for q in a[k:] if score(p, q) >= 90)
+    assert max(sizes) <= pairs
+
+
+def test_records_of_clusters_are_made_once(spark):
+    """Records may come from rows that are much longer, as headlines from pages, so they are not made again for each step."""
+    made = spark.sparkContext.accumulator(0)
+
+    def name(k):
+        made.add(1)
+        return ["fried rice", "fried ricf", "noodles", None][k % 4]
+
+    records = spark.range(40).select(F.col("id").alias("record"), F.lit("").alias("block"), F.udf(name, "string")("id").alias("key"))
+    got = dict(R.leader_clusters(records).select("record", "leader").collect())
+    assert got == {k: [0, 0, 2, k][k % 4] for k in range(40)}
+    assert made.value == 40
