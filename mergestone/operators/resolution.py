@@ -68,7 +68,8 @@ def leader_clusters(records: DataFrame) -> DataFrame:
         edges = kept(edges.join(lead, ["block", "x"], "left_anti").join(x, ["block", "x"], "left_anti").join(y, ["block", "y"], "left_anti"), "edges")
     leaders = first if follows is None else first.join(follows, ["block", "at"], "left_anti")
     meets = nodes.withColumnRenamed("s", "a").join(near, ["block", "a"]).join(leaders.withColumnRenamed("s", "b"), ["block", "b"]).filter("at <= record")
-    led = meets.groupBy("block", "key").agg((-F.max(F.struct("score", (-F.col("at")).alias("at")))["at"]).alias("leader"))
+    # a table of its own, so that the records of a frequent key can be dealt to several tasks of the join
+    led = kept(meets.groupBy("block", "key").agg((-F.max(F.struct("score", (-F.col("at")).alias("at")))["at"]).alias("leader")), "leaders")
     return records.join(led, ["block", "key"], "left").select("record", "block", "key", F.coalesce("leader", "record").alias("leader"))
 
 
