@@ -115,13 +115,17 @@ def sections(elements: DataFrame, boundary: Column) -> DataFrame:
     return elements.withColumn("section", F.sum(F.when(boundary, 1).otherwise(0)).over(_up_to()))
 
 
-def priced_items(elements: DataFrame, price: str = r"\$\s*(\d+(?:\.\d{1,2})?)") -> DataFrame:
+#: A dollar sign and a number. Signs in a row ("$$$ 12") say how dear a place is or are noise, and what follows them is no price.
+PRICE = r"(?<!\$)\$\s*(\d+(?:\.\d{1,2})?)"
+
+
+def priced_items(elements: DataFrame, price: str = PRICE) -> DataFrame:
     """EXT1: list items and paragraphs of up to 300 characters with a price, under the nearest heading of under 80; the name is
-    what stands before the dash and the price; the lowest price is text with two decimals."""
+    what stands before the dash and the first price; the lowest price is text with two decimals."""
     heading = F.when(F.col("tag").rlike("^h[1-6]$") & (F.length("text") < 80) & (F.col("text") != ""), F.col("text"))
     rows = carried(elements, heading, "parent").filter(F.col("tag").isin("li", "p") & (F.length("text") <= 300) & F.col("text").rlike(price))
     lowest = F.array_min(F.transform(F.regexp_extract_all("text", F.lit(price), F.lit(1)), price_of))["text"]
-    return rows.select("page_id", "pos", "parent", F.trim(F.regexp_extract("text", r"^(.*?)(?:\s+[-–—]\s*\$.*|\s*\$.*)$", 1)).alias("name"), lowest.alias("price"))
+    return rows.select("page_id", "pos", "parent", F.trim(F.regexp_extract("text", rf"^(.*?)(?:\s+[-–—])?\s*{price}", 1)).alias("name"), lowest.alias("price"))
 
 
 def labelled_items(elements: DataFrame, labels: dict[str, str], boundary: Column, parent: Column) -> DataFrame:
