@@ -148,13 +148,14 @@ def restored_names(items: DataFrame, short: str, long: str) -> DataFrame:
     return items.withColumn("shown", F.when(n > 1, F.col(long)).otherwise(F.col(short)))
 
 
-def captioned_images(elements: DataFrame, junk: str, least: int = 120) -> DataFrame:
+def captioned_images(elements: DataFrame, junk: str, least: int = 120, later: bool = False) -> DataFrame:
     """EXT5, WIN9: images with the caption that follows, of 3 to 160 characters, no junk, of at least ``least`` pixels where sizes are
-    declared; of a repeated image the first caption."""
+    declared; of a repeated image the first caption. If that one is unfit the image is left out or, with ``later``, gets its first fit caption."""
     rows = carried(elements, F.when(F.col("tag").isin("figcaption") | F.coalesce(F.col("class").contains("caption-text"), F.lit(False)), F.col("text")), "caption", back=True).filter("tag = 'img' and src is not null")
-    good = F.length("caption").between(3, 160) & ~F.col("src").rlike(junk) & ~F.col("caption").rlike(junk) & (F.coalesce("width", F.lit(least)) >= least) & (F.coalesce("height", F.lit(least)) >= least)
-    first = rows.filter(good).groupBy("page_id", "src").agg(F.min_by(F.struct("pos", "caption"), "pos").alias("c"))
-    return first.select("page_id", "src", "c.pos", "c.caption")
+    shown = ~F.col("src").rlike(junk) & (F.coalesce("width", F.lit(least)) >= least) & (F.coalesce("height", F.lit(least)) >= least)
+    fit = F.length("caption").between(3, 160) & ~F.col("caption").rlike(junk)
+    first = rows.filter(shown & fit if later else shown).groupBy("page_id", "src").agg(F.min_by(F.struct("pos", "caption"), "pos").alias("c"))
+    return first.select("page_id", "src", "c.pos", "c.caption").filter(fit)
 
 
 def majority(votes: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:
