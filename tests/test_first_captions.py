@@ -34,3 +34,9 @@ def test_ext5_captioned_images_of_short_and_long_headlines(spark, sf_dir):
     want = stated("ext5_captioned_images", "page_id, src, caption", sf_dir)
     assert len(want) == 7 * 2
     assert sorted(map(tuple, X.ext5_captioned_images(spark, sf_dir).collect())) == want
+
+
+def test_ext6_caption_records_of_short_and_long_headlines(spark, sf_dir):
+    want = stated("ext6_caption_records", "page_id, parent, name, image", sf_dir)
+    assert len(want) == 7 * 3
+    assert sorted(map(tuple, X.ext6_caption_records(spark, sf_dir).collect())) == want
